@@ -3,7 +3,7 @@
 ``fit_dictionaries`` takes, for every language, a bounded sample of labelled texts (``SAMPLE_DOCS``
 texts with the smallest hash of their id, joined up to ``DICT_BYTES``) as a raw-content dictionary.
 ``classify`` compresses each whole text, block by block, with every dictionary; the language whose
-dictionary gives the fewest bytes wins.  The relative margin to the runner-up is the score, and a
+dictionary gives the fewest bytes wins; a narrow result is settled by a stronger level.  The relative margin to the runner-up is the score, and a
 margin below ``MIN_MARGIN`` rejects the text (``rejected``), as does a text without a letter.
 
 Null texts and texts without a letter: ``und``, score 0, rejected.  Ties: the first language by
@@ -25,8 +25,10 @@ from citeweave.llm.common import slices
 #: The bound of the labelled sample: texts a language, their largest size, bytes a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 96, 8_000, 96 << 10
 BLOCK_BYTES = 2048
-LEVEL = 3
-MIN_MARGIN = 0.001
+#: Levels tried in turn: a margin under SURE asks the next, stronger one.
+LEVELS = (3, 9, 19)
+SURE = (0.08, 0.0)
+MIN_MARGIN = 0.0005
 LETTER = re.compile(r"[^\W\d_]")
 _REST = re.compile(r"[\W\d_]+")
 
@@ -68,27 +70,35 @@ def fit_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str
     return {lang: b" ".join(t for _, t in sorted(texts))[:DICT_BYTES] for lang, texts in sorted(out.items())}
 
 
-def compressors(dictionaries: dict[str, bytes], level: int = LEVEL):
+def compressors(dictionaries: dict[str, bytes], levels: tuple[int, ...] = LEVELS) -> list[list]:
+    """For every level, (language, compressor) by language."""
     import zstandard as z
 
     out = []
-    for lang, data in sorted(dictionaries.items()):
-        d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        out.append((lang, z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)))
+    for level in levels:
+        coders = []
+        for lang, data in sorted(dictionaries.items()):
+            d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            coders.append((lang, z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)))
+        out.append(coders)
     return out
 
 
-def classify(text: str | None, coders, block: int = BLOCK_BYTES) -> tuple[str, float]:
+def classify(text: str | None, coders: list[list], block: int = BLOCK_BYTES) -> tuple[str, float]:
     """(language, relative margin) of one whole text."""
-    if not text or not coders or not LETTER.search(text):
+    if not text or not coders or not coders[0] or not LETTER.search(text):
         return "und", 0.0
     data = letters(text)
     blocks = [data[i : i + block] for i in range(0, len(data), block)]
-    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in coders)
-    if len(sizes) == 1:
-        return sizes[0][1], 1.0
-    return sizes[0][1], 1.0 - sizes[0][0] / sizes[1][0]
+    for level, sure in zip(coders, (*SURE, -1.0)):
+        sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in level)
+        if len(sizes) == 1:
+            return sizes[0][1], 1.0
+        margin = 1.0 - sizes[0][0] / sizes[1][0]
+        if margin > sure:
+            break
+    return sizes[0][1], margin
 
 
 def identify(documents: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
