@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import bpe, chat, decontaminate, embeddup, langid, licenses, secrets, simhash, tokencount
+from citeweave.llm import bpe, chat, decontaminate, embeddup, langid, licenses, lm, secrets, simhash, tokencount
 from citeweave.llm.common import table
 
 
@@ -37,6 +37,11 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
