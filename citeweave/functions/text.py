@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that carry no topic.
 STOPWORDS = (
@@ -18,7 +19,7 @@ SIMILARITY_CHARS = 8000
 #: Line ends, those of Python's splitlines included.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0  -     　]"
-HEADING = r"^#{1,6}\s+(.*)$"
+HEADING = r"^\s*#{1,6}\s+(.*?)\s*$"
 
 
 def tokens(text: Column) -> Column:
@@ -33,8 +34,8 @@ def lines(text: Column) -> Column:
 
 def headings(markdown: Column) -> Column:
     """Markdown headings in order, without their marks."""
-    heads = F.filter(F.transform(lines(markdown), lambda x: F.trim(x)), lambda x: x.rlike(HEADING))
-    texts = F.transform(heads, lambda x: F.trim(F.regexp_extract(x, HEADING, 1)))
+    heads = F.filter(lines(markdown), lambda x: x.rlike(HEADING))
+    texts = F.transform(heads, lambda x: F.regexp_extract(x, HEADING, 1))
     return F.filter(texts, lambda x: x != "")
 
 
@@ -98,7 +99,7 @@ def freshness_days(ts: Column, as_of: Column) -> Column:
     return F.greatest(days, F.lit(0)).cast("double")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
 

@@ -84,13 +84,13 @@ def expected_vs_actual(rows: DataFrame, key: str = "record_id", ord_col: str = "
     listed = F.size(F.coalesce("expected_source_types", F.array())) > 0
     g = rows.groupBy(key).agg(
         F.min_by("intent", ord_col).alias("intent"), F.substring(F.coalesce(F.min_by("prompt", ord_col), F.lit("")), 1, 60).alias("prompt"),
-        F.min_by("expected_source_types", F.when(listed, F.col(ord_col))).alias("expected"),
+        F.min_by("expected_source_types", F.when(listed, F.col(ord_col))).alias("wants"),
         F.array_distinct(F.flatten(F.collect_set(F.when(c, tags)))).alias("tags"), F.collect_set(F.when(c, kind)).alias("kinds"),
-    ).where(F.col("expected").isNotNull())
-    found = F.filter("expected", lambda t: F.array_contains("tags", canonical_type(t)))
-    missing = F.filter("expected", lambda t: ~F.array_contains("tags", canonical_type(t)))
-    wanted = F.transform("expected", canonical_type)
+    ).where(F.col("wants").isNotNull())
+    found = F.filter("wants", lambda t: F.array_contains("tags", canonical_type(t)))
+    missing = F.filter("wants", lambda t: ~F.array_contains("tags", canonical_type(t)))
+    wanted = F.transform("wants", canonical_type)
     other = F.array_sort(F.filter("kinds", lambda t: ~F.array_contains(wanted, canonical_type(t))))
     join = lambda x: F.array_join(x, "; ")
-    return g.select(key, "intent", "prompt", join("expected").alias("expected"), join(found).alias("cited_found"), join(missing).alias("expected_missing"),
-                    join(F.slice(other, 1, 6)).alias("unexpected_cited"), F.round(F.size(found) / F.size("expected"), 4).alias("coverage"))
+    return g.select(key, "intent", "prompt", join("wants").alias("expected"), join(found).alias("cited_found"), join(missing).alias("expected_missing"),
+                    join(F.slice(other, 1, 6)).alias("unexpected_cited"), F.round(F.size(found) / F.size("wants"), 4).alias("coverage"))

@@ -96,7 +96,7 @@ def cluster_questions(rows: DataFrame, k: int, group: str = "cited", most: int =
         return pd.DataFrame({"qid": ids, "cluster": average_linkage(sim, len(ids), k)})
 
     kind = dict(rows.dtypes)["qid"]
-    found = edges.groupBy(F.lit(0)).applyInPandas(run, f"qid {kind}, cluster long")
+    found = edges.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, f"qid {kind}, cluster long")
     return asked.join(found, "qid", "left").select("qid", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
@@ -110,4 +110,4 @@ def cluster_summary(rows: DataFrame, clusters: DataFrame, k: int = 8) -> DataFra
 def question_matrix(rows: DataFrame, k: int = 20) -> DataFrame:
     """Counts of the k most frequent domains by question, one column a domain."""
     top = [r["domain"] for r in rows.where(F.col("domain").isNotNull()).groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(k).collect()]
-    return rows.groupBy("qid").pivot("domain", top).agg(F.count("*")).na.fill(0)
+    return rows.groupBy("qid").pivot("domain", top).agg(F.count(F.lit(1))).na.fill(0)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeweave.operators.compare import long_features
 
@@ -24,7 +25,7 @@ def average_ranks(long: DataFrame) -> DataFrame:
     return counts.withColumn("rank", upto - (F.col("ties") - 1) / F.lit(2.0).cast("double"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or math.isnan(x) else round(min(1.0, max(0.0, math.erfc(abs(x) / math.sqrt(2)))), 4))
 
