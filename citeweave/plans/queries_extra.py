@@ -1 +1,40 @@
-QUERIES, ORACLE = {}, {}
+"""Extras over the event stream: windows, sessions, as-of joins.  Not part of the audited domain."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from citeweave.plans.bindings import read
+from citeweave.streaming.events import tumbling_counts
+
+
+def event_tumbling(spark, sf):
+    return tumbling_counts(read(spark, sf, "events"), "6 hours")
+
+
+def event_sessions(spark, sf):
+    """Sessions of a user: a gap of over six hours begins a new one."""
+    e = read(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    new = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order) > 6 * 3_600_000_000).cast("int")
+    s = e.withColumn("s", F.sum(F.coalesce(new, F.lit(1))).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return s.groupBy("user_id", F.col("s").alias("session")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+
+
+def event_asof(spark, sf):
+    """For each purchase the user's last click before it: one sort by user and time, no range join."""
+    e = read(spark, sf, "events").where("event_type IN ('purchase', 'click')")
+    order = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(order)
+    return e.withColumn("click_id", last).where("event_type = 'purchase'").select("event_id", "click_id")
+
+
+_NAMES = "event_tumbling event_sessions event_asof".split()
+QUERIES = {n: globals()[n] for n in _NAMES}
+
+ORACLE = {
+    "event_tumbling": "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
+    "event_sessions": "WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM e) SELECT user_id, session, count(*) AS n, round(sum(value), 2) AS value FROM s GROUP BY 1, 2",
+    "event_asof": "WITH e AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS click_id FROM events WHERE event_type IN ('purchase', 'click')) SELECT event_id, click_id FROM e WHERE event_type = 'purchase'",
+}
