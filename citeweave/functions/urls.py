@@ -6,7 +6,7 @@ gives a null URL.  Registrable domains follow the suffix list below, not the ful
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Query parameters that never change which page is meant.
@@ -38,10 +38,13 @@ def _authority(full: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(full, _PARTS, 1), r"^.*@", "")
 
 
+def _host(full: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_replace(_authority(full), r":[^\]]*$", "")), r"^www\.", "")
+
+
 def domain(url: Column) -> Column:
     """Host in lower case without one leading ``www.``."""
-    host = F.lower(F.regexp_replace(_authority(ensure_scheme(url)), r":[^\]]*$", ""))
-    return F.regexp_replace(host, r"^www\.", "")
+    return _host(ensure_scheme(url))
 
 
 def path_of(url: Column) -> Column:
@@ -56,45 +59,64 @@ def _encoded(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
-def normalize_url(url: Column) -> Column:
-    """The form in which URLs are compared: https, bare host, decoded path, sorted query."""
-    full = ensure_scheme(url)
+def _normal(full: Column, host: Column) -> Column:
+    """Normal form of a URL that has a scheme, or is empty."""
     authority = _authority(full)
     port = F.regexp_extract(authority, r":(\d+)$", 1).try_cast("int")
     bad = authority.rlike(r":[^\]:]*[^\d\]:][^\]:]*$") | (F.coalesce(port, F.lit(0)) > 65535)
-    netloc = F.concat(domain(url), F.when((port > 0) & (port != 443), F.concat(F.lit(":"), port.cast("string"))).otherwise(""))
-    raw_path = F.regexp_replace(F.regexp_extract(full, _PARTS, 2), r";[^/]*$", "")
-    path = _decoded(F.replace(raw_path, F.lit("+"), F.lit("%2B")))
-    path = F.when((F.length(path) > 1) & path.endswith("/"), F.regexp_replace(path, r"/+$", "")).otherwise(path)
+    shown = F.when((port > 0) & (port != 443), F.concat(F.lit(":"), port.cast("string"))).otherwise("")
+    path = _decoded(F.replace(F.regexp_replace(F.regexp_extract(full, _PARTS, 2), r";[^/]*$", ""), F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(path, r"(?s)^/+(?<=//)$|(?<=[^/])/+$", "")  # one slash alone stays, of more than one none
     pairs = F.filter(F.split(F.regexp_extract(full, _PARTS, 3), "&"), lambda p: p.rlike(r"(?s)^[^=]*=.+$"))
     pairs = F.transform(pairs, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v")))
     kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(TRACKING)))
     query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
-    whole = F.concat(F.lit("https://"), netloc, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    whole = F.concat(F.lit("https://"), host, shown, path, F.regexp_replace(query, r"(?s)^(.+)$", "?$1"))
     return F.when(full == "", F.lit("")).when(bad, F.lit(None)).otherwise(whole)
 
 
-def root_domain(url: Column) -> Column:
-    """Registrable domain: the public suffix and one label more; the host itself if there is none."""
-    host = domain(url)
+def normalize_url(url: Column) -> Column:
+    """The form in which URLs are compared: https, bare host, decoded path, sorted query."""
+    return _normal(ensure_scheme(url), domain(url))
+
+
+def _root(host: Column) -> Column:
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    last = lambda k: F.array_join(F.slice(labels, -k, k), ".")
+    last = lambda k: F.substring_index(host, ".", -k)
     plain = ~host.rlike(r"^[\d.]+$") & ~host.contains(":")
-    return F.when(plain & (n >= 3) & F.when(n >= 2, last(2)).isin(TWO_LABEL_SUFFIXES), F.when(n >= 3, last(3))).when(
-        plain & (n >= 2), F.when(n >= 2, last(2))
-    ).otherwise(host)
+    return F.when(plain & (n >= 3) & last(2).isin(TWO_LABEL_SUFFIXES), last(3)).when(plain & (n >= 2), last(2)).otherwise(host)
 
 
-def strip_amp(url: Column) -> Column:
-    """The URL an AMP variant stands for, in normal form."""
-    n = normalize_url(url)
+def root_domain(url: Column) -> Column:
+    """Registrable domain: the public suffix and one label more; the host itself if there is none."""
+    return _root(domain(url))
+
+
+def _without_amp(n: Column) -> Column:
+    """Of a normal form."""
     host = F.regexp_replace(F.regexp_extract(n, _PARTS, 1), r"^amp\.", "")
     path = F.regexp_replace(F.regexp_extract(n, _PARTS, 2), r"/amp/?$", "")
     path = F.regexp_replace(path, r"\.amp(\.html?)?$", "$1")
     path = F.regexp_replace(path, r"^/amp/", "/")
-    query = F.regexp_extract(n, _PARTS, 3)
-    return F.when(n == "", n).otherwise(F.concat(F.lit("https://"), host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
+    query = F.regexp_replace(F.regexp_extract(n, _PARTS, 3), r"(?s)^(.+)$", "?$1")
+    return F.when(n == "", n).otherwise(F.concat(F.lit("https://"), host, path, query))
+
+
+def strip_amp(url: Column) -> Column:
+    """The URL an AMP variant stands for, in normal form."""
+    return _without_amp(normalize_url(url))
+
+
+def with_forms(df: DataFrame, url: str, normal: str, host: str | None = None, root: str | None = None, amp: str | None = None) -> DataFrame:
+    """``df`` with the URL's forms, computed in steps: each form is made once, from the one before it."""
+    df = df.withColumn("__full", ensure_scheme(F.col(url))).withColumn("__host", _host(F.col("__full")))
+    df = df.withColumn(normal, _normal(F.col("__full"), F.col("__host")))
+    if root:
+        df = df.withColumn(root, _root(F.col("__host")))
+    if amp:
+        df = df.withColumn(amp, _without_amp(F.col(normal)))
+    return (df.withColumn(host, F.col("__host")) if host else df).drop("__full", "__host")
 
 
 def is_redirect_wrapper(url: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from citeweave.functions.urls import domain, is_redirect_wrapper, normalize_url, root_domain, short_id, strip_amp
+from citeweave.functions.urls import is_redirect_wrapper, normalize_url, short_id, with_forms
 
 # Tiers from strongest to weakest, those of each recall mode, the Ks.
 TIERS = ("exact", "normalized", "final_redirect", "canonical", "amp_canonical", "domain_only", "no_match")
@@ -29,16 +29,16 @@ def unique_candidates(rows: DataFrame) -> DataFrame:
     First-seen identity, best rank, and title and snippet of the row that last improved the rank
     with a text of its own.
     """
-    rows = rows.withColumn("normalized_url", normalize_url(F.col("url"))).where("normalized_url <> ''")
+    rows = with_forms(rows, "url", "normalized_url", "domain", "root_domain").where("normalized_url <> ''")
     rows = rows.withColumn("rank", F.coalesce(F.nullif(F.col("rank"), F.lit(0)), F.lit(NO_RANK)))
     before = W.partitionBy("normalized_url").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("record", F.coalesce(F.col("rank") < F.min("rank").over(before), F.lit(True)))
     last = lambda c: F.coalesce(F.max_by(c, F.when(F.col("record") & (F.col(c) != ""), F.col("ord"))), F.lit(""))
     out = rows.groupBy("normalized_url").agg(
-        F.min_by("url", "ord").alias("url"), F.min("rank").alias("best_rank"), F.min("ord").alias("ord"), last("title").alias("title"), last("snippet").alias("snippet"),
+        F.min_by(F.struct("url", "domain", "root_domain"), "ord").alias("first"), F.min("rank").alias("best_rank"), F.min("ord").alias("ord"), last("title").alias("title"), last("snippet").alias("snippet"),
         F.transform(F.sort_array(F.collect_list(F.struct("ord", "query", "rank"))), lambda q: F.struct(q["query"].alias("query"), q["rank"].alias("rank"))).alias("queries"),
     )
-    return out.withColumns({"candidate_id": short_id(F.col("normalized_url")), "domain": domain(F.col("url")), "root_domain": root_domain(F.col("url"))})
+    return out.select("*", "first.*", short_id(F.col("normalized_url")).alias("candidate_id")).drop("first")
 
 
 def best_query(queries: Column, fallback: Column) -> Column:
@@ -50,7 +50,7 @@ def best_query(queries: Column, fallback: Column) -> Column:
 def distinct_citations(citations: DataFrame) -> DataFrame:
     """First citation of every normalised effective URL; ``citations``: idx, raw_uri, resolved_url, title."""
     effective = F.coalesce(F.nullif(F.col("resolved_url"), F.lit("")), F.col("raw_uri"))
-    rows = citations.withColumn("citation_url", effective).withColumn("cnorm", normalize_url(F.col("citation_url"))).where("cnorm <> ''")
+    rows = with_forms(citations.withColumn("citation_url", effective), "citation_url", "cnorm", root="croot", amp="camp").where("cnorm <> ''")
     return first_rows(rows, "cnorm", "idx")
 
 
@@ -70,7 +70,7 @@ def closest_path(citations: DataFrame, candidates: DataFrame) -> DataFrame:
         F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(seg)), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(seg, 1, k), "/")))))
     keyed = candidates.select("root_domain", F.explode(prefixes(_segments(F.col("normalized_url")))).alias("prefix"), F.struct("best_rank", "ord", "candidate_id", "url").alias("c"))
     index = keyed.groupBy("root_domain", "prefix").agg(F.min("c").alias("c"))
-    asked = citations.select("cnorm", root_domain(F.col("citation_url")).alias("root_domain"), F.posexplode(prefixes(_segments(F.col("cnorm")))).alias("depth", "prefix"))
+    asked = citations.select("cnorm", F.col("croot").alias("root_domain"), F.posexplode(prefixes(_segments(F.col("cnorm")))).alias("depth", "prefix"))
     met = asked.join(index, ["root_domain", "prefix"]).groupBy("cnorm").agg(F.max_by("c", "depth").alias("c"))
     return met.select("cnorm", F.col("c.candidate_id").alias("weak_id"), F.col("c.url").alias("weak_url"), F.col("c.best_rank").alias("weak_rank"))
 
@@ -80,14 +80,15 @@ def match_citations(citations: DataFrame, candidates: DataFrame, pages: DataFram
     finds all tiers of a citation and the strongest one is kept."""
     cits = distinct_citations(citations)
     target = F.struct(F.col("best_rank"), F.col("ord"), F.col("candidate_id"), F.col("url"))
+    candidates = with_forms(candidates, "url", "__n", amp="camp").drop("__n")
     key = lambda df, tier, col: df.select(F.lit(tier).alias("tier"), col.alias("key"), target.alias("c"))
-    keys = key(candidates, 1, F.col("url")).unionByName(key(candidates, 2, F.col("normalized_url"))).unionByName(key(candidates, 4, strip_amp(F.col("url"))))
+    keys = key(candidates, 1, F.col("url")).unionByName(key(candidates, 2, F.col("normalized_url"))).unionByName(key(candidates, 4, F.col("camp")))
     if pages is not None:
         canonical = pages.where("canonical_url <> ''").select("normalized_url", normalize_url(F.col("canonical_url")).alias("canonical"))
         keys = keys.unionByName(key(candidates.join(canonical, "normalized_url"), 3, F.col("canonical")))
     keys = keys.groupBy("tier", "key").agg(F.min("c").alias("c"))
     ask = lambda tier, order, col: F.struct(F.lit(tier).alias("tier"), F.lit(order).alias("order"), col.alias("key"))
-    asked = cits.select("cnorm", F.explode(F.array(ask(1, 0, F.col("citation_url")), ask(1, 1, F.col("raw_uri")), ask(2, 2, F.col("cnorm")), ask(3, 3, F.col("cnorm")), ask(4, 4, strip_amp(F.col("citation_url"))))).alias("a")).select("cnorm", "a.*")
+    asked = cits.select("cnorm", F.explode(F.array(ask(1, 0, F.col("citation_url")), ask(1, 1, F.col("raw_uri")), ask(2, 2, F.col("cnorm")), ask(3, 3, F.col("cnorm")), ask(4, 4, F.col("camp")))).alias("a")).select("cnorm", "a.*")
     strong = asked.join(keys, ["tier", "key"]).groupBy("cnorm").agg(F.min(F.struct("order", "tier", "c")).alias("s"))
     out = cits.join(strong, "cnorm", "left").join(closest_path(cits, candidates), "cnorm", "left")
     tier, has = F.col("s.tier"), F.col("s").isNotNull()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeweave.functions.text import truthy
-from citeweave.functions.urls import domain, normalize_url, query_parameter, short_id
+from citeweave.functions.urls import domain, query_parameter, short_id, with_forms
 
 FIELDS = (
     "record_id id prompt url answer_text answer_text_markdown web_search_query web_search_triggered model timestamp prompt_hash country "
@@ -120,7 +120,7 @@ def _shaped(rows: DataFrame) -> DataFrame:
     ranked = F.col("origin").isin("search_sources", "response_raw")
     url = F.coalesce(*[F.nullif(F.col(f"i.{f}"), F.lit("")) for f in ("url", "link", "source")])
     out = rows.select("record_id", "origin", "prio", "pos", url.alias("url"), cited.cast("int").alias("cited"), F.when(ranked, rank).otherwise(F.col("pos") + 1).alias("position"), F.when(ranked, rank).alias("observed_rank"), "i")
-    return out.withColumn("normalized_url", normalize_url(F.col("url"))).where("url IS NOT NULL AND normalized_url <> ''")
+    return with_forms(out, "url", "normalized_url").where("url IS NOT NULL AND normalized_url <> ''")
 
 
 def merge_appearances(rows: DataFrame) -> DataFrame:
