@@ -70,6 +70,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             total += n
         if start < len(sizes):
             yield batch.slice(start)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give what a task no longer needs back to the system, for the worker process lives on."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -131,7 +131,7 @@ def keep_identified(documents: DataFrame, dictionaries: dict[str, bytes], min_ma
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = own.compressors(dictionaries)
-        for batch in batches:
+        for batch in slices(batches, text_col):
             got = [own.classify(t, coders) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([g[0] != "und" and g[1] >= min_margin for g in got], pa.bool_()))
 

@@ -46,7 +46,7 @@ ALLOW = (
     re.compile(r"[A-Za-z]+"),  # words
     re.compile(r"[0-9_/=+-]+"),  # numbers and rules
 )
-_TERM = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
+_TERM = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]  # before one leaves, a window holds one more
 
 
 def character_class(s: str) -> str:
@@ -156,7 +156,7 @@ def redact_documents(documents: DataFrame, text_col: str = "text", length_col: s
     at = names.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_col):
             new = pa.array([own.redact(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(len(names))], names=names)
 
