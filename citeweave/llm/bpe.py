@@ -4,8 +4,8 @@ A text is cut where a rolling hash of its bytes matches a mask, so equal passage
 wherever they stand.  A task keeps the ids of the chunks it has met (bounded, oldest go first) and
 encodes a chunk once; the ids of neighbouring chunks are then joined and each join is repaired: the
 pieces around it are encoded again as one, reaching further out until both ends agree with the
-stored ids.  ``encode_documents`` first deals the documents by the least hash of the chunks that
-occur in more than one document, so those that share text meet in one task.
+stored ids.  ``encode_documents`` first deals the documents by the least hash of their chunks
+(a MinHash of the chunk set), so copies and near copies meet in one task, next to each other.
 
 Exactness: the pre-tokenizer splits text into pieces ``\\s+(?!\\S)| ?\\S+|\\s`` that no merge ever
 crosses, so a token list can be cut between pieces.  A chunk is stored by its pieces; the repair
@@ -221,22 +221,19 @@ def default_vocabulary() -> str:
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def chunk_keys(documents: DataFrame) -> DataFrame:
-    """(doc_id, key long) of every content-defined chunk of every text."""
+def with_route(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, route): the least hash of a text's chunks, by which texts that share most chunks
+    meet, as likely as their sets of chunks overlap; a text without chunks goes by its id."""
     import citeweave.llm.bpe as own
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in slices(batches):
-            ids, keys = [], []
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                own_keys = {xxhash.xxh64_intdigest(c.encode()) - (1 << 63) for c in own.chunks(t or "")}
-                ids += [i] * len(own_keys)
-                keys += own_keys
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "key"])
+            routes = [min((xxhash.xxh64_intdigest(c.encode()) >> 1 for c in own.chunks(t)), default=None) if t else None for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(routes, pa.int64())], names=["doc_id", "text", "route"])
 
-    return documents.mapInArrow(scan, "doc_id long, key long")
+    return documents.mapInArrow(scan, "doc_id long, text string, route long").withColumn("route", F.coalesce("route", F.xxhash64("doc_id")))
 
 
 def encode_documents(documents: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -258,7 +255,9 @@ def encode_documents(documents: DataFrame, vocabulary: str | None = None, id_col
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return id_text(documents, id_col, text_col).mapInArrow(code, _SCHEMA + (", ids array<int>" if with_ids else ""))
+    # Rebalanced by route: Spark splits a route that is too large for one task, and joins small ones.
+    dealt = with_route(id_text(documents, id_col, text_col)).hint("rebalance", "route").sortWithinPartitions("route")
+    return dealt.mapInArrow(code, _SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def decode_ids(rows: DataFrame, vocabulary: str | None = None, ids_col: str = "ids") -> DataFrame:
