@@ -129,6 +129,12 @@ def _nodes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInPandas(scale, "vec_id long, v array<double>")
 
 
+def _usual(rows: DataFrame) -> DataFrame:
+    """Rows whose vector has the most common length."""
+    d = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return rows.where(F.col("v").isNotNull() & (F.size("v") == (d["d"] if d else 0)))
+
+
 def _assign(nodes: DataFrame, medoids: np.ndarray, overlap: int) -> DataFrame:
     """(node, weight, v, shard, home) for each node's nearest medoids; home: its nearest."""
 
@@ -176,6 +182,44 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[np.minimum(a, b)], "b": ids[np.maximum(a, b)], "wa": weight[np.minimum(a, b)], "wb": weight[np.maximum(a, b)]})
 
 
+def _cut_large(dealt: DataFrame, block: int = 4_000) -> DataFrame:
+    """Shards above 8 * SHARD members are dealt anew among medoids of their own, again with overlap.
+
+    All of them at once: a bounded sample of each gives its medoids, and its members meet them in
+    blocks of about ``block`` rows, so no task holds a whole large shard.
+    """
+    sizes = materialise(dealt.groupBy("shard").agg(F.count("*").alias("m")).where(F.col("m") > 8 * SHARD))
+    if sizes.isEmpty():
+        return dealt
+    here = F.pmod(F.xxhash64("node", "shard"), F.lit(1 << 30)) / float(1 << 30)
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = centres(np.stack(pdf["v"].to_numpy()), max(2, int(pdf["m"].iloc[0]) // SHARD))
+        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "medoid": np.arange(len(v)), "v": list(v)})
+
+    large = dealt.join(sizes, "shard")
+    sample = large.where(here < float(block) / F.col("m")).select("shard", "m", "v")
+    medoids = sample.groupBy("shard").applyInPandas(choose, "shard long, medoid long, v array<double>")
+    blocks = F.ceil(F.col("m") / float(block)).cast("int")
+    asked = large.withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    given = medoids.join(sizes, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), blocks - 1)))
+
+    def deal(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return left.drop(columns=["m", "part"])
+        right = right.sort_values("medoid", ignore_index=True)
+        x, c = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+        near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
+        k = near.shape[1]
+        out = left.loc[np.repeat(left.index, k), ["node", "weight", "v", "shard", "home"]].reset_index(drop=True)
+        out["home"] = out["home"] & np.tile(np.arange(k) == 0, len(left))
+        out["shard"] = (out["shard"] + 1) * (1 << 32) + near.ravel()
+        return out
+
+    cut = asked.groupBy("shard", "part").cogroup(given.groupBy("shard", "part")).applyInPandas(deal, "node long, weight long, v array<double>, shard long, home boolean")
+    return materialise(dealt.join(sizes.select("shard"), "shard", "left_anti").select(cut.columns).unionByName(cut))
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Distinct (a, b, wa, wb), a < b: verified links between nodes (node, weight, v)."""
     n = nodes.count()
@@ -188,19 +232,7 @@ def links(nodes: DataFrame) -> DataFrame:
     k = int(min(MOST_SHARDS, max(1, n // (SHARD // (2 * OVERLAP)))))
     medoids = centres(sample, k)
     dealt = materialise(_assign(nodes, medoids, OVERLAP))
-    # Shards that came out too large are cut by medoids of their own, again with overlap.
-    large = [r["shard"] for r in dealt.groupBy("shard").count().where(F.col("count") > 8 * SHARD).select("shard").collect()]
-    members = dealt.where(~F.col("shard").isin(large)) if large else dealt
-    for s in large:
-        own = dealt.where(F.col("shard") == s)
-        m = own.count()
-        part = np.array([r["v"] for r in own.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(min(1.0, 4000 / m) * (1 << 30))).select("v").collect()])
-        cut = _assign(own.select("node", "weight", "v"), centres(part, max(2, m // SHARD)), OVERLAP)
-        homes = own.select("node", F.col("home").alias("was"))
-        cut = cut.join(homes, "node").withColumn("home", F.col("home") & F.col("was")).drop("was")
-        members = members.unionByName(cut.withColumn("shard", F.lit(MOST_SHARDS * (1 + s)) + F.col("shard")))
-    if large:
-        members = materialise(members)
+    members = _cut_large(dealt)
     lists = members.groupBy("shard").applyInPandas(_build, "node long, near array<long>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     found = members.join(united, "node").groupBy("shard").applyInPandas(_search, "a long, b long, wa long, wb long")
@@ -210,8 +242,7 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``."""
     rows = materialise(_nodes(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("v")))
-    usual = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    good = rows.where(F.col("v").isNotNull() & (F.size("v") == (usual["d"] if usual else 0)))
+    good = _usual(rows)
     nodes = good.groupBy("h", "v").agg(F.min("row").alias("node"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     nodes = materialise(nodes)
     pairs = materialise(links(nodes.select("node", "weight", "v")))
@@ -234,7 +265,7 @@ def audit_recall(vectors: DataFrame, result: DataFrame, every: int = AUDIT, id_c
     The queries are dealt into blocks; each task compares its Arrow batches with one block at a time.
     """
     spark = vectors.sparkSession
-    good = _nodes(vectors, id_col, vector_col).where("v IS NOT NULL")
+    good = _usual(materialise(_nodes(vectors, id_col, vector_col)))
     asked = good.where(F.col("vec_id") % every == 0)
     total = None
     for part in range(max(1, -(-asked.count() // 4096))):
