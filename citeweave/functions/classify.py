@@ -35,7 +35,10 @@ HOME_HINTS = ("about", "contact", "service", "services", "home", "booking", "sho
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)) if words else F.lit(False)
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.contains(text, F.lit(w))
+    return hit
 
 
 def institutional(url: Column) -> Column:
@@ -119,7 +122,7 @@ def content_flags(title: Column, text: Column, markdown: Column, html: Column, i
     flags["has_table"] = (rows >= 2) | F.contains(F.replace(md, F.lit(" "), F.lit("")), F.lit("|--")) | F.contains(fold(raw, ascii_only), F.lit("<table"))
     flags["has_bullets"] = F.exists(lines(md), lambda x: x.rlike(r"^\s*([-*•]|\d+[.)])\s+"))
     flags["has_many_headings"] = F.size(headings(md)) >= 5
-    names = F.filter(F.regexp_extract_all(fold(intent, ascii_only), F.lit("[a-z]{3,}"), F.lit(0)), lambda t: ~t.isin(*GENERIC_INTENT))
+    names = F.array_except(F.regexp_extract_all(fold(intent, ascii_only), F.lit("[a-z]{3,}"), F.lit(0)), F.array(*map(F.lit, GENERIC_INTENT)))
     words = F.regexp_extract_all(fold(title, ascii_only), F.lit("[a-z0-9]+"), F.lit(0))
     flags["title_contains_intent_terms"] = F.arrays_overlap(names, words)
     return {k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}

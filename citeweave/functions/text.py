@@ -96,7 +96,7 @@ def parse_date(text: Column) -> Column:
 def freshness_days(ts: Column, as_of: Column) -> Column:
     """Whole days from ``ts`` to ``as_of``, zero at least."""
     days = F.floor((F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(ts.cast("timestamp"))) / F.lit(86400.0))
-    return F.greatest(days, F.lit(0)).cast("double")
+    return F.when(days.isNotNull(), F.greatest(days, F.lit(0))).cast("double")
 
 
 @F.pandas_udf(T.StringType())

@@ -12,9 +12,13 @@ TARGET, OVERLAP, MOST, LEAST_WORDS = 120, 25, 60, 8
 
 def windows(ws: Column, target: int = TARGET, step: int = TARGET - OVERLAP) -> Column:
     """Windows of ``target`` words that start at every ``step``-th word; one window if they all fit."""
-    n = F.size(ws)
-    starts = F.when(n <= target, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(step)))
-    return F.when(n > 0, F.transform(starts, lambda i: F.array_join(F.slice(ws, i + 1, target), " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.when(n <= target, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(step)))
+        return F.when(n > 0, F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, target), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.array(ws), of))  # the words are bound, so they are split once
 
 
 def segments(markdown: Column) -> Column:
