@@ -85,6 +85,19 @@ def release_memory() -> None:
         trim(0)
 
 
+#: Rows of one Arrow batch between Spark and Python: texts can be long, and a batch is held on both sides.
+ARROW_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's Arrow batch size to ARROW_ROWS (never raising it)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text; other columns, whatever their names, play no part."""
+    bounded_batches(df)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

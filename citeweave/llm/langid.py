@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import slices
+from citeweave.llm.common import bounded_batches, id_text, slices
 
 #: The bound of the labelled sample: texts a language, their largest size, bytes a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 96, 8_000, 96 << 10
@@ -118,8 +118,7 @@ def identify(documents: DataFrame, dictionaries: dict[str, bytes], min_margin: f
                 names=["doc_id", "lang_pred", "score", "rejected"],
             )
 
-    ids = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return ids.mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
+    return id_text(documents, id_col, text_col).mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(documents: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, text_col: str = "text") -> DataFrame:
@@ -127,7 +126,7 @@ def keep_identified(documents: DataFrame, dictionaries: dict[str, bytes], min_ma
     import citeweave.llm.langid as own
 
     lowered = {k: v.decode("utf-8", "ignore").lower().encode() for k, v in dictionaries.items()}
-    at = documents.columns.index(text_col)
+    at = bounded_batches(documents).columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = own.compressors(dictionaries)

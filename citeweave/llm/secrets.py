@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from citeweave.llm.common import id_text, slices
+from citeweave.llm.common import bounded_batches, id_text, slices
 
 # The keyed patterns.
 ASSIGN = re.compile(
@@ -152,7 +152,7 @@ def redact_documents(documents: DataFrame, text_col: str = "text", length_col: s
     import citeweave.llm.secrets as own
     from pyspark.sql import functions as F
 
-    names = documents.columns
+    names = bounded_batches(documents).columns
     at = names.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
