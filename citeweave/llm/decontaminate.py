@@ -13,7 +13,7 @@ value is also a cut: only the documents' shingle hashes below the largest cut ar
 Documents are read twice: once for the lookup, once (candidates only) for the exact shingle
 containment, which compares the shingles' text.
 
-Words are runs of characters other than ASCII white space and punctuation, ASCII letters lowered.
+Words are runs of characters other than ASCII white space and punctuation, letters lowered.
 Items of fewer than SHINGLE words have one shingle, all their words; documents likewise.  Items and
 documents without words (null or empty) match nothing.  Repeated rows: the pair is given once per
 distinct (doc_id, item_id), with the shingles of all rows of that id together.  Rows with a null id
@@ -101,9 +101,9 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 #: DuckDB SQL for find_contaminated over documents and benchmark.
 ORACLE_SQL = """
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text),
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+b AS (SELECT item_id, regexp_extract_all(lower(text),
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),

@@ -43,7 +43,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 def words_of(text: Column) -> Column:
     """Words of the text; only words are lowered, which for A-Z equals lowering the text."""
-    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ"))
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138"))
     return F.regexp_extract_all(F.lower(plain), F.lit(WORD), F.lit(0))
 
 
