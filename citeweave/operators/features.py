@@ -87,10 +87,13 @@ def brand_pages(features: DataFrame, pages: DataFrame, client: list[str], compet
     rows = features.join(ok, "normalized_url", "left")
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     blob = F.concat_ws("\n", *[some(c) for c in ("url", "normalized_url", "domain", "title", "description", "p_title")], F.nullif(F.array_join(text.headings(F.col("p_md")), " "), F.lit("")), F.substring("p_text", 1, 4000))
-    rows = rows.withColumn("blob", blob)
-    rows = rows.withColumns({"client_terms_found": text.detect_terms(F.col("blob"), client), "competitor_terms_found": text.detect_terms(F.col("blob"), competitor)}).drop("blob")
+    # Each text is folded once, before the many rules that look at it.
+    intent = F.col("intent") if "intent" in features.columns else F.lit("")
+    rows = rows.withColumns({"n_blob": text.fold(blob), "n_title": text.fold(F.col("p_title")), "n_text": text.fold(F.col("p_text")), "n_md": text.fold(F.col("p_md")), "n_intent": text.fold(intent)})
+    found = lambda terms: text.detect_terms(F.col("n_blob"), terms, ascii_only=True)
+    rows = rows.withColumns({"client_terms_found": found(client), "competitor_terms_found": found(competitor)})
     rows = rows.withColumns({"is_client_source": F.size("client_terms_found") > 0, "is_competitor_source": F.size("competitor_terms_found") > 0}).where("is_client_source OR is_competitor_source")
-    flags = classify.content_flags(F.col("p_title"), F.col("p_text"), F.col("p_md"), F.lit(""), F.col("intent") if "intent" in features.columns else F.lit(""))
+    flags = classify.content_flags(F.col("n_title"), F.col("n_text"), F.col("n_md"), F.lit(""), F.col("n_intent"), ascii_only=True)
     rows = rows.withColumns({k: F.when(F.col("p_text").isNotNull(), v) for k, v in flags.items()})
     kind = classify.page_type(F.col("url"), F.col("source_type"), {k: F.coalesce(F.col(k), F.lit(False)) for k in flags})
-    return rows.withColumn("page_type", F.when(F.col("p_text").isNotNull(), kind).otherwise("unknown")).drop("p_title", "p_text", "p_md")
+    return rows.withColumn("page_type", F.when(F.col("p_text").isNotNull(), kind).otherwise("unknown")).drop("p_title", "p_text", "p_md", "n_blob", "n_title", "n_text", "n_md", "n_intent")

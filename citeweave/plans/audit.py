@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.functions.text import detect_terms
+from citeweave.functions.text import detect_terms, fold
 from citeweave.operators import batch, brand, compare, features, intent, matching, questions, stats
 from citeweave.sources import export, landed, manifest
 
@@ -54,22 +54,25 @@ def search_audit(run_id: str, search_rows: DataFrame, citations: DataFrame, page
     """Grounded answer against the search results: match, recall, features, analysis."""
     if not output_text and citations.isEmpty():
         raise AuditError("the landed answer has no text and no citation")
-    candidates = matching.unique_candidates(search_rows)
-    matches = matching.match_citations(citations, candidates, pages)
+    # What many tables are derived from is kept; a lost block is computed again.
+    candidates = matching.unique_candidates(search_rows).persist()
+    matches = matching.match_citations(citations, candidates, pages).persist()
     flagged = matching.cited_flags(candidates, matches)
     rows, chunks = features.candidate_features(candidates, pages, flagged, output_text, as_of, prompt)
+    rows = rows.persist()
     tables = {"serp": search_rows, "candidates": candidates, "matches": matches, "recall": matching.recall_at_k(matches), "tiers": matching.tier_counts(matches), "unmatched": matching.unmatched(matches), "features": rows, "chunks": chunks}
     return Audit(run_id, tables | analysis(rows, CANDIDATE_FEATURES, "page_output_sim") | {"funnel": compare.funnel(rows)})
 
 
 def export_audit(run_id: str, raw: DataFrame, pages: DataFrame, as_of: str, manifest_rows: DataFrame | None = None, client: list[str] | None = None, competitor: list[str] | None = None, clusters: int = 0) -> Audit:
     """Export of answers: cited against shown but not cited, with intents and brands where a manifest gives them."""
-    records = export.parse_records(raw)
-    sources = export.extract_sources(records)
+    records = export.parse_records(raw).persist()
+    sources = export.extract_sources(records).persist()
     if manifest_rows is not None:
-        records = manifest.apply_manifest(records, manifest.parse_manifest(manifest_rows))
+        records = manifest.apply_manifest(records, manifest.parse_manifest(manifest_rows)).persist()
     flat = export.flatten_sources(records, sources)
     rows, chunks = features.source_features(flat, pages, as_of)
+    rows = rows.persist()
     asked = questions.question_rows(rows)
     tables = {"records": records, "sources": sources, "run": export.run_summary(records, sources), "features": rows, "chunks": chunks, "summary": compare.summary(rows), "questions": questions.question_table(asked)}
     tables |= analysis(rows, SOURCE_FEATURES, "page_answer_similarity")
@@ -89,16 +92,17 @@ def export_audit(run_id: str, raw: DataFrame, pages: DataFrame, as_of: str, mani
 
 def brand_tables(records: DataFrame, sources: DataFrame, rows: DataFrame, pages: DataFrame, client: list[str], competitor: list[str]) -> dict[str, DataFrame]:
     """Brand visibility over an export audit; the term lists are the manifest's, a handful of terms."""
-    named = features.brand_pages(rows, pages, client, competitor)
+    named = features.brand_pages(rows, pages, client, competitor).persist()
     flag = named.select("source_id", F.col("is_client_source").alias("client"), F.col("is_competitor_source").alias("competitor"))
     marked = sources.select("source_id", "record_id", F.col("cited_label").alias("cited")).join(flag, "source_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("client", "competitor")})
     r = records
     for c, default in (("topic", F.lit("")), ("intent", F.lit("Unspecified")), ("prompt_is_nonbranded", F.lit(None).cast("boolean"))):
         if c not in r.columns:
             r = r.withColumn(c, default)
-    found = lambda c, t: detect_terms(F.col(c), t)
-    r = r.withColumn("nonbranded", F.col("prompt_is_nonbranded")).withColumns({"prompt_client": found("prompt", client), "answer_client": found("answer_text", client), "answer_competitor": found("answer_text", competitor)})
-    rec = brand.brand_records(r, marked)
+    found = lambda c, t: detect_terms(F.col(c), t, ascii_only=True)
+    r = r.withColumns({"nonbranded": F.col("prompt_is_nonbranded"), "n_prompt": fold(F.col("prompt")), "n_answer": fold(F.col("answer_text"))})
+    r = r.withColumns({"prompt_client": found("n_prompt", client), "answer_client": found("n_answer", client), "answer_competitor": found("n_answer", competitor)}).drop("n_prompt", "n_answer")
+    rec = brand.brand_records(r, marked).persist()
     numeric = [f for f in [*CONTENT_FEATURES, *SOURCE_FEATURES] if f in named.columns]
     if "topic" not in named.columns:
         named = named.withColumns({"topic": F.lit(""), "intent": F.lit("Unspecified")})
@@ -113,7 +117,7 @@ def batch_audit(runs: dict[str, Audit], tags: dict[str, dict[str, str]]) -> Audi
         tag = tags.get(run_id, {})
         parts.append(audit.features.withColumns({"run_id": F.lit(run_id), "topic": F.lit(tag.get("topic", "")), "intent": F.lit(tag.get("intent", ""))}))
         recalls.append(audit.recall.withColumn("run_id", F.lit(run_id)))
-    pooled = batch.pool(parts)
+    pooled = batch.pool(parts).persist()
     rollup = batch.batch_aggregate(pooled, CANDIDATE_FEATURES)
     tables = {"features": pooled, "aggregate": rollup, "recall": batch.recall_average(batch.pool(recalls)), "sample": batch.sample_sizes(pooled), "rank_test": stats.mann_whitney(pooled, CANDIDATE_FEATURES),
               "bootstrap": stats.bootstrap_median_diff(pooled, CANDIDATE_FEATURES, "candidate_id")}
