@@ -11,9 +11,10 @@ once, with at least half a window of context, by masked attention over a batch o
 token's probability is its class's (the attention model's softmax) times its share of the class,
 which comes from the subword counts of all training documents.
 
-Training is data-parallel: every training document gives windows in proportion to its length (one
-in ``WINDOW_WORDS`` words, and its first or its last), each task runs Adam on its windows from common
-parameters, and the parameters are averaged by weight after each round.  No text leaves its task.
+Training is data-parallel: the windows lie over the whole of every training text as in scoring, so
+every token is a target once in a pass.  Each task runs Adam on its windows from common parameters,
+and the parameters are averaged by weight after each round.  A text's ids leave its task only for
+the scratch folder.
 
 Null texts count as empty: one token, the end.  No training document at all: every count is 0 and
 the model keeps its initial parameters.  Repeated rows count, and are scored, each.  Very long
@@ -38,9 +39,9 @@ from citeweave.llm.common import bounded_batches, id_text, materialise, slices
 CONTEXT, STRIDE, WIDTH = 24, 12, 16
 #: Rows of the input table for the most frequent ids, then shared rows; classes likewise.
 OWN_ROWS, SHARED_ROWS, OWN_CLASSES, SHARED_CLASSES = 960, 64, 64, 32
-WINDOW_WORDS, BATCH, ROUNDS, RATE, LEAST_STEPS = 512, 256, 2, 0.05, 150
-#: Words that a training window is cut from; most give more ids than a window holds, else it is padded.
-WINDOW_CUT = 20
+BATCH, ROUNDS, RATE, LEAST_STEPS = 256, 2, 0.05, 150
+#: Training windows that start in one row of ``training_windows``.
+ROW_WINDOWS = 16_384
 #: Bytes of text that are read at one time.
 SLICE = 4 << 20  # a batch of ARROW_ROWS rows is about as large
 HEAD, CACHE_WORDS = 300_000, 400_000
@@ -195,47 +196,58 @@ MASK = np.where(np.arange(CONTEXT)[None, :] <= STRIDE + np.arange(STRIDE)[:, Non
 
 
 def _attend(p: dict, rows: np.ndarray, pad: int):
-    x = p["E"][rows] + p["P"]
-    q, k, v = x[:, STRIDE:] @ p["Q"], x @ p["K"], x @ p["V"]
-    s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + MASK
-    s += np.where(rows == pad, np.float32(-1e9), np.float32(0))[:, None, :]
-    a = np.exp(s - s.max(axis=2, keepdims=True))
+    x = np.take(p["E"], rows, axis=0)
+    x += p["P"]
+    flat = lambda a, w: (a.reshape(-1, WIDTH) @ w).reshape(a.shape)
+    xt = np.ascontiguousarray(x[:, STRIDE:])
+    q, k, v = flat(xt, p["Q"]), flat(x, p["K"]), flat(x, p["V"])
+    s = q @ k.transpose(0, 2, 1)
+    s *= np.float32(WIDTH**-0.5)
+    s += MASK
+    if (rows[:, 0] == pad).any():
+        s += np.where(rows == pad, np.float32(-1e9), np.float32(0))[:, None, :]
+    s -= s.max(axis=2, keepdims=True)
+    a = np.exp(s, out=s)
     a /= a.sum(axis=2, keepdims=True)
-    return x, q, k, v, a, x[:, STRIDE:] + a @ v
+    return x, xt, q, k, v, a, xt + a @ v
 
 
 def gradients(p: dict, rows: np.ndarray, target: np.ndarray, pad: int) -> tuple[float, dict]:
     """Mean cross-entropy over targets >= 0 and its gradients."""
-    x, q, k, v, a, h = _attend(p, rows, pad)
-    logits = h @ p["C"] + p["b"]
-    logits -= logits.max(axis=2, keepdims=True)
-    e = np.exp(logits)
-    prob = e / e.sum(axis=2, keepdims=True)
-    live = target >= 0
+    x, xt, q, k, v, a, h = _attend(p, rows, pad)
+    h2, x2, xt2 = h.reshape(-1, WIDTH), x.reshape(-1, WIDTH), xt.reshape(-1, WIDTH)
+    live = target.ravel() >= 0
     n = max(1, int(live.sum()))
-    t = np.maximum(target, 0)
-    picked = np.take_along_axis(prob, t[:, :, None], 2)[:, :, 0]
-    loss = float(-(np.log(np.maximum(picked, 1e-12)) * live).sum() / n)
-    g = prob
-    np.put_along_axis(g, t[:, :, None], np.take_along_axis(g, t[:, :, None], 2) - 1, 2)
-    g *= (live / np.float32(n)).astype(np.float32)[:, :, None]
-    d, c = WIDTH, g.shape[2]
-    out = {"C": h.reshape(-1, d).T @ g.reshape(-1, c), "b": g.sum(axis=(0, 1))}
-    dh = g @ p["C"].T
+    t, line = np.maximum(target.ravel(), 0), np.arange(target.size)
+    g = h2 @ p["C"]
+    g += p["b"]
+    g -= g.max(axis=1, keepdims=True)
+    np.exp(g, out=g)
+    ones = np.ones(g.shape[1], g.dtype)
+    total = g @ ones
+    loss = float(-(np.log(np.maximum(g[line, t] / total, 1e-12)) * live).sum() / n)
+    # (probability - 1 at the target) / n, or 0 where there is no target.
+    g *= (live / (total * np.float32(n))).astype(g.dtype)[:, None]
+    g[line, t] -= (live / np.float32(n)).astype(g.dtype)
+    out = {"C": h2.T @ g, "b": np.ones(len(g), g.dtype) @ g}
+    dh = (g @ p["C"].T).reshape(h.shape)
     dv = a.transpose(0, 2, 1) @ dh
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
+    ds = dh @ v.transpose(0, 2, 1)
+    ds -= (ds * a).sum(axis=2, keepdims=True)
+    ds *= a
+    ds *= np.float32(WIDTH**-0.5)
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    xt = x[:, STRIDE:]
-    out["Q"] = xt.reshape(-1, d).T @ dq.reshape(-1, d)
-    out["K"], out["V"] = x.reshape(-1, d).T @ dk.reshape(-1, d), x.reshape(-1, d).T @ dv.reshape(-1, d)
-    dx = dk @ p["K"].T + dv @ p["V"].T
-    dx[:, STRIDE:] += dh + dq @ p["Q"].T
+    dq2, dk2, dv2 = dq.reshape(-1, WIDTH), dk.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)
+    out["Q"], out["K"], out["V"] = xt2.T @ dq2, x2.T @ dk2, x2.T @ dv2
+    dx = (dk2 @ p["K"].T + dv2 @ p["V"].T).reshape(x.shape)
+    dx[:, STRIDE:] += dh + (dq2 @ p["Q"].T).reshape(dh.shape)
     out["P"] = dx.sum(axis=0)
     out["E"] = np.zeros_like(p["E"])
-    flat, order = rows.ravel(), np.argsort(rows.ravel(), kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
-    out["E"][flat[order][starts]] = np.add.reduceat(dx.reshape(-1, d)[order], starts, axis=0)
+    flat = rows.ravel().astype(np.uint16 if len(p["E"]) <= 1 << 16 else np.intp)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    out["E"][flat[starts]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], starts, axis=0)
     return loss, out
 
 
@@ -335,32 +347,32 @@ class Scorer:
         return np.add.reduceat(got, first) + share
 
 
-def window_cuts(n: int) -> list[tuple[int, int, int]]:
-    """(kind, first word, end) of the training windows of a text of n words: its first (0) if n is even,
-    else its last (1), and one in WINDOW_WORDS words between (2)."""
-    out = [(1, n - WINDOW_CUT, n)] if n > WINDOW_CUT and n % 2 else [(0, 0, min(n, WINDOW_CUT // 2))]
-    inner = n // WINDOW_WORDS
-    return out + [(2, k * n // (inner + 1), min(n, k * n // (inner + 1) + WINDOW_CUT)) for k in range(1, inner + 1)]
-
-
-def window_ids(texts: pa.Array, table: Words) -> list[np.ndarray]:
-    """Training windows of the texts: CONTEXT + 1 ids each (-1: padding, -2: begin).  Only their words are looked up."""
-    n, pad, begin, out = CONTEXT + 1, -np.ones(CONTEXT + 1, np.int32), [-2], []
-    words, sizes = split(texts)
-    cuts = [(kind, start + i, start + j, j == size) for start, size in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist()) for kind, i, j in window_cuts(size)]
-    first, last = np.array([c[1] for c in cuts], np.int64), np.array([c[2] for c in cuts], np.int64)
-    length = last - first
-    at = table.find(words.take(pa.array(np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum())))))
-    ids = table.expand(at)
-    ends = np.r_[0, np.cumsum(table.len[at])][np.r_[0, np.cumsum(length)]]
-    for (kind, _, _, whole), i, j in zip(cuts, ends.tolist(), ends[1:].tolist()):
-        part = ids[i:j]
-        if kind == 0:
-            tail = np.r_[part, table.end] if whole else part
-            out.append(np.r_[pad[:STRIDE], begin, tail[:STRIDE], pad][:n])
-        else:
-            out.append(np.r_[pad, part, table.end][-n:] if kind == 1 else np.r_[part, pad][:n])
-    return [w.astype(np.int32) for w in out]
+def laid_out(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ragged sequences (each ends with the end of text) in one line, in which every window that has
+    targets starts at a multiple of STRIDE (-1: padding, -2: begin)."""
+    room = (-(-sizes // STRIDE) + 2) * STRIDE
+    base = np.cumsum(room) - room
+    line = np.full(int(room.sum()) + STRIDE + 1, -1, np.int32)
+    line[base + STRIDE] = -2
+    line[np.repeat(base + STRIDE + 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))] = ids
+    return line
+
+
+def windows_of(line: np.ndarray) -> np.ndarray:
+    """The windows of CONTEXT + 1 ids in a line that have targets."""
+    cut = np.lib.stride_tricks.sliding_window_view(line, CONTEXT + 1)[::STRIDE]
+    return cut[(cut[:, STRIDE + 1 :] >= 0).any(axis=1)]
+
+
+def with_ends(at: np.ndarray, sizes: np.ndarray, table: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of texts of ``sizes`` words, the end of text behind each, and how many each has."""
+    m = len(sizes)
+    sub_size = np.bincount(np.repeat(np.arange(m), sizes), weights=table.len[at], minlength=m).astype(np.int64) + 1
+    ids = np.full(int(sub_size.sum()), table.end, np.int32)
+    body = np.ones(len(ids), bool)
+    body[np.cumsum(sub_size) - 1] = False
+    ids[body] = table.expand(at) if len(at) else ids[:0]
+    return ids, sub_size
 
 
 def corpus_counts(training: DataFrame, ranks: str) -> DataFrame:
@@ -402,14 +414,16 @@ def corpus_counts(training: DataFrame, ranks: str) -> DataFrame:
 
 
 def training_windows(training: DataFrame, ranks: str) -> DataFrame:
-    """(w binary): CONTEXT + 1 ids as 32-bit integers; every training document gives one at least."""
+    """(w binary): lines of 32-bit ids in which ``windows_of`` finds every token of ``training`` as a target once."""
     import citeweave.llm.lm as own
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = own.words_for(ranks)
         for batch in slices(batches, limit=own.SLICE):
-            found = [w.tobytes() for w in own.window_ids(batch.column("text"), table)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["w"])
+            line = own.laid_out(*own.with_ends(*table.read(batch.column("text")), table))
+            step = own.ROW_WINDOWS * own.STRIDE
+            for i in range(0, len(line) - own.STRIDE - 1, step):
+                yield pa.RecordBatch.from_arrays([pa.array([line[i : i + step + own.STRIDE + 1].tobytes()], pa.binary())], names=["w"])
 
     return training.mapInArrow(cut, "w binary")
 
@@ -421,9 +435,11 @@ def train(windows: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict[str,
     """
     import citeweave.llm.lm as own
 
-    p, n = initial(layout), windows.count()
+    p = initial(layout)
+    n = windows.select(F.sum(F.octet_length("w")).alias("n")).first()["n"]
     if not n:
         return p
+    n = n // (4 * STRIDE)  # about the number of windows
     epochs = int(min(12, max(1, -(-LEAST_STEPS * BATCH // n))))
     # Few windows ask for small steps: the rate grows with their number up to RATE.
     rate = RATE * min(1.0, (n / (100.0 * BATCH)) ** 0.5)
@@ -436,7 +452,7 @@ def train(windows: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict[str,
             held, total, weight = [], None, 0
 
             def step():
-                w = np.frombuffer(b"".join(held), np.int32).reshape(-1, CONTEXT + 1)
+                w = np.concatenate(held)
                 got = own.fit(now if total is None else unpack(total / weight), w, layout, epochs, rate / (1 + r), seed=r)
                 return pack(got).astype(np.float64), len(w)
 
@@ -448,11 +464,12 @@ def train(windows: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict[str,
                     at += size
                 return out
 
-            for batch in batches:  # at most about 100,000 windows in memory
-                held += batch.column("w").to_pylist()
-                if len(held) >= 100_000:
-                    got, k = step()
-                    total, weight, held = got * (weight + k), weight + k, []
+            for batch in batches:  # about 100,000 windows in memory
+                for line in batch.column("w"):
+                    held.append(own.windows_of(np.frombuffer(line.as_buffer(), np.int32)))
+                    if sum(map(len, held)) >= 100_000:
+                        got, k = step()
+                        total, weight, held = got * (weight + k), weight + k, []
             if held:
                 got, k = step()
                 total, weight = got * (weight + k), weight + k
@@ -537,13 +554,7 @@ def score_documents(documents: DataFrame, held_out, ranks: str | None = None, id
             seen = c >= 0
             base = np.bincount(owner, weights=np.where(seen, np.log10(np.maximum(c, 0) + own.SMOOTH) - norm, 0.0), minlength=m)
             n_known = np.bincount(owner, weights=seen, minlength=m).astype(np.int64)
-            # Subword ids, with the end of text behind each document's.
-            sub_size = np.bincount(owner, weights=table.len[at], minlength=m).astype(np.int64) if len(at) else np.zeros(m, np.int64)
-            ids = np.full(int(sub_size.sum()) + m, table.end, np.int32)
-            body = np.ones(len(ids), bool)
-            body[np.cumsum(sub_size + 1) - 1] = False
-            ids[body] = table.expand(at) if len(at) else ids[:0]
-            got = scorer.score(ids, sub_size + 1)
+            got = scorer.score(*own.with_ends(at, size, table))
             # Rare words, once per document with their number; and one row with all the rest.
             rare = np.flatnonzero(~seen)
             pair, times = np.unique(owner[rare] * (len(table.index) + 1) + at[rare], return_counts=True)

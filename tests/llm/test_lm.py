@@ -135,3 +135,11 @@ def test_model_beats_unigram_of_subwords(spark):
     p = lm.train(lm.training_windows(train, ranks), layout)
     unigram = np.log10((counts + 0.1) / (counts + 0.1).sum())[ids].sum()
     assert lm.Scorer(p, layout).score(ids, size).sum() > unigram + 0.02 * abs(unigram)
+
+
+def test_every_training_token_is_a_target_once(docs, monkeypatch):
+    monkeypatch.setattr(lm, "ROW_WINDOWS", 5)  # long texts go on in further rows
+    ranks, training = lm.default_ranks(), docs.where(~held())
+    want = {r["key"]: r["n"] for r in lm.corpus_counts(training, ranks).where("kind = 1").collect()}
+    goals = np.concatenate([lm.windows_of(np.frombuffer(r["w"], np.int32))[:, lm.STRIDE + 1 :].ravel() for r in lm.training_windows(training, ranks).collect()])
+    assert collections.Counter(goals[goals >= 0].tolist()) == want
