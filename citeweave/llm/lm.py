@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 
 from citeweave.llm.common import bounded_batches, id_text, materialise, slices
 
-CONTEXT, STRIDE, WIDTH = 24, 12, 16
+CONTEXT, STRIDE, WIDTH = 32, 16, 16
 #: Rows of the input table for the most frequent ids, then shared rows; classes likewise.
-OWN_ROWS, SHARED_ROWS, OWN_CLASSES, SHARED_CLASSES = 960, 64, 64, 32
-BATCH, ROUNDS, RATE, LEAST_STEPS = 256, 2, 0.05, 150
+OWN_ROWS, SHARED_ROWS, OWN_CLASSES, SHARED_CLASSES = 960, 64, 192, 32
+#: The same at any size: ROUNDS * EPOCHS passes over all training texts.
+BATCH, ROUNDS, EPOCHS, RATE = 256, 2, 1, 0.02
 #: Training windows that start in one row of ``training_windows``.
 ROW_WINDOWS = 16_384
 #: Bytes of text that are read at one time.
@@ -436,13 +437,6 @@ def train(windows: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict[str,
     import citeweave.llm.lm as own
 
     p = initial(layout)
-    n = windows.select(F.sum(F.octet_length("w")).alias("n")).first()["n"]
-    if not n:
-        return p
-    n = n // (4 * STRIDE)  # about the number of windows
-    epochs = int(min(12, max(1, -(-LEAST_STEPS * BATCH // n))))
-    # Few windows ask for small steps: the rate grows with their number up to RATE.
-    rate = RATE * min(1.0, (n / (100.0 * BATCH)) ** 0.5)
     shapes = {k: v.shape for k, v in p.items()}
     pack = lambda x: np.concatenate([x[k].ravel() for k in NAMES])
     for r in range(rounds):
@@ -453,7 +447,7 @@ def train(windows: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict[str,
 
             def step():
                 w = np.concatenate(held)
-                got = own.fit(now if total is None else unpack(total / weight), w, layout, epochs, rate / (1 + r), seed=r)
+                got = own.fit(now if total is None else unpack(total / weight), w, layout, own.EPOCHS, own.RATE / (1 + r), seed=r)
                 return pack(got).astype(np.float64), len(w)
 
             def unpack(flat):
@@ -482,6 +476,8 @@ def train(windows: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict[str,
 
         parts = windows.mapInArrow(local, "weight long, p binary").withColumn("g", F.pmod(F.xxhash64("weight", "p"), F.lit(8)))
         sums = parts.groupBy("g").applyInPandas(add, "weight long, p binary").collect()
+        if not sums:
+            return p
         flat = np.sum([np.frombuffer(x["p"], np.float64) for x in sums], axis=0) / sum(x["weight"] for x in sums)
         p, at = {}, 0
         for k in NAMES:

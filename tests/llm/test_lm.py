@@ -143,3 +143,18 @@ def test_every_training_token_is_a_target_once(docs, monkeypatch):
     want = {r["key"]: r["n"] for r in lm.corpus_counts(training, ranks).where("kind = 1").collect()}
     goals = np.concatenate([lm.windows_of(np.frombuffer(r["w"], np.int32))[:, lm.STRIDE + 1 :].ravel() for r in lm.training_windows(training, ranks).collect()])
     assert collections.Counter(goals[goals >= 0].tolist()) == want
+
+
+def test_context_classes_and_passes_do_not_shrink():
+    assert (lm.CONTEXT, lm.STRIDE, lm.OWN_CLASSES + lm.SHARED_CLASSES) == (32, 16, 224)
+    assert lm.ROUNDS * lm.EPOCHS >= 2
+
+
+def test_every_target_sees_sixteen_earlier_ids(trained):
+    layout, p, rng = trained
+    scorer, ids = lm.Scorer(p, layout), rng.integers(0, 900, 64)
+    for i in (16, 31, 36, 48):
+        other = ids.copy()
+        other[i - 16] = (other[i - 16] + 450) % 900
+        first = [scorer.score(x[: n + 1], np.array([n + 1]))[0] for x in (ids, other) for n in (i - 1, i)]
+        assert abs((first[1] - first[0]) - (first[3] - first[2])) > 1e-9
