@@ -1,17 +1,15 @@
-"""Embedding near-dedup with a robust-pruned flat graph.
+"""Embedding near-dedup on overlapping cluster shards.
 
 1. Vectors are scaled to unit length in double precision; equal ones are folded into one node with
    a weight, so a vector that a third of all rows repeat is one node.
 2. Medoids: a bounded sample (``SAMPLE``) gives ``k`` centres by farthest-first choice, k in
    proportion to the rows up to ``MOST_SHARDS``.  Every node goes to its ``OVERLAP`` nearest
-   centres: overlapping cluster shards.  Shards above ``SHARD`` nodes are cut by a second level of
-   centres of their own, again with overlap, so no task holds an unbounded group.
-3. In each shard the nodes get robust-pruned adjacency lists (Subramanya et al., 2019); all shards'
-   lists of a node are united.
-4. Each node is searched from the medoid of its home shard over the united lists of that shard's
-   members: a greedy descent finds its neighbourhood, then the range is expanded along edges
-   whose far end is within ``SLACK`` of the threshold.
-5. Every link is verified: the cosine in double precision is at least ``THRESHOLD``.
+   centres: overlapping cluster shards.
+3. In each shard every home node meets every member, in blocks of ``2 * SHARD`` by ``4 * SHARD``
+   nodes, so no task holds an unbounded group and no link inside a shard is missed.
+4. A link is a cosine in double precision of at least ``THRESHOLD``.
+5. Links are counted where they are found, once from each end; of the pairs, only edges that span
+   the block's connected parts leave it.
 6. ``audit_recall`` compares the links of the rows whose id is divisible by ``AUDIT`` with brute
    force over all rows, in blocks.
 
@@ -34,7 +32,7 @@ from citeweave.llm.components import components
 
 THRESHOLD = 0.95
 SAMPLE, SHARD, MOST_SHARDS, OVERLAP = 20_000, 1_000, 4_096, 3
-DEGREE, ALPHA, SLACK = 24, 1.2, 0.10
+DEGREE, ALPHA, APART = 24, 1.2, 0.9
 AUDIT = 100
 
 
@@ -52,10 +50,13 @@ def clean(v) -> np.ndarray | None:
 
 
 def centres(sample: np.ndarray, k: int) -> np.ndarray:
-    """k spread-out medoids of the sample, by farthest-first choice."""
+    """At most k spread-out medoids of the sample, by farthest-first choice: none within cosine ``APART``
+    of another, so that a group of near copies is not cut among more of them than a node is dealt to."""
     picked, near = [0], sample @ sample[0]
     for _ in range(min(k, len(sample)) - 1):
         i = int(near.argmin())
+        if near[i] >= APART:
+            break
         picked.append(i)
         near = np.maximum(near, sample @ sample[i])
     return sample[picked]
@@ -84,39 +85,6 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, pool
     return out
 
 
-def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, start: int, threshold: float = THRESHOLD, slack: float = SLACK, beam: int = 4) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, nodes within the threshold) by greedy descent from ``start`` and range expansion."""
-    n = len(x)
-    stamp = np.zeros(n, np.int64)
-    for t, q in enumerate(queries.tolist(), 1):
-        v, mark = x[q], t
-        front, found = np.array([start]), []
-        stamp[start] = mark
-        # The query is a node of the graph: its own list is a second entry, which the descent
-        # from the medoid confirms or extends.
-        own = lists[q][stamp[lists[q]] != mark]
-        stamp[own] = mark
-        pool_i = np.r_[front, own]
-        pool_s = x[pool_i] @ v
-        done = np.zeros(len(pool_i), bool)
-        while True:
-            wide = pool_s >= threshold - slack
-            best = np.zeros(len(pool_i), bool)
-            best[np.argsort(-pool_s, kind="stable")[:beam]] = True
-            go = np.flatnonzero((wide | best) & ~done)
-            if not len(go):
-                break
-            done[go] = True
-            new = np.unique(np.concatenate([lists[i] for i in pool_i[go]])) if len(go) else go
-            new = new[stamp[new] != mark]
-            if len(new):
-                stamp[new] = mark
-                pool_i, pool_s = np.r_[pool_i, new], np.r_[pool_s, x[new] @ v]
-                done = np.r_[done, np.zeros(len(new), bool)]
-        found = pool_i[(pool_s >= threshold) & (pool_i != q)]
-        yield q, found
-
-
 def _nodes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v array<double> or null): unit vectors."""
     import citeweave.llm.embeddup as own
@@ -136,95 +104,62 @@ def _usual(rows: DataFrame) -> DataFrame:
 
 
 def _assign(nodes: DataFrame, medoids: np.ndarray, overlap: int) -> DataFrame:
-    """(node, weight, v, shard, home) for each node's nearest medoids; home: its nearest."""
+    """(node, weight, v, shard, home, cells) for each node's nearest medoids (cells); home: its nearest."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             x = np.stack(b["v"].to_numpy())
-            near = np.argsort(-(x @ medoids.T), axis=1, kind="stable")[:, :overlap]
+            near = np.argsort(-(x @ medoids.T), axis=1, kind="stable")[:, :overlap].astype(np.int64)
             m = near.shape[1]
+            i = np.repeat(np.arange(len(b)), m)
             yield pd.DataFrame({
-                "node": np.repeat(b["node"].to_numpy(), m), "weight": np.repeat(b["weight"].to_numpy(), m), "v": np.repeat(b["v"].to_numpy(), m),
-                "shard": near.ravel().astype(np.int64), "home": np.tile(np.arange(m) == 0, len(b)),
+                "node": b["node"].to_numpy()[i], "weight": b["weight"].to_numpy()[i], "v": b["v"].to_numpy()[i],
+                "shard": near.ravel(), "home": np.tile(np.arange(m) == 0, len(b)), "cells": [near[j] for j in i],
             })
 
-    return nodes.mapInPandas(deal, "node long, weight long, v array<double>, shard long, home boolean")
-
-
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = np.stack(pdf["v"].to_numpy())
-    ids = pdf["node"].to_numpy()
-    return pd.DataFrame({"node": ids, "near": [ids[a] for a in robust_prune(x)]})
-
-
-def _search(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of the shard's home nodes: (a, b, wa, wb) with the exact cosine at or above the threshold."""
-    pdf = pdf.sort_values("node", ignore_index=True)
-    x, ids, weight = np.stack(pdf["v"].to_numpy()), pdf["node"].to_numpy(), pdf["weight"].to_numpy()
-    order = {n: i for i, n in enumerate(ids.tolist())}
-    # The united lists, cut to the members of this shard, with edges in both directions.
-    both: list[set[int]] = [set() for _ in ids]
-    for i, near in enumerate(pdf["near"]):
-        for n in () if near is None else near:
-            j = order.get(int(n))
-            if j is not None and j != i:
-                both[i].add(j)
-                both[j].add(i)
-    lists = [np.array(sorted(s), np.int64) for s in both]
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    a, b = [], []
-    for q, found in search(x, lists, np.flatnonzero(pdf["home"].to_numpy()), medoid):
-        a += [q] * len(found)
-        b += found.tolist()
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
-    return pd.DataFrame({"a": ids[np.minimum(a, b)], "b": ids[np.maximum(a, b)], "wa": weight[np.minimum(a, b)], "wb": weight[np.maximum(a, b)]})
-
-
-def _cut_large(dealt: DataFrame, block: int = 4_000) -> DataFrame:
-    """Shards above 8 * SHARD members are dealt anew among medoids of their own, again with overlap.
-
-    All of them at once: a bounded sample of each gives its medoids, and its members meet them in
-    blocks of about ``block`` rows, so no task holds a whole large shard.
-    """
-    sizes = materialise(dealt.groupBy("shard").agg(F.count("*").alias("m")).where(F.col("m") > 8 * SHARD))
-    if sizes.isEmpty():
-        return dealt
-    here = F.pmod(F.xxhash64("node", "shard"), F.lit(1 << 30)) / float(1 << 30)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = centres(np.stack(pdf["v"].to_numpy()), max(2, int(pdf["m"].iloc[0]) // SHARD))
-        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "medoid": np.arange(len(v)), "v": list(v)})
-
-    large = dealt.join(sizes, "shard")
-    sample = large.where(here < float(block) / F.col("m")).select("shard", "m", "v")
-    medoids = sample.groupBy("shard").applyInPandas(choose, "shard long, medoid long, v array<double>")
-    blocks = F.ceil(F.col("m") / float(block)).cast("int")
-    asked = large.withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    given = medoids.join(sizes, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), blocks - 1)))
-
-    def deal(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return left.drop(columns=["m", "part"])
-        right = right.sort_values("medoid", ignore_index=True)
-        x, c = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-        k = near.shape[1]
-        out = left.loc[np.repeat(left.index, k), ["node", "weight", "v", "shard", "home"]].reset_index(drop=True)
-        out["home"] = out["home"] & np.tile(np.arange(k) == 0, len(left))
-        out["shard"] = (out["shard"] + 1) * (1 << 32) + near.ravel()
-        return out
-
-    cut = asked.groupBy("shard", "part").cogroup(given.groupBy("shard", "part")).applyInPandas(deal, "node long, weight long, v array<double>, shard long, home boolean")
-    return materialise(dealt.join(sizes.select("shard"), "shard", "left_anti").select(cut.columns).unionByName(cut))
+    return nodes.mapInPandas(deal, "node long, weight long, v array<double>, shard long, home boolean, cells array<long>")
+
+
+def _spans(met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a matrix of links, the first row of their connected part (-1: no link)."""
+    n, far = len(met), len(met)
+    row = np.where(met.any(axis=1), np.arange(n), far)
+    while True:
+        col = np.where(met, row[:, None], far).min(axis=0, initial=far)
+        new = np.minimum(row, np.where(met, col[None, :], far).min(axis=1, initial=far))
+        if (new == row).all():
+            return np.where(row < far, row, -1), np.where(col < far, col, -1)
+        row = new
+
+
+def _count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """(node, root, far) from home nodes of a shard and members of it: the weight that each is linked
+    with, and a node of its connected part.  A member whose own home cannot see the home node gets its end here."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"node": np.zeros(0, np.int64), "root": np.zeros(0, np.int64), "far": np.zeros(0, np.int64)})
+    q, m = left["node"].to_numpy(), right["node"].to_numpy()
+    x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+    wq, wm = left["weight"].to_numpy(np.float64), right["weight"].to_numpy(np.float64)
+    cells, home = np.stack(left["cells"].to_numpy()), np.array([c[0] for c in right["cells"]])
+    met, far_q, far_m = np.zeros((len(q), len(m)), bool), np.zeros(len(q)), np.zeros(len(m))
+    for i in range(0, len(q), 256):
+        j = slice(i, i + 256)
+        met[j] = (x[j] @ y.T >= THRESHOLD) & (q[j, None] != m[None, :])
+        far_q[j] = met[j].astype(np.float64) @ wm
+        unseen = met[j] & (cells[j, :, None] != home[None, None, :]).all(axis=1)
+        far_m += wq[j] @ unseen.astype(np.float64)
+    rows, cols = np.flatnonzero(met.any(axis=1)), np.flatnonzero(met.any(axis=0))
+    root_q, root_m = _spans(met[np.ix_(rows, cols)])
+    return pd.DataFrame({"node": np.r_[q[rows], m[cols]], "root": q[rows][np.r_[root_q, root_m]], "far": np.r_[far_q[rows], far_m[cols]].astype(np.int64)})
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b, wa, wb), a < b: verified links between nodes (node, weight, v)."""
+    """(node, root, far): parts of the weight that nodes (node, weight, v) are linked with, and spanning edges."""
     n = nodes.count()
     if n == 0:
-        return nodes.sparkSession.createDataFrame([], "a long, b long, wa long, wb long")
+        return nodes.sparkSession.createDataFrame([], "node long, root long, far long")
     # A bounded sample by hash: about SAMPLE rows at any size.
     share = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))
     sample = np.array([r["v"] for r in nodes.where(share).select("v").limit(2 * SAMPLE).collect()] or [nodes.select("v").first()["v"]])
@@ -232,11 +167,16 @@ def links(nodes: DataFrame) -> DataFrame:
     k = int(min(MOST_SHARDS, max(1, n // (SHARD // (2 * OVERLAP)))))
     medoids = centres(sample, k)
     dealt = materialise(_assign(nodes, medoids, OVERLAP))
-    members = _cut_large(dealt)
-    lists = members.groupBy("shard").applyInPandas(_build, "node long, near array<long>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = members.join(united, "node").groupBy("shard").applyInPandas(_search, "a long, b long, wa long, wb long")
-    return found.distinct()
+    parts = lambda size, width: F.ceil(F.col(size) / float(width * SHARD)).cast("int")
+    sizes = dealt.groupBy("shard").agg(F.count("*").alias("m"), F.count_if("home").alias("h")).where("h > 0")
+    sizes = F.broadcast(sizes.select("shard", parts("h", 2).alias("hs"), parts("m", 4).alias("ms")))  # at most MOST_SHARDS rows
+    met = dealt.join(sizes, "shard")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = met.where("home").withColumn("hp", own("hs")).withColumn("mp", every("ms")).select("shard", "hp", "mp", "node", "weight", "v", "cells")
+    right = met.withColumn("mp", own("ms")).withColumn("hp", every("hs")).select(*[F.col(c).alias(c) for c in left.columns])  # apart from those of left
+    keys = ["shard", "hp", "mp"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_count, "node long, root long, far long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -245,10 +185,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     good = _usual(rows)
     nodes = good.groupBy("h", "v").agg(F.min("row").alias("node"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     nodes = materialise(nodes)
-    pairs = materialise(links(nodes.select("node", "weight", "v")))
-    sums = pairs.select(F.col("a").alias("node"), F.col("wb").alias("w")).unionByName(pairs.select(F.col("b").alias("node"), F.col("wa").alias("w")))
-    sums = sums.groupBy("node").agg(F.sum("w").alias("far"))
-    roots = components(pairs.select("a", "b"))
+    found = materialise(links(nodes.select("node", "weight", "v")))
+    sums = found.groupBy("node").agg(F.sum("far").alias("far"))
+    roots = components(found.where("node <> root").select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")).distinct())
     named = materialise(nodes.select("h", "v", "node", "weight", "least").join(sums, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     facts = salted_join(named, least, ["root"], F.col("node")).select("h", "v", "component_id", (F.col("weight") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))

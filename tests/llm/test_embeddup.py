@@ -72,3 +72,25 @@ def test_robust_prune_keeps_near_and_bounded():
     lists = embeddup.robust_prune(x)
     s = x @ x.T - 3 * np.eye(300)
     assert all(len(a) <= embeddup.DEGREE for a in lists) and all(s[i].argmax() == a[0] for i, a in enumerate(lists))
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def links_equal(spark, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    result = embeddup.near_duplicates(df)
+    n, root = exact(x)
+    got = {r["vec_id"]: r for r in result.collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == n.tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == root.tolist()
+    assert all(r["n_links"] == r["true_links"] for r in embeddup.audit_recall(df, result, every=10).collect())
+
+
+def test_dense_group_above_a_shard_keeps_all_links(spark, monkeypatch):
+    monkeypatch.setattr(embeddup, "SHARD", 20)
+    rng = np.random.default_rng(5)
+    centre = unit(rng.standard_normal(32))
+    group = unit(centre + 0.02 * rng.standard_normal((400, 32)))  # 20 * SHARD near copies
+    links_equal(spark, unit(np.concatenate([group, rng.standard_normal((100, 32))])))
