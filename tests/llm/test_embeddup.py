@@ -94,3 +94,11 @@ def test_dense_group_above_a_shard_keeps_all_links(spark, monkeypatch):
     centre = unit(rng.standard_normal(32))
     group = unit(centre + 0.02 * rng.standard_normal((400, 32)))  # 20 * SHARD near copies
     links_equal(spark, unit(np.concatenate([group, rng.standard_normal((100, 32))])))
+
+
+def test_two_tight_groups_in_one_shard_find_each_other(spark):
+    rng = np.random.default_rng(6)
+    a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    angle = np.arccos(0.96)
+    ends = [a, np.cos(angle) * a + np.sin(angle) * b]
+    links_equal(spark, unit(np.concatenate([unit(rng.standard_normal((50, 32))), *[e + 1e-3 * rng.standard_normal((150, 32)) for e in ends]])))
