@@ -7,6 +7,8 @@ executor therefore costs a recomputation of its tasks and nothing else.
 
 from __future__ import annotations
 
+import contextlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +17,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session has no spark.checkpoint.dir (tests, a laptop).
+#: Used only in local mode (tests, a laptop) where the session names no shared folder.
 LOCAL_SCRATCH = "file:/tmp/checkpoints"
 #: Rows up to which a side may be broadcast; above it the join is shuffled.
 BROADCAST_ROWS = 500_000
@@ -24,12 +26,25 @@ SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the registered queries."""
+    configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/citeweave-{spark.sparkContext.applicationId}"
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session, or what
+    ``setCheckpointDir`` has set.  On a cluster without either there is no folder that all executors see."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SCRATCH
+    return f"{base.rstrip('/')}/citeweave-{context.applicationId}"
+
+
+#: Paths written since the innermost ``scratch_scope`` was entered.
+_scopes: list[list[str]] = []
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -37,13 +52,31 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes inside are removed at the end, when the results that need
+    them have been written elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
 def clean_scratch(spark: SparkSession) -> None:
     """Remove this application's scratch tables (call it after the last result is written)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_dir(spark))
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -52,10 +85,13 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 16) -> DataFrame:
-    """Equi-join in which every key of ``big`` is dealt over ``salts`` tasks; ``small`` is repeated."""
+    """Equi-join in which every key of ``big`` is dealt over ``salts`` tasks; ``small`` is repeated.
+
+    Sort-merge by hint: neither side has a proven bound, so neither is broadcast.
+    """
     left = big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+    return left.join(right.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -89,15 +125,17 @@ def release_memory() -> None:
 ARROW_ROWS = 1000
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, after lowering the session's Arrow batch size to ARROW_ROWS (never raising it)."""
+def configure(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ARROW_ROWS, never raise it.
+
+    Batches are sized by the session alone, so operators leave the setting to their caller: the
+    registered queries and the pipeline call this, other users set it as they see fit.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= ARROW_ROWS:
-        df.sparkSession.conf.set(key, str(ARROW_ROWS))
-    return df
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text; other columns, whatever their names, play no part."""
-    bounded_batches(df)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,13 +46,26 @@ def test_audit(vectors):
     assert len(rows) > 40 and sum(r["n_links"] for r in rows) >= 0.9 * sum(r["true_links"] for r in rows)
 
 
-def test_large_shards_are_cut(vectors, monkeypatch):
+def test_large_shards_are_dealt_anew(vectors, monkeypatch):
     x, df = vectors
-    monkeypatch.setattr(embeddup, "SHARD", 20)
-    monkeypatch.setattr(embeddup, "MOST_SHARDS", 2)
+    monkeypatch.setattr(embeddup, "CENTRES", 2)
+    monkeypatch.setattr(embeddup, "MOST", 60)
     n, _ = exact(x / np.linalg.norm(x, axis=1, keepdims=True))
     got = embeddup.near_duplicates(df.where("vec_id < 9000")).agg(F.sum("n_links")).first()[0]
-    assert 0.9 * n.sum() <= got <= n.sum()
+    assert 0.95 * n.sum() <= got <= n.sum()
+
+
+def test_vectors_no_centre_tells_apart_are_dealt_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(embeddup, "MOST", 50)
+    monkeypatch.setattr(embeddup, "LEVELS", 1)
+    x = unit(np.ones((200, 8)) + 1e-12 * np.random.default_rng(9).standard_normal((200, 8)))
+    links_equal(spark, np.unique(x, axis=0))
+
+
+def test_lengths_stand_apart(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [2.0, 4.0, 6.0]), (3, [1.0, 2.0]), (4, [1.0, 2.001]), (5, [1.0, 2.0, 0.0]), (6, [7.0]), (15, [1.0, -5.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6), 15: (0, 15)}
 
 
 def test_empty_repeats_and_null_ids(spark):
@@ -71,7 +85,19 @@ def test_robust_prune_keeps_near_and_bounded():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     lists = embeddup.robust_prune(x)
     s = x @ x.T - 3 * np.eye(300)
-    assert all(len(a) <= embeddup.DEGREE for a in lists) and all(s[i].argmax() == a[0] for i, a in enumerate(lists))
+    assert all(len(a) <= 2 * embeddup.DEGREE for a in lists) and all(s[i].argmax() in a for i, a in enumerate(lists))
+    assert [len(a) for a in embeddup.robust_prune(x[:1])] == [0] and embeddup.robust_prune(x[:0]) == []
+
+
+def test_search_is_by_the_graph():
+    """What lists do not lead to is not reached, however near."""
+    x = unit(np.random.default_rng(1).standard_normal((40, 8)))
+    x[20:] = x[:20] + 1e-3
+    x = unit(x)
+    ring = np.arange(20)
+    lists = (np.arange(1, 41), np.r_[(ring + 1) % 20, 20 + (ring + 1) % 20])
+    _, seen = embeddup.reach(x[:20], x, lists, ring, 0)
+    assert seen[:, :20].all() and not seen[:, 20:].any()
 
 
 def unit(x):
@@ -90,6 +116,7 @@ def links_equal(spark, x):
 
 def test_dense_group_above_a_shard_keeps_all_links(spark, monkeypatch):
     monkeypatch.setattr(embeddup, "SHARD", 20)
+    monkeypatch.setattr(embeddup, "MOST", 80)
     rng = np.random.default_rng(5)
     centre = unit(rng.standard_normal(32))
     group = unit(centre + 0.02 * rng.standard_normal((400, 32)))  # 20 * SHARD near copies
@@ -102,3 +129,19 @@ def test_two_tight_groups_in_one_shard_find_each_other(spark):
     angle = np.arccos(0.96)
     ends = [a, np.cos(angle) * a + np.sin(angle) * b]
     links_equal(spark, unit(np.concatenate([unit(rng.standard_normal((50, 32))), *[e + 1e-3 * rng.standard_normal((150, 32)) for e in ends]])))
+
+
+def test_recall_at_size_with_a_dense_ball(spark, monkeypatch):
+    monkeypatch.setattr(embeddup, "MOST", 1_500)
+    rng = np.random.default_rng(7)
+    centre = unit(rng.standard_normal(24))
+    ball = unit(centre + 0.03 * rng.standard_normal((2_000, 24)))  # above MOST
+    pairs = unit(rng.standard_normal((1_500, 24)))
+    near = unit(pairs + 0.04 * rng.standard_normal((1_500, 24)))
+    x = unit(np.concatenate([ball, pairs, near, rng.standard_normal((15_500, 24))]))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>").repartition(8)
+    audit = embeddup.audit_recall(df, embeddup.near_duplicates(df)).toPandas()
+    assert len(audit) == 205 and (audit["n_links"] <= audit["true_links"]).all()
+    assert audit["n_links"].sum() >= 0.98 * audit["true_links"].sum() and audit["true_links"].sum() > 20 * 1_900
+    rest = audit[(audit["vec_id"] >= 2_000) & (audit["true_links"] > 0)]
+    assert len(rest) and rest["n_links"].sum() >= 0.9 * rest["true_links"].sum()
