@@ -7,33 +7,32 @@ carry the sketches.  Items are partitioned by size (powers of two of their numbe
 and every partition gets its own sketch length: the items' bottom-k MinHash values under one hash
 function, with k = n - ceil(THRESHOLD * n) + 1 for the partition's largest item n.  An item with
 fewer than k of its shingles missing cannot hide its whole sketch, so every contained item shares a
-sketch value with the document: recall is certain, not probable.  The partition's largest sketch
-value is also a cut: only the documents' shingle hashes below the largest cut are looked up.
+sketch value with the document: recall is certain, not probable.  The largest sketch value of a
+partition is its cut: a document's shingle is looked up in those partitions alone whose cut it does
+not pass, so one short item, whose few values lie anywhere, opens its own partition only.
 
 Documents are read twice: once for the lookup, once (candidates only) for the exact shingle
-containment, which compares the shingles' text.
+containment, which compares the shingles' text.  Very long documents are cut into segments of
+``SEGMENT`` shingles, so no array of hashes grows with a document.
 
 Words are runs of characters other than ASCII white space and punctuation, letters lowered.
 Items of fewer than SHINGLE words have one shingle, all their words; documents likewise.  Items and
-documents without words (null or empty) match nothing.  Repeated rows: the pair is given once per
-distinct (doc_id, item_id), with the shingles of all rows of that id together.  Rows with a null id
-match nothing, since nothing can refer to them.
+documents without words (null or empty) match nothing; an empty table gives an empty result.
+Repeated rows: the pair is given once per distinct (doc_id, item_id), with the shingles of all rows
+of that id together.  Rows with a null id match nothing, since nothing can refer to them.  Other
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import materialise, small_side
+from citeweave.llm.common import BROADCAST_ROWS, materialise, salted_join, small_side
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Shingles of one document that an exploded row holds; longer documents are cut into segments.
+#: Shingles of one document that a row holds; longer documents are cut into segments.
 SEGMENT = 4096
-#: Sketch rows up to which the lookup is broadcast (16 bytes each); above it, it is shuffled.
-SKETCH_ROWS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -57,36 +56,51 @@ def shingles_of(k: int = SHINGLE) -> Column:
 
 
 def item_sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(item_id, h, part, n): each item's bottom-k values, k by the size partition.  ``items``: id, words."""
-    sized = items.select("item_id", F.array_sort(F.array_distinct(hashes_of())).alias("hs")).where(F.size("hs") > 0)
+    """(item_id, part, n, h): each item's bottom-k values, k by the size partition.  ``items``: id, words,
+    the rows of one id together."""
+    hashes = items.select("item_id", F.explode(hashes_of()).alias("h")).groupBy("item_id").agg(F.array_sort(F.collect_set("h")).alias("hs"))
+    sized = hashes.where(F.size("hs") > 0)
     sized = sized.withColumn("n", F.size("hs")).withColumn("part", F.floor(F.log2("n")))
     largest = F.pow(F.lit(2.0), F.col("part") + 1) - 1
     k = (largest - F.ceil(F.lit(threshold) * largest - 1e-9) + 1).cast("int")
     return sized.select("item_id", "part", "n", F.explode(F.slice("hs", 1, F.greatest(k, F.lit(1)))).alias("h"))
 
 
+def segments(words: str = "words", k: int = SHINGLE, size: int = SEGMENT) -> Column:
+    """``words`` in segments that together have the same shingles: neighbours share k - 1 words."""
+    last = F.floor((F.size(words) - k) / F.lit(size)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * size + 1, F.lit(size + k - 1)))
+    return F.when(F.size(words) > size + k - 1, cut).otherwise(F.array(words))
+
+
+def lookup(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(doc_id, item_id) that share a sketch value; ``rows``: doc_id, words.  ``sketches`` is materialised."""
+    cuts = sketches.groupBy("part").agg(F.max("h").alias("cut")).orderBy("part").collect()  # a row for each power of two
+    if not cuts:
+        return sketches.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    top = max(c["cut"] for c in cuts)
+    hashes = rows.select("doc_id", F.explode(segments()).alias("words")).select("doc_id", F.explode(hashes_of()).alias("h")).where(F.col("h") <= F.lit(top))
+    open_to = F.array_compact(F.array(*[F.when(F.col("h") <= F.lit(c["cut"]), F.lit(c["part"])) for c in cuts]))
+    hashes = hashes.select("doc_id", "h", F.explode(open_to).alias("part"))
+    keys, values = ["part", "h"], sketches.select("part", "h", "item_id")
+    met = hashes.join(F.broadcast(values), keys) if sketches.count() <= BROADCAST_ROWS else salted_join(hashes, values, keys, F.col("doc_id"))
+    return met.select("doc_id", "item_id").distinct()
+
+
 def find_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for every pair at or above ``threshold``."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     docs = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id IS NOT NULL")
     items = materialise(items.select("item_id", words_of(F.col("text")).alias("words")))
-    sketches = materialise(item_sketches(items, threshold).select("item_id", "h", "n").distinct())
-    cut = sketches.agg(F.max("h").alias("cut"), F.min("n").alias("n")).first()
-    top, least = (cut["cut"], cut["n"]) if cut["cut"] is not None else (-(1 << 63), 1 << 30)
-    # Size: a document with fewer shingles than ceil(threshold * n) of the smallest item holds none.
-    enough = F.size("words") - (SHINGLE - 1) >= math.ceil(threshold * least - 1e-9)
-    enough = enough | (F.size("words").between(1, SHINGLE)) & F.lit(least == 1)
-    rows = docs.where(enough).select("doc_id", F.explode(hashes_of()).alias("h")).where(F.col("h") <= F.lit(top))
-    pairs = rows.join(small_side(sketches.select("item_id", "h"), SKETCH_ROWS), "h").select("doc_id", "item_id").distinct()
-    pairs = materialise(pairs)
+    shingles = materialise(items.select("item_id", F.explode(shingles_of()).alias("s")).distinct())
+    pairs = materialise(lookup(docs, materialise(item_sketches(items, threshold).select("item_id", "part", "h").distinct())))
     suspects = materialise(pairs.select("doc_id").distinct())
-    texts = docs.join(small_side(suspects), "doc_id", "left_semi").select("doc_id", F.explode(shingles_of()).alias("s"))
-    wanted = materialise(items.select("item_id", F.explode(shingles_of()).alias("s")).distinct())
-    sizes = wanted.groupBy("item_id").agg(F.count("*").alias("n_item"))
+    texts = docs.join(small_side(suspects), "doc_id", "left_semi").select("doc_id", F.explode(segments()).alias("words")).select("doc_id", F.explode(shingles_of()).alias("s"))
+    sizes = shingles.groupBy("item_id").agg(F.count("*").alias("n_item"))
     # Only shingles of items go on; then only pairs that share a sketch value.
-    met = texts.join(small_side(wanted, SKETCH_ROWS), "s").select("doc_id", "item_id", "s").distinct()
-    shared = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    met = texts.join(F.broadcast(shingles), "s") if shingles.count() <= BROADCAST_ROWS else salted_join(texts, shingles, ["s"], F.col("doc_id"))
+    shared = met.select("doc_id", "item_id", "s").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     out = shared.join(pairs, ["doc_id", "item_id"], "left_semi").join(sizes, "item_id")
     out = out.where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_item") - 1e-9))
     return out.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))

@@ -104,6 +104,28 @@ def test_containment_against_brute_force(contaminated):
     assert got.count() == len(want) > 10
 
 
+def test_ids_on_several_rows(spark):
+    """An item and a document whose shingles lie on several rows of their id, against the SQL."""
+    w = [f"w{i}" for i in range(40)]
+    docs = [(1, " ".join(w[:16])), (1, " ".join(w[8:24])), (2, " ".join(w[:16])), (3, " ".join(["x", *w[20:40], "y"])), (3, " ".join(w[:4]))]
+    items = [(9, " ".join(w[:24])), (8, " ".join(w[20:30])), (8, " ".join(w[30:40])), (7, "w1 w2")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = duck(decontaminate.ORACLE_SQL, documents=docs.toPandas(), benchmark=items.toPandas())
+    got = rows_of(decontaminate.find_contaminated(docs, items), "doc_id", "item_id", "n_shared", "n_item")
+    assert got == sorted(map(tuple, want[["doc_id", "item_id", "n_shared", "n_item"]].itertuples(index=False)), key=repr)
+    assert (1, 9, 20, 20) in got and {(d, i) for d, i, _, _ in got} >= {(1, 9), (3, 8)}
+
+
+def test_segments_and_shuffled_lookup_change_nothing(contaminated, monkeypatch):
+    docs, items = contaminated
+    keys = ("doc_id", "item_id", "n_shared", "n_item")
+    want = rows_of(decontaminate.find_contaminated(docs, items), *keys)
+    segments = decontaminate.segments
+    monkeypatch.setattr(decontaminate, "segments", lambda: segments(size=7))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert rows_of(decontaminate.find_contaminated(docs, items), *keys) == want
+
+
 def test_keep_clean(contaminated, spark):
     docs, items = contaminated
     kept = decontaminate.keep_clean(docs, items)
