@@ -2,19 +2,24 @@
 
 ``scan_text`` gives the spans of one text.  Three keyed patterns (assignments, access keys,
 hexadecimal keys) are always reported.  Besides these, candidate strings (runs of key-like
-characters) are read by a window of ``WINDOW`` characters whose entropy is kept by incremental
-counts: one character enters, one leaves, and only two terms of the sum change.  A window counts
-if its entropy reaches the bound of the string's character class; neighbouring windows merge
-into one span.  Strings on the allow-list (identifiers, paths, dates, placeholders, words without
-digits) are suppressed, and so are spans inside a keyed one.
-
-Nulls and empty texts have no spans.  Repeated rows each keep their own result.  The offsets are
-code points, end exclusive.  Texts are read whole; the memory is one text and its spans.
+characters) are read by a window of ``WINDOW`` characters.  The window's entropy and its character
+class are kept by incremental counts: one character enters, one leaves, and only two terms of the
+sum and two class counts change.  A window counts if its entropy reaches the bound of its own class;
+neighbouring windows merge into one span.  What is on the allow-list (identifiers, dates,
+placeholders between word bounds) is cut out of a candidate and the rest is read; a rest that is a
+path, a word or a number is suppressed, and so are spans inside a keyed one.
+
+Nulls and empty texts have no spans; an empty table gives an empty result.  Repeated rows each keep
+their own result, null ids too.  The offsets are code points, end exclusive.  Texts are read whole,
+however long; the memory is one text and its spans, the time grows with n log n.  Other columns,
+whatever their names, play no part.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -36,39 +41,51 @@ WORDS = ("passw", "secret", "token", "api")
 #: Candidate strings, the window, and the entropy (bits a character) that each class must reach.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
-BOUND = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
-#: Harmless strings that look random.
+BOUND = {"hex": 3.0, "alnum": 3.6, "base64": 3.8, "word": 4.1, "number": math.inf}
+#: Harmless parts of a candidate that look random.
+ALLOW_PART = re.compile(
+    r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
+    r"|(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"  # dates
+    r"|(?<![A-Za-z0-9])(?i:example|placeholder|sample|dummy|changeme|x{4,})(?![A-Za-z0-9])"
+)
+#: Harmless wholes.
 ALLOW = (
-    re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"\d{4}-\d{2}-\d{2}.*"),  # dates
-    re.compile(r".*(?:example|placeholder|sample|dummy|changeme|xxxx).*", re.IGNORECASE),
     re.compile(r"(?:[A-Za-z]*[-_/=+])+[A-Za-z]*"),  # paths and names without digits
     re.compile(r"[A-Za-z]+"),  # words
     re.compile(r"[0-9_/=+-]+"),  # numbers and rules
 )
 _TERM = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]  # before one leaves, a window holds one more
+#: Bits of a character: digit, letter of a hexadecimal digit, other letter, other.
+_KIND = {chr(c): 0 if chr(c).isdigit() else 1 if chr(c) in "abcdefABCDEF" else 2 if chr(c).isalpha() else 3 for c in range(128)}
 
 
-def character_class(s: str) -> str:
-    if re.fullmatch(r"[0-9a-fA-F]+", s):
+def window_class(digits: int, hex_letters: int, letters: int, others: int) -> str:
+    """Character class of a window, by the number of its characters of each kind."""
+    if not digits:
+        return "word"
+    if not hex_letters and not letters:
+        return "number"
+    if not letters and not others:
         return "hex"
-    return "alnum" if s.isalnum() else "base64"
+    return "base64" if others else "alnum"
 
 
-def entropy_windows(s: str, bound: float, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Merged [start, end) of the windows of ``s`` whose entropy is at least ``bound`` bits."""
+def entropy_windows(s: str, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Merged [start, end) of the windows of ``s`` whose entropy reaches the bound of their class."""
     counts: dict[str, int] = {}
-    total, top, out = 0.0, math.log2(window), []
+    kinds, total, top, out = [0, 0, 0, 0], 0.0, math.log2(window), []
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         total += _TERM[n + 1] - _TERM[n]
         counts[c] = n + 1
+        kinds[_KIND[c]] += 1
         if i >= window:
             gone = s[i - window]
             n = counts[gone]
             total += _TERM[n - 1] - _TERM[n]
             counts[gone] = n - 1
-        if i >= window - 1 and top - total / window >= bound - 1e-9:
+            kinds[_KIND[gone]] -= 1
+        if i >= window - 1 and top - total / window >= BOUND[window_class(*kinds)] - 1e-9:
             start = i - window + 1
             if out and start <= out[-1][1]:
                 out[-1] = (out[-1][0], i + 1)
@@ -77,6 +94,16 @@ def entropy_windows(s: str, bound: float, window: int = WINDOW) -> list[tuple[in
     return out
 
 
+def readable(s: str) -> list[tuple[int, int]]:
+    """[start, end) of the parts of a candidate that no entry of the allow-list covers."""
+    out, at = [], 0
+    for a, b in [*(m.span() for m in ALLOW_PART.finditer(s)), (len(s), len(s))]:
+        if a - at >= WINDOW and not any(x.fullmatch(s, at, a) for x in ALLOW):
+            out.append((at, a))
+        at = b
+    return out
+
+
 def scan_text(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, by start, then kind as in KINDS."""
     if not text:
@@ -88,15 +115,16 @@ def scan_text(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    keyed = list(spans)
+    keyed = sorted((a, b) for _, a, b in spans)
+    starts, reach = [a for a, _ in keyed], list(itertools.accumulate((b for _, b in keyed), max))
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if any(a.fullmatch(s) for a in ALLOW):
-            continue
-        for a, b in entropy_windows(s, BOUND[character_class(s)]):
-            a, b = m.start() + a, m.start() + b
-            if not any(x <= a and b <= y for _, x, y in keyed):
-                spans.append(("entropy", a, b))
+        s, at = m[0], m.start()
+        for x, y in readable(s):
+            for a, b in entropy_windows(s[x:y]):
+                a, b = at + x + a, at + x + b
+                i = bisect.bisect_right(starts, a) - 1  # of the keyed spans that start by here, does one reach b?
+                if i < 0 or reach[i] < b:
+                    spans.append(("entropy", a, b))
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -1,6 +1,10 @@
 import hashlib
 import math
+import random
 import re
+import time
+
+import pytest
 
 from citeweave.llm import secrets
 from tests.llm.conftest import rows_of
@@ -16,15 +20,34 @@ def test_base_patterns_against_plain_regex():
         assert sorted(got) == sorted(want), t
 
 
-def test_incremental_entropy_equals_direct():
-    s = "aZ3kQ9xL0pW7eR2tY5uI8oP1sD4fG6hJaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"
-    def h(w):
-        return -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
-    for bound in (2.0, 3.6, 4.2):
-        direct = [i for i in range(len(s) - secrets.WINDOW + 1) if h(s[i : i + secrets.WINDOW]) >= bound - 1e-9]
-        covered = {i for i in range(len(s)) if any(j <= i < j + secrets.WINDOW for j in direct)}
-        got = {i for a, b in secrets.entropy_windows(s, bound) for i in range(a, b)}
-        assert got == covered
+def direct(s, bound):
+    """Positions of ``s`` covered by windows that reach the bound of their class, each counted afresh."""
+    n, out = secrets.WINDOW, set()
+    for i in range(len(s) - n + 1):
+        w = s[i : i + n]
+        h = -sum(w.count(c) / n * math.log2(w.count(c) / n) for c in set(w))
+        has = lambda p: bool(re.search(p, w))
+        if not has("[0-9]"):
+            kind = "word"
+        elif not has("[A-Za-z]"):
+            kind = "number"
+        else:
+            kind = "hex" if re.fullmatch("[0-9a-fA-F]+", w) else "alnum" if w.isalnum() else "base64"
+        if h >= bound[kind] - 1e-9:
+            out |= set(range(i, i + n))
+    return out
+
+
+@pytest.mark.parametrize("bound", [None, 2.0, 3.6, 4.2])
+def test_incremental_entropy_equals_direct(monkeypatch, bound):
+    if bound:
+        monkeypatch.setattr(secrets, "BOUND", dict.fromkeys(secrets.BOUND, bound))
+    rng = random.Random(2)
+    texts = ["aZ3kQ9xL0pW7eR2tY5uI8oP1sD4fG6hJaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "12345678901234567890-09876543210987654321", "ab" * 8 + "0123456789abcdef0123456789abcdefABC+/aZ3kQ9xL0pW7eR2tY5uI8o"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(60)) for alphabet in ("0123456789abcdef", "abcdefXYZ", "aZ3kQ9xL0pW7eR2+/_", "01-") for _ in range(5)]
+    for s in texts:
+        got = {i for a, b in secrets.entropy_windows(s) for i in range(a, b)}
+        assert got == direct(s, secrets.BOUND), s
 
 
 def test_allow_list_and_candidates():
@@ -32,6 +55,25 @@ def test_allow_list_and_candidates():
     assert [k for k, *_ in secrets.scan_text("x aZ3kQ9xL0pW7eR2tY5uI8oP1sD4fG6hJ y")] == ["entropy"]
 
 
+@pytest.mark.parametrize("before", ["2024-01-01-", "123e4567-e89b-12d3-a456-426614174000/", "example-", "mysample", "a/b/c/"])
+def test_what_is_allowed_is_cut_out_and_the_rest_is_read(before):
+    key = "aZ3kQ9xL0pW7eR2tY5uI8oP1sD4fG6hJ"
+    spans = secrets.scan_text(f"see {before}{key} there")
+    assert spans and max(b for _, _, b in spans) == len(f"see {before}{key}")
+    assert secrets.scan_text(f"see {before}plain_words_of_no_weight there") == []
+
+
+def test_many_spans_take_no_square_of_time():
+    text = " ".join(["0123456789abcdef01234567 aZ3kQ9xL0pW7eR2tY5uI8oP1sD4fG6hJ"] * 30_000)
+    began = time.process_time()
+    assert len(secrets.scan_text(text)) == 60_000 and time.process_time() - began < 20
+
+
+def test_entropy_spans_inside_keyed_ones_are_dropped():
+    text = "token=aZ3kQ9xL0pW7eR2tY5uI8oP1sD4fG6hJ 0123456789abcdef01234567"
+    assert [k for k, *_ in secrets.scan_text(text)] == ["assign", "hex"]
+
+
 def test_spans_are_code_points():
     t = "日本 token=abcdef"
     (kind, a, b), = secrets.scan_text(t)
