@@ -1,22 +1,25 @@
 """Language ID by compression: per-language zstandard raw-content dictionaries.
 
 ``fit_dictionaries`` takes, for every language, a bounded sample of labelled texts (``SAMPLE_DOCS``
-texts with the smallest hash of their id, joined up to ``DICT_BYTES``) as a raw-content dictionary.
+texts with the smallest hash of their id, their first ``SAMPLE_CHARS`` characters, joined up to ``DICT_BYTES``) as a raw-content dictionary.
 ``classify`` compresses each whole text, block by block, with every dictionary; the language whose
 dictionary gives the fewest bytes wins; a narrow result is settled by a stronger level.  The relative margin to the runner-up is the score, and a
 margin below ``MIN_MARGIN`` rejects the text (``rejected``), as does a text without a letter.
 
-Null texts and texts without a letter: ``und``, score 0, rejected.  Ties: the first language by
-name.  No labelled text at all: every text is ``und``.  One language only: score 1.  The sample is
-the only bounded thing here; every text is read whole.
+A letter is a character of a Unicode letter category.  Null texts and texts without a letter:
+``und``, score 0, rejected.  Ties: the first language by name.  No labelled text at all: every text
+is ``und``.  One language only: score 1.  Labelled rows with a null language teach nothing; rows
+with a null id are labelled rows like others.  Repeated rows each keep their own result, an empty
+table gives an empty result, and other columns, whatever their names, play no part.  The sample is
+the only bounded thing here; every text is read whole, however long, block by block.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +32,8 @@ BLOCK_BYTES = 2048
 LEVELS = (3, 9, 19)
 SURE = (0.08, 0.0)
 MIN_MARGIN = 0.0005
-LETTER = re.compile(r"[^\W\d_]")
-_REST = re.compile(r"[\W\d_]+")
+LETTER = regex.compile(r"\p{L}")
+_REST = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str) -> bytes:
@@ -44,7 +47,7 @@ def fit_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str
     Counts by language come first; a hash threshold then leaves about three times the sample, so
     that the per-language ranking never sees a hot language's rows.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.char_length("text") > 0))
     rows = rows.withColumn("long_text", F.char_length("text") > SAMPLE_CHARS)
     counts = rows.groupBy("lang", "long_text").count().collect()
@@ -55,7 +58,7 @@ def fit_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str
         by_lang.setdefault(r["lang"], {})[r["long_text"]] = r["count"]
     # Short texts give varied dictionaries; a language that has none falls back on its long ones.
     picked = {lang: (False, n[False]) if False in n else (True, n[True]) for lang, n in by_lang.items()}
-    share = F.pmod(F.xxhash64(F.col("id").cast("string"), "lang"), F.lit(1 << 40)) / float(1 << 40)
+    share = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.xxhash64("text").cast("string")), F.col("lang")), F.lit(1 << 40)) / float(1 << 40)
     keep = F.lit(False)
     for lang, (long_text, n) in picked.items():
         hit = (F.col("lang") == lang) & (F.col("long_text") == long_text)
@@ -65,7 +68,7 @@ def fit_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
     out: dict[str, list[bytes]] = {}
-    for r in sample.withColumn("k", rank).where(F.col("k") <= SAMPLE_DOCS).select("lang", "k", "text").collect():
+    for r in sample.withColumn("k", rank).where(F.col("k") <= SAMPLE_DOCS).select("lang", "k", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
         out.setdefault(r["lang"], []).append((r["k"], letters(r["text"])))
     return {lang: b" ".join(t for _, t in sorted(texts))[:DICT_BYTES] for lang, texts in sorted(out.items())}
 
@@ -125,7 +128,6 @@ def keep_identified(documents: DataFrame, dictionaries: dict[str, bytes], min_ma
     """The rows of ``documents``, unchanged, whose text is not rejected."""
     import citeweave.llm.langid as own
 
-    lowered = {k: v.decode("utf-8", "ignore").lower().encode() for k, v in dictionaries.items()}
     at = documents.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
