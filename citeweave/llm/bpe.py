@@ -9,11 +9,14 @@ stored ids.  ``encode_documents`` first deals the documents by the least hash of
 
 Exactness: the pre-tokenizer splits text into pieces ``\\s+(?!\\S)| ?\\S+|\\s`` that no merge ever
 crosses, so a token list can be cut between pieces.  A chunk is stored by its pieces; the repair
-window begins and ends at a piece.  Texts with white space outside the plain set, or with an added
-token's string, are given to the library whole.
-
-Null texts count as empty: no ids.  Repeated rows each get their own result.  Very long texts are
-handled chunk by chunk; the memory is one text, its ids and the bounded cache.
+window begins and ends at a piece.  Where a text holds white space outside the plain set, or an
+added token's string, the run up to the next plain word on either side is cut out and encoded by
+the library; the rest goes by chunks.
+
+Null texts count as empty: no ids.  Repeated rows each get their own result, null ids too; an empty
+table gives an empty result; other columns, whatever their names, play no part.  Very long texts are
+handled chunk by chunk; the memory is one text, its ids and the bounded cache.  ``chunk_reuse`` tells
+how many chunks a table's tasks meet and how many of them they encode.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ EDGE = 16
 PIECE = re.compile(r"\s+(?!\S)| ?\S+|\s")
 #: Text on which all libraries agree about letters, digits and space.
 LATIN = re.compile("[\n -~\u00c0-\u024f]*")
+#: Between two plain words: the one space there begins a piece, whatever stands further off.
+CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
 #: Characters whose class differs between regular-expression libraries, or that some call space.
 ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  -⁤　﻿]")
 
@@ -98,6 +103,11 @@ class Codec:
         self.library.no_padding()
         spec = json.load(open(path, encoding="utf-8"))
         self.added = [t["content"] for t in spec["added_tokens"]]
+        # Added tokens that reach beyond their own string leave no place to cut.
+        reach = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in spec["added_tokens"])
+        odd = "|".join([ODD.pattern, *map(re.escape, sorted(self.added, key=len, reverse=True))])
+        self.odd, self.whole = re.compile(odd), reach
+        self.met = self.encoded = 0
         alphabet = _byte_alphabet()
         self.bytes = {i: t.encode() if t in self.added else bytes(alphabet[c] for c in t) for t, i in self.library.get_vocab().items()}
         newline = self.library.encode("\n", add_special_tokens=False).ids
@@ -156,7 +166,9 @@ class Codec:
     def _chunk(self, chunk: str) -> list:
         """Pieces and their ids of a chunk, encoded once; the pieces between its edges are held as one."""
         found = self.chunks.get(chunk)
+        self.met += 1
         if found is None:
+            self.encoded += 1
             if len(self.chunks) >= CACHE_CHUNKS:
                 for old in list(self.chunks)[: CACHE_CHUNKS // 2]:
                     del self.chunks[old]
@@ -167,12 +179,44 @@ class Codec:
             found = self.chunks[chunk] = [parts, ids]
         return found
 
+    def runs(self, text: str) -> list[tuple[bool, str]]:
+        """(odd, run): the runs around odd characters and added tokens, cut between plain words, and the rest."""
+        odd = [m.span() for m in self.odd.finditer(text)]
+        if not odd:
+            return [(False, text)]
+        if self.whole:
+            return [(True, text)]
+        cuts = np.array([0, *(m.start() for m in CUT.finditer(text)), len(text)])
+        spans = np.array(odd)
+        first, last = np.searchsorted(cuts, spans[:, 0], "right") - 1, np.searchsorted(cuts, spans[:, 1])
+        out, at = [], 0
+        for a, b in sorted(set(zip(cuts[first].tolist(), cuts[last].tolist()))):
+            if out and a < at:  # shares a run with the one before
+                out[-1] = (True, out[-1][1] + text[at:b])
+            else:
+                out += [(False, text[at:a])] * (a > at) + [(True, text[a:b])]
+            at = max(at, b)
+        return out + [(False, text[at:])] * (at < len(text))
+
     def ids(self, text: str | None) -> bytes:
         """The ids of the whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if ODD.search(text) or any(a in text for a in self.added):
-            return self._library(text)
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        out = []
+        for odd, run in self.runs(text):
+            if not odd:
+                out.append(self._plain(run))
+            elif (ids := self.pieces.get(run)) is None:
+                out.append(self._library(run))
+                if len(run) <= 256:
+                    self.pieces[run] = out[-1]
+            else:
+                out.append(ids)
+        return b"".join(out)
+
+    def _plain(self, text: str) -> bytes:
         out: list[bytes] = []
         tail: list[str] = []  # pieces at the end of what is in ``out``, by which a join is repaired
         for chunk in chunks(text):
@@ -236,6 +280,11 @@ def with_route(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(scan, "doc_id long, text string, route long").withColumn("route", F.coalesce("route", F.xxhash64("doc_id")))
 
 
+def _dealt(documents: DataFrame) -> DataFrame:
+    # Rebalanced by route: Spark splits a route that is too large for one task, and joins small ones.
+    return with_route(documents).hint("rebalance", "route").sortWithinPartitions("route")
+
+
 def encode_documents(documents: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text (``with_ids``: the ids too) for every row."""
     import citeweave.llm.bpe as own
@@ -255,9 +304,7 @@ def encode_documents(documents: DataFrame, vocabulary: str | None = None, id_col
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    # Rebalanced by route: Spark splits a route that is too large for one task, and joins small ones.
-    dealt = with_route(id_text(documents, id_col, text_col)).hint("rebalance", "route").sortWithinPartitions("route")
-    return dealt.mapInArrow(code, _SCHEMA + (", ids array<int>" if with_ids else ""))
+    return _dealt(id_text(documents, id_col, text_col)).mapInArrow(code, _SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def decode_ids(rows: DataFrame, vocabulary: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -271,3 +318,20 @@ def decode_ids(rows: DataFrame, vocabulary: str | None = None, ids_col: str = "i
             yield s.map(lambda x: None if x is None else codec.decode(np.asarray(x, "<u4").tobytes()))
 
     return rows.withColumn("text", text(F.col(ids_col)))
+
+
+def chunk_reuse(documents: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (chunks, encoded): chunks that the tasks of ``encode_documents`` meet, and those among
+    them that they encode; the others are reused."""
+    import citeweave.llm.bpe as own
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = own.Codec(vocabulary or own.default_vocabulary())
+        for batch in slices(batches):
+            for t in batch.column("text").to_pylist():
+                codec.ids(t)
+        yield pa.RecordBatch.from_arrays([pa.array([codec.met], pa.int64()), pa.array([codec.encoded], pa.int64())], names=["met", "encoded"])
+
+    dealt = _dealt(id_text(documents, id_col, text_col))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return dealt.mapInArrow(count, "met long, encoded long").agg(zero("met").alias("chunks"), zero("encoded").alias("encoded"))

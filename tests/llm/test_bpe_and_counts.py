@@ -84,3 +84,34 @@ def test_piece_model():
     texts = ["Hello world", "", None, "日本語 text"]
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     assert tokencount.count_texts(texts, path) == [len(model.encode(t or "")) for t in texts]
+
+
+def test_odd_characters_are_cut_out(library):
+    codec = bpe.Codec(bpe.default_vocabulary())
+    plain = " ".join(f"word{i % 97} and some more text, line {i}." for i in range(400))
+    lines = "\r\n".join(["The first line of the text", "and  the second one ", " third\xa0here", "x", "", "<|endoftext|> end it's here"] * 30)
+    for t in (lines, plain + "\r\n" + plain, plain + " <|endoftext|>" + plain, "\ufeff" + plain, plain + "\u200b", "a \xa0 b", "\r", "a\r b", "a \r", "it 's\r it's x\r\ny"):
+        assert np.frombuffer(codec.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[:40]
+        assert "".join(r for _, r in codec.runs(t)) == t
+    odd = [r for o, r in codec.runs(plain + "\r\n" + plain) if o]
+    assert len(odd) == 1 and len(odd[0]) < 30  # the rest goes by chunks
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_equal_the_library(library, seed):
+    rng = random.Random(seed)
+    parts = [" ", " a", " the", "b", "\r", "\r\n", "\xa0", " 1", "'s", " !", "<|endoftext|>", "<|endo", "\u3000", "  ", "\n", "é", " É", "日"]
+    codec = bpe.Codec(bpe.default_vocabulary())
+    for _ in range(400):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(codec.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_copies_cost_one_encoding(spark):
+    text = " ".join(f"token{i * 7919 % 5003} of text {i}" for i in range(3000))
+    df = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string").repartition(4)
+    r = bpe.chunk_reuse(df).first()
+    assert r["chunks"] == 40 * len(bpe.chunks(text)) and r["encoded"] <= 4 * len(bpe.chunks(text))
+    one = bpe.Codec(bpe.default_vocabulary())
+    assert len({one.ids(text) for _ in range(3)}) == 1 and one.encoded == len(bpe.chunks(text)) == one.met // 3
+    assert tuple(bpe.chunk_reuse(df.limit(0)).first()) == (0, 0)
