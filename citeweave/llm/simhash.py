@@ -13,8 +13,11 @@ within two bits, and two fingerprints within two bits share a midpoint.  Linking
 members to their least one therefore gives exactly the components of the link relation.
 
 Null texts count as empty; texts without words have fingerprint zero, linked like any other.
-Repeated rows and equal texts share a fingerprint, and all of them get the component's least id.
-Rows with a null id get the component of their fingerprint but never name one (null if alone).
+Repeated rows and equal texts share a fingerprint, and all of them get the component's least id;
+an id on rows of different texts can be in several components.  Rows with a null id get the
+component of their fingerprint but never name one (null if alone).  Texts are read whole, however
+long, in blocks of hashes.  An empty table gives an empty result; other columns, whatever their
+names, play no part.
 """
 
 from __future__ import annotations
@@ -107,21 +110,41 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _printed(documents: DataFrame, text_col: str) -> DataFrame:
+    """``documents`` with the fingerprint of each row's text as ``__fp``."""
+    import citeweave.llm.simhash as own
+
+    names = documents.columns
+    at = names.index(text_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            fp = [own.fingerprint(own.shingle_hashes(t)) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], names=[*names, "__fp"])
+
+    return documents.mapInArrow(scan, documents.withColumn("__fp", F.lit(0).cast("long")).schema)
+
+
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``documents`` with one row of each class: the one with the least id.
+    """``documents`` with one row of each class: one with the least id.
 
     Rows with a null id stay, for nothing can refer to them.  Only ids are shuffled: the ids that go
-    are joined against the documents, broadcast if a count shows them to be few.
+    are joined against the documents, broadcast if a count shows them to be few.  Where an id stands
+    on several rows, its rows are told apart by their fingerprints.
     """
     from citeweave.llm.common import small_side
 
-    classes = materialise(near_duplicates(documents, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__class")))
-    gone = materialise(classes.where("__id <> __class").select("__id").distinct())
-    kept = documents.join(small_side(gone), F.col(id_col).cast("long") == F.col("__id"), "left_anti")
-    again = materialise(classes.where("__id = __class").groupBy("__id").count().where("count > 1").select("__id"))
+    classes = near_duplicates(documents, id_col, text_col).where("doc_id IS NOT NULL")
+    classes = materialise(classes.select(F.col("doc_id").alias("__id"), F.conv("fingerprint", 16, -10).cast("long").alias("__fp"), F.col("component_id").alias("__class")))
+    repeated = classes.groupBy("__id").count().where("count > 1").select("__id")
+    gone = materialise(classes.where("__id <> __class").select("__id").unionByName(repeated).distinct())
+    key = F.col(id_col).cast("long") == F.col("__id")
+    once = documents.join(small_side(gone), key, "left_anti")
+    # Of the rows of a repeated id, one stays if the id names their component.
+    again = materialise(repeated)
     if again.isEmpty():
-        return kept
-    # Rows that repeat a kept id: one of them stays.
-    once = kept.join(small_side(again), F.col(id_col).cast("long") == F.col("__id"), "left_anti")
-    more = kept.join(small_side(again), F.col(id_col).cast("long") == F.col("__id"), "left_semi")
-    return once.unionByName(more.dropDuplicates([id_col]))
+        return once
+    named = classes.where("__id = __class").join(small_side(again), "__id", "left_semi").groupBy("__id").agg(F.min("__fp").alias("__print"))
+    rows = _printed(documents.join(small_side(again), key, "left_semi"), text_col)
+    kept = rows.join(small_side(materialise(named)), key & (F.col("__fp") == F.col("__print")), "left_semi")
+    return once.unionByName(kept.dropDuplicates([id_col]).select(*[F.col(c) for c in documents.columns]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeweave.llm import simhash
 from citeweave.llm.components import components
+from tests.llm.conftest import rows_of
 
 
 def brute(text):
@@ -85,3 +86,12 @@ def test_components_of_a_long_path_and_a_hub(spark):
     got = components(df).groupBy("root").agg(F.count("*").alias("n")).collect()
     assert sorted((r["root"], r["n"]) for r in got) == [(100, 81), (1000, 200)]
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_an_id_on_rows_of_different_texts(spark):
+    a, b, c = ("the quick brown fox jumps over it", "a text of its own that nobody else holds at all", "yet another one of quite other words here")
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (5, b, "w"), (7, b, "v"), (8, c, "u"), (8, c, "u"), (None, a, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __fp_ string")
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    assert rows_of(kept, "doc_id", "text") == sorted([(1, a), (5, b), (8, c), (None, a)], key=repr)
