@@ -1,42 +1,96 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
-Every template is a phrase with a label.  The document frequency of each template word is counted
-over all documents, and a template's index entries are its ``ANCHORS`` highest-IDF words with their
-positions in the phrase.  A file looks up those words among its own: each hit minus the posting's
-position is a place where the template could start, and the postings of one template are
-intersected by that relative position.  At every place left, the template's mandatory phrase is
-verified word by word.  An occurrence of a phrase holds all its anchors at their positions, so the
-index loses none; common words are never looked up.
+A template is a licence's header or grant paragraph as words with positions, a label, and mandatory
+key phrases.  The document frequency of each template word is counted over all documents, and the
+template's postings are its ``ANCHORS`` highest-IDF words with their positions.  A file looks up
+those words among its own: each hit minus the posting's position is a place where the template could
+start, and the postings are intersected by that relative position.  One posting in ``MISSING`` may be
+absent, so a changed word here and there hides no licence.  At every place left the mandatory
+phrases must stand word by word where the template has them.  The base phrases are templates of two
+or three words, all of which are postings and none may be absent.
+
+The texts are split into words once; the hits of all template words are written, and frequencies,
+intersection and verification read those alone.
 
 Null and empty texts: no words, no places, null first and last word, empty labels, score 0.
-Ties of IDF: the earlier word of the phrase.  Repeated rows keep their own result.  The score is
-1 - 2^-n for n verified places.  Map-only but for the counts of template words.
+Ties of IDF: the earlier word of the template; of a word that a template repeats, its first place.
+Repeated rows and rows with a null id keep their own result; an empty table gives an empty result;
+other columns, whatever their names, play no part.  Texts are read whole, however long.  The score
+is the greatest share of a template's postings met at a verified place, 0 without one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import id_text
+from citeweave.llm.common import id_text, materialise
 
-# Label and phrase; the first three are the base phrases.
+# Label and phrase of the base.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
-TEMPLATES = (
-    *BASE,
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("apache-text", "licensed under the apache license version 2 0"),
-    ("gpl-text", "redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl", "mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose"),
-    ("cc", "creative commons attribution"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("spdx", "spdx license identifier"),
+# Label, words of the licence's own text, mandatory phrases.
+TEXTS = (
+    (
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software"
+        " without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        ("permission is hereby granted free of charge", "without restriction"),
+    ),
+    (
+        "apache-text",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"
+        " you may obtain a copy of the license at http www apache org licenses license 2 0",
+        ("licensed under the apache license",),
+    ),
+    ("apache-line", "licensed under the apache license version 2 0", ("apache license version",)),
+    (
+        "gpl-text",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+        " as published by the free software foundation either version 2 of the license or at your option any later version",
+        ("redistribute it and or modify it", "gnu general public license"),
+    ),
+    (
+        "lgpl-text",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"
+        " as published by the free software foundation either version 2 1 of the license or at your option any later version",
+        ("redistribute it and or modify it", "gnu lesser general public license"),
+    ),
+    (
+        "agpl-text",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"
+        " as published by the free software foundation either version 3 of the license or at your option any later version",
+        ("redistribute it and or modify it", "gnu affero general public license"),
+    ),
+    (
+        "bsd-text",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        ("redistribution and use in source and binary forms",),
+    ),
+    (
+        "isc-text",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+        " provided that the above copyright notice and this permission notice appear in all copies",
+        ("for any purpose with or without fee",),
+    ),
+    (
+        "mpl-text",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        ("mozilla public license",),
+    ),
+    ("cc-line", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
+    (
+        "unlicense-text",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+        ("free and unencumbered software", "public domain"),
+    ),
+    ("spdx", "spdx license identifier", ()),
 )
-ANCHORS = 2
+TEMPLATES = (*((label, phrase, ()) for label, phrase in BASE), *TEXTS)
+#: Postings of a template; one in MISSING may be absent from a file.
+ANCHORS, MISSING = 8, 4
 #: One word of a text, either case; the Kelvin sign is kept apart from the letter its lower case is.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -47,86 +101,120 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(plain), F.lit(WORD), F.lit(0))
 
 
-def document_frequencies(documents: DataFrame, templates=TEMPLATES) -> dict[str, int]:
-    """Documents that hold each template word, over all of ``documents``; at most one row a word."""
-    vocabulary = sorted({w for _, p in templates for w in p.split()})
-    held = F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary)))
-    rows = documents.select(F.explode(held).alias("word")).groupBy("word").count().collect()
-    return {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in rows}
+def word_hits(documents: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """(doc_id, n_words, hits): where the template words stand; ``documents``: doc_id, text."""
+    vocabulary = sorted({w for _, text, _ in templates for w in text.split()})
+    rows = documents.select("doc_id", words_of(F.col("text")).alias("words"))
+    hits = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("w"), i.alias("i")))))
+    return rows.select("doc_id", F.size("words").alias("n_words"), hits.alias("hits"))
+
+
+def document_frequencies(hits: DataFrame, templates=TEMPLATES) -> dict[str, int]:
+    """Documents that hold each template word, over all rows; at most one row a template word."""
+    held = hits.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("word"))
+    return {w: 0 for _, text, _ in templates for w in text.split()} | {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
 
 
 def build_index(df: dict[str, int], templates=TEMPLATES, anchors: int = ANCHORS) -> list[list[tuple[str, int]]]:
-    """Postings by template: its rarest words (distinct) with their positions in the phrase."""
+    """Postings by template: its rarest words (distinct) with their positions."""
     out = []
-    for _, phrase in templates:
+    for _, text, _ in templates:
         first: dict[str, int] = {}
-        for i, w in enumerate(phrase.split()):
+        for i, w in enumerate(text.split()):
             first.setdefault(w, i)
-        ranked = sorted(first.items(), key=lambda x: (df.get(x[0], 0), x[1]))
-        out.append(ranked[:anchors])
+        out.append(sorted(first.items(), key=lambda x: (df.get(x[0], 0), x[1]))[:anchors])
     return out
 
 
-def _starts(word: str, at: int) -> Column:
-    """Where a template could start, by the hits of one of its postings."""
-    return F.transform(F.filter("hits", lambda h: h["w"] == word), lambda h: h["i"] - at)
+def needed(postings: list) -> int:
+    """Postings that must agree on a place."""
+    return len(postings) - len(postings) // MISSING
+
+
+def demands(text: str, phrases: tuple[str, ...]) -> list[tuple[int, list[str]]]:
+    """Mandatory phrases of a template and where they begin in it."""
+    words, out = text.split(), []
+    for p in phrases:
+        p = p.split()
+        out.append((next(i for i in range(len(words)) if words[i : i + len(p)] == p), p))
+    return out
+
 
+def _starts(postings: list[tuple[str, int]]) -> Column:
+    """Where a template could start, once for each posting that is met there, in order."""
+    at = lambda word, i: F.transform(F.filter("rare", lambda h: h["w"] == word), lambda h: h["i"] - i)
+    return F.array_sort(F.flatten(F.array(*[at(w, i) for w, i in postings])))
 
-def _places(target: list[str], postings: list[tuple[str, int]]) -> Column:
-    """Starts on which all postings agree and at which the whole phrase stands."""
-    starts = _starts(*postings[0])
-    for word, at in postings[1:]:
-        starts = F.array_intersect(starts, _starts(word, at))
-    phrase = F.array(*map(F.lit, target))
-    verified = F.filter(starts, lambda s: (s >= 0) & (F.slice("words", F.greatest(s, F.lit(0)) + 1, len(target)) == phrase))
-    return F.coalesce(verified, F.array().cast("array<int>"))
+
+def _stands(word: str, at: int) -> Callable[[Column], Column]:
+    """Whether ``word`` stands ``at`` words behind a start."""
+    return lambda s: F.exists("hits", lambda h: (h["i"] == s + at) & (h["w"] == word))
+
+
+def _places(starts: str, need: int, text: str, phrases: tuple[str, ...]) -> Column:
+    """Starts on which ``need`` postings agree and at which the mandatory phrases stand."""
+    # In order, a start that stands there need times is equal to the one need - 1 behind it.
+    pairs = F.arrays_zip(F.col(starts).alias("a"), F.slice(starts, need, F.greatest(F.size(starts), F.lit(1))).alias("b"))
+    out = F.array_distinct(F.transform(F.filter(pairs, lambda p: p["a"] == p["b"]), lambda p: p["a"]))
+    for at, phrase in demands(text, phrases):
+        for j, word in enumerate(phrase):
+            out = F.filter(out, _stands(word, at + j))
+    return out
 
 
 def find_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """One row per row of ``documents``: words, base places, labels and score."""
-    docs = id_text(documents, id_col, text_col).select("doc_id", words_of(F.col("text")).alias("words"))
+    docs = materialise(word_hits(id_text(documents, id_col, text_col), templates))
     index = build_index(document_frequencies(docs, templates), templates)
     rare = sorted({w for postings in index for w, _ in postings})
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(rare))
-    # Most files hold no rare word: their words are looked at once and no struct is made.
-    docs = docs.withColumn("hits", F.when(F.exists("words", lambda w: w.isin(rare)), hits))
-    places = [_places(phrase.split(), postings) for (_, phrase), postings in zip(templates, index)]
-    docs = docs.select("doc_id", F.size("words").cast("long").alias("n_words"), F.array(*places).alias("places"))
+    docs = docs.withColumn("rare", F.filter("hits", lambda h: h["w"].isin(rare)))
+    docs = docs.select("doc_id", "n_words", "hits", *[_starts(p).alias(f"s{i}") for i, p in enumerate(index)])
+    places = [_places(f"s{i}", needed(p), text, phrases).alias(f"p{i}") for i, (p, (_, text, phrases)) in enumerate(zip(index, templates))]
+    docs = docs.select("doc_id", "n_words", *[f"s{i}" for i in range(len(index))], *places)
     n_base = len(BASE)
-    base = F.flatten(F.slice("places", 1, n_base))
-    n_places = F.size(F.flatten("places"))
+    base = F.flatten(F.array(*[F.col(f"p{i}") for i in range(n_base)]))
 
     def labels(k: int) -> Column:
-        named = [F.when(F.size(F.element_at("places", i + 1)) > 0, F.lit(label)) for i, (label, _) in enumerate(templates[:k])]
+        named = [F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (label, _, _) in enumerate(templates[:k])]
         return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*named)))), ",")
 
+    def share(i: int, postings: list) -> Column:
+        met = F.transform(f"p{i}", lambda s: F.size(F.filter(f"s{i}", lambda x: x == s)) / float(len(postings)))
+        return F.coalesce(F.array_max(met), F.lit(0.0)) if needed(postings) < len(postings) else F.when(F.size(f"p{i}") > 0, 1.0).otherwise(0.0)
+
     return docs.select(
-        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(base).cast("long").alias("n_base"),
         F.array_min(base).cast("long").alias("first_word"), F.array_max(base).cast("long").alias("last_word"),
-        labels(n_base).alias("base_labels"), labels(len(templates)).alias("labels"),
-        (F.lit(1.0) - F.pow(F.lit(0.5), n_places)).alias("score"),
+        labels(n_base).alias("base_labels"), labels(len(templates)).alias("labels"), F.greatest(*[share(i, p) for i, p in enumerate(index)]).alias("score"),
     )
 
 
-def oracle_sql(templates=TEMPLATES) -> str:
-    """DuckDB SQL for find_licenses over documents: every position is compared with every phrase."""
-    places = []
-    for i, (_, phrase) in enumerate(templates):
-        t = phrase.split()
-        literal = "[" + ", ".join(f"'{w}'" for w in t) + "]"
-        places.append(f"list_filter(range(len(words)), lambda s: words[s + 1 : s + {len(t)}] = {literal}) AS p{i}")
-    n = len(templates)
-    name = lambda k: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{templates[i][0]}' END" for i in range(k)) + "], lambda x: x IS NOT NULL))), ',')"
-    base = " || ".join(f"p{i}" for i in range(len(BASE)))
-    total = " + ".join(f"len(p{i})" for i in range(n))
+def oracle_sql(templates=TEMPLATES, anchors: int = ANCHORS) -> str:
+    """DuckDB SQL for find_licenses over documents: hits, frequencies and postings as relations."""
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    words, stand = [], []
+    for t, (_, text, phrases) in enumerate(templates):
+        ws = text.split()
+        words += [f"({t}, '{w}', {ws.index(w)})" for w in dict.fromkeys(ws)]
+        tests = " AND ".join(f"words[s + {at + 1} : s + {at + len(p)}] = {quoted(p)}" for at, p in demands(text, phrases))
+        stand.append(f"WHEN {t} THEN {tests or 'true'}")
+    names = ", ".join(f"({t}, '{label}')" for t, (label, _, _) in enumerate(templates))
     return f"""
 WITH w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
-p AS (SELECT doc_id, words, {", ".join(places)} FROM w)
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len({base}) AS BIGINT) AS n_base,
-  CAST(list_min({base}) AS BIGINT) AS first_word, CAST(list_max({base}) AS BIGINT) AS last_word,
-  {name(len(BASE))} AS base_labels, {name(n)} AS labels,
-  1.0::DOUBLE - pow(0.5::DOUBLE, {total}) AS score
-FROM p"""
-
+v AS (SELECT * FROM (VALUES {", ".join(words)}) AS v(t, word, pos)),
+h AS (SELECT r, i, words[i + 1] AS word FROM (SELECT r, words, unnest(range(len(words))) AS i FROM w) WHERE words[i + 1] IN (SELECT word FROM v)),
+f AS (SELECT word, count(DISTINCT r) AS df FROM h GROUP BY word),
+k AS (SELECT t, word, pos FROM v LEFT JOIN f USING (word) QUALIFY row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), pos) <= {anchors}),
+n AS (SELECT t, count(*) AS n FROM k GROUP BY t),
+c AS (SELECT r, t, i - pos AS s, count(*) AS met FROM h JOIN k USING (word) GROUP BY r, t, s),
+p AS (SELECT r, t, s, met / n AS share FROM c JOIN n USING (t) JOIN w USING (r)
+  WHERE met >= n - n // {MISSING} AND CASE t {" ".join(stand)} END),
+g AS (
+  SELECT r, count(*) FILTER (WHERE t < {len(BASE)}) AS n_base, min(s) FILTER (WHERE t < {len(BASE)}) AS first_word, max(s) FILTER (WHERE t < {len(BASE)}) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE t < {len(BASE)}) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM p JOIN (VALUES {names}) AS l(t, label) USING (t) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM w LEFT JOIN g USING (r)"""
