@@ -12,13 +12,16 @@ token's probability is its class's (the attention model's softmax) times its sha
 which comes from the subword counts of all training documents.
 
 Training is data-parallel: the windows lie over the whole of every training text as in scoring, so
-every token is a target once in a pass.  Each task runs Adam on its windows from common parameters,
-and the parameters are averaged by weight after each round.  A text's ids leave its task only for
-the scratch folder.
+every token is a target once in a pass.  Texts are dealt into groups by a hash of id and text, in an
+order that the hash gives, and cut into units of ``UNIT`` ids.  From common parameters Adam runs over
+each unit, and the parameters are averaged by weight after each round.  Units follow from the rows
+alone, so the model does not depend on how many tasks there are or which rows they read (but for the
+last bits of sums).
 
 Null texts count as empty: one token, the end.  No training document at all: every count is 0 and
-the model keeps its initial parameters.  Repeated rows count, and are scored, each.  Very long
-texts are scored in blocks of windows.
+the model keeps its initial parameters; an empty table gives an empty result.  Repeated rows count,
+and are scored, each; rows with a null id like any other.  Very long texts are scored in blocks of
+windows.  Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ OWN_ROWS, SHARED_ROWS, OWN_CLASSES, SHARED_CLASSES = 960, 64, 192, 32
 BATCH, ROUNDS, EPOCHS, RATE = 256, 2, 1, 0.02
 #: Training windows that start in one row of ``training_windows``.
 ROW_WINDOWS = 16_384
+#: Ids of a unit of training, and units of a group at most GROUPS groups (then more).
+UNIT, GROUP_UNITS, GROUPS = 1 << 20, 4, 4_096
 #: Bytes of text that are read at one time.
 SLICE = 4 << 20  # a batch of ARROW_ROWS rows is about as large
 HEAD, CACHE_WORDS = 300_000, 400_000
@@ -164,6 +169,7 @@ class Layout:
 
     def __init__(self, counts: np.ndarray):
         n = len(counts)
+        self.n_ids = int(counts.sum())
         order = np.lexsort((np.arange(n), -counts))
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
@@ -222,16 +228,21 @@ def gradients(p: dict, rows: np.ndarray, target: np.ndarray, pad: int) -> tuple[
     t, line = np.maximum(target.ravel(), 0), np.arange(target.size)
     g = h2 @ p["C"]
     g += p["b"]
-    g -= g.max(axis=1, keepdims=True)
-    np.exp(g, out=g)
-    ones = np.ones(g.shape[1], g.dtype)
-    total = g @ ones
+    with np.errstate(over="ignore"):
+        np.exp(g, out=g)
+    total = g @ np.ones(g.shape[1], g.dtype)
+    if not np.isfinite(total).all() or not total.min() > 0:  # logits beyond the range of exp
+        g = h2 @ p["C"] + p["b"]
+        g -= g.max(axis=1, keepdims=True)
+        np.exp(g, out=g)
+        total = g @ np.ones(g.shape[1], g.dtype)
     loss = float(-(np.log(np.maximum(g[line, t] / total, 1e-12)) * live).sum() / n)
-    # (probability - 1 at the target) / n, or 0 where there is no target.
-    g *= (live / (total * np.float32(n))).astype(g.dtype)[:, None]
-    g[line, t] -= (live / np.float32(n)).astype(g.dtype)
-    out = {"C": h2.T @ g, "b": np.ones(len(g), g.dtype) @ g}
-    dh = (g @ p["C"].T).reshape(h.shape)
+    # The gradient of a row of logits is (probability - 1 at the target) / n, or 0 without a target:
+    # g is left unscaled, and the scale goes to the narrow side of each product.
+    g[line, t] -= total
+    scale = (live / (total * n)).astype(g.dtype)[:, None]
+    out = {"C": (g.T @ (h2 * scale)).T, "b": scale[:, 0] @ g}
+    dh = ((g @ p["C"].T) * scale).reshape(h.shape)
     dv = a.transpose(0, 2, 1) @ dh
     ds = dh @ v.transpose(0, 2, 1)
     ds -= (ds * a).sum(axis=2, keepdims=True)
@@ -415,58 +426,75 @@ def corpus_counts(training: DataFrame, ranks: str) -> DataFrame:
 
 
 def training_windows(training: DataFrame, ranks: str) -> DataFrame:
-    """(w binary): lines of 32-bit ids in which ``windows_of`` finds every token of ``training`` as a target once."""
+    """(h, seq, only, w binary): lines of 32-bit ids of one text each, in which ``windows_of`` finds every
+    token of ``training`` as a target once; h hashes id and text, seq counts the lines of a very long
+    text, only tells that there is but one."""
     import citeweave.llm.lm as own
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = own.words_for(ranks)
         for batch in slices(batches, limit=own.SLICE):
-            line = own.laid_out(*own.with_ends(*table.read(batch.column("text")), table))
-            step = own.ROW_WINDOWS * own.STRIDE
-            for i in range(0, len(line) - own.STRIDE - 1, step):
-                yield pa.RecordBatch.from_arrays([pa.array([line[i : i + step + own.STRIDE + 1].tobytes()], pa.binary())], names=["w"])
+            ids, sizes = own.with_ends(*table.read(batch.column("text")), table)
+            line = own.laid_out(ids, sizes)
+            room = (-(-sizes // own.STRIDE) + 2) * own.STRIDE
+            step, rows = own.ROW_WINDOWS * own.STRIDE, []
+            for h, start, n in zip(batch.column("h").to_pylist(), (np.cumsum(room) - room).tolist(), room.tolist()):
+                last = max(1, -(-(n - 2 * own.STRIDE) // step))
+                for k in range(last):
+                    end = n if k == last - 1 else (k + 1) * step + own.STRIDE + 1
+                    rows.append((h, k, last == 1, line[start + k * step : start + end].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], names=["h", "seq", "only", "w"])
+
+    keyed = training.select(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit(""))).alias("h"), "text")
+    return keyed.mapInArrow(cut, "h long, seq int, only boolean, w binary")
+
+
+def training_units(windows: DataFrame, n_ids: int) -> DataFrame:
+    """(lines array<binary>): the lines of each unit of training.  ``n_ids``: the ids in all, from which
+    the number of groups follows.  Lines of whole texts are joined to one."""
+    import citeweave.llm.lm as own
+
+    groups = max(1, min(GROUPS, round(n_ids / (GROUP_UNITS * UNIT))))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, parts, size, group = [], [], 0, None
+        unit = lambda: pa.RecordBatch.from_arrays([pa.array([[*([b"".join(whole)] if whole else []), *parts]], pa.list_(pa.binary()))], names=["lines"])
+        for batch in batches:
+            for g, only, w in zip(*(batch.column(c).to_pylist() for c in ("g", "only", "w"))):
+                if size and (g != group or size >= 4 * own.UNIT):
+                    yield unit()
+                    whole, parts, size = [], [], 0
+                (whole if only else parts).append(w)
+                size, group = size + len(w), g
+        if size:
+            yield unit()
 
-    return training.mapInArrow(cut, "w binary")
+    dealt = windows.withColumn("g", F.pmod("h", F.lit(groups)).cast("int"))
+    return dealt.repartition("g").sortWithinPartitions("g", "h", "seq", "w").select("g", "only", "w").mapInArrow(join, "lines array<binary>")
 
 
 def train(windows: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters after ``rounds`` of local Adam and weighted averaging.
+    """Parameters after ``rounds`` of Adam over each unit of ``windows`` (see ``training_windows``), averaged by weight.
 
-    The tasks' parameters are summed in a few groups on the executors; the driver gets one row a group.
+    A task sums what its rows give; its sums are added in a few groups on the executors, and the
+    driver gets one row a group.
     """
     import citeweave.llm.lm as own
 
-    p = initial(layout)
+    p, units = initial(layout), materialise(training_units(windows, layout.n_ids))
     shapes = {k: v.shape for k, v in p.items()}
     pack = lambda x: np.concatenate([x[k].ravel() for k in NAMES])
     for r in range(rounds):
         now = p
 
         def local(batches: Iterator[pa.RecordBatch], now=now, r=r) -> Iterator[pa.RecordBatch]:
-            held, total, weight = [], None, 0
-
-            def step():
-                w = np.concatenate(held)
-                got = own.fit(now if total is None else unpack(total / weight), w, layout, own.EPOCHS, own.RATE / (1 + r), seed=r)
-                return pack(got).astype(np.float64), len(w)
-
-            def unpack(flat):
-                out, at = {}, 0
-                for k in NAMES:
-                    size = int(np.prod(shapes[k]))
-                    out[k] = flat[at : at + size].reshape(shapes[k]).astype(np.float32)
-                    at += size
-                return out
-
-            for batch in batches:  # about 100,000 windows in memory
-                for line in batch.column("w"):
-                    held.append(own.windows_of(np.frombuffer(line.as_buffer(), np.int32)))
-                    if sum(map(len, held)) >= 100_000:
-                        got, k = step()
-                        total, weight, held = got * (weight + k), weight + k, []
-            if held:
-                got, k = step()
-                total, weight = got * (weight + k), weight + k
+            total, weight = 0.0, 0
+            for batch in batches:
+                for lines in batch.column("lines"):
+                    w = np.concatenate([own.windows_of(np.frombuffer(x, np.int32)) for x in lines.as_py()])
+                    if len(w):
+                        got = own.fit(now, w, layout, own.EPOCHS, own.RATE / (1 + r), seed=r)
+                        total, weight = total + len(w) * pack(got).astype(np.float64), weight + len(w)
             if weight:
                 yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["weight", "p"])
 
@@ -474,7 +502,7 @@ def train(windows: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict[str,
             total = np.sum([np.frombuffer(b, np.float64) for b in pdf["p"]], axis=0)
             return pd.DataFrame({"weight": [int(pdf["weight"].sum())], "p": [total.tobytes()]})
 
-        parts = windows.mapInArrow(local, "weight long, p binary").withColumn("g", F.pmod(F.xxhash64("weight", "p"), F.lit(8)))
+        parts = units.mapInArrow(local, "weight long, p binary").withColumn("g", F.pmod(F.xxhash64("weight", "p"), F.lit(8)))
         sums = parts.groupBy("g").applyInPandas(add, "weight long, p binary").collect()
         if not sums:
             return p
@@ -518,7 +546,7 @@ def score_documents(documents: DataFrame, held_out, ranks: str | None = None, id
     for row in counts.where("kind = 1").select("key", "n").collect():  # at most one row a vocabulary id
         sub[row["key"]] = row["n"]
     layout = Layout(sub)
-    p = train(materialise(training_windows(training, ranks)), layout)
+    p = train(training_windows(training, ranks), layout)
     shared = spark.sparkContext.broadcast((p, layout, head_wid, head_n))
     norm = np.log10(N + SMOOTH * (V + 1))
 

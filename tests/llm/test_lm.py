@@ -145,6 +145,68 @@ def test_every_training_token_is_a_target_once(docs, monkeypatch):
     assert collections.Counter(goals[goals >= 0].tolist()) == want
 
 
+def plain_score(p, layout, ids):
+    """log10 probability of a text's ids, one token at a time, by attention written out."""
+    total, d = 0.0, lm.WIDTH
+    line = [layout.begin, *layout.row[ids].tolist()]
+    for i, token in enumerate(ids):
+        start = i // lm.STRIDE * lm.STRIDE - lm.STRIDE  # inputs start .. i, of which those before the text are not seen
+        seen = [(k, line[start + k]) for k in range(i - start + 1) if start + k >= 0]
+        x = [p["E"][r].astype(float) + p["P"][k] for k, r in seen]
+        q, mine = x[-1] @ p["Q"], x[-1]
+        a = np.array([q @ (v @ p["K"]) / np.sqrt(d) for v in x])
+        a = np.exp(a - a.max())
+        a /= a.sum()
+        logits = (mine + sum(w * (v @ p["V"]) for w, v in zip(a, x))) @ p["C"] + p["b"]
+        total += (logits[layout.group[token]] - logits.max() - np.log(np.exp(logits - logits.max()).sum())) / np.log(10) + layout.share[token]
+    return total
+
+
+def test_scores_equal_a_plain_loop(docs, monkeypatch):
+    kept = {}
+    rng = np.random.default_rng(3)
+
+    def train(windows, layout, rounds=2):
+        kept["p"], kept["layout"] = {k: v + 0.1 * rng.standard_normal(v.shape).astype(np.float32) for k, v in lm.initial(layout).items()}, layout
+        return kept["p"]
+
+    monkeypatch.setattr(lm, "train", train)
+    rows = docs.where("doc_id IS NULL OR doc_id <> 5")
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(rows, held()).collect()}
+    encode = lm.subwords(lm.default_ranks())
+    for r in rows.collect():
+        words = (r["text"] or "").encode().lower().split()
+        ids = np.array([x for w in words for x in encode[0].encode_ordinary(" " + w.decode())] + [encode[1]])
+        assert np.isclose(got[r["doc_id"]], plain_score(kept["p"], kept["layout"], ids), rtol=1e-4), r["doc_id"]
+
+
+def test_the_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "UNIT", 20_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
+    got = []
+    for n in (3, 11):
+        rows = lm.score_documents(docs.repartition(n), held()).collect()
+        got.append(np.array([r["score"] for r in sorted(rows, key=lambda r: r["doc_id"])]))
+    assert np.allclose(got[0], got[1], rtol=1e-6)
+
+
+def test_units_hold_every_window_once(docs, spark, monkeypatch):
+    monkeypatch.setattr(lm, "ROW_WINDOWS", 5)
+    monkeypatch.setattr(lm, "UNIT", 1_500)
+    windows = lm.training_windows(docs.where(~held()), lm.default_ranks())
+    flat = lambda lines: sorted(tuple(w) for x in lines for w in lm.windows_of(np.frombuffer(x, np.int32)).tolist())
+    units = [r["lines"] for r in lm.training_units(windows, 40_000).collect()]
+    assert len(units) > 3 and flat([x for u in units for x in u]) == flat([r["w"] for r in windows.collect()])
+
+
+def test_gradients_of_extreme_logits_are_finite(trained):
+    layout, p, rng = trained
+    p = {k: v.copy() for k, v in p.items()}
+    p["b"] += 500
+    loss, g = lm.gradients(p, rng.integers(0, layout.rows, (3, lm.CONTEXT)), rng.integers(-1, layout.classes, (3, lm.STRIDE)), layout.pad)
+    assert np.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
+
+
 def test_context_classes_and_passes_do_not_shrink():
     assert (lm.CONTEXT, lm.STRIDE, lm.OWN_CLASSES + lm.SHARED_CLASSES) == (32, 16, 224)
     assert lm.ROUNDS * lm.EPOCHS >= 2
