@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citeweave.functions.text import LINE_END, detect_terms, fold, headings, lines
+from citeweave.functions.text import LINE_END, detect_terms, fold, folded, headings, lines
 from citeweave.functions.urls import domain, root_domain
 
 # Endings of institutions' hosts, in order.
@@ -113,7 +113,7 @@ MARKET_WORDS = ("/search", "/category", "/c/", "listing", "/browse")
 def content_flags(title: Column, text: Column, markdown: Column, html: Column, intent: Column, ascii_only: bool = False) -> dict[str, Column]:
     """Boolean columns that say what a page offers; heuristics, not ground truth."""
     everything = fold(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.array_join(headings(markdown), " "), F.coalesce(text, F.lit(""))), ascii_only)
-    flags = {name: _any(everything, words) for name, words in FLAG_WORDS.items()}
+    flags = {name: _any(everything, tuple(map(folded, words))) for name, words in FLAG_WORDS.items()}
     body, md, raw = (F.coalesce(c, F.lit("")) for c in (text, markdown, html))
     flags["has_phone_number"] = body.rlike(PHONE)
     flags["has_email"] = fold(body, ascii_only).rlike(EMAIL)

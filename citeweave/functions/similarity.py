@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeweave.functions.text import tokens
@@ -39,6 +41,54 @@ def dense_cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norms), F.lit(0.0))
 
 
+#: Queries and rows that meet in one block of ``nearest``.
+QUERY_BLOCK, ROW_BLOCK = 2048, 8192
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, sim, rank): for each of ``queries`` (query_id, q) the k most similar of ``rows``
+    (vec_id, embedding) but itself; cosine to four decimals, ties by vec_id.
+
+    Exact, in blocks: a block of queries meets a block of rows in one task, which keeps the best k of
+    each query, so what is shuffled after that is k rows a query and block.  Vectors without length, or
+    of another length than the query, have similarity 0.
+    """
+    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
+    n_r = max(1, -(-rows.count() // ROW_BLOCK))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", F.col("q").cast("array<double>").alias("q"), block("query_id", n_q).alias("qb"), every(n_r).alias("rb"))
+    right = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), block("vec_id", n_r).alias("rb"), every(n_q).alias("qb"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        size = lambda s: s.map(lambda x: -1 if x is None else len(x)).to_numpy()
+        na, nb = size(a["q"]), size(b["embedding"])
+        ids = b["vec_id"].to_numpy()
+
+        def unit(s: pd.Series) -> np.ndarray:
+            m = np.nan_to_num(np.array(s.tolist(), float))
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+        for n in np.unique(na):
+            mine, theirs = a[na == n], nb == n
+            sims = np.zeros((len(mine), len(b)))
+            if n > 0 and theirs.any():
+                sims[:, theirs] = np.round(unit(mine["q"]) @ unit(b["embedding"][theirs]).T, 4)
+            for qid, s in zip(mine["query_id"], sims):
+                s = np.where(ids == qid, -np.inf, s)
+                last = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+                at = np.flatnonzero((s >= last) & (s > -np.inf))
+                at = at[np.lexsort((ids[at], -s[at]))][:k]
+                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at], "sim": s[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "sim": []})
+
+    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(best, "query_id long, vec_id long, sim double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
+    return parts.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def embed(texts: DataFrame, text_col: str, fn: Callable[[Sequence[str]], list[list[float]]], out: str = "embedding") -> DataFrame:
     """``texts`` with the vectors that an injected function gives, a batch at a time; [] where it fails."""
     names = texts.columns
@@ -67,6 +117,23 @@ def embed_new(texts: DataFrame, known: DataFrame, text_col: str, fn: Callable, o
     return known.join(distinct, text_col, "left_semi").select(text_col, out).unionByName(new)
 
 
+def scorer(method: str = "lexical", fn: Callable[[Sequence[str]], list[list[float]]] | None = None) -> Callable:
+    """A pair operator with the arguments of ``lexical``: that one, or the cosine of vectors that ``fn``
+    gives if the method names embeddings; without ``fn`` it falls back to ``lexical``."""
+    if "embed" not in (method or "") or fn is None:
+        return lexical
+
+    def dense(pairs: DataFrame, id_cols: list[str], a: Column, b: Column, name: str = "sim") -> DataFrame:
+        p = pairs.select(*id_cols, F.coalesce(a, F.lit("")).alias("__a"), F.coalesce(b, F.lit("")).alias("__b"))
+        texts = p.select(F.col("__a").alias("t")).unionByName(p.select(F.col("__b").alias("t"))).where("t <> ''").distinct()
+        v = embed(texts, "t", fn)
+        met = p.join(v.select(F.col("t").alias("__a"), F.col("embedding").alias("va")), "__a", "left").join(v.select(F.col("t").alias("__b"), F.col("embedding").alias("vb")), "__b", "left")
+        value = F.when((F.size("va") > 0) & (F.size("va") == F.size("vb")), F.round(dense_cosine(F.col("va"), F.col("vb")), 4))
+        return met.select(*id_cols, F.coalesce(value, F.lit(0.0)).alias(name))
+
+    return dense
+
+
 def top_mean(scores: Column, k: int = 3) -> Column:
     """max, mean and mean of the top k of an array of scores; zeros if empty."""
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,12 +100,15 @@ def freshness_days(ts: Column, as_of: Column) -> Column:
     return F.when(days.isNotNull(), F.greatest(days, F.lit(0))).cast("double")
 
 
+def folded(text: str) -> str:
+    """Compatibility-normalised, case-folded: the form in which words are looked for in folded text."""
+    return unicodedata.normalize("NFKC", text).casefold()
+
+
 @F.pandas_udf(T.StringType())
 def _folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import unicodedata
-
     for s in batches:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+        yield s.map(lambda x: None if x is None else folded(x))
 
 
 def fold(text: Column, ascii_only: bool = False) -> Column:
@@ -120,15 +124,25 @@ def _quoted(term: str) -> str:
 def detect_terms(text: Column, terms: list[str], ascii_only: bool = False) -> Column:
     """The terms found in the text, in their order: as substrings if they look like addresses or are
     not ASCII, else between characters that are no ASCII letter or digit."""
-    import unicodedata
-
     x = fold(text, ascii_only)
     hits = []
     for term in terms:
-        t = unicodedata.normalize("NFKC", term or "").casefold()
+        t = folded(term or "")
         if not t:
             continue
         sub = "." in t or "/" in t or not t.isascii()
         found = F.contains(x, F.lit(t)) if sub else x.rlike(f"(?<![a-z0-9]){_quoted(t)}(?![a-z0-9])")
         hits.append(F.when(found, F.lit(term)))
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+
+
+def percent_text(c: Column) -> Column:
+    """A share as whole percent, ties to even; a dash for null."""
+    return F.coalesce(F.concat(F.bround(c * 100.0, 0).cast("long").cast("string"), F.lit("%")), F.lit("—"))
+
+
+def number_text(c: Column, whole: bool = False) -> Column:
+    """A number for display: two decimals below a thousand, grouped digits from there on; ``whole``: an integer."""
+    grouped = F.format_number(c, 0)
+    shown = grouped if whole else F.when(F.abs(c) < 1000, F.format_string("%.2f", c.cast("double"))).otherwise(grouped)
+    return F.when(c.isNull(), F.lit("—")).otherwise(shown)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.operators.compare import long_features
+from citeweave.operators.compare import long_features, official_compare
 
 
 def pool(runs: list[DataFrame]) -> DataFrame:
@@ -31,8 +31,9 @@ def batch_aggregate(rows: DataFrame, features: list[str], topic: str = "topic",
 
 
 def recall_average(recall: DataFrame) -> DataFrame:
-    """(mode, k, recall): mean over the runs that have a value, else 0."""
-    return recall.groupBy("mode", "k").agg(F.coalesce(F.round(F.avg("recall"), 4), F.lit(0.0)).alias("recall"))
+    """(mode, k, recall): mean over the runs that have a value, else 0; rates are added as whole ten-thousandths, so halves round up alike everywhere."""
+    mean = F.avg(F.round(F.col("recall") * 10_000).cast("long"))
+    return recall.groupBy("mode", "k").agg(F.coalesce(F.round(mean) / 10_000, F.lit(0.0)).alias("recall"))
 
 
 def sample_sizes(rows: DataFrame, run: str = "run_id") -> DataFrame:
@@ -40,10 +41,12 @@ def sample_sizes(rows: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def cite_patterns(rows: DataFrame, aggregate: DataFrame, correlations: DataFrame) -> DataFrame:
-    """Sentences about what goes with being cited: medians, source types, strongest correlation."""
+    """Sentences about what goes with being cited: medians, source types, strongest correlation, official rates."""
     medians = aggregate.where("level = 'overall' AND cited_median IS NOT NULL AND non_cited_median IS NOT NULL")
     lines = medians.select(F.lit(1).alias("part"), F.col("feature").alias("key"), F.format_string("%s: median %.4f cited, %.4f shown but not cited", "feature", "cited_median", "non_cited_median").alias("text"))
     kinds = rows.groupBy("source_type").agg(F.count("*").alias("n"), F.avg("cited").alias("r")).where("n >= 2").orderBy(F.desc("r"), "source_type").limit(2)
     lines = lines.unionByName(kinds.select(F.lit(2).alias("part"), F.col("source_type").alias("key"), F.format_string("%s sources are cited at a rate of %.4f", "source_type", "r").alias("text")))
+    official = official_compare(rows).where("n > 0")
+    lines = lines.unionByName(official.select(F.lit(4).alias("part"), F.col("grp").alias("key"), F.format_string("%s sources: cite rate %.4f", "grp", "cite_rate").alias("text")))
     top = correlations.where("corr IS NOT NULL").agg(F.min(F.struct((-F.abs("corr")).alias("m"), "feature", "corr")).alias("x")).where("x IS NOT NULL")
     return lines.unionByName(top.select(F.lit(3).alias("part"), F.col("x.feature").alias("key"), F.format_string("strongest correlation with being cited: %s (%.4f)", "x.feature", "x.corr").alias("text")))

@@ -64,13 +64,13 @@ PG = """pg AS (SELECT page_id AS ord, regexp_extract(url, '^[^:]+://[^/]+/([a-z]
 
 
 def ct(spark: SparkSession, sf: str) -> DataFrame:
-    """Citations: every third page, its URL changed by page_id % 7."""
+    """Citations: every page, its URL changed by page_id % 7: one in seven leads elsewhere on its host, one in seven off it."""
     u, k = F.col("url"), F.col("page_id") % 7
     tracked = F.when(u.contains("?"), F.regexp_replace(u, r"\?", "?utm_source=x&")).otherwise(F.regexp_replace(u, "^([^#]*)(.*)$", "$1?utm_source=x$2"))
     swapped = F.when(u.startswith("https:"), F.concat(F.lit("http"), F.substring(u, 6, 4000))).otherwise(F.concat(F.lit("https"), F.substring(u, 5, 4000)))
     raw = F.when(k == 1, tracked).when(k == 2, swapped).when(k == 3, F.concat(F.regexp_extract(u, "^([^?#]*)", 1), F.lit("/"))).when(k == 4, F.regexp_replace(u, "://", "://amp."))
     raw = raw.when(k == 5, F.concat(F.regexp_extract(u, "^([^:]+://[^/]+)", 1), F.lit("/other/"), F.col("page_id").cast("string"))).when(k == 6, F.concat(F.lit("https://unknown-"), F.col("page_id").cast("string"), F.lit(".invalid/x"))).otherwise(u)
-    return read(spark, sf, "pages").where("page_id % 3 = 0").select(F.col("page_id").alias("idx"), raw.alias("raw_uri"), F.lit(None).cast("string").alias("resolved_url"), F.lit("").alias("title"))
+    return read(spark, sf, "pages").select(F.col("page_id").alias("idx"), raw.alias("raw_uri"), F.lit(None).cast("string").alias("resolved_url"), F.lit("").alias("title"))
 
 
 CT = """ct AS (SELECT page_id AS idx, CASE page_id % 7
@@ -78,7 +78,7 @@ CT = """ct AS (SELECT page_id AS idx, CASE page_id % 7
   WHEN 2 THEN CASE WHEN url LIKE 'https:%' THEN 'http' || substring(url, 6) ELSE 'https' || substring(url, 5) END
   WHEN 3 THEN regexp_extract(url, '^([^?#]*)', 1) || '/' WHEN 4 THEN replace(url, '://', '://amp.')
   WHEN 5 THEN regexp_extract(url, '^([^:]+://[^/]+)', 1) || '/other/' || page_id WHEN 6 THEN 'https://unknown-' || page_id || '.invalid/x' ELSE url END AS raw_uri
-  FROM pages WHERE page_id % 3 = 0)"""
+  FROM pages)"""
 
 
 def qd(spark: SparkSession, sf: str) -> DataFrame:

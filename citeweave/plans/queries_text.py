@@ -56,14 +56,9 @@ def lexical_summary(spark, sf):
 
 
 def dense_similarity_topk(spark, sf):
-    """For each of ten query vectors the five most similar ones."""
-    from pyspark.sql import Window as W
-
+    """For each vector whose id is divisible by 100 the five most similar of all others."""
     e = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    q = F.broadcast(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # ten rows at any size
-    s = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(similarity.dense_cosine(F.col("q"), F.col("embedding")), 4).alias("sim"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
-    return s.withColumn("rank", rank).where("rank <= 5")
+    return similarity.nearest(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e, 5)
 
 
 def freshness_days(spark, sf):
@@ -144,7 +139,7 @@ SELECT page_id, idx, heading, n_words, substring(sha1(t), 1, 12) AS digest FROM
     "tf_vectors": f"WITH x AS (SELECT item_id, unnest({_TOKENS('text')}) AS term FROM benchmark) SELECT item_id, term, round(1 + ln(count(*)), 4) AS weight FROM x GROUP BY 1, 2",
     "lexical_similarity": f"WITH {_LEX} SELECT doc_id, sim FROM lex",
     "lexical_summary": f"WITH {_LEX}, g AS (SELECT doc_id % 20 AS g, list_sort(list(sim), 'DESC') AS s FROM lex GROUP BY 1) SELECT g, s[1] AS best, round(round(list_sum(s[1:3]) / len(s[1:3]), 4), 3) AS top3 FROM g",
-    "dense_similarity_topk": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS sim FROM embeddings e JOIN embeddings q ON q.vec_id < 10 AND e.vec_id <> q.vec_id) SELECT query_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 5",
+    "dense_similarity_topk": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS sim FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) SELECT query_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 5",
     "freshness_days": f"SELECT event_id AS id, greatest(floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(ts))) / 86400.0), 0)::DOUBLE AS days, 'event' AS kind FROM events UNION ALL SELECT o_orderkey, greatest(floor((epoch(TIMESTAMP '{AS_OF}') - epoch(date_trunc('day', o_orderdate))) / 86400.0), 0)::DOUBLE, 'order' FROM orders",
     "term_detection": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9]){t}($|[^a-z0-9])') THEN '{t}' END" for t in ("the", "und", "token")) + ", CASE WHEN contains(lower(text), '.com') THEN '.com' END], lambda x: x IS NOT NULL), ';') AS terms FROM documents",
     "content_flags": f"WITH {_FLAG_CTE} SELECT page_id, {', '.join(f'{_FLAG_SQL[f]} AS {f}' for f in _FLAGS if f != 'title_contains_intent_terms')}, regexp_matches(lower(title), '(^|[^a-z0-9])the($|[^a-z0-9])') AND false AS title_contains_intent_terms FROM f",

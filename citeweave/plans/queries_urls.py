@@ -200,7 +200,7 @@ ORACLE = {
     "citation_match_tiers": f"WITH {MATCH} SELECT citation_index, match_type, strong, weak_domain_match, matched_candidate_id, matched_rank, strong_rank, weak_rank FROM m",
     "citation_tier_counts": f"WITH {MATCH}, t AS (SELECT unnest([{', '.join(repr(t) for t in matching.TIERS)}]) AS match_type) SELECT t.match_type, count(m.match_type) AS n, round(count(m.match_type) / (SELECT count(*) FROM m), 4) AS rate FROM t LEFT JOIN m ON t.match_type = m.match_type GROUP BY t.match_type",
     "citation_recall_at_k": f"WITH {MATCH} SELECT mode, k, recall FROM ({_recall('')})",
-    "recall_avg": f"WITH {MATCH} SELECT mode, k, round(avg(recall), 4) AS recall FROM ({_recall('citation_index % 4 AS run_id, ')}) GROUP BY mode, k",
+    "recall_avg": f"WITH {MATCH} SELECT mode, k, round(avg(round(recall * 10000))) / 10000 AS recall FROM ({_recall('citation_index % 4 AS run_id, ')}) GROUP BY mode, k",
     "unmatched_citations": f"WITH {MATCH} SELECT citation_index, citation_url FROM m WHERE match_type = 'no_match'",
     "closest_path_match": f"WITH {MATCH} SELECT cnorm, weak_id, weak_rank FROM weak",
     "serp_cited_flag": f"WITH {MATCH}, g AS (SELECT matched_candidate_id AS candidate_id, max(strong::INTEGER) AS cited, bool_or(weak_domain_match) AS w, arg_min(match_type, (NOT strong)::BIGINT * 1000000000 + citation_index) AS t FROM m WHERE matched_candidate_id IS NOT NULL GROUP BY 1) SELECT c.candidate_id, coalesce(cited, 0) AS cited, coalesce(w, false) AS weak_domain_match, coalesce(t, 'no_match') AS match_type, coalesce(cited, 0) = 1 AS strong_match FROM c LEFT JOIN g ON c.candidate_id = g.candidate_id",
