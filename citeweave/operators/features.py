@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,34 +24,34 @@ def _page_columns(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return out.withColumns({"original_char_count": F.col("char_count"), "truncated": F.coalesce(F.col("char_count") > text.SIMILARITY_CHARS, F.lit(False)), "heading_count": F.when(F.col("scrape_success"), F.size(text.headings(F.col("p_md"))))})
 
 
-def _similarities(rows: DataFrame, key: str, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
+def _similarities(rows: DataFrame, key: str, pairs: dict[str, tuple[Column, Column]], score: Callable = similarity.lexical) -> DataFrame:
     """(key, names..): all text pairs of a row in one pass of the pair operator."""
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), a.cast("string").alias("a"), b.cast("string").alias("b")) for n, (a, b) in pairs.items()]))
     long = rows.select(key, cells.alias("x")).select(key, "x.*").where("a IS NOT NULL AND b IS NOT NULL")
-    scored = similarity.lexical(long, [key, "name"], F.col("a"), F.col("b"))
+    scored = score(long, [key, "name"], F.col("a"), F.col("b"))
     return scored.groupBy(key).pivot("name", list(pairs)).agg(F.first("sim"))
 
 
-def chunk_scores(rows: DataFrame, key: str, targets: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+def chunk_scores(rows: DataFrame, key: str, targets: dict[str, Column], score: Callable = similarity.lexical) -> tuple[DataFrame, DataFrame]:
     """(chunks with a score a target, best score a text and target)."""
     texts = rows.where("p_md <> ''").select(key, "p_md", *[c.alias(f"t_{n}") for n, c in targets.items()])
     chunks = chunk_rows(texts, key, "p_md")
     joined = chunks.join(texts.drop("p_md"), key).withColumn("ck", F.concat_ws("#", F.col(key).cast("string"), "idx"))
-    scores = _similarities(joined, "ck", {n: (F.col("text"), F.col(f"t_{n}")) for n in targets})
+    scores = _similarities(joined, "ck", {n: (F.col("text"), F.col(f"t_{n}")) for n in targets}, score)
     scored = joined.drop(*[f"t_{n}" for n in targets]).join(scores, "ck", "left").drop("ck")
     best = scored.groupBy(key).agg(*[F.max(n).alias(f"best_{n}") for n in targets])
     return scored, best
 
 
-def candidate_features(candidates: DataFrame, pages: DataFrame, flags: DataFrame, output_text: str, as_of: str, fallback_query: str = "") -> tuple[DataFrame, DataFrame]:
-    """(features, chunks) of a run's candidates; ``flags`` is cited_flags of them."""
+def candidate_features(candidates: DataFrame, pages: DataFrame, flags: DataFrame, output_text: str, as_of: str, fallback_query: str = "", score: Callable = similarity.lexical) -> tuple[DataFrame, DataFrame]:
+    """(features, chunks) of a run's candidates; ``flags`` is cited_flags of them, ``score`` a pair operator (``similarity.scorer``)."""
     rows = candidates.join(flags.select("candidate_id", "cited", "weak_domain_match", "match_type", "strong_match"), "candidate_id", "left")
     rows = _page_columns(rows.withColumn("query", best_query(F.col("queries"), F.lit(fallback_query))), pages)
     answer, used = F.lit(output_text), text.used_text(F.col("p_text"))
     sims = _similarities(rows, "candidate_id", {
         "title_query_sim": (F.col("title"), F.col("query")), "snippet_query_sim": (F.col("snippet"), F.col("query")),
-        "page_query_sim": (F.nullif(used, F.lit("")), F.col("query")), "page_output_sim": (F.nullif(used, F.lit("")), answer)})
-    chunks, best = chunk_scores(rows, "candidate_id", {"output_sim": answer, "query_sim": F.col("query")})
+        "page_query_sim": (F.nullif(used, F.lit("")), F.col("query")), "page_output_sim": (F.nullif(used, F.lit("")), answer)}, score)
+    chunks, best = chunk_scores(rows, "candidate_id", {"output_sim": answer, "query_sim": F.col("query")}, score)
     best = best.withColumnsRenamed({"best_output_sim": "max_chunk_output_sim", "best_query_sim": "max_chunk_query_sim"})
     out = rows.join(sims, "candidate_id", "left").join(best, "candidate_id", "left")
     official = classify.institutional(F.col("url"))
@@ -60,15 +62,15 @@ def candidate_features(candidates: DataFrame, pages: DataFrame, flags: DataFrame
     return out.drop("p_text", "p_md", "p_date"), chunks
 
 
-def source_features(sources: DataFrame, pages: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+def source_features(sources: DataFrame, pages: DataFrame, as_of: str, score: Callable = similarity.lexical) -> tuple[DataFrame, DataFrame]:
     """(features, chunks) of export sources with their record's context (flatten_sources)."""
     asked = F.coalesce(F.nullif(F.col("prompt"), F.lit("")), F.get("web_search_query", F.lit(0)), F.lit(""))
     rows = _page_columns(sources.withColumn("prompt", asked).withColumn("cited", F.col("cited_label")), pages)
     used = F.nullif(text.used_text(F.col("p_text")), F.lit(""))
     sims = _similarities(rows, "source_id", {
         "title_prompt_similarity": (F.col("title"), F.col("prompt")), "description_prompt_similarity": (F.col("description"), F.col("prompt")),
-        "page_prompt_similarity": (used, F.col("prompt")), "page_answer_similarity": (used, F.col("answer_text"))})
-    chunks, best = chunk_scores(rows, "source_id", {"prompt_sim": F.col("prompt"), "answer_sim": F.col("answer_text")})
+        "page_prompt_similarity": (used, F.col("prompt")), "page_answer_similarity": (used, F.col("answer_text"))}, score)
+    chunks, best = chunk_scores(rows, "source_id", {"prompt_sim": F.col("prompt"), "answer_sim": F.col("answer_text")}, score)
     best = best.withColumnsRenamed({"best_prompt_sim": "max_chunk_prompt_similarity", "best_answer_sim": "max_chunk_answer_similarity"})
     out = rows.join(sims, "source_id", "left").join(best, "source_id", "left")
     # A page's date, even one that cannot be read, takes the place of the source's.
@@ -81,7 +83,20 @@ def source_features(sources: DataFrame, pages: DataFrame, as_of: str) -> tuple[D
     return out.drop("p_text", "p_md", "p_date"), chunks
 
 
-def brand_pages(features: DataFrame, pages: DataFrame, client: list[str], competitor: list[str]) -> DataFrame:
+#: Similarity from which a heading counts as the prompt's, and the length of a page's beginning.
+HEADING_MATCH, BEGINNING = 0.12, 500
+
+
+def _prompt_signals(rows: DataFrame, score: Callable) -> DataFrame:
+    """(source_id, heading_prompt_match, answer_like_text_in_first_500_chars) of rows with prompt, p_md and p_text."""
+    asked = rows.where("prompt <> ''")
+    heads = asked.select("source_id", "prompt", F.posexplode(text.headings(F.col("p_md"))).alias("i", "heading"))
+    match = score(heads, ["source_id", "i"], F.col("prompt"), F.col("heading")).groupBy("source_id").agg((F.max("sim") >= HEADING_MATCH).alias("heading_prompt_match"))
+    begin = asked.where("p_text <> ''").select("source_id", "prompt", F.substring("p_text", 1, BEGINNING).alias("begin"))
+    return score(begin, ["source_id"], F.col("prompt"), F.col("begin"), "answer_like_text_in_first_500_chars").join(match, "source_id", "full")
+
+
+def brand_pages(features: DataFrame, pages: DataFrame, client: list[str], competitor: list[str], score: Callable = similarity.lexical) -> DataFrame:
     """Features of sources that name a client or competitor term, with content flags and page type."""
     ok = pages.where("status = 'success'").select("normalized_url", F.col("title").alias("p_title"), F.coalesce(F.nullif("text", F.lit("")), "markdown").alias("p_text"), F.col("markdown").alias("p_md"))
     rows = features.join(ok, "normalized_url", "left")
@@ -95,5 +110,8 @@ def brand_pages(features: DataFrame, pages: DataFrame, client: list[str], compet
     rows = rows.withColumns({"is_client_source": F.size("client_terms_found") > 0, "is_competitor_source": F.size("competitor_terms_found") > 0}).where("is_client_source OR is_competitor_source")
     flags = classify.content_flags(F.col("n_title"), F.col("n_text"), F.col("n_md"), F.lit(""), F.col("n_intent"), ascii_only=True)
     rows = rows.withColumns({k: F.when(F.col("p_text").isNotNull(), v) for k, v in flags.items()})
+    if "prompt" in rows.columns:
+        rows = rows.join(_prompt_signals(rows, score), "source_id", "left")
+        rows = rows.withColumn("heading_prompt_match", F.when(F.col("p_text").isNotNull(), F.coalesce("heading_prompt_match", F.lit(False))))
     kind = classify.page_type(F.col("url"), F.col("source_type"), {k: F.coalesce(F.col(k), F.lit(False)) for k in flags})
     return rows.withColumn("page_type", F.when(F.col("p_text").isNotNull(), kind).otherwise("unknown")).drop("p_title", "p_text", "p_md", "n_blob", "n_title", "n_text", "n_md", "n_intent")

@@ -129,6 +129,15 @@ def tier_counts(matches: DataFrame) -> DataFrame:
     return rows.select("total", long.alias("x")).select("x.match_type", "x.n", F.coalesce(F.round(F.try_divide(F.col("x.n"), F.col("total")), 4), F.lit(0.0)).alias("rate"))
 
 
+def tier_table(matches: DataFrame) -> DataFrame:
+    """(match_type, n, rate, strength) of every tier, and a line for all of them."""
+    kind = F.col("match_type")
+    strength = F.when(kind == "domain_only", "weak").when(kind == "no_match", "").otherwise("strong")
+    tiers = tier_counts(matches).withColumn("strength", strength)
+    total = matches.agg(F.lit("TOTAL").alias("match_type"), F.count("*").alias("n"), F.when(F.count("*") > 0, 1.0).otherwise(0.0).alias("rate"), F.lit("").alias("strength"))
+    return tiers.unionByName(total)
+
+
 def unmatched(matches: DataFrame) -> DataFrame:
     return matches.where("match_type = 'no_match'").select("citation_index", "citation_url")
 

@@ -49,5 +49,33 @@ def fetch_split(pages: DataFrame) -> DataFrame:
 
 
 def most_similar_uncited(rows: DataFrame, sim: str, floor: float = 0.3) -> DataFrame:
-    """The shown but not cited row whose overlap with the answer is highest, if above ``floor``."""
-    return rows.where((F.col("cited") == 0) & (F.col(sim) > floor)).agg(F.max_by("domain", F.struct(F.col(sim), -F.col("ord"))).alias("domain"), F.max(sim).alias(sim))
+    """The shown but not cited row whose overlap with the answer is highest, if above ``floor``; the earliest of ties."""
+    return rows.where((F.col("cited") == 0) & (F.col(sim) > floor)).agg(F.min_by("domain", F.struct(-F.col(sim), F.col("ord"))).alias("domain"), F.max(sim).alias(sim))
+
+
+def flow_edges(candidates: DataFrame, fallback: str = "", k: int = 16) -> DataFrame:
+    """(source, target, n): edges of the k best-ranked candidates from their best query to their domain, and from there to cited or not."""
+    from citeweave.operators.matching import best_query
+
+    top = candidates.withColumn("query", best_query(F.col("queries"), F.lit(fallback))).orderBy("best_rank", "ord").limit(k)
+    end = F.when(F.col("cited") == 1, "cited").otherwise("non-cited")
+    edges = F.explode(F.array(F.struct(F.lit("query").alias("level"), F.col("query").alias("source"), F.col("domain").alias("target")), F.struct(F.lit("domain").alias("level"), F.col("domain").alias("source"), end.alias("target"))))
+    return top.select(edges.alias("e")).groupBy("e.level", "e.source", "e.target").agg(F.count("*").alias("n"))
+
+
+def insights(compared: DataFrame, official: DataFrame, rows: DataFrame) -> DataFrame:
+    """(part, text): sentences about ranks, similarity, official sources and overlap; parts without figures are left out."""
+    of = lambda f: compared.where(F.col("feature") == f)
+    rank = of("serp_rank").where("cited_median IS NOT NULL AND non_cited_median IS NOT NULL").select(F.lit(1).alias("part"), F.format_string(
+        "[pre-answer] cited sites ranked %s (median %.1f against %.1f)", F.when(F.col("cited_median") < F.col("non_cited_median"), "higher").otherwise("lower or alike"), "cited_median", "non_cited_median").alias("text"))
+    page = of("page_query_sim").where("delta IS NOT NULL").select(F.lit(2).alias("part"), F.format_string(
+        "[pre-answer] cited pages were %s to the query (%.4f against %.4f)", F.when(F.col("delta") > 0, "more similar").otherwise("no more similar"), "cited_mean", "non_cited_mean").alias("text"))
+    each = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("grp", "n", "cite_rate"))), lambda x: F.format_string("%s %.4f (n=%d)", x["grp"], x["cite_rate"], x["n"])), ", ")
+    rates = official.agg(F.count("*").alias("k"), each.alias("t")).where("k > 0").select(F.lit(3).alias("part"), F.concat(F.lit("[pre-answer] cite rates: "), "t").alias("text"))
+    overlap = of("page_output_sim").where("delta IS NOT NULL").select(F.lit(4).alias("part"), F.format_string(
+        "[post-output, circular] overlap of pages with the answer: %.4f cited, %.4f not cited", "cited_mean", "non_cited_mean").alias("text"))
+    out = rank.unionByName(page).unionByName(rates).unionByName(overlap)
+    if "page_output_sim" in rows.columns:
+        high = most_similar_uncited(rows, "page_output_sim").where("domain IS NOT NULL")
+        out = out.unionByName(high.select(F.lit(5).alias("part"), F.format_string("a page that is not cited overlaps with the answer all the same (%.4f, %s)", "page_output_sim", "domain").alias("text")))
+    return out

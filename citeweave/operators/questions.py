@@ -23,11 +23,13 @@ def top_per(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
 
 
 def question_table(rows: DataFrame, k: int = 5) -> DataFrame:
-    """Per question: cited, more-only, total, cite rate, most cited domains."""
-    stats = rows.groupBy("qid").agg(F.count_if(F.col("cited") == 1).alias("n_cited"), F.count_if(F.col("cited") == 0).alias("n_more"), F.count("*").alias("n_total"))
+    """Per question: cited, more-only, total, cite rate, most cited domains; prompt, intent and topic of its first row where there are any."""
+    kept = [c for c in ("prompt", "intent", "topic") if c in rows.columns]
+    place = F.struct(*[c for c in ("ord", "seq") if c in rows.columns]) if {"ord", "seq"} & set(rows.columns) else F.struct(F.lit(0), *kept)
+    stats = rows.groupBy("qid").agg(F.count_if(F.col("cited") == 1).alias("n_cited"), F.count_if(F.col("cited") == 0).alias("n_more"), F.count("*").alias("n_total"), *[F.min_by(c, place).alias(c) for c in kept])
     top = top_per(rows.where("cited = 1"), "qid", "domain", k).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "domain"))).alias("t"))
     named = F.coalesce(F.array_join(F.transform("t", lambda x: x["domain"]), ", "), F.lit(""))
-    return stats.join(top, "qid", "left").select("qid", "n_cited", "n_more", "n_total", F.round(F.try_divide(F.col("n_cited"), F.col("n_total")), 4).alias("cite_rate"), named.alias("top_domains"))
+    return stats.join(top, "qid", "left").select("qid", *kept, "n_cited", "n_more", "n_total", F.round(F.try_divide(F.col("n_cited"), F.col("n_total")), 4).alias("cite_rate"), named.alias("top_domains"))
 
 
 def domain_sets(rows: DataFrame, group: str = "cited", key: str = "qid", item: str = "domain") -> DataFrame:
@@ -101,10 +103,17 @@ def cluster_questions(rows: DataFrame, k: int, group: str = "cited", most: int =
 
 
 def cluster_summary(rows: DataFrame, clusters: DataFrame, k: int = 8) -> DataFrame:
-    """(cluster, n_questions, members, top_domains)."""
+    """(cluster, n_questions, members, top_domains), and the clusters' topics where ``rows`` have them."""
     members = clusters.groupBy("cluster").agg(F.count("*").alias("n_questions"), F.array_join(F.sort_array(F.collect_list(F.col("qid").cast("string"))), ", ").alias("members"))
     top = top_per(rows.join(clusters, "qid"), "cluster", "domain", k).groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("rank", "domain"))).alias("t"))
-    return members.join(top, "cluster", "left").select("cluster", "n_questions", "members", F.array_join(F.transform("t", lambda x: x["domain"]), ", ").alias("top_domains"))
+    out = members.join(top, "cluster", "left").select("cluster", "n_questions", "members", F.array_join(F.transform("t", lambda x: x["domain"]), ", ").alias("top_domains"))
+    return out.join(cluster_topics(rows, clusters), "cluster", "left") if "topic" in rows.columns else out
+
+
+def cluster_topics(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster, topics): the distinct topics of a cluster's questions, by name."""
+    named = rows.join(clusters, "qid").where("topic <> ''").select("cluster", "topic").distinct()
+    return named.groupBy("cluster").agg(F.array_join(F.sort_array(F.collect_list("topic")), ", ").alias("topics"))
 
 
 def question_matrix(rows: DataFrame, k: int = 20) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeweave.operators.compare import long_features
+from citeweave.operators.compare import group_compare, long_features
 
 
 def average_ranks(long: DataFrame) -> DataFrame:
@@ -79,3 +79,10 @@ def bootstrap_median_diff(rows: DataFrame, features: list[str], order: str, roun
 
     long = long_features(rows, features, ["cited", F.col(order).alias("ord")]).where("value IS NOT NULL")
     return long.groupBy("feature").applyInPandas(run, "feature string, median_diff double, ci_low double, ci_high double")
+
+
+def group_stats(rows: DataFrame, features: list[str], order: str) -> DataFrame:
+    """group_compare with the difference of medians, the rank test's p and the bootstrap interval."""
+    tested = mann_whitney(rows, features).select("feature", "p_value")
+    drawn = bootstrap_median_diff(rows, features, order)
+    return group_compare(rows, features).join(tested, "feature", "left").join(drawn, "feature", "left")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.functions.similarity import lexical, scorer
 from citeweave.functions.text import detect_terms, fold
-from citeweave.operators import batch, brand, compare, features, intent, matching, questions, stats
+from citeweave.operators import batch, brand, compare, features, intent, matching, profile, questions, stats
 from citeweave.sources import export, landed, manifest
 
 CANDIDATE_FEATURES = "serp_rank title_query_sim snippet_query_sim page_query_sim max_chunk_query_sim word_count char_count heading_count freshness_days page_output_sim max_chunk_output_sim".split()
@@ -20,7 +22,8 @@ SOURCE_FEATURES = (
 POST_OUTPUT = {"page_output_sim", "max_chunk_output_sim", "page_answer_similarity", "max_chunk_answer_similarity"}
 CONTENT_FEATURES = (
     "has_faq has_step_by_step has_contact_info has_location_info has_price_or_package has_opening_hours has_booking_or_appointment has_phone_number has_email has_author "
-    "has_reviewer has_published_date has_updated_date has_schema has_table has_bullets has_many_headings title_contains_intent_terms"
+    "has_reviewer has_published_date has_updated_date has_schema has_table has_bullets has_many_headings title_contains_intent_terms "
+    "heading_prompt_match answer_like_text_in_first_500_chars"
 ).split()
 
 
@@ -34,6 +37,12 @@ class Audit:
 
     run_id: str
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Give up what the audit holds in memory; its tables can still be computed."""
+        for df in self.kept:
+            df.unpersist()
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -50,31 +59,39 @@ def analysis(rows: DataFrame, numeric: list[str], sim: str) -> dict[str, DataFra
     }
 
 
-def search_audit(run_id: str, search_rows: DataFrame, citations: DataFrame, pages: DataFrame, output_text: str, as_of: str, prompt: str = "") -> Audit:
-    """Grounded answer against the search results: match, recall, features, analysis."""
+def search_audit(run_id: str, search_rows: DataFrame, citations: DataFrame, pages: DataFrame, output_text: str, as_of: str, prompt: str = "", method: str = "lexical", embed_fn: Callable | None = None) -> Audit:
+    """Grounded answer against the search results: match, recall, features, analysis.  ``method`` and
+    ``embed_fn`` choose the similarity (``similarity.scorer``)."""
     if not output_text and citations.isEmpty():
         raise AuditError("the landed answer has no text and no citation")
     # What many tables are derived from is kept; a lost block is computed again.
     candidates = matching.unique_candidates(search_rows).persist()
     matches = matching.match_citations(citations, candidates, pages).persist()
     flagged = matching.cited_flags(candidates, matches)
-    rows, chunks = features.candidate_features(candidates, pages, flagged, output_text, as_of, prompt)
+    rows, chunks = features.candidate_features(candidates, pages, flagged, output_text, as_of, prompt, scorer(method, embed_fn))
     rows = rows.persist()
-    tables = {"serp": search_rows, "candidates": candidates, "matches": matches, "recall": matching.recall_at_k(matches), "tiers": matching.tier_counts(matches), "unmatched": matching.unmatched(matches), "features": rows, "chunks": chunks}
-    return Audit(run_id, tables | analysis(rows, CANDIDATE_FEATURES, "page_output_sim") | {"funnel": compare.funnel(rows)})
+    tables = {"serp": search_rows, "candidates": candidates, "matches": matches, "recall": matching.recall_at_k(matches), "tiers": matching.tier_table(matches), "flows": profile.flow_edges(flagged, prompt), "unmatched": matching.unmatched(matches), "features": rows, "chunks": chunks}
+    tables |= analysis(rows, CANDIDATE_FEATURES, "page_output_sim") | {"funnel": compare.funnel(rows)}
+    tables["insights"] = profile.insights(tables["group_compare"], tables["official"], rows)
+    return Audit(run_id, tables, [candidates, matches, rows])
 
 
-def export_audit(run_id: str, raw: DataFrame, pages: DataFrame, as_of: str, manifest_rows: DataFrame | None = None, client: list[str] | None = None, competitor: list[str] | None = None, clusters: int = 0) -> Audit:
-    """Export of answers: cited against shown but not cited, with intents and brands where a manifest gives them."""
+def export_audit(run_id: str, raw: DataFrame, pages: DataFrame, as_of: str, manifest_rows: DataFrame | None = None, client: list[str] | None = None, competitor: list[str] | None = None, clusters: int = 0, method: str = "lexical", embed_fn: Callable | None = None) -> Audit:
+    """Export of answers: cited against shown but not cited, with intents and brands where a manifest gives them.
+    ``method`` and ``embed_fn`` choose the similarity (``similarity.scorer``)."""
+    score = scorer(method, embed_fn)
     records = export.parse_records(raw).persist()
     sources = export.extract_sources(records).persist()
+    kept = [records, sources]
     if manifest_rows is not None:
         records = manifest.apply_manifest(records, manifest.parse_manifest(manifest_rows)).persist()
+        kept.append(records)
     flat = export.flatten_sources(records, sources)
-    rows, chunks = features.source_features(flat, pages, as_of)
+    rows, chunks = features.source_features(flat, pages, as_of, score)
     rows = rows.persist()
+    kept.append(rows)
     asked = questions.question_rows(rows)
-    tables = {"records": records, "sources": sources, "run": export.run_summary(records, sources), "features": rows, "chunks": chunks, "summary": compare.summary(rows), "questions": questions.question_table(asked)}
+    tables = {"records": records, "sources": sources, "run": export.run_summary(records, sources), "warnings": export.record_warnings(records), "features": rows, "chunks": chunks, "summary": compare.summary(rows), "questions": questions.question_table(asked)}
     tables |= analysis(rows, SOURCE_FEATURES, "page_answer_similarity")
     tables |= {"top_domains_cited": compare.top_domains(rows, 1), "top_domains_more": compare.top_domains(rows, 0)}
     if clusters:
@@ -86,13 +103,14 @@ def export_audit(run_id: str, raw: DataFrame, pages: DataFrame, as_of: str, mani
         listed = records.agg(*[F.sort_array(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("client_terms", "competitor_terms")]).first()
         client, competitor = sorted({*(client or []), *listed["client_terms"]}), sorted({*(competitor or []), *listed["competitor_terms"]})
     if client or competitor:
-        tables |= brand_tables(records, sources, rows, pages, client or [], competitor or [])
-    return Audit(run_id, tables)
+        tables |= brand_tables(records, sources, rows, pages, client or [], competitor or [], score)
+        kept += [tables["brand_pages"], tables["brand_records"]]
+    return Audit(run_id, tables, kept)
 
 
-def brand_tables(records: DataFrame, sources: DataFrame, rows: DataFrame, pages: DataFrame, client: list[str], competitor: list[str]) -> dict[str, DataFrame]:
+def brand_tables(records: DataFrame, sources: DataFrame, rows: DataFrame, pages: DataFrame, client: list[str], competitor: list[str], score: Callable = lexical) -> dict[str, DataFrame]:
     """Brand visibility over an export audit; the term lists are the manifest's, a handful of terms."""
-    named = features.brand_pages(rows, pages, client, competitor).persist()
+    named = features.brand_pages(rows, pages, client, competitor, score).persist()
     flag = named.select("source_id", F.col("is_client_source").alias("client"), F.col("is_competitor_source").alias("competitor"))
     marked = sources.select("source_id", "record_id", F.col("cited_label").alias("cited")).join(flag, "source_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("client", "competitor")})
     r = records
@@ -119,11 +137,10 @@ def batch_audit(runs: dict[str, Audit], tags: dict[str, dict[str, str]]) -> Audi
         recalls.append(audit.recall.withColumn("run_id", F.lit(run_id)))
     pooled = batch.pool(parts).persist()
     rollup = batch.batch_aggregate(pooled, CANDIDATE_FEATURES)
-    tables = {"features": pooled, "aggregate": rollup, "recall": batch.recall_average(batch.pool(recalls)), "sample": batch.sample_sizes(pooled), "rank_test": stats.mann_whitney(pooled, CANDIDATE_FEATURES),
-              "bootstrap": stats.bootstrap_median_diff(pooled, CANDIDATE_FEATURES, "candidate_id")}
+    tables = {"features": pooled, "aggregate": rollup, "recall": batch.recall_average(batch.pool(recalls)), "sample": batch.sample_sizes(pooled), "group_stats": stats.group_stats(pooled, CANDIDATE_FEATURES, "candidate_id")}
     tables |= analysis(pooled, CANDIDATE_FEATURES, "page_output_sim")
     tables["patterns"] = batch.cite_patterns(pooled, rollup, tables["correlation"])
-    return Audit("batch", tables)
+    return Audit("batch", tables, [pooled])
 
 
 def landed_search_audit(run_id: str, serp_items: DataFrame, page_items: DataFrame, answer_items: DataFrame, as_of: str, top_k: int = 20) -> Audit:

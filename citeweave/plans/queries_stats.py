@@ -126,11 +126,6 @@ def sample_sizes(spark, sf):
     return batch.sample_sizes(fr(spark, sf))
 
 
-def cite_patterns(spark, sf):
-    rows = fr(spark, sf)
-    return batch.cite_patterns(rows, batch.batch_aggregate(rows, FR_FEATURES), compare.correlation_with_cited(rows, FR_FEATURES))
-
-
 def heatmap_minmax(spark, sf):
     from citeweave.operators.profile import min_max
 
@@ -146,7 +141,7 @@ def box_statistics(spark, sf):
 _NAMES = (
     "group_compare group_compare_large top_deltas source_breakdown official_compare top_domains audit_summary correlation_with_cited length_sim_corr mann_whitney_u mann_whitney_p "
     "average_ranks bootstrap_median_ci question_table question_top_domains jaccard_pairs question_clusters question_matrix intent_source_long intent_source_pivot intent_row_pct "
-    "intent_summary expected_vs_actual batch_aggregate sample_sizes cite_patterns heatmap_minmax box_statistics"
+    "intent_summary expected_vs_actual batch_aggregate sample_sizes heatmap_minmax box_statistics"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 

@@ -27,29 +27,68 @@ ORIGINS = ("citations", "search_sources_more", "search_sources", "links_attached
 WALK_LIMIT = 60
 
 
+def _file_key(raw: DataFrame) -> Column:
+    """Names the file of a row where there are several, so that ordinals of different files stay apart; null for one."""
+    return short_id(F.col("_metadata.file_path")) if len(raw.inputFiles()) > 1 else F.lit(None).cast("string")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, fields..) of JSON files: an array of records, an envelope of one, or one record.
+    """(file, ordinal, fields..) of JSON files: an array of records, an envelope of one, or one record.
 
-    A file is one document, so it is parsed as a whole; text that is no JSON gives no row.
+    A file is one document, so it is parsed as a whole; text that is no JSON gives no row (see ``file_warnings``).
     """
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
+    raw = spark.read.text(path, wholetext=True)
+    return parse_json(raw.select(_file_key(raw).alias("file"), "value"))
+
+
+def parse_json(texts: DataFrame) -> DataFrame:
+    """The same of (file, value) rows, one JSON document each."""
+    raw = texts.select("file", F.trim("value").alias("v"))
     enveloped = F.from_json("v", "struct<data:string, records:string, results:string>")
     body = lambda f: F.when(enveloped[f].startswith("[") & ~enveloped[f].rlike(r"^\[\s*\]$"), enveloped[f])
     array = F.when(F.col("v").startswith("["), F.col("v")).otherwise(F.coalesce(*[body(f) for f in ("data", "records", "results")], F.concat(F.lit("["), F.col("v"), F.lit("]"))))
-    rows = raw.where("v <> '' AND try_parse_json(v) IS NOT NULL").select(F.posexplode(F.from_json(array, "array<string>")).alias("ordinal", "r"))
-    return rows.where(F.trim("r").startswith("{")).select("ordinal", F.from_json("r", f"struct<{_FIELD_TYPE}>").alias("f")).select("ordinal", "f.*")
+    rows = raw.where("v <> '' AND try_parse_json(v) IS NOT NULL").select("file", F.posexplode(F.from_json(array, "array<string>")).alias("ordinal", "r"))
+    return rows.where(F.trim("r").startswith("{")).select("file", "ordinal", F.from_json("r", f"struct<{_FIELD_TYPE}>").alias("f")).select("file", "ordinal", "f.*")
+
+
+def file_warnings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, warning) of JSON files that give no record, and of entries that are no objects."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("v"))
+    bad = raw.where("try_parse_json(v) IS NULL").select("file", F.lit("JSON parse failed").alias("warning"))
+    flat = raw.where("v NOT LIKE '[%' AND v NOT LIKE '{%' AND try_parse_json(v) IS NOT NULL").select("file", F.lit("top-level JSON is no array of records").alias("warning"))
+    items = raw.where("v LIKE '[%'").select("file", F.posexplode(F.from_json("v", "array<string>")).alias("i", "r")).where(~F.trim("r").startswith("{"))
+    return bad.unionByName(flat).unionByName(items.select("file", F.format_string("record %d is no object, skipped", F.col("i") + 1).alias("warning")))
+
+
+def record_warnings(records: DataFrame) -> DataFrame:
+    """(record_id, warning) of parsed records that have no prompt."""
+    return records.where("coalesce(prompt, '') = ''").select("record_id", F.lit("no prompt found").alias("warning"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """The same of CSV files with a header; quoted cells may hold line ends and JSON."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("__o", F.monotonically_increasing_id())
-    order = W.partitionBy(F.col("_metadata.file_path")).orderBy("__o")
-    raw = raw.select("*", (F.row_number().over(order) - 1).alias("ordinal"))
-    return raw.select("ordinal", *[(F.col(f) if f in raw.columns else F.lit(None)).cast("string").alias(f) for f in FIELDS])
+    raw = numbered(spark.read.csv(path, header=True, multiLine=True, escape='"'))
+    return raw.select("file", "ordinal", *[(F.col(f) if f in raw.columns else F.lit(None)).cast("string").alias(f) for f in FIELDS])
+
+
+def numbered(raw: DataFrame) -> DataFrame:
+    """Rows of files with ``file`` and their ``ordinal`` in it.  Files read as a whole lie in one partition
+    each, in which the running id keeps their order whatever other files are there."""
+    raw = raw.select("*", _file_key(raw).alias("file"), F.col("_metadata.file_path").alias("__f"), F.monotonically_increasing_id().alias("__o"))
+    return raw.withColumn("ordinal", F.row_number().over(W.partitionBy("__f").orderBy("__o")) - 1).drop("__f", "__o")
+
+
+def looks_like_json(spark: SparkSession, path: str) -> bool:
+    """Does the text of the first file begin as JSON does?"""
+    first = spark.read.text(path).where("trim(value) <> ''").select(F.substring(F.ltrim("value"), 1, 1)).first()
+    return first is not None and first[0] in ("[", "{")
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path) if path.lower().endswith(".csv") else read_json(spark, path)
+    """By the name's ending; names without one of the two are judged by how the text begins."""
+    name = path.lower()
+    csv = name.endswith(".csv") or not (name.endswith(".json") or looks_like_json(spark, path))
+    return read_csv(spark, path) if csv else read_json(spark, path)
 
 
 def _text(name: str) -> Column:
@@ -67,8 +106,10 @@ def search_queries(c: Column) -> Column:
 def parse_records(raw: DataFrame) -> DataFrame:
     """One row a record: id, prompt (else the URL's), answer (markdown first), queries, flags, and its raw source fields."""
     answer = F.coalesce(_text("answer_text_markdown"), _text("answer_text"), F.lit(""))
+    file = F.col("file") if "file" in raw.columns else F.lit(None).cast("string")
+    own = F.concat_ws("-", F.lit("rec"), file, (F.col("ordinal") + 1).cast("string"))
     return raw.select(
-        F.coalesce(_text("record_id"), _text("id"), F.concat(F.lit("rec-"), F.col("ordinal") + 1)).alias("record_id"), F.col("ordinal").cast("long").alias("ord"),
+        F.coalesce(_text("record_id"), _text("id"), own).alias("record_id"), F.col("ordinal").cast("long").alias("ord"),
         F.coalesce(_text("prompt"), query_parameter(F.coalesce("url", F.lit("")), ["q", "prompt", "query"])).alias("prompt"), answer.alias("answer_text"),
         F.coalesce(_text("answer_text_markdown"), F.lit("")).alias("answer_markdown"), search_queries(F.col("web_search_query")).alias("web_search_query"),
         truthy(F.col("web_search_triggered")).alias("web_search_triggered"), "model", "timestamp", "url", "prompt_hash", "country", *ORIGINS,

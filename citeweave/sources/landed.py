@@ -12,10 +12,20 @@ def _get(c: str, *paths: str) -> Column:
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
-    """(item_ord, item): one JSON string an item, from JSON lines or files with one array."""
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-    items = F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")).otherwise(F.split("v", r"\n"))
-    return raw.select(F.posexplode(items).alias("item_ord", "item")).where(F.trim("item").startswith("{"))
+    """(item_ord, item): one JSON string an item, from JSON lines or files with one array.
+
+    Lines are read as lines, so a large file of lines is split over tasks; of an array's file only the
+    lines that belong to it are put together again.  ``item_ord`` is unique over all files, and follows
+    a file's order.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("o")).alias("at"), "value")
+    first = raw.where("trim(value) <> ''").groupBy("f").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "at").alias("c"))
+    raw = raw.join(first.where("c = '['").select("f", F.lit(True).alias("whole")), "f", "left")
+    lines = raw.where("whole IS NULL AND ltrim(value) LIKE '{%'").select("f", "at.b", "at.o", F.lit(0).alias("pos"), F.col("value").alias("item"))
+    text = raw.where("whole").groupBy("f").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n").alias("v"))
+    arrays = text.select("f", F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("o"), F.posexplode(F.from_json("v", "array<string>")).alias("pos", "item")).where(F.trim("item").startswith("{"))
+    rows = lines.unionByName(arrays)
+    return rows.select(F.struct("f", "b", "o", "pos").alias("item_ord"), "item")
 
 
 def search_rows(items: DataFrame, top_k: int = 20) -> DataFrame:
@@ -25,7 +35,7 @@ def search_rows(items: DataFrame, top_k: int = 20) -> DataFrame:
     rows = items.select("item_ord", query.alias("query"), F.posexplode(results).alias("pos", "r"))
     rank = F.coalesce(F.nullif(_get("r", "position", "rank").try_cast("int"), F.lit(0)), F.col("pos") + 1)
     text = lambda *p: F.coalesce(_get("r", *p), F.lit(""))
-    out = rows.select((F.col("item_ord") * 100000 + F.col("pos")).alias("ord"), "query", rank.alias("rank"), text("url", "link").alias("url"), text("title").alias("title"), text("description", "snippet", "desc").alias("snippet"),
+    out = rows.select(F.struct("item_ord", "pos").alias("ord"), "query", rank.alias("rank"), text("url", "link").alias("url"), text("title").alias("title"), text("description", "snippet", "desc").alias("snippet"),
                       text("displayedUrl", "displayUrl").alias("displayed_url"), F.coalesce(_get("r", "type"), F.lit("organic")).alias("result_type"))
     return out.where((F.col("rank") <= top_k) & (F.col("url") != ""))
 
@@ -54,7 +64,10 @@ def answer_rows(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     g = lambda p: f"candidates[0].{p}"
     parts = F.from_json(F.get_json_object("item", f"$.{g('content.parts')}"), "array<struct<text:string>>")
     text = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")
-    answers = items.select("item_ord", F.coalesce(F.nullif(text, F.lit("")), _get("item", "text"), F.lit("")).alias("output_text"), _get("item", g("finishReason")).alias("finish_reason"), _get("item", "modelVersion", "model").alias("model"))
+    answers = items.select(
+        "item_ord", F.coalesce(F.nullif(text, F.lit("")), _get("item", "text"), F.lit("")).alias("output_text"), _get("item", g("finishReason")).alias("finish_reason"), _get("item", "promptFeedback").alias("prompt_feedback"),
+        _get("item", g("groundingMetadata.searchEntryPoint.renderedContent")).alias("entry_point_html"), _get("item", "modelVersion", "model").alias("model"),
+    )
     chunks = F.from_json(F.get_json_object("item", f"$.{g('groundingMetadata.groundingChunks')}"), "array<struct<web:struct<uri:string, title:string>>>")
     notes = F.from_json(F.get_json_object("item", "$.annotations"), "array<struct<url:string, title:string>>")
     found = F.coalesce(F.transform(chunks, lambda c: F.struct(c["web"]["uri"].alias("uri"), c["web"]["title"].alias("title"))), F.transform(notes, lambda c: F.struct(c["url"].alias("uri"), c["title"].alias("title"))))
@@ -63,6 +76,14 @@ def answer_rows(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return answers, citations.where("raw_uri <> ''"), queries
 
 
+def answer_supports(items: DataFrame) -> DataFrame:
+    """(item_ord, pos, text, chunk_indices, confidence): which passages of an answer rest on which citations."""
+    kind = "array<struct<segment:struct<text:string>, groundingChunkIndices:array<int>, confidenceScores:array<double>>>"
+    rows = items.select("item_ord", F.posexplode(F.from_json(F.get_json_object("item", "$.candidates[0].groundingMetadata.groundingSupports"), kind)).alias("pos", "s"))
+    none = lambda t: F.array().cast(f"array<{t}>")
+    return rows.select("item_ord", "pos", F.coalesce("s.segment.text", F.lit("")).alias("text"), F.coalesce("s.groundingChunkIndices", none("int")).alias("chunk_indices"), F.coalesce("s.confidenceScores", none("double")).alias("confidence"))
+
+
 def usable(answers: DataFrame, citations: DataFrame, queries: DataFrame) -> bool:
     """Has a response any text, citation or query?  Later stages need one."""
     return not (answers.where("output_text <> ''").isEmpty() and citations.isEmpty() and queries.isEmpty())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions.text import prompt_key, split_expected, split_terms, truthy_or_null
 from citeweave.operators.matching import first_rows
+from citeweave.sources.export import numbered
 
 FIELDS = (
     "prompt_id id topic intent prompt country prompt_language language expected_source_types client_brand_terms_to_detect_in_output "
@@ -16,15 +17,17 @@ FIELDS = (
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"') if path.lower().endswith(".csv") else spark.read.json(path, multiLine=True)
-    return raw.withColumn("ordinal", F.monotonically_increasing_id())
+    return numbered(raw)
 
 
 def parse_manifest(raw: DataFrame) -> DataFrame:
     """Entries of a manifest; rows with neither prompt nor hash go.  ``raw`` has an ``ordinal`` and any of FIELDS."""
     have = {f: (F.col(f) if f in raw.columns else F.lit(None)).cast("string") for f in FIELDS}
     t = lambda f: F.nullif(F.trim(have[f]), F.lit(""))
+    file = F.col("file") if "file" in raw.columns else F.lit(None).cast("string")
+    own = F.concat(F.lit("P"), F.concat_ws("-", file, (F.col("ordinal") + 1).cast("string")))
     rows = raw.select(
-        "ordinal", F.coalesce(t("prompt_id"), t("id"), F.concat(F.lit("P"), F.col("ordinal") + 1)).alias("prompt_id"), F.coalesce(t("topic"), F.lit("")).alias("topic"),
+        "ordinal", F.coalesce(t("prompt_id"), t("id"), own).alias("prompt_id"), F.coalesce(t("topic"), F.lit("")).alias("topic"),
         F.coalesce(t("intent"), F.lit("Unspecified")).alias("intent"), F.coalesce(t("prompt"), F.lit("")).alias("prompt"), have["country"].alias("country"),
         F.coalesce(t("prompt_language"), t("language")).alias("prompt_language"), split_expected(have["expected_source_types"]).alias("expected_source_types"),
         split_terms(have["client_brand_terms_to_detect_in_output"]).alias("client_terms"), split_terms(have["competitor_terms_to_detect_in_output"]).alias("competitor_terms"),
@@ -33,6 +36,12 @@ def parse_manifest(raw: DataFrame) -> DataFrame:
     return rows.where("prompt <> '' OR prompt_hash IS NOT NULL").withColumn("key", prompt_key(F.col("prompt")))
 
 
+def manifest_warnings(raw: DataFrame) -> DataFrame:
+    """(ordinal, warning) of the rows that ``parse_manifest`` leaves out."""
+    t = lambda f: F.nullif(F.trim((F.col(f) if f in raw.columns else F.lit(None)).cast("string")), F.lit(""))
+    return raw.where(t("prompt").isNull() & t("prompt_hash").isNull()).select("ordinal", F.format_string("manifest row %d has neither prompt nor hash, skipped", (F.col("ordinal") + 1).cast("long")).alias("warning"))
+
+
 _GIVEN = ("prompt_id", "topic", "intent", "country", "prompt_language", "expected_source_types", "client_terms", "competitor_terms", "prompt_is_nonbranded", "visibility_goal")
 
 

@@ -38,3 +38,8 @@ def prompt_block(texts: DataFrame, text_col: str = "text", topic: str = "Custom"
 def topic_items(packs: DataFrame, topics: list[str] | None = None) -> DataFrame:
     """Tagged items of topic packs (topic, id, intent, prompt), all or the chosen ones."""
     return packs if topics is None else packs.where(F.col("topic").isin(topics))
+
+
+def first_questions(items: DataFrame, most: int, *order: str) -> DataFrame:
+    """At most ``most`` questions of a study, in a stated order: what a study may cost is bounded by it."""
+    return items.orderBy(*order).limit(most)

@@ -27,6 +27,11 @@ def load_run(spark: SparkSession, base: str, table: str, run_id: str) -> DataFra
     return spark.read.option("basePath", f"{base}/{table}").parquet(f"{base}/{table}").where(F.col("run_id") == run_id)
 
 
+def merge_pages(old: DataFrame, new: DataFrame, key: str = "normalized_url") -> DataFrame:
+    """Pages of both fetches; where both have one, the newer is kept."""
+    return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+
+
 def stable_hash(*columns: str):
     """Key of an input: digest of its fields in name order."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
