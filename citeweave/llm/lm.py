@@ -200,6 +200,9 @@ def initial(layout: Layout, seed: int = 7) -> dict[str, np.ndarray]:
 
 #: Key j may be seen by target i (input position STRIDE + i) if j <= STRIDE + i.
 MASK = np.where(np.arange(CONTEXT)[None, :] <= STRIDE + np.arange(STRIDE)[:, None], 0.0, -1e9).astype(np.float32)
+SEE = np.exp(MASK)
+#: Rows of logits worked on at one time, so that they stay in the processor's cache.
+LOGIT_ROWS = 256
 
 
 def _attend(p: dict, rows: np.ndarray, pad: int):
@@ -207,48 +210,67 @@ def _attend(p: dict, rows: np.ndarray, pad: int):
     x += p["P"]
     flat = lambda a, w: (a.reshape(-1, WIDTH) @ w).reshape(a.shape)
     xt = np.ascontiguousarray(x[:, STRIDE:])
-    q, k, v = flat(xt, p["Q"]), flat(x, p["K"]), flat(x, p["V"])
+    q, k, v = flat(xt, p["Q"] * np.float32(WIDTH**-0.5)), flat(x, p["K"]), flat(x, p["V"])
     s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
-    s += MASK
-    if (rows[:, 0] == pad).any():
-        s += np.where(rows == pad, np.float32(-1e9), np.float32(0))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
-    a = np.exp(s, out=s)
-    a /= a.sum(axis=2, keepdims=True)
+    seen = (rows != pad).astype(np.float32)[:, None, :] if (rows[:, 0] == pad).any() else None
+    sums = lambda a: (a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, a.dtype)).reshape(a.shape[:2])
+    with np.errstate(over="ignore", invalid="ignore"):
+        a = np.exp(s)
+        a *= SEE
+        if seen is not None:
+            a *= seen
+        total = sums(a)
+    if not (np.isfinite(total).all() and total.min() > 1e-20):  # scores beyond the range of exp, or nothing to see
+        s += MASK
+        if seen is not None:
+            s += (1 - seen) * np.float32(-1e9)
+        a = np.exp(s - s.max(axis=2, keepdims=True))
+        total = sums(a)
+    a /= total[:, :, None]
     return x, xt, q, k, v, a, xt + a @ v
 
 
 def gradients(p: dict, rows: np.ndarray, target: np.ndarray, pad: int) -> tuple[float, dict]:
     """Mean cross-entropy over targets >= 0 and its gradients."""
     x, xt, q, k, v, a, h = _attend(p, rows, pad)
-    h2, x2, xt2 = h.reshape(-1, WIDTH), x.reshape(-1, WIDTH), xt.reshape(-1, WIDTH)
+    x2, xt2 = x.reshape(-1, WIDTH), xt.reshape(-1, WIDTH)
     live = target.ravel() >= 0
     n = max(1, int(live.sum()))
-    t, line = np.maximum(target.ravel(), 0), np.arange(target.size)
-    g = h2 @ p["C"]
-    g += p["b"]
-    with np.errstate(over="ignore"):
-        np.exp(g, out=g)
-    total = g @ np.ones(g.shape[1], g.dtype)
-    if not np.isfinite(total).all() or not total.min() > 0:  # logits beyond the range of exp
-        g = h2 @ p["C"] + p["b"]
-        g -= g.max(axis=1, keepdims=True)
-        np.exp(g, out=g)
-        total = g @ np.ones(g.shape[1], g.dtype)
-    loss = float(-(np.log(np.maximum(g[line, t] / total, 1e-12)) * live).sum() / n)
-    # The gradient of a row of logits is (probability - 1 at the target) / n, or 0 without a target:
-    # g is left unscaled, and the scale goes to the narrow side of each product.
-    g[line, t] -= total
-    scale = (live / (total * n)).astype(g.dtype)[:, None]
-    out = {"C": (g.T @ (h2 * scale)).T, "b": scale[:, 0] @ g}
-    dh = ((g @ p["C"].T) * scale).reshape(h.shape)
+    t = np.maximum(target.ravel(), 0)
+    # The bias is a further row of the class weights, met by a column of ones.
+    weights = np.concatenate([p["C"], p["b"][None]]).astype(h.dtype)
+    h1 = np.ones((h.shape[0] * h.shape[1], WIDTH + 1), h.dtype)
+    h1[:, :WIDTH] = h.reshape(-1, WIDTH)
+    size, classes = len(h1), weights.shape[1]
+    dh, out_w, loss = np.empty((size, WIDTH), h.dtype), np.zeros((classes, WIDTH + 1), h.dtype), 0.0
+    room, ones, line = np.empty((LOGIT_ROWS, classes), h.dtype), np.ones(classes, h.dtype), np.arange(LOGIT_ROWS)
+    back = np.ascontiguousarray(p["C"].T)
+    for i in range(0, size, LOGIT_ROWS):
+        hb, tb, lb = h1[i : i + LOGIT_ROWS], t[i : i + LOGIT_ROWS], live[i : i + LOGIT_ROWS]
+        g, at = np.matmul(hb, weights, out=room[: len(hb)]), line[: len(hb)]
+        with np.errstate(over="ignore"):
+            np.exp(g, out=g)
+        total = g @ ones
+        if not (np.isfinite(total).all() and total.min() > 0):  # logits beyond the range of exp
+            np.matmul(hb, weights, out=g)
+            g -= g.max(axis=1, keepdims=True)
+            np.exp(g, out=g)
+            total = g @ ones
+        loss -= float((np.log(np.maximum(g[at, tb] / total, 1e-12)) * lb).sum())
+        # The gradient of a row of logits is (probability - 1 at the target) / n, or 0 without a target:
+        # g is left unscaled, and the scale goes to the narrow side of each product.
+        g[at, tb] -= total
+        scale = (lb / (total * n)).astype(g.dtype)[:, None]
+        out_w += g.T @ (hb * scale)
+        np.multiply(g @ back, scale, out=dh[i : i + LOGIT_ROWS])
+    out = {"C": out_w[:, :WIDTH].T, "b": out_w[:, WIDTH]}
+    dh = dh.reshape(h.shape)
     dv = a.transpose(0, 2, 1) @ dh
     ds = dh @ v.transpose(0, 2, 1)
-    ds -= (ds * a).sum(axis=2, keepdims=True)
     ds *= a
-    ds *= np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    ds -= a * (ds.reshape(-1, CONTEXT) @ np.ones(CONTEXT, ds.dtype)).reshape(ds.shape[:2])[:, :, None]
+    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q  # q holds the scale already
+    dq *= np.float32(WIDTH**-0.5)
     dq2, dk2, dv2 = dq.reshape(-1, WIDTH), dk.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)
     out["Q"], out["K"], out["V"] = xt2.T @ dq2, x2.T @ dk2, x2.T @ dv2
     dx = (dk2 @ p["K"].T + dv2 @ p["V"].T).reshape(x.shape)
@@ -260,7 +282,7 @@ def gradients(p: dict, rows: np.ndarray, target: np.ndarray, pad: int) -> tuple[
     flat = flat[order]
     starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
     out["E"][flat[starts]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], starts, axis=0)
-    return loss, out
+    return loss / n, out
 
 
 def fit(p: dict, windows: np.ndarray, layout: Layout, epochs: int, rate: float = RATE, seed: int = 0) -> dict:
@@ -296,10 +318,11 @@ class Scorer:
         self.q, self.qp = p["E"] @ p["Q"] * scale, p["P"][STRIDE:] @ p["Q"] * scale
         self.k, self.kp, self.v, self.vp = p["E"] @ p["K"], p["P"] @ p["K"], p["E"] @ p["V"], p["P"] @ p["V"]
         self.e = p["E"]
-        self.see, self.ones, self.many = np.exp(MASK), np.ones(CONTEXT, np.float32), np.ones(layout.classes, np.float32)
+        self.see, self.ones, self.many = SEE, np.ones(CONTEXT, np.float32), np.ones(layout.classes, np.float32)
         self.line = np.arange(1 << 16)
+        self.weights = np.concatenate([p["C"], p["b"][None]]).astype(np.float32)
 
-    def windows(self, rows: np.ndarray, group: np.ndarray, block: int = 128) -> np.ndarray:
+    def windows(self, rows: np.ndarray, group: np.ndarray, block: int = LOGIT_ROWS // STRIDE) -> np.ndarray:
         """Sum of the targets' class log10 probabilities, by window; targets < 0 count nothing."""
         with np.errstate(over="ignore", invalid="ignore"):
             out = np.concatenate([self._block(rows[i : i + block], group[i : i + block], False) for i in range(0, len(rows), block)])
@@ -323,11 +346,10 @@ class Scorer:
             s *= (r != self.layout.pad).astype(np.float32)[:, None, :]
         v = np.take(self.v, r, axis=0)
         v += self.vp
-        a = (s @ v).reshape(n, WIDTH)
-        a /= (s.reshape(n, CONTEXT) @ self.ones)[:, None] + np.float32(1e-30)
-        a += (np.take(self.e, x, axis=0) + self.p["P"][STRIDE:]).reshape(n, WIDTH)
-        logits = a @ self.p["C"]
-        logits += self.p["b"]
+        a = np.ones((n, WIDTH + 1), np.float32)
+        np.divide((s @ v).reshape(n, WIDTH), (s.reshape(n, CONTEXT) @ self.ones)[:, None] + np.float32(1e-30), out=a[:, :WIDTH])
+        a[:, :WIDTH] += (np.take(self.e, x, axis=0) + self.p["P"][STRIDE:]).reshape(n, WIDTH)
+        logits = a @ self.weights
         if careful:
             logits -= logits.max(axis=1, keepdims=True)
         flat = t.ravel()
