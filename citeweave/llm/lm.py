@@ -47,7 +47,7 @@ BATCH, ROUNDS, EPOCHS, RATE = 256, 2, 1, 0.02
 #: Training windows that start in one row of ``training_windows``.
 ROW_WINDOWS = 16_384
 #: Ids of a unit of training, and units of a group at most GROUPS groups (then more).
-UNIT, GROUP_UNITS, GROUPS = 1 << 20, 4, 4_096
+UNIT, GROUP_UNITS, GROUPS = 1 << 20, 1, 4_096
 #: Bytes of text that are read at one time.
 SLICE = 4 << 20  # a batch of ARROW_ROWS rows is about as large
 HEAD, CACHE_WORDS = 300_000, 400_000
