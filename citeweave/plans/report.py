@@ -171,6 +171,6 @@ def write_all(audit: Audit, base: str, report: str) -> list[str]:
     out = write_tables(audit, base)
     for name, text in (("report_md", report), ("report_html", html_report(audit)), ("analysis_json", analysis_json(audit))):
         path = f"{base}/{audit.run_id}/{name}"
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(path)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
         out.append(path)
     return out
