@@ -40,8 +40,9 @@ class Audit:
     kept: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
-        """Give up what the audit holds in memory; its tables can still be computed."""
-        for df in self.kept:
+        """Give up what the audit holds in memory; its tables can still be computed.  The last derived goes
+        first, else Spark would plan what depends on a released table anew."""
+        for df in reversed(self.kept):
             df.unpersist()
 
     def __getattr__(self, name: str) -> DataFrame:
