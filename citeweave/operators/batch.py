@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.operators.compare import long_features, official_compare
+from citeweave.operators.compare import group_compare, official_compare
 
 
 def pool(runs: list[DataFrame]) -> DataFrame:
@@ -17,17 +17,11 @@ def pool(runs: list[DataFrame]) -> DataFrame:
 
 
 def batch_aggregate(rows: DataFrame, features: list[str], topic: str = "topic", intent: str = "intent") -> DataFrame:
-    """(level, name, feature, medians, means, ns) by grouping sets over one pass; empty intents are skipped."""
-    long = long_features(rows, features, ["cited", F.col(topic).alias("topic"), F.nullif(F.col(intent), F.lit("")).alias("intent")])
-    a, b = F.when(F.col("cited") == 1, F.col("value")), F.when(F.col("cited") == 0, F.col("value"))
-    sets = [["feature"], ["feature", "topic"], ["feature", "intent"]]
-    g = long.groupingSets(sets, "feature", "topic", "intent").agg(
-        F.grouping("topic").alias("gt"), F.grouping("intent").alias("gi"), F.round(F.median(a), 4).alias("cited_median"), F.round(F.median(b), 4).alias("non_cited_median"),
-        F.round(F.avg(a), 4).alias("cited_mean"), F.round(F.avg(b), 4).alias("non_cited_mean"), F.count(a).alias("n_cited"), F.count(b).alias("n_non_cited"))
-    level = F.when(F.col("gt") == 0, "topic").when(F.col("gi") == 0, "intent").otherwise("overall")
-    name = F.when(F.col("gt") == 0, F.col("topic")).when(F.col("gi") == 0, F.col("intent")).otherwise("(all)")
-    out = g.select(level.alias("level"), name.alias("name"), "feature", "cited_median", "non_cited_median", "cited_mean", "non_cited_mean", "n_cited", "n_non_cited")
-    return out.where(F.col("name").isNotNull())
+    """(level, name, feature, medians, means, ns): each row counts for all, for its topic and for its intent; empty intents are skipped."""
+    names = {"overall": F.lit("(all)"), "topic": F.col(topic).cast("string"), "intent": F.nullif(F.col(intent).cast("string"), F.lit(""))}
+    levels = F.filter(F.array(*[F.struct(F.lit(k).alias("level"), c.alias("name")) for k, c in names.items()]), lambda x: x["name"].isNotNull())
+    dealt = rows.select(*features, "cited", F.explode(levels).alias("at")).select(*features, "cited", "at.level", "at.name")
+    return group_compare(dealt, features, ["level", "name"]).select("level", "name", "feature", "cited_median", "non_cited_median", "cited_mean", "non_cited_mean", "n_cited", "n_non_cited")
 
 
 def recall_average(recall: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.operators.ordered import quantiles
+
 
 def number(c: Column) -> Column:
     """Double or null: text that is no number, and NaN, are null; booleans are 1 and 0."""
@@ -22,16 +24,18 @@ def long_features(rows: DataFrame, features: list[str], keep: list) -> DataFrame
 def group_compare(rows: DataFrame, features: list[str], by: list[str] | None = None, rounded_delta: bool = False, cited: str = "cited") -> DataFrame:
     """Mean, median and n of both groups for every feature, and the difference of means.
 
-    One shuffle on (by.., feature); null values count for nothing.
+    Null values count for nothing.  Medians are exact and come from bins of values (``ordered``), so
+    that no task holds a whole feature.
     """
     by = by or []
-    long = long_features(rows, features, [*by, cited])
-    mine, other = F.when(F.col(cited) == 1, F.col("value")), F.when(F.col(cited) == 0, F.col("value"))
-    stats = long.groupBy(*by, "feature").agg(
-        F.avg(mine).alias("a"), F.avg(other).alias("b"), F.median(mine).alias("ma"), F.median(other).alias("mb"), F.count(mine).alias("n_cited"), F.count(other).alias("n_non_cited"))
+    side = F.when(F.col(cited) == 1, 1).when(F.col(cited) == 0, 0)
+    each = quantiles(long_features(rows, features, [*by, side.alias("side")]), [*by, "feature", "side"], {"median": 0.5})
     r = lambda c: F.round(c, 4)
-    delta = r(r(F.col("a")) - r(F.col("b"))) if rounded_delta else r(F.col("a") - F.col("b"))
-    return stats.select(*by, "feature", r(F.col("a")).alias("cited_mean"), r(F.col("b")).alias("non_cited_mean"), r(F.col("ma")).alias("cited_median"), r(F.col("mb")).alias("non_cited_median"), delta.alias("delta"), "n_cited", "n_non_cited")
+    of = lambda c, v: F.max(F.when(F.col("side") == v, F.col(c)))
+    stats = each.groupBy(*by, "feature").agg(*[of(c, v).alias(f"{c}{v}") for c in ("mean", "median", "n") for v in (1, 0)])
+    delta = r(r(F.col("mean1")) - r(F.col("mean0"))) if rounded_delta else r(F.col("mean1") - F.col("mean0"))
+    n = lambda v: F.coalesce(f"n{v}", F.lit(0).cast("long"))
+    return stats.select(*by, "feature", r("mean1").alias("cited_mean"), r("mean0").alias("non_cited_mean"), r("median1").alias("cited_median"), r("median0").alias("non_cited_median"), delta.alias("delta"), n(1).alias("n_cited"), n(0).alias("n_non_cited"))
 
 
 def source_breakdown(rows: DataFrame, key: str = "source_type") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citeweave.operators.ordered import quantiles
+
 
 def min_max(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Columns scaled to 0..1 over the (few) rows shown; 0.5 where a column is constant or null."""
@@ -19,8 +21,7 @@ def min_max(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def box_statistics(rows: DataFrame, key: str, value: str) -> DataFrame:
-    q = lambda p: F.percentile(value, F.lit(p))
-    return rows.groupBy(key).agg(F.count(value).alias("n"), F.min(value).alias("low"), q(0.25).alias("q1"), q(0.5).alias("mid"), q(0.75).alias("q3"), F.max(value).alias("high"))
+    return quantiles(rows, [key], {"q1": 0.25, "mid": 0.5, "q3": 0.75}, value).select(key, "n", "low", "q1", "mid", "q3", "high")
 
 
 def average_profile(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,22 +7,34 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeweave.operators.compare import group_compare, long_features
+from citeweave.operators.ordered import at_positions, counted
+
+
+def _in_bins(long: DataFrame) -> DataFrame:
+    """Counted values of each feature with ``inner``, their average rank within their bin."""
+    counts = counted(long.where("value IS NOT NULL"), ["feature"], "value", F.sum("cited").cast("long").alias("n_cited"))
+    upto = F.sum("n").over(W.partitionBy("feature", "bin").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    return counts.withColumn("inner", upto - (F.col("n") - 1) / F.lit(2.0).cast("double"))
+
+
+def _before(column: str):
+    """Sum of ``column`` over the bins of the feature before this one."""
+    return F.sum(column).over(W.partitionBy("feature").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) - F.col(column)
 
 
 def average_ranks(long: DataFrame) -> DataFrame:
     """(feature, value, ties, rank): the average rank of each distinct value.
 
-    Values are counted first, so the running sum per feature is over distinct values, not rows.
+    Ranks are running sums within bins of values, and the bins' own running sum stands before them.
     """
-    from pyspark.sql import Window as W
-
-    counts = long.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("ties"), F.sum("cited").cast("long").alias("ties_cited"))
-    upto = F.sum("ties").over(W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    return counts.withColumn("rank", upto - (F.col("ties") - 1) / F.lit(2.0).cast("double"))
+    ranked = _in_bins(long)
+    bins = ranked.groupBy("feature", "bin").agg(F.sum("n").alias("m")).select("feature", "bin", _before("m").alias("before"))
+    return ranked.join(bins, ["feature", "bin"]).select("feature", "value", F.col("n").alias("ties"), F.col("n_cited").alias("ties_cited"), (F.col("before") + F.col("inner")).alias("rank"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -35,11 +47,13 @@ def mann_whitney(rows: DataFrame, features: list[str], with_p: bool = True) -> D
 
     Null below three values in either group; p is null without variance.
     """
-    ranks = average_ranks(long_features(rows, features, ["cited"]))
-    t = F.col("ties").cast("double")
-    s = ranks.groupBy("feature").agg(
-        F.sum("ties_cited").cast("long").alias("n1"), F.sum(F.col("ties") - F.col("ties_cited")).cast("long").alias("n2"),
-        F.sum(F.col("rank") * F.col("ties_cited")).alias("r1"), F.sum(t * t * t - t).alias("tie_term"))
+    t = F.col("n").cast("double")
+    # A bin's share of the rank sum: its cited values' ranks inside, and for each of them what stands before the bin.
+    bins = _in_bins(long_features(rows, features, ["cited"])).groupBy("feature", "bin").agg(
+        F.sum("n").alias("m"), F.sum("n_cited").alias("c"), F.sum(F.col("inner") * F.col("n_cited")).alias("r"), F.sum(t * t * t - t).alias("tie_term"))
+    s = bins.withColumn("before", _before("m")).groupBy("feature").agg(
+        F.sum("c").cast("long").alias("n1"), F.sum(F.col("m") - F.col("c")).cast("long").alias("n2"),
+        F.sum(F.col("r") + F.col("before") * F.col("c")).alias("r1"), F.sum("tie_term").alias("tie_term"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
     u = F.when((n1 >= 3) & (n2 >= 3), F.least(u1, n1 * n2 - u1))
@@ -64,10 +78,65 @@ def bootstrap_interval(a: np.ndarray, b: np.ndarray, rounds: int, seed: int) ->
     return round(float(lo), 4), round(float(hi), 4)
 
 
-def bootstrap_median_diff(rows: DataFrame, features: list[str], order: str, rounds: int = 1500, seed: int = 12345) -> DataFrame:
+def median_ranks(n: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks (from 0) of the lower and upper middle of each of ``rounds`` resamples of n values.
+
+    A resample is n uniform draws of a rank, and its middles are order statistics of uniform numbers,
+    which are Beta distributed: no resample need be drawn.
+    """
+    rng, m = np.random.default_rng([seed, n]), n // 2
+    if n % 2:
+        low = high = rng.beta(m + 1, m + 1, rounds)
+    else:
+        low = rng.beta(m, m + 1, rounds)
+        high = low + (1 - low) * rng.beta(1, m, rounds)
+    return tuple(np.minimum((u * n).astype(np.int64), n - 1) for u in (low, high))
+
+
+def _by_ranks(long: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """bootstrap_median_diff of features with any number of values: only values at drawn ranks leave their bins."""
+
+    def drawn(n: int, cited: int) -> np.ndarray:
+        return np.unique(np.r_[(n - 1) // 2, n // 2, *median_ranks(n, rounds, seed + cited)])
+
+    @F.pandas_udf("array<long>")
+    def wanted(cited: pd.Series, of: pd.Series, before: pd.Series, upto: pd.Series) -> pd.Series:
+        out, known = [], {}
+        for c, n, a, b in zip(cited, of, before, upto):
+            if (c, n) not in known:
+                known[c, n] = drawn(int(n), int(c))
+            i, j = np.searchsorted(known[c, n], [a, b])
+            out.append(known[c, n][i:j])
+        return pd.Series(out)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        mid, many = {}, {}
+        for c, part in pdf.groupby("cited"):
+            n, look = int(part["n"].iloc[0]), part.set_index("position")["value"]
+            mid[c] = (look[(n - 1) // 2] + look[n // 2]) / 2
+            if n >= 3:
+                low, high = median_ranks(n, rounds, seed + int(c))
+                many[c] = (look[low].to_numpy() + look[high].to_numpy()) / 2
+        lo, hi = (round(float(v), 4) for v in np.percentile(many[1] - many[0], [2.5, 97.5])) if len(many) == 2 else (None, None)
+        diff = round(float(mid[1] - mid[0]), 4) if len(mid) == 2 else None
+        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "median_diff": [diff], "ci_low": [lo], "ci_high": [hi]}).astype({"median_diff": float, "ci_low": float, "ci_high": float})
+
+    counts = counted(long.where("cited IN (0, 1)"), ["feature", "cited"])
+    sizes = counts.groupBy("feature", "cited").agg(F.sum("n").alias("n"))
+    found = at_positions(counts, ["feature", "cited"], lambda of, before, upto: wanted(F.col("cited"), of, before, upto))
+    return found.join(sizes, ["feature", "cited"]).groupBy("feature").applyInPandas(run, DRAWN)
+
+
+DRAWN = "feature string, median_diff double, ci_low double, ci_high double"
+#: Values up to which a feature is resampled by drawing its values.
+DRAW_VALUES = 200_000
+
+
+def bootstrap_median_diff(rows: DataFrame, features: list[str], order: str, rounds: int = 1500, seed: int = 12345, most: int = DRAW_VALUES) -> DataFrame:
     """(feature, median_diff, ci_low, ci_high), values in the order of ``order``.
 
-    A bit-exact bootstrap needs a feature's values in one task: meant for pooled audit rows.
+    A feature of up to ``most`` values is resampled in one task, draw by draw, so that figures repeat.
+    Of a larger one the middles of the resamples are drawn by rank, from the same distribution.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,7 +147,10 @@ def bootstrap_median_diff(rows: DataFrame, features: list[str], order: str, roun
         return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "median_diff": [diff], "ci_low": [lo], "ci_high": [hi]}).astype({"median_diff": float, "ci_low": float, "ci_high": float})
 
     long = long_features(rows, features, ["cited", F.col(order).alias("ord")]).where("value IS NOT NULL")
-    return long.groupBy("feature").applyInPandas(run, "feature string, median_diff double, ci_low double, ci_high double")
+    sizes = {r["feature"]: r["count"] for r in long.groupBy("feature").count().collect()}  # one row a feature
+    large = [f for f, n in sizes.items() if n > most]
+    out = long.where(~F.col("feature").isin(large)).groupBy("feature").applyInPandas(run, DRAWN)
+    return out.unionByName(_by_ranks(long.where(F.col("feature").isin(large)), rounds, seed)) if large else out
 
 
 def group_stats(rows: DataFrame, features: list[str], order: str) -> DataFrame:

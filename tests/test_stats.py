@@ -104,3 +104,52 @@ def test_brand_denominator_is_non_branded_prompts(spark):
     got = {(r["grp"], r["n_cited"], r["n_more_only"]) for r in brand.cited_vs_more_only(page, ["f"]).collect()}
     assert got == {("all", 1, 1), ("client", 1, 1), ("competitor", 1, 0), ("by_intent", 1, 1)}
     assert {r["position_band"] for r in brand.position_controlled(page, ["f"]).collect()} == {"1-3", "11+", "unknown"}
+
+
+def test_quantiles_and_medians_equal_numpy(spark):
+    from citeweave.operators import ordered, profile
+
+    rng = np.random.default_rng(3)
+    groups = {"a": np.round(rng.lognormal(3, 2, 700), 2), "b": np.r_[-np.exp(rng.normal(0, 5, 300)), np.zeros(50)], None: np.full(40, 1e12) + rng.integers(-20, 20, 40), "one": np.array([4.5])}
+    data = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("none", None), ("far", float("inf")), ("far", float("-inf")), ("far", 2.0)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(7)
+    got = {r["k"]: r for r in profile.box_statistics(df, "k", "v").collect()}
+    for k, vs in groups.items():
+        r = got[k]
+        assert (r["n"], r["low"], r["high"]) == (len(vs), vs.min(), vs.max())
+        assert np.allclose([r["q1"], r["mid"], r["q3"]], np.percentile(vs, [25, 50, 75]), rtol=1e-12)
+    assert (got["none"]["n"], got["none"]["mid"], got["far"]["mid"]) == (0, None, 2.0)
+    sides = df.selectExpr("v", "if(k = 'a', 1, 0) AS cited")
+    r = compare.group_compare(sides.where("k IN ('a', 'b')"), ["v"]).first()
+    assert (r["cited_median"], r["non_cited_median"]) == (round(float(np.median(groups["a"])), 4), round(float(np.median(groups["b"])), 4))
+    assert ordered.quantiles(df.where("false"), ["k"], {"mid": 0.5}, "v").count() == 0
+
+
+def test_groups_without_values_stay(spark):
+    df = spark.createDataFrame([(1, None), (1, None)], "cited int, x double")
+    r = compare.group_compare(df, ["x"]).first()
+    assert (r["feature"], r["n_cited"], r["n_non_cited"], r["cited_mean"], r["non_cited_median"]) == ("x", 0, 0, None, None)
+
+
+def test_ranks_of_ties_over_bins(spark):
+    rng = np.random.default_rng(5)
+    v = np.r_[rng.integers(-50, 50, 400), rng.normal(0, 1e6, 200)]
+    df = spark.createDataFrame([("f", float(x), i % 2) for i, x in enumerate(v)], "feature string, value double, cited int").repartition(5)
+    order = np.sort(v)
+    want = {float(x): (np.searchsorted(order, x, "left") + np.searchsorted(order, x, "right") + 1) / 2 for x in v}
+    assert {r["value"]: r["rank"] for r in stats.average_ranks(df).collect()} == want
+    r1 = sum(want[float(x)] for i, x in enumerate(v) if i % 2)
+    u = r1 - 300 * 301 / 2
+    assert stats.mann_whitney(df.select("cited", "value"), ["value"]).first()["u"] == min(u, 300 * 300 - u)
+
+
+def test_bootstrap_by_ranks_has_the_same_distribution(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(10, 3, 400), rng.normal(8, 2, 301)
+    df = spark.createDataFrame([(i, int(i < 400), float(x)) for i, x in enumerate(np.r_[a, b])], "ord int, cited int, x double").repartition(3)
+    exact = stats.bootstrap_median_diff(df, ["x"], "ord").first()
+    ranks = stats.bootstrap_median_diff(df, ["x"], "ord", most=100).first()
+    assert ranks["median_diff"] == exact["median_diff"] == round(float(np.median(a) - np.median(b)), 4)
+    assert abs(ranks["ci_low"] - exact["ci_low"]) < 0.12 and abs(ranks["ci_high"] - exact["ci_high"]) < 0.12
+    few = stats.bootstrap_median_diff(df.where("cited = 1 OR ord < 402"), ["x"], "ord", most=100).first()
+    assert few["median_diff"] is not None and few["ci_low"] is None
