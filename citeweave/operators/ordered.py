@@ -31,25 +31,28 @@ def counted(rows: DataFrame, keys: list[str], value: str = "value", *more: Colum
 
 
 def at_positions(counts: DataFrame, keys: list[str], wanted: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """(keys.., position, value): the values at the wanted positions, from 0, of each group.
+    """(keys.., of, total, low, high, position, value): the values at the wanted positions, from 0, of each group.
 
     ``counts`` is what ``counted`` gives.  ``wanted(of, before, upto)`` is the array of those
-    positions in a group of ``of`` values that are at least ``before`` and below ``upto``.
+    positions in a group of ``of`` values that are at least ``before`` and below ``upto``.  A group
+    without values has one row, with ``of`` 0.
     """
-    bins = counts.groupBy(*keys, "bin").agg(F.sum("n").alias("m"))
-    group = W.partitionBy(*keys)
+    x, group = F.col("value"), W.partitionBy(*keys)
+    bins = counts.groupBy(*keys, "bin").agg(F.sum("n").alias("m"), F.sum(x * F.col("n")).alias("total"), F.min(x).alias("low"), F.max(x).alias("high"))
     upto = F.sum("m").over(group.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-    bins = bins.select(*keys, "bin", F.sum("m").over(group).alias("of"), (upto - F.col("m")).alias("before"), upto.alias("upto"))
-    bins = bins.withColumn("wanted", wanted(F.col("of"), F.col("before"), F.col("upto"))).where(F.size("wanted") > 0)
+    whole = {"of": F.sum("m"), "total": F.sum("total"), "low": F.min("low"), "high": F.max("high")}
+    bins = bins.select(*keys, "bin", *[c.over(group).alias(k) for k, c in whole.items()], (upto - F.col("m")).alias("before"), upto.alias("upto"))
+    bins = bins.withColumn("wanted", wanted(F.col("of"), F.col("before"), F.col("upto"))).where((F.size("wanted") > 0) | (F.col("of") == 0))
     # Groups may have null keys, which are groups like any other.
     names = {k: f"__{i}" for i, k in enumerate([*keys, "bin"])}
-    bins = bins.select(*[F.col(k).alias(v) for k, v in names.items()], "before", "wanted")
+    bins = bins.select(*[F.col(k).alias(v) for k, v in names.items()], *whole, "before", "wanted")
     same = [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()]
     met = counts.select(*keys, "value", "n", "bin").join(bins, same).drop(*names.values())
     upto = F.col("before") + F.sum("n").over(W.partitionBy(*keys, "bin").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
     met = met.withColumn("upto", upto)
     mine = F.filter("wanted", lambda p: (p >= F.col("upto") - F.col("n")) & (p < F.col("upto")))
-    return met.select(*keys, F.explode(mine).alias("position"), "value")
+    met = met.withColumn("mine", mine).where((F.size("mine") > 0) | (F.col("of") == 0))
+    return met.select(*keys, *whole, F.explode_outer("mine").alias("position"), "value")
 
 
 def quantiles(rows: DataFrame, keys: list[str], at: dict[str, float], value: str = "value") -> DataFrame:
@@ -57,19 +60,15 @@ def quantiles(rows: DataFrame, keys: list[str], at: dict[str, float], value: str
 
     Exact, by linear interpolation between neighbours, as ``percentile`` does.
     """
-    counts = counted(rows, keys, value)
     pos = {name: (lambda of, p=p: (of - 1) * F.lit(p)) for name, p in at.items()}
 
     def wanted(of: Column, before: Column, upto: Column) -> Column:
         both = F.array_distinct(F.array(*[f(x(of)) for x in pos.values() for f in (F.floor, F.ceil)]))
         return F.filter(both, lambda p: (p >= before) & (p < upto))
 
-    found = at_positions(counts, keys, wanted)
-    x = F.col("value")
-    stats = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(x * F.col("n")).alias("total"), F.min(x).alias("low"), F.max(x).alias("high"))
-    # One row a group and a few positions of it meet in a grouping; a join would lose null keys.
-    both = stats.unionByName(found.select(*keys, F.struct("position", "value").alias("found")), allowMissingColumns=True)
-    one = both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("n", "total", "low", "high")], F.map_from_entries(F.collect_list("found")).alias("found"))
+    found = at_positions(counted(rows, keys, value), keys, wanted)
+    few = F.map_from_entries(F.collect_list(F.when(F.col("position").isNotNull(), F.struct("position", "value"))))
+    one = found.groupBy(*keys).agg(F.max("of").alias("n"), *[F.max(c).alias(c) for c in ("total", "low", "high")], few.alias("found"))
 
     def between(where: Column) -> Column:
         a, b = F.floor(where), F.ceil(where)

@@ -122,9 +122,8 @@ def _by_ranks(long: DataFrame, rounds: int, seed: int) -> DataFrame:
         return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "median_diff": [diff], "ci_low": [lo], "ci_high": [hi]}).astype({"median_diff": float, "ci_low": float, "ci_high": float})
 
     counts = counted(long.where("cited IN (0, 1)"), ["feature", "cited"])
-    sizes = counts.groupBy("feature", "cited").agg(F.sum("n").alias("n"))
     found = at_positions(counts, ["feature", "cited"], lambda of, before, upto: wanted(F.col("cited"), of, before, upto))
-    return found.join(sizes, ["feature", "cited"]).groupBy("feature").applyInPandas(run, DRAWN)
+    return found.withColumnRenamed("of", "n").groupBy("feature").applyInPandas(run, DRAWN)
 
 
 DRAWN = "feature string, median_diff double, ci_low double, ci_high double"

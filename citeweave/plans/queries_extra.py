@@ -13,21 +13,38 @@ def event_tumbling(spark, sf):
     return tumbling_counts(read(spark, sf, "events"), "6 hours")
 
 
+GAP = 6 * 3_600_000_000  # microseconds
+
+
 def event_sessions(spark, sf):
-    """Sessions of a user: a gap of over six hours begins a new one."""
-    e = read(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    new = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order) > 6 * 3_600_000_000).cast("int")
-    s = e.withColumn("s", F.sum(F.coalesce(new, F.lit(1))).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return s.groupBy("user_id", F.col("s").alias("session")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    """Sessions of a user: a gap of over six hours begins a new one.
+
+    Events are put in order within a user's day only; the pieces of sessions that days give, of which
+    even a busy user has few, are then joined over midnight.
+    """
+    e = read(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", "value").withColumn("day", F.floor(F.col("t") / 86_400_000_000))
+    order = W.partitionBy("user_id", "day").orderBy("t", "event_id")
+    apart = F.coalesce((F.col("t") - F.lag("t").over(order) > GAP).cast("int"), F.lit(1))
+    s = e.withColumn("apart", apart).withColumn("s", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    pieces = s.groupBy("user_id", "day", "s").agg(F.count("*").alias("n"), F.sum("value").alias("value"), F.min("t").alias("a"), F.max("t").alias("b"))
+    order = W.partitionBy("user_id").orderBy("a", "s")
+    new = F.coalesce((F.col("a") - F.lag("b").over(order) > GAP).cast("int"), F.lit(1))
+    joined = pieces.withColumn("new", new).withColumn("session", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return joined.groupBy("user_id", "session").agg(F.sum("n").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
 def event_asof(spark, sf):
-    """For each purchase the user's last click before it: one sort by user and time, no range join."""
-    e = read(spark, sf, "events").where("event_type IN ('purchase', 'click')")
-    order = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(order)
-    return e.withColumn("click_id", last).where("event_type = 'purchase'").select("event_id", "click_id")
+    """For each purchase the user's last click before it: sorted within a user's day; where the day has no
+    click before it, the last one of the days before.  No range join."""
+    e = read(spark, sf, "events").where("event_type IN ('purchase', 'click')").select("user_id", "event_type", "ts", "event_id", F.to_date("ts").alias("day"))
+    click = F.when(F.col("event_type") == "click", F.col("event_id"))
+    last = F.last(click, ignorenulls=True).over(W.partitionBy("user_id", "day").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1))
+    rows = e.withColumn("same_day", last).where("event_type = 'purchase'")
+    days = e.groupBy("user_id", "day").agg(F.max(F.when(click.isNotNull(), F.struct("ts", "event_id")))["event_id"].alias("latest"))
+    before = F.last("latest", ignorenulls=True).over(W.partitionBy("user_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1))
+    days = days.select(F.col("user_id").alias("u"), F.col("day").alias("d"), before.alias("earlier"))
+    met = rows.join(days, F.col("user_id").eqNullSafe(F.col("u")) & F.col("day").eqNullSafe(F.col("d")))
+    return met.select("event_id", F.coalesce("same_day", "earlier").alias("click_id"))
 
 
 _NAMES = "event_tumbling event_sessions event_asof".split()
