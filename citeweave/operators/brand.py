@@ -62,12 +62,17 @@ def _counts() -> list[Column]:
     return [F.count("*").alias("total_prompts"), F.count_if(nb).alias("nonbranded_prompts"), *[F.count_if(nb & F.col(c)).alias(f"k_{c}") for c in RATES]]
 
 
-def by_intent(records: DataFrame) -> DataFrame:
-    nb = F.col("is_nonbranded_prompt")
-    examples = F.sort_array(F.collect_list(F.when(nb, F.struct("ord", F.substring("prompt", 1, 90).alias("p")))))
-    g = records.groupBy("topic", "intent").agg(*_counts(), examples.alias("e")).withColumns(_rates("nonbranded_prompts"))
+def by_intent(records: DataFrame, k: int = 3) -> DataFrame:
+    """Counts and rates a (topic, intent), with its first k prompts; of other prompts nothing is gathered."""
+    keys = ["topic", "intent"]
+    asked = records.where("is_nonbranded_prompt").select(*keys, "ord", F.substring("prompt", 1, 90).alias("p"))
+    first = asked.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("ord", "p"))).where(F.col("rank") <= k)
+    shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "p"))), lambda x: x["p"]), " | ")
+    first = first.groupBy(*[F.col(c).alias(f"__{c}") for c in keys]).agg(shown.alias("example_prompts"))
+    g = records.groupBy(*keys).agg(*_counts()).withColumns(_rates("nonbranded_prompts"))
     g = g.withColumn("client_vs_competitor_cited_delta", F.round(F.col("client_cited_rate") - F.col("competitor_cited_rate"), 4))
-    return g.withColumn("example_prompts", F.array_join(F.transform(F.slice("e", 1, 3), lambda x: x["p"]), " | ")).drop("e").withColumnsRenamed({f"k_{c}": f"n_{c}" for c in RATES})
+    g = g.join(first, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys], "left").drop(*[f"__{c}" for c in keys])
+    return g.withColumn("example_prompts", F.coalesce("example_prompts", F.lit(""))).withColumnsRenamed({f"k_{c}": f"n_{c}" for c in RATES})
 
 
 def overall(records: DataFrame) -> DataFrame:
