@@ -55,7 +55,7 @@ class Audit:
 def analysis(rows: DataFrame, numeric: list[str], sim: str) -> dict[str, DataFrame]:
     phase = F.when(F.col("feature").isin(*POST_OUTPUT), "post_output").otherwise("pre_answer")
     return {
-        "group_compare": compare.group_compare(rows, numeric).withColumn("phase", phase), "source_breakdown": compare.source_breakdown(rows), "official": compare.official_compare(rows),
+        "group_compare": compare.group_compare(rows, numeric).withColumn("phase", phase).persist(), "source_breakdown": compare.source_breakdown(rows), "official": compare.official_compare(rows),
         "correlation": compare.correlation_with_cited(rows, numeric).withColumn("phase", phase), "length_similarity": compare.length_similarity_correlation(rows, "word_count", sim),
     }
 
@@ -74,7 +74,7 @@ def search_audit(run_id: str, search_rows: DataFrame, citations: DataFrame, page
     tables = {"serp": search_rows, "candidates": candidates, "matches": matches, "recall": matching.recall_at_k(matches), "tiers": matching.tier_table(matches), "flows": profile.flow_edges(flagged, prompt), "unmatched": matching.unmatched(matches), "features": rows, "chunks": chunks}
     tables |= analysis(rows, CANDIDATE_FEATURES, "page_output_sim") | {"funnel": compare.funnel(rows)}
     tables["insights"] = profile.insights(tables["group_compare"], tables["official"], rows)
-    return Audit(run_id, tables, [candidates, matches, rows])
+    return Audit(run_id, tables, [candidates, matches, rows, tables["group_compare"]])
 
 
 def export_audit(run_id: str, raw: DataFrame, pages: DataFrame, as_of: str, manifest_rows: DataFrame | None = None, client: list[str] | None = None, competitor: list[str] | None = None, clusters: int = 0, method: str = "lexical", embed_fn: Callable | None = None) -> Audit:
@@ -94,6 +94,7 @@ def export_audit(run_id: str, raw: DataFrame, pages: DataFrame, as_of: str, mani
     asked = questions.question_rows(rows)
     tables = {"records": records, "sources": sources, "run": export.run_summary(records, sources), "warnings": export.record_warnings(records), "features": rows, "chunks": chunks, "summary": compare.summary(rows), "questions": questions.question_table(asked)}
     tables |= analysis(rows, SOURCE_FEATURES, "page_answer_similarity")
+    kept.append(tables["group_compare"])
     tables |= {"top_domains_cited": compare.top_domains(rows, 1), "top_domains_more": compare.top_domains(rows, 0)}
     if clusters:
         tables["clusters"] = questions.cluster_summary(asked, questions.cluster_questions(asked, clusters))
@@ -141,7 +142,7 @@ def batch_audit(runs: dict[str, Audit], tags: dict[str, dict[str, str]]) -> Audi
     tables = {"features": pooled, "aggregate": rollup, "recall": batch.recall_average(batch.pool(recalls)), "sample": batch.sample_sizes(pooled), "group_stats": stats.group_stats(pooled, CANDIDATE_FEATURES, "candidate_id")}
     tables |= analysis(pooled, CANDIDATE_FEATURES, "page_output_sim")
     tables["patterns"] = batch.cite_patterns(pooled, rollup, tables["correlation"])
-    return Audit("batch", tables, [pooled])
+    return Audit("batch", tables, [pooled, tables["group_compare"]])
 
 
 def landed_search_audit(run_id: str, serp_items: DataFrame, page_items: DataFrame, answer_items: DataFrame, as_of: str, top_k: int = 20) -> Audit:
