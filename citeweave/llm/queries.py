@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import bpe, chat, decontaminate, embeddup, langid, licenses, lm, secrets, simhash, tokencount
+from citeweave.llm import bpe, chat, decontaminate, embeddup, infill, langid, licenses, lm, packing, periodic, secrets, simhash, tokencount
 from citeweave.llm.common import table
 
 
@@ -54,6 +54,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), loops=True)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -63,4 +75,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": licenses.oracle_sql(),
         "op4_decontaminate": decontaminate.ORACLE_SQL,
         "op10_chat_format": chat.ORACLE_SQL,
+        "op12_fill_in_middle": infill.ORACLE_SQL,
     }
