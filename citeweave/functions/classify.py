@@ -110,9 +110,15 @@ PATH_TYPES = (
 MARKET_WORDS = ("/search", "/category", "/c/", "listing", "/browse")
 
 
-def content_flags(title: Column, text: Column, markdown: Column, html: Column, intent: Column, ascii_only: bool = False) -> dict[str, Column]:
-    """Boolean columns that say what a page offers; heuristics, not ground truth."""
-    everything = fold(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.array_join(headings(markdown), " "), F.coalesce(text, F.lit(""))), ascii_only)
+def all_words(title: Column, text: Column, markdown: Column) -> Column:
+    """Title, headings and text of a page as one text."""
+    return F.concat_ws("\n", F.coalesce(title, F.lit("")), F.array_join(headings(markdown), " "), F.coalesce(text, F.lit("")))
+
+
+def content_flags(title: Column, text: Column, markdown: Column, html: Column, intent: Column, ascii_only: bool = False, everything: Column | None = None) -> dict[str, Column]:
+    """Boolean columns that say what a page offers; heuristics, not ground truth.  ``everything``:
+    ``all_words``, where the caller has it as a column."""
+    everything = fold(all_words(title, text, markdown) if everything is None else everything, ascii_only)
     flags = {name: _any(everything, tuple(map(folded, words))) for name, words in FLAG_WORDS.items()}
     body, md, raw = (F.coalesce(c, F.lit("")) for c in (text, markdown, html))
     flags["has_phone_number"] = body.rlike(PHONE)

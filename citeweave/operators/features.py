@@ -1,4 +1,8 @@
-"""Feature rows of candidates and of export sources."""
+"""Feature rows of candidates and of export sources.
+
+``keep`` (name, table) is called on tables that several later ones are derived from: it may write them
+and give them back as read from their files (``plans.stages``); by default they stay lazy.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,10 @@ from citeweave.operators.chunking import chunk_rows
 from citeweave.operators.matching import best_query
 
 
+def _lazy(name: str, df: DataFrame) -> DataFrame:
+    return df
+
+
 def _page_columns(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """``rows`` with their page's text, and what is counted on it; null unless it was fetched and has text."""
     ok = pages.where("status = 'success'").select("normalized_url", F.coalesce(F.nullif("text", F.lit("")), "markdown").alias("p_text"), F.coalesce(F.nullif("markdown", F.lit("")), "text").alias("p_md"), F.col("published_date").alias("p_date"), F.lit(True).alias("fetched"))
@@ -32,26 +40,26 @@ def _similarities(rows: DataFrame, key: str, pairs: dict[str, tuple[Column, Colu
     return scored.groupBy(key).pivot("name", list(pairs)).agg(F.first("sim"))
 
 
-def chunk_scores(rows: DataFrame, key: str, targets: dict[str, Column], score: Callable = similarity.lexical) -> tuple[DataFrame, DataFrame]:
+def chunk_scores(rows: DataFrame, key: str, targets: dict[str, Column], score: Callable = similarity.lexical, keep: Callable = _lazy) -> tuple[DataFrame, DataFrame]:
     """(chunks with a score a target, best score a text and target)."""
     texts = rows.where("p_md <> ''").select(key, "p_md", *[c.alias(f"t_{n}") for n, c in targets.items()])
     chunks = chunk_rows(texts, key, "p_md")
-    joined = chunks.join(texts.drop("p_md"), key).withColumn("ck", F.concat_ws("#", F.col(key).cast("string"), "idx"))
+    joined = keep("chunk_texts", chunks.join(texts.drop("p_md"), key).withColumn("ck", F.concat_ws("#", F.col(key).cast("string"), "idx")))
     scores = _similarities(joined, "ck", {n: (F.col("text"), F.col(f"t_{n}")) for n in targets}, score)
-    scored = joined.drop(*[f"t_{n}" for n in targets]).join(scores, "ck", "left").drop("ck")
+    scored = keep("chunks", joined.drop(*[f"t_{n}" for n in targets]).join(scores, "ck", "left").drop("ck"))
     best = scored.groupBy(key).agg(*[F.max(n).alias(f"best_{n}") for n in targets])
     return scored, best
 
 
-def candidate_features(candidates: DataFrame, pages: DataFrame, flags: DataFrame, output_text: str, as_of: str, fallback_query: str = "", score: Callable = similarity.lexical) -> tuple[DataFrame, DataFrame]:
+def candidate_features(candidates: DataFrame, pages: DataFrame, flags: DataFrame, output_text: str, as_of: str, fallback_query: str = "", score: Callable = similarity.lexical, keep: Callable = _lazy) -> tuple[DataFrame, DataFrame]:
     """(features, chunks) of a run's candidates; ``flags`` is cited_flags of them, ``score`` a pair operator (``similarity.scorer``)."""
     rows = candidates.join(flags.select("candidate_id", "cited", "weak_domain_match", "match_type", "strong_match"), "candidate_id", "left")
-    rows = _page_columns(rows.withColumn("query", best_query(F.col("queries"), F.lit(fallback_query))), pages)
+    rows = keep("candidate_texts", _page_columns(rows.withColumn("query", best_query(F.col("queries"), F.lit(fallback_query))), pages))
     answer, used = F.lit(output_text), text.used_text(F.col("p_text"))
     sims = _similarities(rows, "candidate_id", {
         "title_query_sim": (F.col("title"), F.col("query")), "snippet_query_sim": (F.col("snippet"), F.col("query")),
         "page_query_sim": (F.nullif(used, F.lit("")), F.col("query")), "page_output_sim": (F.nullif(used, F.lit("")), answer)}, score)
-    chunks, best = chunk_scores(rows, "candidate_id", {"output_sim": answer, "query_sim": F.col("query")}, score)
+    chunks, best = chunk_scores(rows, "candidate_id", {"output_sim": answer, "query_sim": F.col("query")}, score, keep)
     best = best.withColumnsRenamed({"best_output_sim": "max_chunk_output_sim", "best_query_sim": "max_chunk_query_sim"})
     out = rows.join(sims, "candidate_id", "left").join(best, "candidate_id", "left")
     official = classify.institutional(F.col("url"))
@@ -62,15 +70,15 @@ def candidate_features(candidates: DataFrame, pages: DataFrame, flags: DataFrame
     return out.drop("p_text", "p_md", "p_date"), chunks
 
 
-def source_features(sources: DataFrame, pages: DataFrame, as_of: str, score: Callable = similarity.lexical) -> tuple[DataFrame, DataFrame]:
+def source_features(sources: DataFrame, pages: DataFrame, as_of: str, score: Callable = similarity.lexical, keep: Callable = _lazy) -> tuple[DataFrame, DataFrame]:
     """(features, chunks) of export sources with their record's context (flatten_sources)."""
     asked = F.coalesce(F.nullif(F.col("prompt"), F.lit("")), F.get("web_search_query", F.lit(0)), F.lit(""))
-    rows = _page_columns(sources.withColumn("prompt", asked).withColumn("cited", F.col("cited_label")), pages)
+    rows = keep("source_texts", _page_columns(sources.withColumn("prompt", asked).withColumn("cited", F.col("cited_label")), pages))
     used = F.nullif(text.used_text(F.col("p_text")), F.lit(""))
     sims = _similarities(rows, "source_id", {
         "title_prompt_similarity": (F.col("title"), F.col("prompt")), "description_prompt_similarity": (F.col("description"), F.col("prompt")),
         "page_prompt_similarity": (used, F.col("prompt")), "page_answer_similarity": (used, F.col("answer_text"))}, score)
-    chunks, best = chunk_scores(rows, "source_id", {"prompt_sim": F.col("prompt"), "answer_sim": F.col("answer_text")}, score)
+    chunks, best = chunk_scores(rows, "source_id", {"prompt_sim": F.col("prompt"), "answer_sim": F.col("answer_text")}, score, keep)
     best = best.withColumnsRenamed({"best_prompt_sim": "max_chunk_prompt_similarity", "best_answer_sim": "max_chunk_answer_similarity"})
     out = rows.join(sims, "source_id", "left").join(best, "source_id", "left")
     # A page's date, even one that cannot be read, takes the place of the source's.
@@ -96,22 +104,25 @@ def _prompt_signals(rows: DataFrame, score: Callable) -> DataFrame:
     return score(begin, ["source_id"], F.col("prompt"), F.col("begin"), "answer_like_text_in_first_500_chars").join(match, "source_id", "full")
 
 
-def brand_pages(features: DataFrame, pages: DataFrame, client: list[str], competitor: list[str], score: Callable = similarity.lexical) -> DataFrame:
+def brand_pages(features: DataFrame, pages: DataFrame, client: list[str], competitor: list[str], score: Callable = similarity.lexical, keep: Callable = _lazy) -> DataFrame:
     """Features of sources that name a client or competitor term, with content flags and page type."""
     ok = pages.where("status = 'success'").select("normalized_url", F.col("title").alias("p_title"), F.coalesce(F.nullif("text", F.lit("")), "markdown").alias("p_text"), F.col("markdown").alias("p_md"))
     rows = features.join(ok, "normalized_url", "left")
     some = lambda c: F.nullif(F.col(c), F.lit(""))
-    blob = F.concat_ws("\n", *[some(c) for c in ("url", "normalized_url", "domain", "title", "description", "p_title")], F.nullif(F.array_join(text.headings(F.col("p_md")), " "), F.lit("")), F.substring("p_text", 1, 4000))
-    # Each text is folded once, before the many rules that look at it.
-    intent = F.col("intent") if "intent" in features.columns else F.lit("")
-    rows = rows.withColumns({"n_blob": text.fold(blob), "n_title": text.fold(F.col("p_title")), "n_text": text.fold(F.col("p_text")), "n_md": text.fold(F.col("p_md")), "n_intent": text.fold(intent)})
+    # Each text is folded once, and headings are taken once, before the many rules that look at them.
+    heads = F.array_join(text.headings(F.col("p_md")), " ")
+    blob = F.concat_ws("\n", *[some(c) for c in ("url", "normalized_url", "domain", "title", "description", "p_title")], F.nullif(heads, F.lit("")), F.substring("p_text", 1, 4000))
     found = lambda terms: text.detect_terms(F.col("n_blob"), terms, ascii_only=True)
-    rows = rows.withColumns({"client_terms_found": found(client), "competitor_terms_found": found(competitor)})
+    rows = rows.withColumn("n_blob", text.fold(blob)).withColumns({"client_terms_found": found(client), "competitor_terms_found": found(competitor)})
     rows = rows.withColumns({"is_client_source": F.size("client_terms_found") > 0, "is_competitor_source": F.size("competitor_terms_found") > 0}).where("is_client_source OR is_competitor_source")
-    flags = classify.content_flags(F.col("n_title"), F.col("n_text"), F.col("n_md"), F.lit(""), F.col("n_intent"), ascii_only=True)
+    intent = F.col("intent") if "intent" in features.columns else F.lit("")
+    rows = keep("brand_texts", rows.withColumns({"n_title": text.fold(F.col("p_title")), "n_text": text.fold(F.col("p_text")), "n_md": text.fold(F.col("p_md")), "n_intent": text.fold(intent)}).drop("n_blob"))
+    rows = keep("brand_words", rows.withColumn("n_all", classify.all_words(F.col("n_title"), F.col("n_text"), F.col("n_md"))))
+    flags = classify.content_flags(F.col("n_title"), F.col("n_text"), F.col("n_md"), F.lit(""), F.col("n_intent"), ascii_only=True, everything=F.col("n_all"))
     rows = rows.withColumns({k: F.when(F.col("p_text").isNotNull(), v) for k, v in flags.items()})
     if "prompt" in rows.columns:
-        rows = rows.join(_prompt_signals(rows, score), "source_id", "left")
+        rows = rows.join(_prompt_signals(rows.select("source_id", "prompt", "p_md", "p_text"), score), "source_id", "left")
         rows = rows.withColumn("heading_prompt_match", F.when(F.col("p_text").isNotNull(), F.coalesce("heading_prompt_match", F.lit(False))))
+    rows = keep("brand_flags", rows)
     kind = classify.page_type(F.col("url"), F.col("source_type"), {k: F.coalesce(F.col(k), F.lit(False)) for k in flags})
-    return rows.withColumn("page_type", F.when(F.col("p_text").isNotNull(), kind).otherwise("unknown")).drop("p_title", "p_text", "p_md", "n_blob", "n_title", "n_text", "n_md", "n_intent")
+    return rows.withColumn("page_type", F.when(F.col("p_text").isNotNull(), kind).otherwise("unknown")).drop("p_title", "p_text", "p_md", "n_all", "n_title", "n_text", "n_md", "n_intent")

@@ -53,8 +53,8 @@ def intent_pivot(rows: DataFrame) -> DataFrame:
 
 
 def intent_row_share(rows: DataFrame) -> DataFrame:
-    """Percent of each source type within an intent's cited sources; an empty intent divides by one."""
-    counts = intent_source_long(rows).where("grp = 'cited'")
+    """Percent of each source type among all of an intent's surfaced sources, cited or not."""
+    counts = intent_source_long(rows).groupBy("intent", "source_type").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(W.partitionBy("intent"))
     return counts.select("intent", "source_type", "n", F.round(100.0 * F.col("n") / F.greatest(total, F.lit(1)), 4).alias("pct"))
 

@@ -171,7 +171,7 @@ ORACLE = {
     "question_matrix": f"WITH {QD}, t AS (SELECT domain FROM qd GROUP BY 1 ORDER BY count(*) DESC, domain LIMIT 20), q AS (SELECT DISTINCT qid FROM qd) SELECT q.qid, t.domain, count(qd.qid) AS n FROM q CROSS JOIN t LEFT JOIN qd ON qd.qid = q.qid AND qd.domain = t.domain GROUP BY 1, 2",
     "intent_source_long": f"WITH {FR} SELECT intent, source_type, {_GRP} AS grp, count(*) AS n FROM fr GROUP BY ALL",
     "intent_source_pivot": f"WITH {FR} SELECT intent, source_type, count_if(cited = 1) AS cited, count_if(cited <> 1) AS more_only, round(count_if(cited = 1) / count(*), 4) AS cite_rate FROM fr GROUP BY 1, 2",
-    "intent_row_pct": f"WITH {FR}, g AS (SELECT intent, source_type, count(*) AS n FROM fr WHERE cited = 1 GROUP BY 1, 2) SELECT *, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY intent), 4) AS pct FROM g",
+    "intent_row_pct": f"WITH {FR}, g AS (SELECT intent, source_type, count(*) AS n FROM fr GROUP BY 1, 2) SELECT *, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY intent), 4) AS pct FROM g",
     "intent_summary": f"WITH {FR}, t AS (SELECT intent, source_type FROM fr WHERE cited = 1 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY intent ORDER BY count(*) DESC, source_type) = 1) SELECT fr.intent, count(*) AS n_sources, count_if(cited = 1) AS n_cited, round(count_if(cited = 1) / count(*), 4) AS cite_rate, {_PCT('(institutional_official OR brand_official_candidate)')} AS official_cited_pct, {', '.join(_PCT(f'fr.source_type = {t!r}') + f' AS {t}_cited_pct' for t in ('review', 'ecommerce', 'forum'))}, any_value(t.source_type) AS top_cited_type FROM fr LEFT JOIN t ON fr.intent = t.intent GROUP BY fr.intent",
     "expected_vs_actual": f"WITH {FR}, g AS (SELECT record_id, arg_min(intent, ord) AS intent, 'prompt ' || min(ord) AS prompt, list_distinct(flatten(list({_TAGS}) FILTER (WHERE cited = 1))) AS tags, list_sort(list_distinct(list(source_type) FILTER (WHERE cited = 1))) AS kinds FROM fr GROUP BY 1), e AS (SELECT *, [{{'t': 'src1', 'c': 'src1'}}, {{'t': 'src2', 'c': 'src2'}}, {{'t': 'official', 'c': 'official'}}, {{'t': 'brand', 'c': 'official_brand'}}] AS x FROM g), f AS (SELECT *, list_filter(x, lambda y: list_contains(coalesce(tags, []), y.c)) AS hit, list_filter(x, lambda y: NOT list_contains(coalesce(tags, []), y.c)) AS miss, list_filter(coalesce(kinds, []), lambda k: k NOT IN ('src1', 'src2', 'official', 'official_brand')) AS other FROM e) SELECT record_id, intent, prompt, 'src1; src2; official; brand' AS expected, array_to_string(list_transform(hit, lambda y: y.t), '; ') AS cited_found, array_to_string(list_transform(miss, lambda y: y.t), '; ') AS expected_missing, array_to_string(other[1:6], '; ') AS unexpected_cited, round(len(hit) / 4, 4) AS coverage FROM f",
     "batch_aggregate": f"WITH {FR}, l AS ({_long('fr', FR_FEATURES, 'cited, topic, intent')}) {_LEVEL('overall', repr('(all)'))} UNION ALL {_LEVEL('topic', 'topic')} UNION ALL {_LEVEL('intent', 'intent')}",

@@ -8,6 +8,7 @@ from citeweave.functions import classify, text, urls
 from citeweave.operators import batch, compare, features, matching, profile, questions
 from citeweave.plans import audit, report
 from citeweave.plans.bindings import AS_OF, CLIENT, COMPETITOR, FR, FR_FEATURES, MD, QD, _found_sql, fr, md, pg, qd, read
+from citeweave.plans.stages import scratch_keep
 from citeweave.plans.queries_stats import _compare
 from citeweave.plans.queries_text import _FLAG_SQL, _HEAD, _LINES, _TOKENS, _path
 from citeweave.plans.queries_urls import CANDS, MATCH, _candidates, _matches, sql_host, sql_norm
@@ -111,7 +112,8 @@ def _pages(spark, sf):
 def candidate_features(spark, sf):
     c = _candidates(spark, sf)
     flags = c.select("candidate_id", (F.col("ord") % 3 == 0).cast("int").alias("cited"), F.lit(False).alias("weak_domain_match"), F.lit("exact").alias("match_type"), F.lit(True).alias("strong_match"))
-    rows = features.candidate_features(c, _pages(spark, sf), flags, ANSWER, AS_OF)[0]
+    keep = scratch_keep(spark)
+    rows = features.candidate_features(c, keep("pages", _pages(spark, sf)), flags, ANSWER, AS_OF, keep=keep)[0]
     return rows.select("candidate_id", "cited", "scrape_success", F.col("word_count").cast("long").alias("word_count"), F.col("char_count").cast("long").alias("char_count"), F.col("heading_count").cast("long").alias("heading_count"), "freshness_days", "truncated", "title_query_sim", "page_query_sim", "page_output_sim")
 
 
@@ -123,7 +125,8 @@ def _sources(spark, sf):
 
 
 def source_features(spark, sf):
-    rows = features.source_features(_sources(spark, sf), _pages(spark, sf), AS_OF)[0]
+    keep = scratch_keep(spark)
+    rows = features.source_features(_sources(spark, sf), keep("pages", _pages(spark, sf)), AS_OF, keep=keep)[0]
     return rows.select("source_id", "cited", "scrape_success", F.col("word_count").cast("long").alias("word_count"), "freshness_days", "title_prompt_similarity", "page_prompt_similarity", "page_answer_similarity")
 
 
@@ -132,7 +135,8 @@ _PAGE_FLAGS = ["has_faq", "has_price_or_package", "has_contact_info", "has_many_
 
 def brand_pages(spark, sf):
     rows = _sources(spark, sf).withColumns({"intent": F.lit("general the"), "source_type": F.lit("unknown")})
-    named = features.brand_pages(rows, _pages(spark, sf), CLIENT, COMPETITOR)
+    keep = scratch_keep(spark)
+    named = features.brand_pages(rows, keep("pages", _pages(spark, sf)), CLIENT, COMPETITOR, keep=keep)
     return named.select("source_id", "is_client_source", "is_competitor_source", *_PAGE_FLAGS, "page_type", "heading_prompt_match", "answer_like_text_in_first_500_chars")
 
 
