@@ -10,7 +10,8 @@ phrases must stand word by word where the template has them.  The base phrases a
 or three words, all of which are postings and none may be absent.
 
 The texts are split into words once; the hits of all template words are written, and frequencies,
-intersection and verification read those alone.
+intersection and verification read those alone.  Starts are put in order and counted where they
+repeat, and the phrases' words are met the same way, so a text with very many hits costs a sort.
 
 Null and empty texts: no words, no places, null first and last word, empty labels, score 0.
 Ties of IDF: the earlier word of the template; of a word that a template repeats, its first place.
@@ -21,8 +22,6 @@ is the greatest share of a template's postings met at a verified place, 0 withou
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,26 +139,26 @@ def demands(text: str, phrases: tuple[str, ...]) -> list[tuple[int, list[str]]]:
     return out
 
 
-def _starts(postings: list[tuple[str, int]]) -> Column:
+def _starts(hits: str, postings: list[tuple[str, int]]) -> Column:
     """Where a template could start, once for each posting that is met there, in order."""
-    at = lambda word, i: F.transform(F.filter("rare", lambda h: h["w"] == word), lambda h: h["i"] - i)
-    return F.array_sort(F.flatten(F.array(*[at(w, i) for w, i in postings])))
+    at = lambda word, i: F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["i"] - i)
+    return F.sort_array(F.flatten(F.array(*[at(w, i) for w, i in postings])))
 
 
-def _stands(word: str, at: int) -> Callable[[Column], Column]:
-    """Whether ``word`` stands ``at`` words behind a start."""
-    return lambda s: F.exists("hits", lambda h: (h["i"] == s + at) & (h["w"] == word))
+def _agreed(starts: Column, need: int) -> Column:
+    """The starts that stand at least ``need`` times among the ordered ``starts``."""
+    # In order, a start that stands there need times is equal to the one need - 1 behind it.
+    pairs = F.arrays_zip(starts.alias("a"), F.slice(starts, need, F.greatest(F.size(starts), F.lit(1))).alias("b"))
+    return F.array_distinct(F.transform(F.filter(pairs, lambda p: p["a"] == p["b"]), lambda p: p["a"]))
 
 
-def _places(starts: str, need: int, text: str, phrases: tuple[str, ...]) -> Column:
-    """Starts on which ``need`` postings agree and at which the mandatory phrases stand."""
-    # In order, a start that stands there need times is equal to the one need - 1 behind it.
-    pairs = F.arrays_zip(F.col(starts).alias("a"), F.slice(starts, need, F.greatest(F.size(starts), F.lit(1))).alias("b"))
-    out = F.array_distinct(F.transform(F.filter(pairs, lambda p: p["a"] == p["b"]), lambda p: p["a"]))
-    for at, phrase in demands(text, phrases):
-        for j, word in enumerate(phrase):
-            out = F.filter(out, _stands(word, at + j))
-    return out
+def _verified(met: str, text: str, phrases: tuple[str, ...]) -> Column:
+    """Of the starts ``met``, those at which every word of the mandatory phrases stands in its place.  The
+    phrases' words are postings, all of which must agree: one pass over the hits for each of them."""
+    words = [(word, at + j) for at, phrase in demands(text, phrases) for j, word in enumerate(phrase)]
+    if not words:
+        return F.col(met)
+    return F.when(F.size(met) > 0, F.array_intersect(F.col(met), _agreed(_starts("hits", words), len(words)))).otherwise(F.col(met))
 
 
 def find_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
@@ -168,8 +167,9 @@ def find_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     index = build_index(document_frequencies(docs, templates), templates)
     rare = sorted({w for postings in index for w, _ in postings})
     docs = docs.withColumn("rare", F.filter("hits", lambda h: h["w"].isin(rare)))
-    docs = docs.select("doc_id", "n_words", "hits", *[_starts(p).alias(f"s{i}") for i, p in enumerate(index)])
-    places = [_places(f"s{i}", needed(p), text, phrases).alias(f"p{i}") for i, (p, (_, text, phrases)) in enumerate(zip(index, templates))]
+    docs = docs.select("doc_id", "n_words", "hits", *[_starts("rare", p).alias(f"s{i}") for i, p in enumerate(index)])
+    docs = docs.select("*", *[_agreed(F.col(f"s{i}"), needed(p)).alias(f"m{i}") for i, p in enumerate(index)])
+    places = [_verified(f"m{i}", text, phrases).alias(f"p{i}") for i, (_, text, phrases) in enumerate(templates)]
     docs = docs.select("doc_id", "n_words", *[f"s{i}" for i in range(len(index))], *places)
     n_base = len(BASE)
     base = F.flatten(F.array(*[F.col(f"p{i}") for i in range(n_base)]))
@@ -179,8 +179,9 @@ def find_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*named)))), ",")
 
     def share(i: int, postings: list) -> Column:
-        met = F.transform(f"p{i}", lambda s: F.size(F.filter(f"s{i}", lambda x: x == s)) / float(len(postings)))
-        return F.coalesce(F.array_max(met), F.lit(0.0)) if needed(postings) < len(postings) else F.when(F.size(f"p{i}") > 0, 1.0).otherwise(0.0)
+        of, least = len(postings), needed(postings)
+        most = F.coalesce(*[F.when(F.arrays_overlap(_agreed(F.col(f"s{i}"), k), F.col(f"p{i}")), k / float(of)) for k in range(of, least, -1)], F.lit(least / float(of)))
+        return F.when(F.size(f"p{i}") > 0, most if least < of else F.lit(1.0)).otherwise(0.0)
 
     return docs.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(base).cast("long").alias("n_base"),
