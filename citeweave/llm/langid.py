@@ -1,7 +1,9 @@
 """Language ID by compression: per-language zstandard raw-content dictionaries.
 
 ``fit_dictionaries`` takes, for every language, a bounded sample of labelled texts (``SAMPLE_DOCS``
-texts with the smallest hash of their id, their first ``SAMPLE_CHARS`` characters, joined up to ``DICT_BYTES``) as a raw-content dictionary.
+texts with the smallest hash of id and text, their first ``SAMPLE_CHARS`` characters, joined up to
+``DICT_BYTES``) as a raw-content dictionary; rows equal in both count once, and the row with a
+language's least hash is always among them, so no language goes unlearned.
 ``classify`` compresses each whole text, block by block, with every dictionary; the language whose
 dictionary gives the fewest bytes wins; a narrow result is settled by a stronger level.  The relative margin to the runner-up is the score, and a
 margin below ``MIN_MARGIN`` rejects the text (``rejected``), as does a text without a letter.
@@ -49,24 +51,27 @@ def fit_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.char_length("text") > 0))
-    rows = rows.withColumn("long_text", F.char_length("text") > SAMPLE_CHARS)
-    counts = rows.groupBy("lang", "long_text").count().collect()
+    share = F.pmod(F.xxhash64(F.col("id").cast("string"), "text", "lang"), F.lit(1 << 40)) / float(1 << 40)
+    rows = rows.select("lang", "text", (F.char_length("text") > SAMPLE_CHARS).alias("long_text"), share.alias("h"))
+    counts = rows.groupBy("lang", "long_text").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
     if not counts:
         return {}
-    by_lang: dict[str, dict[bool, int]] = {}
+    by_lang: dict[str, dict[bool, tuple[int, float]]] = {}
     for r in counts:
-        by_lang.setdefault(r["lang"], {})[r["long_text"]] = r["count"]
-    # Short texts give varied dictionaries; a language that has none falls back on its long ones.
-    picked = {lang: (False, n[False]) if False in n else (True, n[True]) for lang, n in by_lang.items()}
-    share = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.xxhash64("text").cast("string")), F.col("lang")), F.lit(1 << 40)) / float(1 << 40)
+        by_lang.setdefault(r["lang"], {})[r["long_text"]] = (r["n"], r["least"])
     keep = F.lit(False)
-    for lang, (long_text, n) in picked.items():
-        hit = (F.col("lang") == lang) & (F.col("long_text") == long_text)
-        keep = keep | (hit & (share < min(1.0, 3.0 * SAMPLE_DOCS / n + 30.0 / n)))
-    sample = rows.where(keep).withColumn("h", share)
+    for lang, found in by_lang.items():
+        # Short texts give varied dictionaries; a language that has none falls back on its long ones.
+        long_text = False not in found
+        n, least = found[long_text]
+        # The row with the least hash always passes, so no language goes unlearned.
+        bound = max(least, min(1.0, 3.0 * SAMPLE_DOCS / n + 30.0 / n))
+        keep = keep | ((F.col("lang") == lang) & (F.col("long_text") == long_text) & (F.col("h") <= bound))
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
+    # Rows equal in id, text and language count once.
+    sample = rows.where(keep).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     out: dict[str, list[bytes]] = {}
     for r in sample.withColumn("k", rank).where(F.col("k") <= SAMPLE_DOCS).select("lang", "k", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
         out.setdefault(r["lang"], []).append((r["k"], letters(r["text"])))

@@ -90,3 +90,13 @@ def test_whole_text_decides():
     text = "zzz qqq " * 10 + "le chat et le chien " * 400
     assert langid.classify(text, coders)[0] == "b" and langid.classify("1234 !!", coders) == ("und", 0.0)
     assert langid.classify("any words", langid.compressors({"a": b"any words"})) == ("a", 1.0)
+
+
+def test_no_language_goes_unlearned(spark):
+    """Rows that share an id, or are one text, are not all left out of the sample together."""
+    de = [f"der kleine Hund Nummer {i} läuft über die lange Straße nach Hause" for i in range(900)]
+    en = [(1000 + i, f"the small dog number {i} runs along the road to its house", "en") for i in range(900)]
+    for shared in range(6):
+        for rows in ([(shared, t, "de") for t in de], [(shared, de[0], "de")] * 900):
+            found = langid.fit_dictionaries(spark.createDataFrame(rows + en, "doc_id long, text string, lang string"))
+            assert sorted(found) == ["de", "en"] and all(found.values())
