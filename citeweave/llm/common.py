@@ -139,3 +139,12 @@ def configure(spark: SparkSession) -> None:
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text; other columns, whatever their names, play no part."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that begins with no column's name of ``df`` and is not one, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{stem}"
+    while any(c.startswith(name) for c in taken):
+        name = f"_{name}"
+    return name

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import BROADCAST_ROWS, materialise, salted_join, small_side
+from citeweave.llm.common import BROADCAST_ROWS, free_name, materialise, salted_join, small_side
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Shingles of one document that a row holds; longer documents are cut into segments.
@@ -109,8 +109,9 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str =
 def keep_clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` without those that hold a benchmark item; rows with a null id stay."""
     found = find_contaminated(documents, benchmark, id_col, text_col)
-    gone = materialise(found.select(F.col("doc_id").alias("__id")).distinct())
-    return documents.join(small_side(gone), F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    at = free_name(documents, "id")
+    gone = materialise(found.select(F.col("doc_id").alias(at)).distinct())
+    return documents.join(small_side(gone), F.col(f"`{id_col}`").cast("long") == F.col(at), "left_anti")
 
 
 #: DuckDB SQL for find_contaminated over documents and benchmark.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import id_text, materialise, salted_join, slices
+from citeweave.llm.common import free_name, id_text, materialise, salted_join, slices, small_side
 from citeweave.llm.components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -91,6 +91,19 @@ def close_edges(prints: DataFrame) -> DataFrame:
     return groups.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).where("a <> b").distinct()
 
 
+def _classes(docs: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of fingerprints that stand on several rows or are linked; ``root`` is one
+    fingerprint of the component, ``component_id`` its least id."""
+    prints = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = materialise(components(close_edges(prints)).select(F.col("node").alias("fp"), "root"))
+    linked = salted_join(roots, prints, ["fp"], F.col("root"), salts=1)
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = salted_join(linked.select("fp", "root"), least, ["root"], F.col("fp")).select("fp", "root", "component_id")
+    # Fingerprints of one document, linked to none, need no join: the document is its own class.
+    alone = prints.where("n > 1").join(roots, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return materialise(linked.unionByName(alone))
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``documents``.
 
@@ -98,20 +111,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     each distinct fingerprint.
     """
     docs = materialise(fingerprints(documents, id_col, text_col))
-    prints = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    roots = materialise(components(close_edges(prints)).select(F.col("node").alias("fp"), "root"))
-    linked = salted_join(roots, prints, ["fp"], F.col("root"), salts=1)
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = salted_join(linked.select("fp", "root"), least, ["root"], F.col("fp")).select("fp", "component_id")
-    # Fingerprints of one document, linked to none, need no join: the document is its own class.
-    alone = prints.where("n > 1").join(roots, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    classes = materialise(linked.unionByName(alone))
-    out = salted_join(docs, classes, ["fp"], F.coalesce("doc_id", F.lit(0)), "left")
+    out = salted_join(docs, _classes(docs).drop("root"), ["fp"], F.coalesce("doc_id", F.lit(0)), "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _printed(documents: DataFrame, text_col: str) -> DataFrame:
-    """``documents`` with the fingerprint of each row's text as ``__fp``."""
+def _printed(documents: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``documents`` with the fingerprint of each row's text as the column ``name``."""
     import citeweave.llm.simhash as own
 
     names = documents.columns
@@ -120,31 +125,37 @@ def _printed(documents: DataFrame, text_col: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             fp = [own.fingerprint(own.shingle_hashes(t)) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], names=[*names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], names=[*names, name])
 
-    return documents.mapInArrow(scan, documents.withColumn("__fp", F.lit(0).cast("long")).schema)
+    return documents.mapInArrow(scan, documents.withColumn(name, F.lit(0).cast("long")).schema)
 
 
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``documents`` with one row of each class: one with the least id.
+    """``documents`` with one row of each class: the one with the least id, then the least fingerprint.
 
-    Rows with a null id stay, for nothing can refer to them.  Only ids are shuffled: the ids that go
-    are joined against the documents, broadcast if a count shows them to be few.  Where an id stands
-    on several rows, its rows are told apart by their fingerprints.
+    Rows with a null id stay, for nothing can refer to them.  Only ids and fingerprints are shuffled: the
+    ids that go are joined against the documents, broadcast if a count shows them to be few.  Where an
+    id stands on several rows, its rows are told apart by their fingerprints, so an id can keep one row
+    for each class that it comes first in; of rows equal in both, any one stays.  Columns of
+    ``documents`` may have any names.
     """
-    from citeweave.llm.common import small_side
-
-    classes = near_duplicates(documents, id_col, text_col).where("doc_id IS NOT NULL")
-    classes = materialise(classes.select(F.col("doc_id").alias("__id"), F.conv("fingerprint", 16, -10).cast("long").alias("__fp"), F.col("component_id").alias("__class")))
-    repeated = classes.groupBy("__id").count().where("count > 1").select("__id")
-    gone = materialise(classes.where("__id <> __class").select("__id").unionByName(repeated).distinct())
-    key = F.col(id_col).cast("long") == F.col("__id")
-    once = documents.join(small_side(gone), key, "left_anti")
-    # Of the rows of a repeated id, one stays if the id names their component.
-    again = materialise(repeated)
+    docs = materialise(fingerprints(documents, id_col, text_col))
+    classes = _classes(docs).drop("component_id")
+    docs = docs.where("doc_id IS NOT NULL")
+    rows = salted_join(docs, classes, ["fp"], F.col("doc_id"), "left")
+    first = rows.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("doc_id", "fp")).alias("first"))
+    first = materialise(first.select("first.*").withColumn("wins", F.lit(True)))  # each class has its own fingerprints, so pairs are distinct
+    of = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("fp").alias("fp"))
+    ids = materialise(of.join(first, ["doc_id", "fp"], "left").where("n > 1 OR wins IS NULL").select("doc_id", (F.col("n") > 1).alias("repeated")))
+    at, mark = free_name(documents, "id"), free_name(documents, "print")
+    named = lambda df, *more: small_side(materialise(df.select(F.col("doc_id").alias(at), *more)))
+    key = F.col(f"`{id_col}`").cast("long") == F.col(at)
+    once = documents.join(named(ids), key, "left_anti")
+    # Of the rows of a repeated id, those stay whose fingerprint comes first in its class under that id.
+    again = ids.where("repeated")
     if again.isEmpty():
         return once
-    named = classes.where("__id = __class").join(small_side(again), "__id", "left_semi").groupBy("__id").agg(F.min("__fp").alias("__print"))
-    rows = _printed(documents.join(small_side(again), key, "left_semi"), text_col)
-    kept = rows.join(small_side(materialise(named)), key & (F.col("__fp") == F.col("__print")), "left_semi")
-    return once.unionByName(kept.dropDuplicates([id_col]).select(*[F.col(c) for c in documents.columns]))
+    mine = named(first.join(again, "doc_id", "left_semi"), F.col("fp").alias(f"{mark}_kept"))
+    seen = _printed(documents.join(named(again), key, "left_semi"), text_col, mark)
+    kept = seen.join(mine, key & (F.col(mark) == F.col(f"{mark}_kept")), "left_semi")
+    return once.unionByName(kept.dropDuplicates([id_col, mark]).drop(mark))

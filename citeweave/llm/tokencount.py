@@ -11,7 +11,9 @@ for its pre-tokens, never for its token ids.  Strings of added tokens count as o
 the library has it by default.  A ``.model`` vocabulary, whose merges follow scores over whole
 texts, is counted by its own library.
 
-Null texts count as empty: zero bytes, zero tokens.  Repeated rows keep their own result.
+Null texts count as empty: zero bytes, zero tokens.  Repeated rows and rows with a null id keep their
+own result; an empty table gives an empty result; other columns, whatever their names, play no part.
+Very long texts are counted whole; the memory is one text, its pre-tokens and the cache.
 """
 
 from __future__ import annotations

@@ -245,3 +245,24 @@ def test_chat_empty_and_sql(turns):
     sql = duck(chat.ORACLE_SQL, conversations=frame.toPandas().astype({"turn": "int64", "conv_id": "int64"}))
     assert rows_of(chat.render(frame), "conv_id", "perspective", "part", "text", "mask") == sorted(map(tuple, sql[["conv_id", "perspective", "part", "text", "mask"]].itertuples(index=False)), key=repr)
     assert isinstance(sql, pd.DataFrame)
+
+
+def test_licenses_of_a_text_with_very_many_hits(spark):
+    import time
+
+    header = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\n"
+    n = 5_000_000 // len(header)
+    df = spark.createDataFrame([(1, header * n), (2, header)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in licenses.find_licenses(df).collect()}
+    assert time.time() - began < 40
+    assert got[1]["n_base"] == n and got[2]["n_base"] == 1 and got[1]["labels"] == got[2]["labels"] and got[1]["score"] == got[2]["score"]
+    words = got[2]["n_words"]
+    assert got[1]["n_words"] == n * words and got[1]["last_word"] == got[2]["first_word"] + (n - 1) * words
+
+
+def test_keep_clean_with_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "one two three four five six", "a", 2), (2, "some other text of its own", "b", 3), (None, "one two three four five six", "c", 4)], "doc_id long, text string, __id string, _id long")
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    kept = decontaminate.keep_clean(df, items)
+    assert kept.columns == df.columns and sorted(r["__id"] for r in kept.collect()) == ["b", "c"]

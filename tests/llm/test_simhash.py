@@ -95,3 +95,18 @@ def test_an_id_on_rows_of_different_texts(spark):
     kept = simhash.keep_first(df)
     assert kept.columns == df.columns
     assert rows_of(kept, "doc_id", "text") == sorted([(1, a), (5, b), (8, c), (None, a)], key=repr)
+
+
+def test_an_id_keeps_a_row_for_each_class_it_comes_first_in(spark):
+    a, b, c = ("the quick brown fox jumps over it", "a text of its own that nobody else holds at all", "yet another one of quite other words here")
+    df = spark.createDataFrame([(5, a), (5, b), (7, b), (9, c), (5, a)], "doc_id long, text string")
+    assert rows_of(simhash.keep_first(df), "doc_id", "text") == sorted([(5, a), (5, b), (9, c)])
+
+
+def test_columns_of_any_name(spark):
+    a, b = "the quick brown fox jumps over it", "a text of its own that nobody else holds at all"
+    rows = [(1, a, "p", 1, 2, 3), (2, a, "q", 4, 5, 6), (2, b, "r", 7, 8, 9), (3, b, "s", 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string, __fp long, __PRINT long, __print_kept long")
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
