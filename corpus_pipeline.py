@@ -9,8 +9,11 @@ read again as the next stage's docs.  All but the last keep the columns of docum
 4. secret scans: secrets inside the texts are replaced by a mark, n_chars follows;
 5. BPE encoding and decoding: ids are counted and digested, and the round trip is checked.
 
-Null or empty texts go in stage 1; rows with a null id pass stages 2 and 3.  An empty table gives
-an empty result.  A stage's rule is applied to every row of what the stage before it kept.
+Null or empty texts go in stage 1; rows with a null id pass stages 2 and 3.  Where an id stands on
+several rows, stage 2 looks at each row's text: a group keeps one row whatever its ids, and of rows
+equal in id and text one; stage 3 removes all rows of an id that holds an item.  Very long texts are
+read whole by every stage.  Columns of documents may have any names and keep their place.  An empty
+table gives an empty result.  A stage's rule is applied to every row of what the stage before it kept.
 """
 
 from __future__ import annotations
