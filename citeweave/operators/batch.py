@@ -16,6 +16,31 @@ def pool(runs: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: What is said of a run whose landed answer no later stage can use.
+NO_ANSWER = "AuditError: the landed answer has no text and no citation"
+
+
+def run_errors(runs: DataFrame, citations: DataFrame) -> DataFrame:
+    """``runs`` (run_id, prompt, output_text, ...[, error]) that have a prompt, with ``error``: what their
+    landing reported, else that there is nothing to audit; null for runs that go on."""
+    error = F.nullif(F.trim(F.col("error")), F.lit("")) if "error" in runs.columns else F.lit(None).cast("string")
+    cited = citations.select(F.col("run_id").alias("__run")).distinct().withColumn("__cited", F.lit(True))
+    rows = runs.where(F.trim(F.coalesce("prompt", F.lit(""))) != "").withColumn("error", error).join(cited, F.col("run_id") == F.col("__run"), "left")
+    nothing = (F.coalesce("output_text", F.lit("")) == "") & F.col("__cited").isNull()
+    return rows.withColumn("error", F.when(F.col("error").isNull() & nothing, F.lit(NO_ANSWER)).otherwise(F.col("error"))).drop("__run", "__cited")
+
+
+def run_overview(runs: DataFrame, features: DataFrame, matches: DataFrame, recall: DataFrame) -> DataFrame:
+    """One row a run, failed ones with their error and nulls: candidates, distinct citations, fetched pages, strict recall at 10."""
+    counts = features.groupBy("run_id").agg(F.count("*").alias("n_candidates"), F.count_if("scrape_success").alias("n_scraped"))
+    cited = matches.groupBy("run_id").agg(F.count("*").alias("n_citations"))
+    at = recall.where("mode = 'strict' AND k = 10").select("run_id", F.col("recall").alias("recall_strict_10"))
+    out = runs.select("run_id", "prompt", "topic", "intent", "error").join(counts, "run_id", "left").join(cited, "run_id", "left").join(at, "run_id", "left")
+    good = F.col("error").isNull()
+    zero = lambda c, v: F.when(good, F.coalesce(c, v)).alias(c)
+    return out.select("run_id", "prompt", "topic", "intent", "error", *[zero(c, F.lit(0).cast("long")) for c in ("n_candidates", "n_citations", "n_scraped")], zero("recall_strict_10", F.lit(0.0)))
+
+
 def batch_aggregate(rows: DataFrame, features: list[str], topic: str = "topic", intent: str = "intent") -> DataFrame:
     """(level, name, feature, medians, means, ns): each row counts for all, for its topic and for its intent; empty intents are skipped."""
     names = {"overall": F.lit("(all)"), "topic": F.col(topic).cast("string"), "intent": F.nullif(F.col(intent).cast("string"), F.lit(""))}

@@ -51,11 +51,14 @@ def chunk_scores(rows: DataFrame, key: str, targets: dict[str, Column], score: C
     return scored, best
 
 
-def candidate_features(candidates: DataFrame, pages: DataFrame, flags: DataFrame, output_text: str, as_of: str, fallback_query: str = "", score: Callable = similarity.lexical, keep: Callable = _lazy) -> tuple[DataFrame, DataFrame]:
-    """(features, chunks) of a run's candidates; ``flags`` is cited_flags of them, ``score`` a pair operator (``similarity.scorer``)."""
+def candidate_features(candidates: DataFrame, pages: DataFrame, flags: DataFrame, output_text: str | Column, as_of: str, fallback_query: str | Column = "", score: Callable = similarity.lexical, keep: Callable = _lazy) -> tuple[DataFrame, DataFrame]:
+    """(features, chunks) of candidates; ``flags`` is cited_flags of them, ``score`` a pair operator
+    (``similarity.scorer``).  Of one run the answer and the query to fall back on are texts; of many
+    they are columns of ``candidates``, whose ids then name the run."""
+    answer, fallback = (F.lit(x) if isinstance(x, str) else x for x in (output_text, fallback_query))
     rows = candidates.join(flags.select("candidate_id", "cited", "weak_domain_match", "match_type", "strong_match"), "candidate_id", "left")
-    rows = keep("candidate_texts", _page_columns(rows.withColumn("query", best_query(F.col("queries"), F.lit(fallback_query))), pages))
-    answer, used = F.lit(output_text), text.used_text(F.col("p_text"))
+    rows = keep("candidate_texts", _page_columns(rows.withColumn("query", best_query(F.col("queries"), fallback)), pages))
+    used = text.used_text(F.col("p_text"))
     sims = _similarities(rows, "candidate_id", {
         "title_query_sim": (F.col("title"), F.col("query")), "snippet_query_sim": (F.col("snippet"), F.col("query")),
         "page_query_sim": (F.nullif(used, F.lit("")), F.col("query")), "page_output_sim": (F.nullif(used, F.lit("")), answer)}, score)

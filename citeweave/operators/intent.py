@@ -52,6 +52,11 @@ def intent_pivot(rows: DataFrame) -> DataFrame:
     return wide.withColumn("cite_rate", F.coalesce(F.round(F.try_divide(F.col("cited"), F.col("cited") + F.col("more_only")), 4), F.lit(0.0)))
 
 
+def intent_group_pivot(rows: DataFrame, group: str) -> DataFrame:
+    """(intent, source_type, n) of one group of sources: cited or more_only."""
+    return intent_source_long(rows).where(F.col("grp") == group).select("intent", "source_type", "n").orderBy("intent", F.desc("n"), "source_type")
+
+
 def intent_row_share(rows: DataFrame) -> DataFrame:
     """Percent of each source type among all of an intent's surfaced sources, cited or not."""
     counts = intent_source_long(rows).groupBy("intent", "source_type").agg(F.sum("n").alias("n"))

@@ -16,29 +16,41 @@ RECALL_KS = (5, 10, 20, 50)
 NO_RANK = 999
 
 
-def first_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
+def first_rows(df: DataFrame, key: str | list[str], *order: str) -> DataFrame:
     """One row a key: the first by ``order``.  A minimum of structs, so rows combine before the shuffle."""
-    rest = [c for c in df.columns if c != key]
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in df.columns if c not in keys]
     first = F.min(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.struct(*rest).alias("r"))).alias("m")
-    return df.groupBy(key).agg(first).select(key, *[F.col(f"m.r.{c}").alias(c) for c in rest])
+    return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"m.r.{c}").alias(c) for c in rest])
 
 
-def unique_candidates(rows: DataFrame) -> DataFrame:
-    """One row a normalised URL of (ord, query, rank, url, title, snippet, ...) search rows.
+def unique_candidates(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row a normalised URL (``by``: and run) of (ord, query, rank, url, title, snippet, ...) search rows.
 
     First-seen identity, best rank, and title and snippet of the row that last improved the rank
-    with a text of its own.
+    with a text of its own.  Only the first row of each rank can have improved it, so rows meet by URL
+    and rank first: what a URL that stands in very many rows brings to one task is a row a rank, and the
+    list of queries that is its result.
     """
+    by = by or []
     rows = with_forms(rows, "url", "normalized_url", "domain", "root_domain").where("normalized_url <> ''")
     rows = rows.withColumn("rank", F.coalesce(F.nullif(F.col("rank"), F.lit(0)), F.lit(NO_RANK)))
-    before = W.partitionBy("normalized_url").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("record", F.coalesce(F.col("rank") < F.min("rank").over(before), F.lit(True)))
-    last = lambda c: F.coalesce(F.max_by(c, F.when(F.col("record") & (F.col(c) != ""), F.col("ord"))), F.lit(""))
-    out = rows.groupBy("normalized_url").agg(
-        F.min_by(F.struct("url", "domain", "root_domain"), "ord").alias("first"), F.min("rank").alias("best_rank"), F.min("ord").alias("ord"), last("title").alias("title"), last("snippet").alias("snippet"),
-        F.transform(F.sort_array(F.collect_list(F.struct("ord", "query", "rank"))), lambda q: F.struct(q["query"].alias("query"), q["rank"].alias("rank"))).alias("queries"),
-    )
-    return out.select("*", "first.*", short_id(F.col("normalized_url")).alias("candidate_id")).drop("first")
+    ranked = rows.groupBy(*by, "normalized_url", "rank").agg(
+        F.min(F.struct("ord", "url", "domain", "root_domain", "title", "snippet")).alias("f"), F.collect_list(F.struct("ord", "query", "rank")).alias("q"))
+    out = ranked.groupBy(*by, "normalized_url").agg(F.sort_array(F.collect_list(F.struct(F.col("f"), "rank"))).alias("steps"), F.sort_array(F.flatten(F.collect_list("q"))).alias("q"))
+    seen = F.struct(F.lit(None).cast("int").alias("best"), F.lit("").alias("title"), F.lit("").alias("snippet"))
+    own = lambda new, old: F.coalesce(F.nullif(new, F.lit("")), old)
+    better = lambda s, x: F.when(s["best"].isNull() | (x["rank"] < s["best"]), F.struct(x["rank"].cast("int").alias("best"), own(x["f"]["title"], s["title"]).alias("title"), own(x["f"]["snippet"], s["snippet"]).alias("snippet"))).otherwise(s)
+    out = out.withColumn("s", F.aggregate("steps", seen, better)).withColumn("first", F.col("steps")[0]["f"])
+    queries = F.transform("q", lambda q: F.struct(q["query"].alias("query"), q["rank"].alias("rank")))
+    return out.select(*by, "normalized_url", F.array_min(F.transform("steps", lambda x: x["rank"])).alias("best_rank"), F.col("first.ord").alias("ord"), F.col("s.title").alias("title"), F.col("s.snippet").alias("snippet"), queries.alias("queries"),
+                      *[F.col(f"first.{c}").alias(c) for c in ("url", "domain", "root_domain")], short_id(F.col("normalized_url")).alias("candidate_id"))
+
+
+def observed_queries(rows: DataFrame) -> DataFrame:
+    """(query, n_results) of the searches behind a run, in the order of their first result."""
+    found = rows.where("query <> ''").groupBy("query").agg(F.count("*").alias("n_results"), F.min("ord").alias("ord"))
+    return found.orderBy("ord").select("query", "n_results")
 
 
 def best_query(queries: Column, fallback: Column) -> Column:
@@ -47,11 +59,11 @@ def best_query(queries: Column, fallback: Column) -> Column:
     return F.coalesce(F.nullif(F.array_min(ranked)["q"], F.lit("")), fallback)
 
 
-def distinct_citations(citations: DataFrame) -> DataFrame:
-    """First citation of every normalised effective URL; ``citations``: idx, raw_uri, resolved_url, title."""
+def distinct_citations(citations: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """First citation of every normalised effective URL (``by``: and run); ``citations``: idx, raw_uri, resolved_url, title."""
     effective = F.coalesce(F.nullif(F.col("resolved_url"), F.lit("")), F.col("raw_uri"))
     rows = with_forms(citations.withColumn("citation_url", effective), "citation_url", "cnorm", root="croot", amp="camp").where("cnorm <> ''")
-    return first_rows(rows, "cnorm", "idx")
+    return first_rows(rows, [*(by or []), "cnorm"], "idx")
 
 
 def _segments(norm: Column) -> Column:
@@ -59,43 +71,45 @@ def _segments(norm: Column) -> Column:
     return F.split(F.regexp_replace(path, r"^/+|/+$", ""), "/")
 
 
-def closest_path(citations: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(cnorm, weak_id, weak_url, weak_rank): per citation the candidate of its registrable domain
+def closest_path(citations: DataFrame, candidates: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by.., cnorm, weak_id, weak_url, weak_rank): per citation the candidate of its registrable domain
     that shares the most leading path segments, then ranks best, then came first.
 
     No pair join over a domain: every candidate is indexed once under each of its leading paths, with
     the best candidate kept; a citation looks up its own leading paths and takes the longest hit.
     """
+    by = by or []
     prefixes = lambda seg: F.when(seg[0] == "", F.array(F.lit(""))).otherwise(
         F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(seg)), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(seg, 1, k), "/")))))
-    keyed = candidates.select("root_domain", F.explode(prefixes(_segments(F.col("normalized_url")))).alias("prefix"), F.struct("best_rank", "ord", "candidate_id", "url").alias("c"))
-    index = keyed.groupBy("root_domain", "prefix").agg(F.min("c").alias("c"))
-    asked = citations.select("cnorm", F.col("croot").alias("root_domain"), F.posexplode(prefixes(_segments(F.col("cnorm")))).alias("depth", "prefix"))
-    met = asked.join(index, ["root_domain", "prefix"]).groupBy("cnorm").agg(F.max_by("c", "depth").alias("c"))
-    return met.select("cnorm", F.col("c.candidate_id").alias("weak_id"), F.col("c.url").alias("weak_url"), F.col("c.best_rank").alias("weak_rank"))
+    keyed = candidates.select(*by, "root_domain", F.explode(prefixes(_segments(F.col("normalized_url")))).alias("prefix"), F.struct("best_rank", "ord", "candidate_id", "url").alias("c"))
+    index = keyed.groupBy(*by, "root_domain", "prefix").agg(F.min("c").alias("c"))
+    asked = citations.select(*by, "cnorm", F.col("croot").alias("root_domain"), F.posexplode(prefixes(_segments(F.col("cnorm")))).alias("depth", "prefix"))
+    met = asked.join(index, [*by, "root_domain", "prefix"]).groupBy(*by, "cnorm").agg(F.max_by("c", "depth").alias("c"))
+    return met.select(*by, "cnorm", F.col("c.candidate_id").alias("weak_id"), F.col("c.url").alias("weak_url"), F.col("c.best_rank").alias("weak_rank"))
 
 
-def match_citations(citations: DataFrame, candidates: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """One row a distinct citation with its tier.  Every tier is a keyed candidate row; one equi-join
+def match_citations(citations: DataFrame, candidates: DataFrame, pages: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """One row a distinct citation (``by``: of each run) with its tier.  Every tier is a keyed candidate row; one equi-join
     finds all tiers of a citation and the strongest one is kept."""
-    cits = distinct_citations(citations)
+    by = by or []
+    cits = distinct_citations(citations, by)
     target = F.struct(F.col("best_rank"), F.col("ord"), F.col("candidate_id"), F.col("url"))
     candidates = with_forms(candidates, "url", "__n", amp="camp").drop("__n")
-    key = lambda df, tier, col: df.select(F.lit(tier).alias("tier"), col.alias("key"), target.alias("c"))
+    key = lambda df, tier, col: df.select(*by, F.lit(tier).alias("tier"), col.alias("key"), target.alias("c"))
     keys = key(candidates, 1, F.col("url")).unionByName(key(candidates, 2, F.col("normalized_url"))).unionByName(key(candidates, 4, F.col("camp")))
     if pages is not None:
         canonical = pages.where("canonical_url <> ''").select("normalized_url", normalize_url(F.col("canonical_url")).alias("canonical"))
         keys = keys.unionByName(key(candidates.join(canonical, "normalized_url"), 3, F.col("canonical")))
-    keys = keys.groupBy("tier", "key").agg(F.min("c").alias("c"))
+    keys = keys.groupBy(*by, "tier", "key").agg(F.min("c").alias("c"))
     ask = lambda tier, order, col: F.struct(F.lit(tier).alias("tier"), F.lit(order).alias("order"), col.alias("key"))
-    asked = cits.select("cnorm", F.explode(F.array(ask(1, 0, F.col("citation_url")), ask(1, 1, F.col("raw_uri")), ask(2, 2, F.col("cnorm")), ask(3, 3, F.col("cnorm")), ask(4, 4, F.col("camp")))).alias("a")).select("cnorm", "a.*")
-    strong = asked.join(keys, ["tier", "key"]).groupBy("cnorm").agg(F.min(F.struct("order", "tier", "c")).alias("s"))
-    out = cits.join(strong, "cnorm", "left").join(closest_path(cits, candidates), "cnorm", "left")
+    asked = cits.select(*by, "cnorm", F.explode(F.array(ask(1, 0, F.col("citation_url")), ask(1, 1, F.col("raw_uri")), ask(2, 2, F.col("cnorm")), ask(3, 3, F.col("cnorm")), ask(4, 4, F.col("camp")))).alias("a")).select(*by, "cnorm", "a.*")
+    strong = asked.join(keys, [*by, "tier", "key"]).groupBy(*by, "cnorm").agg(F.min(F.struct("order", "tier", "c")).alias("s"))
+    out = cits.join(strong, [*by, "cnorm"], "left").join(closest_path(cits, candidates, by), [*by, "cnorm"], "left")
     tier, has = F.col("s.tier"), F.col("s").isNotNull()
     kind = F.when(tier == 1, "exact").when(tier == 2, F.when(is_redirect_wrapper(F.col("raw_uri")), "final_redirect").otherwise("normalized"))
     kind = kind.when(tier == 3, "canonical").when(tier == 4, "amp_canonical").when(F.col("weak_id").isNotNull(), "domain_only").otherwise("no_match")
     return out.select(
-        F.col("idx").alias("citation_index"), "citation_url", "raw_uri", "title", kind.alias("match_type"), has.alias("strong"),
+        *by, F.col("idx").alias("citation_index"), "citation_url", "raw_uri", "title", kind.alias("match_type"), has.alias("strong"),
         (~has & F.col("weak_id").isNotNull()).alias("weak_domain_match"), F.coalesce("s.c.candidate_id", "weak_id").alias("matched_candidate_id"),
         F.coalesce("s.c.url", "weak_url").alias("matched_url"), F.coalesce("s.c.best_rank", "weak_rank").alias("matched_rank"),
         F.col("s.c.best_rank").alias("strong_rank"), "weak_rank",
@@ -142,12 +156,13 @@ def unmatched(matches: DataFrame) -> DataFrame:
     return matches.where("match_type = 'no_match'").select("citation_index", "citation_url")
 
 
-def cited_flags(candidates: DataFrame, matches: DataFrame) -> DataFrame:
+def cited_flags(candidates: DataFrame, matches: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``candidates`` with cited, weak_domain_match, match_type and strong_match by their strongest match."""
-    hits = matches.where("matched_candidate_id IS NOT NULL").groupBy(F.col("matched_candidate_id").alias("candidate_id")).agg(
+    by = by or []
+    hits = matches.where("matched_candidate_id IS NOT NULL").groupBy(*by, F.col("matched_candidate_id").alias("candidate_id")).agg(
         F.max(F.col("strong").cast("int")).alias("cited"), F.max("weak_domain_match").alias("weak_domain_match"),
         F.min(F.struct((~F.col("strong")).alias("w"), "citation_index", "match_type")).alias("m"))
-    out = candidates.join(hits, "candidate_id", "left")
+    out = candidates.join(hits, [*by, "candidate_id"], "left")
     return out.withColumns({"cited": F.coalesce("cited", F.lit(0)), "weak_domain_match": F.coalesce("weak_domain_match", F.lit(False)),
                             "match_type": F.coalesce("m.match_type", F.lit("no_match")), "strong_match": F.coalesce(F.col("cited") == 1, F.lit(False))}).drop("m")
 

@@ -84,7 +84,7 @@ def search_audit(run_id: str, search_rows: DataFrame, citations: DataFrame, page
     flagged = keep("flagged", matching.cited_flags(candidates, matches))
     rows, chunks = features.candidate_features(candidates, pages, flagged, output_text, as_of, prompt, scorer(method, embed_fn), keep)
     rows = keep("features", rows)
-    tables = {"serp": search_rows, "candidates": candidates, "matches": matches, "recall": matching.recall_at_k(matches), "tiers": matching.tier_table(matches), "flows": profile.flow_edges(flagged, prompt), "unmatched": matching.unmatched(matches), "features": rows, "chunks": chunks}
+    tables = {"serp": search_rows, "candidates": candidates, "matches": matches, "recall": matching.recall_at_k(matches), "tiers": matching.tier_table(matches), "flows": profile.flow_edges(flagged, prompt), "unmatched": matching.unmatched(matches), "features": rows, "chunks": chunks, "queries": matching.observed_queries(search_rows)}
     tables |= analysis(rows, CANDIDATE_FEATURES, "page_output_sim", keep) | {"funnel": compare.funnel(rows)}
     tables["insights"] = profile.insights(tables["group_compare"], tables["official"], rows)
     return Audit(run_id, tables, stages)
@@ -111,7 +111,7 @@ def export_audit(run_id: str, raw: DataFrame, pages: DataFrame, as_of: str, mani
         tables["clusters"] = questions.cluster_summary(asked, members)
     if manifest_rows is not None:
         ordered = rows.withColumn("ord", F.struct(*[F.col(f"seq.{c}") for c in ("prio", "pos")]))
-        tables |= {"intent_source": intent.intent_source_long(rows), "intent_pivot": intent.intent_pivot(rows), "intent_share": intent.intent_row_share(rows), "intent_summary": intent.intent_summary(rows),
+        tables |= {"intent_source": intent.intent_source_long(rows), "intent_pivot": intent.intent_pivot(rows), "intent_share": intent.intent_row_share(rows), "intent_cited": intent.intent_group_pivot(rows, "cited"), "intent_more": intent.intent_group_pivot(rows, "more_only"), "intent_summary": intent.intent_summary(rows),
                    "expected": intent.expected_vs_actual(ordered), "unmatched_prompts": manifest.unmatched_prompts(records)}
         client, competitor = (sorted({*(given or []), *listed_terms(records, c)}) for given, c in ((client, "client_terms"), (competitor, "competitor_terms")))
     if client or competitor:
@@ -155,11 +155,12 @@ def batch_audit(runs: dict[str, Audit], tags: dict[str, dict[str, str]], base: s
     return pooled_audit("batch", batch.pool(parts), batch.pool(recalls), base)
 
 
-def pooled_audit(run_id: str, rows: DataFrame, recalls: DataFrame, base: str | None = None) -> Audit:
-    """Rollups of pooled feature rows (run_id, topic, intent, features) and recalls (run_id, mode, k, recall)."""
-    stages = Stages(rows.sparkSession, base, {"rows": rows, "recalls": recalls})
-    keep = stages.keep
-    pooled = keep("features", rows)
+def pooled_audit(run_id: str, rows: DataFrame, recalls: DataFrame, base: str | None = None, keep: Keep | None = None) -> Audit:
+    """Rollups of pooled feature rows (run_id, topic, intent, features) and recalls (run_id, mode, k, recall).
+    ``keep``: of the audit that has made the rows a stage already."""
+    stages = None if keep else Stages(rows.sparkSession, base, {"rows": rows, "recalls": recalls})
+    pooled = rows if keep else stages.keep("features", rows)
+    keep = keep or stages.keep
     rollup = keep("aggregate", batch.batch_aggregate(pooled, CANDIDATE_FEATURES))
     group = keep("group_stats", stats.group_stats(pooled, CANDIDATE_FEATURES, "candidate_id"))
     tables = {"features": pooled, "aggregate": rollup, "recall": batch.recall_average(recalls), "sample": batch.sample_sizes(pooled), "group_stats": group}
@@ -168,6 +169,36 @@ def pooled_audit(run_id: str, rows: DataFrame, recalls: DataFrame, base: str | N
     return Audit(run_id, tables, stages)
 
 
+def batch_search_audit(batch_id: str, runs: DataFrame, search_rows: DataFrame, citations: DataFrame, pages: DataFrame, as_of: str, method: str = "lexical", embed_fn: Callable | None = None, base: str | None = None) -> Audit:
+    """Any number of search audits as one: ``run_id`` is a key of every operator, so stages and plans are as
+    many for two runs as for many thousands.
+
+    ``runs``: run_id, prompt, output_text and, where known, topic, intent and error; ``search_rows`` and
+    ``citations`` have a run_id; pages are shared.  A run that failed, or whose answer is empty, is a row
+    of the table ``runs`` with its error, and the others go on.
+    """
+    stages = Stages(runs.sparkSession, base, {"runs": runs, "search": search_rows, "citations": citations, "pages": pages}, as_of=as_of, method=method, embed_fn=_embedder(embed_fn))
+    keep, by = stages.keep, ["run_id"]
+    for c in ("topic", "intent"):
+        filled = F.nullif(F.trim(F.col(c)), F.lit("")) if c in runs.columns else F.lit(None).cast("string")
+        runs = runs.withColumn(c, F.coalesce(filled, F.lit("Custom")))
+    checked = keep("checked", batch.run_errors(runs, citations))
+    good = checked.where("error IS NULL").select("run_id", "prompt", "output_text", "topic", "intent")
+    only = lambda df: df.join(good.select("run_id"), "run_id", "left_semi")
+    # Candidates are told apart by run from here on: their ids name it.
+    named = F.concat_ws("/", F.col("run_id").cast("string"), "candidate_id")
+    candidates = keep("candidates", matching.unique_candidates(only(search_rows), by).withColumn("candidate_id", named))
+    matches = keep("matches", matching.match_citations(only(citations), candidates, pages, by))
+    flagged = keep("flagged", matching.cited_flags(candidates, matches, by))
+    asked = candidates.join(good, "run_id")
+    rows, chunks = features.candidate_features(asked, pages, flagged, F.coalesce("output_text", F.lit("")), as_of, F.col("prompt"), scorer(method, embed_fn), keep)
+    rows = keep("features", rows.drop("output_text"))
+    recall = matching.recall_at_k(matches, by)
+    pooled = pooled_audit(batch_id, rows, recall, keep=keep)
+    tables = {"runs": batch.run_overview(checked, rows, matches, recall), "candidates": candidates, "matches": matches, "recall_by_run": recall, "chunks": chunks}
+    return Audit(batch_id, tables | pooled.tables, stages)
+
+
 def landed_search_audit(run_id: str, serp_items: DataFrame, page_items: DataFrame, answer_items: DataFrame, as_of: str, top_k: int = 20) -> Audit:
     """search_audit over landed service output: one grounded answer, its results, its pages."""
     answers, citations, queries = landed.answer_rows(answer_items)

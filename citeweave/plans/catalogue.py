@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from citeweave.plans import queries_audit, queries_brand, queries_extra, queries_landed, queries_stats, queries_text, queries_urls, queries_views
+from citeweave.plans import queries_audit, queries_brand, queries_extra, queries_landed, queries_stats, queries_text, queries_urls, queries_views, queries_whole
 
-MODULES = (queries_urls, queries_stats, queries_text, queries_audit, queries_brand, queries_extra, queries_landed, queries_views)
+MODULES = (queries_urls, queries_stats, queries_text, queries_audit, queries_brand, queries_extra, queries_landed, queries_views, queries_whole)
 
 
 def whole_counts(sql: str) -> str:

@@ -18,6 +18,9 @@ SEARCH_COLUMNS = "candidate_id url domain cited match_type serp_rank source_type
 EXPORT_COLUMNS = "record_id source_id url domain cited source_group intent topic source_type source_position observed_rank title_prompt_similarity description_prompt_similarity page_prompt_similarity page_answer_similarity word_count heading_count freshness_days".split()
 
 
+# The section headings below are those of the audited tool's reports, whose readers look for them.
+
+
 def _flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, so that any table can be CSV."""
     nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "struct", "map")]
@@ -104,7 +107,7 @@ def _common(audit: Audit, features: list[str], columns: list[str], other: str) -
 
 def search_report(audit: Audit, prompt: str = "") -> str:
     t = audit.tables
-    head = [f"# Search audit {audit.run_id}", "## Prompt", prompt or "_none_", "## Headline metrics", table(t["funnel"]), "## Citation recall@K (three variants)", table(t["recall"]), "## Match-type counts", table(t["tiers"]), "## Unmatched citations", table(t["unmatched"], "unmatched"), "## Insights", table(t["insights"], "insights")]
+    head = [f"# Search audit {audit.run_id}", "## Prompt", prompt or "_none_", "## Headline metrics", table(t["funnel"]), "## Observed search queries", table(t["queries"], "queries"), "## Citation recall@K (three variants)", table(t["recall"]), "## Match-type counts", table(t["tiers"]), "## Unmatched citations", table(t["unmatched"], "unmatched"), "## Insights", table(t["insights"], "insights")]
     return "\n\n".join([*head, *_common(audit, CANDIDATE_FEATURES, SEARCH_COLUMNS, "non-cited")]) + "\n"
 
 
@@ -112,7 +115,7 @@ def export_report(audit: Audit) -> str:
     t = audit.tables
     parts = [f"# Answer export audit {audit.run_id}", "## Sample sizes", table(t["summary"]), "## Questions", table(t["questions"], "questions"), "## Top domains — cited", table(t["top_domains_cited"]), "## Top domains — more-only", table(t["top_domains_more"])]
     if "intent_pivot" in t:
-        parts += ["## Intent × Source Type — counts (all surfaced)", table(t["intent_pivot"]), "## Intent × Source Type — row % within intent", table(t["intent_share"]), "## Per-intent cited composition", table(t["intent_summary"]),
+        parts += ["## Intent × Source Type — counts (all surfaced)", table(t["intent_pivot"]), "## Intent × Source Type — row % within intent", table(t["intent_share"]), "## Cited source types by intent", table(t["intent_cited"], "intent_cited"), "## More-only source types by intent", table(t["intent_more"], "intent_more"), "## Per-intent cited composition", table(t["intent_summary"]),
                   "## Expected vs actual cited source types (heuristic)", table(t["expected"])]
     if "brand_overall" in t:
         parts.append(brand_report(audit))
@@ -130,7 +133,8 @@ def brand_report(audit: Audit) -> str:
 def batch_report(audit: Audit) -> str:
     t = audit.tables
     level = lambda n: table(t["aggregate"].where(F.col("level") == n))
-    return "\n\n".join(["# Batch audit", "## Sample sizes", table(t["sample"]), "## Recall@K (averaged across runs)", table(t["recall"]), "## Cited vs non-cited (pooled across prompts)", level("overall"), "## Rank test and interval", table(t["group_stats"]),
+    runs = ["## Runs", table(t["runs"], "runs")] if "runs" in t else []
+    return "\n\n".join(["# Batch audit", "## Sample sizes", table(t["sample"]), *runs, "## Recall@K (averaged across runs)", table(t["recall"]), "## Cited vs non-cited (pooled across prompts)", level("overall"), "## Rank test and interval", table(t["group_stats"]),
                         "## Source-type breakdown (pooled)", table(t["source_breakdown"]), "## Observable patterns", table(t["patterns"]), "## By topic", level("topic"), "## By intent", level("intent"), "## Limitations", DISCLAIMER]) + "\n"
 
 
