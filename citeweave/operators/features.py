@@ -1,7 +1,7 @@
 """Feature rows of candidates and of export sources.
 
 ``keep`` (name, table) is called on tables that several later ones are derived from: it may write them
-and give them back as read from their files (``plans.stages``); by default they stay lazy.
+and give them back as read from their files (``citeweave.stages``); by default they stay lazy.
 """
 
 from __future__ import annotations

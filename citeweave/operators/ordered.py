@@ -1,8 +1,12 @@
-"""Ranks and order statistics of grouped values; no task holds all values of a group.
-
-Equal values are counted first.  The bin of a value follows from the value alone, in the order of
-the values, so what stands before a bin is a running sum over the bins of a group, and values are
-put in order only within a bin.  Bins are the same whichever task makes them, also a second time.
+"""Ranks and order statistics of grouped values; no task holds all values of a large group.
+
+Equal values are counted first, and the counts are a stage: written once, read by all that follows.
+A group of few distinct values (``FEW``) is one bin.  Where a group has more, bins are cut between
+splitters that follow from its values: steps of ln(1 + |value|), and within a step equal parts of the
+group's range, so values of one magnitude (times, ids) are told apart as well as values of many.  A bin
+that still holds too many distinct values is cut in equal parts of its own range, again and again,
+until none does.  Bins are numbered in the order of the values, so what stands before a bin is a running
+sum over the bins of a group, and values are put in order only within a bin.
 """
 
 from __future__ import annotations
@@ -13,21 +17,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bins to a step of e in size: values of one bin are within 0.03 % of each other.
-STEPS = 4096
+from citeweave.stages import scratch_keep
 
+#: Steps to a factor of e, and parts of a range.
+STEPS, PARTS = 4096, 4096
+#: Distinct values that one task puts in order.
+FEW = 50_000
 
-def bin_of(value: Column) -> Column:
-    """Steps of ln(1 + |value|) under the value's sign; infinite values at either end, NaN above all."""
-    x = value.cast("double")
-    step = F.floor(F.signum(x) * F.least(F.log1p(F.abs(x)), F.lit(1000.0)) * STEPS).cast("long")
-    return F.when(F.isnan(x), F.lit(1 << 40)).otherwise(step)
 
+def _part(x: Column, low: Column, high: Column) -> Column:
+    """Which of PARTS equal parts of low..high a value is in; halves keep the difference finite."""
+    share = F.try_divide(x / 2 - low / 2, high / 2 - low / 2)
+    return F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.floor(F.coalesce(share, F.lit(0.0)) * PARTS))).cast("long")
 
-def counted(rows: DataFrame, keys: list[str], value: str = "value", *more: Column) -> DataFrame:
-    """(keys.., value, n, more.., bin): distinct values with their number.  Null values have n = 0."""
-    counts = rows.groupBy(*keys, F.col(value).alias("value")).agg(F.count(value).alias("n"), *more)
-    return counts.withColumn("bin", bin_of(F.col("value")))
+
+def _step(x: Column) -> Column:
+    """Steps of ln(1 + |x|) under the sign; infinite values at either end, NaN above all."""
+    step = F.floor(F.signum(x) * F.least(F.log1p(F.abs(x)), F.lit(1000.0)) * STEPS).cast("long")
+    return F.when(F.isnan(x), F.lit(1 << 26)).otherwise(step)
+
+
+def _ranged(counts: DataFrame, keys: list[str], out: str, number: Callable[[Column, Column, Column], Column], among: Column) -> DataFrame:
+    """``counts`` with ``out``: ``number(value, low, high)``, the range being that of the key's values in ``among``."""
+    x = F.col("value").cast("double")
+    names = {k: f"__{i}" for i, k in enumerate(keys)}
+    ranges = counts.groupBy(*[F.col(k).alias(v) for k, v in names.items()]).agg(F.min(F.when(among, x)).alias("__low"), F.max(F.when(among, x)).alias("__high"))
+    met = counts.join(ranges, [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()])
+    return met.withColumn(out, number(x, F.col("__low"), F.col("__high"))).drop("__low", "__high", *names.values())
+
+
+def _in_bins(counts: DataFrame, keys: list[str], keep: Callable) -> DataFrame:
+    """``counts`` with ``bin``, a struct of the numbers of a value's step, part, part of that part, ..."""
+    x = F.col("value").cast("double")
+    finite = (F.abs(x) < float("inf")) & ~F.isnan(x)
+    rows = _ranged(counts, keys, "b0", lambda v, low, high: _step(v) * PARTS + _part(v, low, high), finite)
+    levels = 1
+    while True:
+        names = [f"b{i}" for i in range(levels)]
+        rows = keep("bins", rows, levels)
+        full = rows.groupBy(*keys, *names).agg(F.count("*").alias("m"), F.min("value").alias("low"), F.max("value").alias("high"))
+        # One number: whether any bin is to be cut further.
+        if levels == 6 or full.where((F.col("m") > FEW) & (F.col("low").cast("double") < F.col("high").cast("double"))).isEmpty():
+            return rows.withColumn("bin", F.struct(*names)).drop(*names)
+        rows = _ranged(rows, [*keys, *names], f"b{levels}", _part, finite)
+        levels += 1
+
+
+def counted(rows: DataFrame, keys: list[str], value: str = "value", *more: Column) -> tuple[DataFrame, bool]:
+    """((keys.., value, n, more.., bin), few): distinct values with their number, and whether every group
+    has few of them.  Null values have n = 0."""
+    keep = scratch_keep(rows.sparkSession)
+    counts = keep("counted", rows.groupBy(*keys, F.col(value).alias("value")).agg(F.count(value).alias("n"), *more))
+    few = counts.groupBy(*keys).count().where(F.col("count") > FEW).isEmpty()
+    return (counts.withColumn("bin", F.lit(0)) if few else _in_bins(counts, keys, keep)), few
 
 
 def at_positions(counts: DataFrame, keys: list[str], wanted: Callable[[Column, Column, Column], Column]) -> DataFrame:
@@ -58,17 +100,24 @@ def at_positions(counts: DataFrame, keys: list[str], wanted: Callable[[Column, C
 def quantiles(rows: DataFrame, keys: list[str], at: dict[str, float], value: str = "value") -> DataFrame:
     """(keys.., n, mean, low, high, at..): one row a group, also of groups whose values are all null.
 
-    Exact, by linear interpolation between neighbours, as ``percentile`` does.
+    Exact, by linear interpolation between neighbours, as ``percentile`` does; where groups have few
+    distinct values it is ``percentile`` over the counts.
     """
+    counts, few = counted(rows, keys, value)
+    if few:
+        x = F.col("value")
+        points = F.expr(f"percentile(value, array({', '.join(f'{p}D' for p in at.values())}), n)")
+        one = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(x * F.col("n")).alias("total"), F.min(x).alias("low"), F.max(x).alias("high"), points.alias("points"))
+        return one.select(*keys, "n", F.try_divide("total", "n").alias("mean"), "low", "high", *[F.col("points")[i].alias(c) for i, c in enumerate(at)])
     pos = {name: (lambda of, p=p: (of - 1) * F.lit(p)) for name, p in at.items()}
 
     def wanted(of: Column, before: Column, upto: Column) -> Column:
         both = F.array_distinct(F.array(*[f(x(of)) for x in pos.values() for f in (F.floor, F.ceil)]))
         return F.filter(both, lambda p: (p >= before) & (p < upto))
 
-    found = at_positions(counted(rows, keys, value), keys, wanted)
-    few = F.map_from_entries(F.collect_list(F.when(F.col("position").isNotNull(), F.struct("position", "value"))))
-    one = found.groupBy(*keys).agg(F.max("of").alias("n"), *[F.max(c).alias(c) for c in ("total", "low", "high")], few.alias("found"))
+    found = at_positions(counts, keys, wanted)
+    some = F.map_from_entries(F.collect_list(F.when(F.col("position").isNotNull(), F.struct("position", "value"))))
+    one = found.groupBy(*keys).agg(F.max("of").alias("n"), *[F.max(c).alias(c) for c in ("total", "low", "high")], some.alias("found"))
 
     def between(where: Column) -> Column:
         a, b = F.floor(where), F.ceil(where)

@@ -17,7 +17,7 @@ from citeweave.operators.ordered import at_positions, counted
 
 def _in_bins(long: DataFrame) -> DataFrame:
     """Counted values of each feature with ``inner``, their average rank within their bin."""
-    counts = counted(long.where("value IS NOT NULL"), ["feature"], "value", F.sum("cited").cast("long").alias("n_cited"))
+    counts = counted(long.where("value IS NOT NULL"), ["feature"], "value", F.sum("cited").cast("long").alias("n_cited"))[0]
     upto = F.sum("n").over(W.partitionBy("feature", "bin").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
     return counts.withColumn("inner", upto - (F.col("n") - 1) / F.lit(2.0).cast("double"))
 
@@ -66,18 +66,6 @@ def mann_whitney(rows: DataFrame, features: list[str], with_p: bool = True) -> D
     return s.withColumn("p_value", _two_sided(z))
 
 
-def bootstrap_interval(a: np.ndarray, b: np.ndarray, rounds: int, seed: int) -> tuple[float | None, float | None]:
-    """2.5 and 97.5 percentiles of the difference of medians of resamples of ``a`` and ``b``."""
-    if len(a) < 3 or len(b) < 3:
-        return None, None
-    rng, out = np.random.default_rng(seed), np.empty(rounds)
-    for i in range(rounds):
-        x = np.median(rng.choice(a, len(a), replace=True))
-        out[i] = x - np.median(rng.choice(b, len(b), replace=True))
-    lo, hi = np.percentile(out, [2.5, 97.5])
-    return round(float(lo), 4), round(float(hi), 4)
-
-
 def median_ranks(n: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The ranks (from 0) of the lower and upper middle of each of ``rounds`` resamples of n values.
 
@@ -93,18 +81,28 @@ def median_ranks(n: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray
     return tuple(np.minimum((u * n).astype(np.int64), n - 1) for u in (low, high))
 
 
-def _by_ranks(long: DataFrame, rounds: int, seed: int) -> DataFrame:
-    """bootstrap_median_diff of features with any number of values: only values at drawn ranks leave their bins."""
+DRAWN = "feature string, median_diff double, ci_low double, ci_high double"
+
+
+def bootstrap_median_diff(rows: DataFrame, features: list[str], rounds: int = 1500, seed: int = 12345) -> DataFrame:
+    """(feature, median_diff, ci_low, ci_high): difference of the groups' medians, and the 2.5 and 97.5
+    percentiles of the difference over resamples; no interval below three values in either group.
+
+    Of a resample only the ranks of its middles matter, and these are drawn (``median_ranks``), at any size
+    by the same method.  Only the values at drawn ranks leave their bins: some thousands a feature.  What
+    is drawn follows from a group's number of values alone, so figures do not depend on partitions or order.
+    """
 
     def drawn(n: int, cited: int) -> np.ndarray:
-        return np.unique(np.r_[(n - 1) // 2, n // 2, *median_ranks(n, rounds, seed + cited)])
+        middles = [(n - 1) // 2, n // 2] if n else []
+        return np.unique(np.r_[middles, *median_ranks(n, rounds, seed + cited)]) if n >= 3 else np.unique(np.array(middles, np.int64))
 
     @F.pandas_udf("array<long>")
     def wanted(cited: pd.Series, of: pd.Series, before: pd.Series, upto: pd.Series) -> pd.Series:
         out, known = [], {}
         for c, n, a, b in zip(cited, of, before, upto):
             if (c, n) not in known:
-                known[c, n] = drawn(int(n), int(c))
+                known[c, n] = drawn(int(n), int(c)).astype(np.int64)
             i, j = np.searchsorted(known[c, n], [a, b])
             out.append(known[c, n][i:j])
         return pd.Series(out)
@@ -121,39 +119,14 @@ def _by_ranks(long: DataFrame, rounds: int, seed: int) -> DataFrame:
         diff = round(float(mid[1] - mid[0]), 4) if len(mid) == 2 else None
         return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "median_diff": [diff], "ci_low": [lo], "ci_high": [hi]}).astype({"median_diff": float, "ci_low": float, "ci_high": float})
 
-    counts = counted(long.where("cited IN (0, 1)"), ["feature", "cited"])
+    long = long_features(rows, features, ["cited"]).where("value IS NOT NULL AND cited IN (0, 1)")
+    counts = counted(long, ["feature", "cited"])[0]
     found = at_positions(counts, ["feature", "cited"], lambda of, before, upto: wanted(F.col("cited"), of, before, upto))
     return found.withColumnRenamed("of", "n").groupBy("feature").applyInPandas(run, DRAWN)
 
 
-DRAWN = "feature string, median_diff double, ci_low double, ci_high double"
-#: Values up to which a feature is resampled by drawing its values.
-DRAW_VALUES = 200_000
-
-
-def bootstrap_median_diff(rows: DataFrame, features: list[str], order: str, rounds: int = 1500, seed: int = 12345, most: int = DRAW_VALUES) -> DataFrame:
-    """(feature, median_diff, ci_low, ci_high), values in the order of ``order``.
-
-    A feature of up to ``most`` values is resampled in one task, draw by draw, so that figures repeat.
-    Of a larger one the middles of the resamples are drawn by rank, from the same distribution.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        a, b = (pdf.loc[pdf["cited"] == v, "value"].to_numpy(float) for v in (1, 0))
-        lo, hi = bootstrap_interval(a, b, rounds, seed)
-        diff = round(float(np.median(a) - np.median(b)), 4) if len(a) and len(b) else None
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "median_diff": [diff], "ci_low": [lo], "ci_high": [hi]}).astype({"median_diff": float, "ci_low": float, "ci_high": float})
-
-    long = long_features(rows, features, ["cited", F.col(order).alias("ord")]).where("value IS NOT NULL")
-    sizes = {r["feature"]: r["count"] for r in long.groupBy("feature").count().collect()}  # one row a feature
-    large = [f for f, n in sizes.items() if n > most]
-    out = long.where(~F.col("feature").isin(large)).groupBy("feature").applyInPandas(run, DRAWN)
-    return out.unionByName(_by_ranks(long.where(F.col("feature").isin(large)), rounds, seed)) if large else out
-
-
-def group_stats(rows: DataFrame, features: list[str], order: str) -> DataFrame:
+def group_stats(rows: DataFrame, features: list[str]) -> DataFrame:
     """group_compare with the difference of medians, the rank test's p and the bootstrap interval."""
     tested = mann_whitney(rows, features).select("feature", "p_value")
-    drawn = bootstrap_median_diff(rows, features, order)
+    drawn = bootstrap_median_diff(rows, features)
     return group_compare(rows, features).join(tested, "feature", "left").join(drawn, "feature", "left")

@@ -1,7 +1,7 @@
 """The two audits and the batch over landed tables.
 
 What several tables are derived from is a stage: written once to the shared folder and read back
-(``plans.stages``), so an audit runs its stages when it is called, and every table's plan begins at
+(``citeweave.stages``), so an audit runs its stages when it is called, and every table's plan begins at
 the files of a stage.  ``base`` names a folder in which stages last: an audit with the same inputs
 takes them up again.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from citeweave.functions.similarity import lexical, scorer
 from citeweave.functions.text import detect_terms, fold
 from citeweave.operators import batch, brand, compare, features, intent, matching, profile, questions, stats
-from citeweave.plans.stages import Keep, Stages, plain
+from citeweave.stages import Keep, Stages, plain
 from citeweave.sources import export, landed, manifest
 
 CANDIDATE_FEATURES = "serp_rank title_query_sim snippet_query_sim page_query_sim max_chunk_query_sim word_count char_count heading_count freshness_days page_output_sim max_chunk_output_sim".split()
@@ -162,7 +162,7 @@ def pooled_audit(run_id: str, rows: DataFrame, recalls: DataFrame, base: str | N
     pooled = rows if keep else stages.keep("features", rows)
     keep = keep or stages.keep
     rollup = keep("aggregate", batch.batch_aggregate(pooled, CANDIDATE_FEATURES))
-    group = keep("group_stats", stats.group_stats(pooled, CANDIDATE_FEATURES, "candidate_id"))
+    group = keep("group_stats", stats.group_stats(pooled, CANDIDATE_FEATURES))
     tables = {"features": pooled, "aggregate": rollup, "recall": batch.recall_average(recalls), "sample": batch.sample_sizes(pooled), "group_stats": group}
     tables |= analysis(pooled, CANDIDATE_FEATURES, "page_output_sim", keep)
     tables["patterns"] = batch.cite_patterns(pooled, rollup, tables["correlation"])

@@ -70,7 +70,7 @@ def average_ranks(spark, sf):
 
 
 def bootstrap_median_ci(spark, sf):
-    return stats.bootstrap_median_diff(fr(spark, sf), FR_FEATURES, "ord")
+    return stats.bootstrap_median_diff(fr(spark, sf), FR_FEATURES)
 
 
 def question_table(spark, sf):

@@ -8,7 +8,7 @@ from citeweave.functions import classify, text, urls
 from citeweave.operators import batch, compare, features, matching, profile, questions
 from citeweave.plans import audit, report
 from citeweave.plans.bindings import AS_OF, CLIENT, COMPETITOR, FR, FR_FEATURES, MD, QD, _found_sql, fr, md, pg, qd, read
-from citeweave.plans.stages import scratch_keep
+from citeweave.stages import scratch_keep
 from citeweave.plans.queries_stats import _compare
 from citeweave.plans.queries_text import _FLAG_SQL, _HEAD, _LINES, _TOKENS, _path
 from citeweave.plans.queries_urls import CANDS, MATCH, _candidates, _matches, sql_host, sql_norm

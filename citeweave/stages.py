@@ -76,6 +76,8 @@ class Stages:
     def keep(self, name: str, df: DataFrame, *parameters: object) -> DataFrame:
         """``df`` from its stage, which is written first unless it is there whole."""
         path = f"{self.base}/{name}/{self._digest(self.key, name, parameters)}"
+        if path in self.paths:
+            raise ValueError(f"two stages of one call are named {name}")
         at, store = self._path(f"{path}/_SUCCESS")
         df = df.withColumns({f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if f.dataType.typeName() == "void"})
         if store.exists(at):

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeweave.operators import matching
-from citeweave.plans import audit, report, stages
+from citeweave import stages
+from citeweave.plans import audit, report
 from citeweave.sources import export
 
 PAGES = "normalized_url string, url string, title string, status string, text string, markdown string, published_date string, canonical_url string"

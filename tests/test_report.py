@@ -158,4 +158,4 @@ def test_small_views(spark):
     assert {tuple(r) for r in snapshots.merge_pages(old, new).collect()} == {("a", 1), ("b", 2)}
     assert matching.tier_table(spark.createDataFrame([], "match_type string")).where("match_type = 'TOTAL'").first().n == 0
     assert batch.recall_average(spark.createDataFrame([("strict", 5, 0.3333), ("strict", 5, 0.3334)], "mode string, k int, recall double")).first().recall == 0.3334
-    assert stats.group_stats(rows.withColumn("x", F.col("ord")), ["x"], "ord").first().p_value is None
+    assert stats.group_stats(rows.withColumn("x", F.col("ord")), ["x"]).first().p_value is None
