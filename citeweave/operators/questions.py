@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citeweave.stages import scratch_keep
+
 
 def question_rows(rows: DataFrame) -> DataFrame:
     """``rows`` with ``qid``: record_id, else run_id, else "?"."""
@@ -39,8 +44,8 @@ def domain_sets(rows: DataFrame, group: str = "cited", key: str = "qid", item: s
     return rows.where(F.col(item).isNotNull() & (F.col(item) != "")).select(key, item).distinct()
 
 
-def jaccard_pairs(sets: DataFrame, key: str = "qid", item: str = "domain") -> DataFrame:
-    """(a, b, shared, jaccard) of all pairs a < b that share an item.
+def shared_pairs(sets: DataFrame, key: str = "qid", item: str = "domain") -> DataFrame:
+    """(a, b, shared, either) of all pairs a < b that share an item: items of both, items of either.
 
     An inverted index: pairs meet at the items they share, so disjoint pairs (distance 1) cost
     nothing.  An item that very many keys share makes many pairs; that is the size of the result.
@@ -49,57 +54,139 @@ def jaccard_pairs(sets: DataFrame, key: str = "qid", item: str = "domain") -> Da
     left, right = sets.select(F.col(key).alias("a"), item), sets.select(F.col(key).alias("b"), item)
     shared = left.join(right, item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     out = shared.join(sizes.withColumnsRenamed({key: "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({key: "b", "n": "nb"}), "b")
-    return out.select("a", "b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 4).alias("jaccard"))
+    return out.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("either"))
 
 
-def average_linkage(similar: dict[tuple[int, int], float], n: int, k: int) -> list[int]:
-    """Cluster number of each of n items: the closest clusters merge until k are left.
-
-    The distance of two clusters is the mean over their pairs; of ties the first pair merges.
-    """
-    d = np.ones((n, n))
-    for (i, j), s in similar.items():
-        d[i, j] = d[j, i] = 1.0 - s
-    np.fill_diagonal(d, np.inf)
-    size, alive, of = np.ones(n), list(range(n)), list(range(n))
-    while len(alive) > max(1, k):
-        part = d[np.ix_(alive, alive)]
-        part[np.tril_indices(len(alive))] = np.inf
-        a, b = np.unravel_index(int(part.argmin()), part.shape)
-        i, j = alive[a], alive[b]
-        both = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i, :], d[:, i] = both, both
-        d[i, i] = np.inf
+def jaccard_pairs(sets: DataFrame, key: str = "qid", item: str = "domain") -> DataFrame:
+    """(a, b, shared, jaccard) of all pairs a < b that share an item."""
+    return shared_pairs(sets, key, item).select("a", "b", "shared", F.round(F.col("shared") / F.col("either"), 4).alias("jaccard"))
+
+
+#: Similarities are whole numbers of this part, so sums over a cluster's pairs are exact.
+UNIT = 1_000_000_000
+#: Clusters that one task may hold: once so few are left, it merges them to the end.
+LOCAL = 1000
+
+
+def average_linkage(s: np.ndarray, size: np.ndarray) -> list[tuple[int, int, float]]:
+    """(i, j, mean similarity) of every merge, in order: the most similar clusters first, of ties the first
+    pair; cluster j goes into i.  ``s``: sums of similarities over the pairs of two clusters (whole numbers,
+    symmetric); what has no similarity to anything stays apart."""
+    s, size, out = s.astype(np.int64).copy(), size.astype(np.int64).copy(), []
+    np.fill_diagonal(s, 0)
+    mean = s / np.multiply.outer(size, size)
+    upper = np.triu(np.ones(s.shape, bool), 1)
+    while len(s):
+        look = np.where(upper, mean, 0.0)
+        i, j = divmod(int(look.argmax()), len(s))
+        if look[i, j] <= 0:
+            break
+        out.append((i, j, float(look[i, j])))
+        s[i] += s[j]
+        s[:, i] = s[i]
         size[i] += size[j]
-        of = [i if x == j else x for x in of]
-        alive.remove(j)
-    number = {root: c for c, root in enumerate(alive)}
-    return [number[x] for x in of]
-
-
-def cluster_questions(rows: DataFrame, k: int, group: str = "cited", most: int = 4000) -> DataFrame:
-    """(qid, cluster): average linkage over Jaccard distances; questions without domains get -1.
-
-    The similarities are a distributed join; the merge loop is sequential and runs in one task, so it
-    refuses more than ``most`` questions (use connected domains above that).
+        s[j] = s[:, j] = 0
+        s[i, i] = 0
+        mean[i] = mean[:, i] = s[i] / (size[i] * size)
+        mean[j] = mean[:, j] = 0.0
+    return out
+
+
+def _mutual(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, mean) of the pairs whose clusters are nearest to each other; the order of pairs is total (mean
+    similarity, then the labels), so there is one at least."""
+    of = lambda c: nodes.select(F.col("q").alias(c), F.col("n").alias(f"n{c}"))
+    mean = F.col("s").cast("double") / (F.col("na") * F.col("nb")).cast("double")
+    pairs = edges.join(of("a"), "a").join(of("b"), "b").select(F.struct((-mean).alias("d"), "a", "b").alias("p"))
+    best = pairs.select(F.explode(F.array("p.a", "p.b")).alias("q"), "p").groupBy("q").agg(F.min("p").alias("p"))
+    return best.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select("p.a", "p.b", (-F.col("p.d")).alias("mean"))
+
+
+def _renamed(df: DataFrame, column: str, merges: DataFrame) -> DataFrame:
+    """``df`` with the labels of clusters that have gone into others replaced."""
+    gone = merges.select(F.col("b").alias("__old"), F.col("a").alias("__new"))
+    return df.join(gone, F.col(column) == F.col("__old"), "left").withColumn(column, F.coalesce("__new", column)).drop("__old", "__new")
+
+
+def linkage_merges(sets: DataFrame, keep: Callable) -> DataFrame:
+    """(a, b, mean): every merge of average linkage over Jaccard similarities, down to clusters that share
+    nothing; b goes into a, the smaller label; ``mean`` similarity in parts of UNIT.
+
+    Two clusters that are nearest to each other stay so until they merge, whatever merges elsewhere (the
+    mean similarity to a union is at most the greater one of its parts), so in every round all such pairs
+    merge at once, as joins of cluster pairs.  Questions with equal sets come first, as one cluster each.
+    The last LOCAL clusters are merged by one task.  Ties go by the labels, as in a loop over all pairs;
+    very many equal similarities between more than LOCAL clusters therefore make many rounds.
     """
-    sets = domain_sets(rows, group)
-    asked = rows.select("qid").distinct()
-    n = sets.select("qid").distinct().count()
-    if n > most:
-        raise ValueError(f"{n} questions; average linkage is meant for at most {most}")
-    pairs = jaccard_pairs(sets)
-    edges = pairs.select("a", "b", "jaccard").unionByName(sets.select(F.col("qid").alias("a"), F.col("qid").alias("b"), F.lit(1.0).alias("jaccard")).distinct())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    # The set itself, not a digest, tells equal ones apart.
+    whole = sets.groupBy("qid").agg(F.sort_array(F.collect_list("domain")).alias("set"))
+    first = whole.groupBy("set").agg(F.min("qid").alias("q"), F.count("*").alias("n"))
+    equal = keep("equal", whole.join(first, "set").select(F.col("qid").alias("b"), F.col("q").alias("a"), "n"))
+    done = [equal.where("a <> b").select("a", "b", F.lit(float(UNIT)).alias("mean"))]
+    nodes = keep("nodes", equal.where("a = b").select(F.col("a").alias("q"), "n"), 0)
+    pairs = shared_pairs(sets.join(nodes.select(F.col("q").alias("qid")), "qid", "left_semi"))
+    of = lambda c: nodes.select(F.col("q").alias(c), F.col("n").alias(f"n{c}"))
+    unit = F.round(F.lit(float(UNIT)) * F.col("shared") / F.col("either")).cast("long")
+    edges = keep("edges", pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", (unit * F.col("na") * F.col("nb")).alias("s")), 0)
+    turn = 0
+    while (edges.select(F.explode(F.array("a", "b"))).distinct().count()) > LOCAL:
+        turn += 1
+        merges = keep("merges", _mutual(edges, nodes), turn)
+        done.append(merges)
+        moved = _renamed(_renamed(edges, "a", merges), "b", merges).where("a <> b")
+        edges = keep("edges", moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")), turn)
+        nodes = keep("nodes", _renamed(nodes, "q", merges).groupBy("q").agg(F.sum("n").alias("n")), turn)
+    kind = dict(sets.dtypes)["qid"]
+
+    def rest(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(pdf["a"]) | set(pdf["b"]))
         at = {q: i for i, q in enumerate(ids)}
-        sim = {(at[a], at[b]): s for a, b, s in zip(pdf["a"], pdf["b"], pdf["jaccard"]) if a != b}
-        return pd.DataFrame({"qid": ids, "cluster": average_linkage(sim, len(ids), k)})
-
-    kind = dict(rows.dtypes)["qid"]
-    found = edges.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, f"qid {kind}, cluster long")
-    return asked.join(found, "qid", "left").select("qid", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
+        s, size = np.zeros((len(ids), len(ids)), np.int64), np.ones(len(ids), np.int64)
+        for a, b, v, na, nb in zip(pdf["a"], pdf["b"], pdf["s"], pdf["na"], pdf["nb"]):
+            i, j = at[a], at[b]
+            s[i, j] = s[j, i] = v
+            size[i], size[j] = na, nb
+        merged = average_linkage(s, size)
+        return pd.DataFrame({"a": [ids[i] for i, _, _ in merged], "b": [ids[j] for _, j, _ in merged], "mean": [m for _, _, m in merged]})
+
+    of = lambda c: nodes.select(F.col("q").alias(c), F.col("n").alias(f"n{c}"))
+    left = edges.join(of("a"), "a").join(of("b"), "b")
+    done.append(left.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(rest, f"a {kind}, b {kind}, mean double"))  # LOCAL clusters at most
+    return keep("all_merges", reduce(lambda x, y: x.unionByName(y), done))
+
+
+def cluster_questions(rows: DataFrame, k: int, group: str = "cited") -> DataFrame:
+    """(qid, cluster): average linkage over Jaccard distances until k clusters are left, numbered by their
+    least question; questions without domains get -1.  Clusters that share nothing merge last, the
+    first ones first."""
+    keep = scratch_keep(rows.sparkSession)
+    sets = keep("sets", domain_sets(rows, group))
+    merges = linkage_merges(sets, keep)
+    n, made = sets.select("qid").distinct().count(), merges.count()
+    k = max(1, min(k, n))
+    # The last merges are undone: as many as k clusters need, so k rows at most.
+    undone = merges.orderBy("mean", F.desc("a"), F.desc("b")).limit(max(0, k - (n - made)))
+    parents = keep("parents", merges.join(undone.select("b"), "b", "left_anti").select(F.col("b").alias("q"), F.col("a").alias("up")))
+    turn = 0
+    while True:  # each question's way up is halved
+        turn += 1
+        above = parents.select(F.col("q").alias("__q"), F.col("up").alias("__up"))
+        parents = keep("parents", parents.join(above, F.col("up") == F.col("__q"), "left").select("q", F.coalesce("__up", "up").alias("up"), F.col("__up").isNotNull().alias("moved")), turn)
+        if parents.where("moved").isEmpty():
+            break
+    asked = sets.select("qid").distinct()
+    found = asked.join(parents.select(F.col("q").alias("qid"), "up"), "qid", "left").select("qid", F.coalesce("up", "qid").alias("root"))
+    # What is left beyond k clusters shares nothing: all but the k - 1 greatest labels are one.
+    apart = found.select("root").distinct().orderBy(F.desc("root")).limit(k - 1).select("root", F.lit(True).alias("apart")) if k > 1 else None
+    if apart is not None:
+        found = found.join(F.broadcast(apart), "root", "left")  # fewer than k rows
+        found = found.withColumn("root", F.when(F.col("apart"), F.col("root"))).drop("apart")
+    else:
+        found = found.withColumn("root", F.lit(None).cast(dict(found.dtypes)["root"]))
+    labels = found.select("root").distinct().withColumn("cluster", F.row_number().over(W.orderBy(F.asc_nulls_first("root"))).cast("long") - 1)  # k rows
+    labels = labels.withColumnRenamed("root", "__root")
+    found = found.join(F.broadcast(labels), F.col("root").eqNullSafe(F.col("__root"))).select("qid", "cluster")
+    return rows.select("qid").distinct().join(found, "qid", "left").select("qid", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
 def cluster_summary(rows: DataFrame, clusters: DataFrame, k: int = 8) -> DataFrame:

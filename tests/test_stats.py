@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,13 +59,62 @@ def test_questions(spark):
     assert {(r["a"], r["b"], r["jaccard"]) for r in questions.jaccard_pairs(questions.domain_sets(rows)).collect()} == {("q1", "q2", 1.0)}
     m = {r["qid"]: r.asDict() for r in questions.question_matrix(rows, 2).collect()}
     assert m["q1"]["a.com"] == 1 and m["q3"]["a.com"] == 0
-    with pytest.raises(ValueError):
-        questions.cluster_questions(rows, 2, most=1)
 
 
-def test_average_linkage_of_ties():
-    assert questions.average_linkage({(0, 1): 0.9, (2, 3): 0.9}, 4, 2) == [0, 0, 1, 1]
-    assert questions.average_linkage({}, 3, 1) == [0, 0, 0]
+def linked_by_a_loop(sets, k):
+    """Cluster of each question by a loop over all pairs in exact fractions: the nearest merge, of ties the first pair."""
+    ids = sorted(sets)
+    near = lambda a, b: Fraction(round(questions.UNIT * len(sets[a] & sets[b]) / len(sets[a] | sets[b])), questions.UNIT)
+    active, members = list(ids), {q: [q] for q in ids}
+    while len(active) > max(1, k):
+        best = None
+        for x, a in enumerate(active):
+            for b in active[x + 1 :]:
+                mean = sum(near(p, q) for p in members[a] for q in members[b]) / (len(members[a]) * len(members[b]))
+                if best is None or mean > best[0]:
+                    best = mean, a, b
+        _, a, b = best
+        members[a] += members.pop(b)
+        active.remove(b)
+    return {q: c for c, a in enumerate(active) for q in members[a]}
+
+
+def random_sets(rng, n, domains):
+    return {f"q{i:02d}": {f"d{rng.randrange(domains)}" for _ in range(rng.randrange(1, 5))} for i in range(n)}
+
+
+def test_local_linkage_equals_a_loop():
+    """300 tables with many ties: the merges of one task against all pairs in exact fractions."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        sets = random_sets(rng, rng.randrange(2, 11), rng.choice([3, 6, 12]))
+        ids = sorted(sets)
+        s = np.array([[round(questions.UNIT * len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for b in ids] for a in ids])
+        merges = questions.average_linkage(s, np.ones(len(ids), int))
+        assert all(x[2] >= y[2] for x, y in zip(merges, merges[1:]))
+        for k in {n for n in (1, 2, 4, len(ids)) if n >= len(ids) - len(merges)}:
+            root = {q: q for q in ids}
+            for i, j, _ in merges[: max(0, len(ids) - k)]:
+                root = {q: ids[i] if r == ids[j] else r for q, r in root.items()}
+            number = {r: c for c, r in enumerate(sorted(set(root.values())))}
+            assert {q: number[r] for q, r in root.items()} == linked_by_a_loop(sets, k)
+
+
+@pytest.mark.parametrize("local", [1000, 3])
+def test_clusters_equal_a_loop(spark, monkeypatch, local):
+    """Rounds of mutual nearest neighbours, and the rest in one task; equal sets, ties, nothing shared."""
+    import random
+
+    monkeypatch.setattr(questions, "LOCAL", local)
+    rng = random.Random(9)
+    tables = [(random_sets(rng, 12, 9), 3), ({"a": {"x"}, "b": {"x"}, "c": {"x"}, "d": {"y"}, "e": {"z"}, "f": {"y", "z"}}, 4), ({"a": {"x"}, "b": {"y"}, "c": {"z"}, "d": {"w"}}, 2)]
+    for sets, k in tables:
+        df = spark.createDataFrame([(q, d, 1) for q, ds in sets.items() for d in ds] + [("none", None, 1), ("shown", "x", 0)], "qid string, domain string, cited int")
+        got = {r["qid"]: r["cluster"] for r in questions.cluster_questions(df, k).collect()}
+        assert got.pop("none") == got.pop("shown") == -1
+        assert got == linked_by_a_loop(sets, k)
 
 
 def test_intents(spark, rows):
