@@ -15,16 +15,19 @@ OFFICIAL = {
 }
 # Known hosts by type, in order.
 KNOWN = {
-    "news": "nytimes.com bbc.com bbc.co.uk cnn.com reuters.com theguardian.com apnews.com bloomberg.com forbes.com wsj.com washingtonpost.com aljazeera.com ft.com nbcnews.com cnbc.com businessinsider.com techcrunch.com theverge.com wired.com bangkokpost.com nationthailand.com",
-    "forum": "reddit.com quora.com stackoverflow.com stackexchange.com ycombinator.com discourse.org",
-    "reference": "wikipedia.org wiktionary.org britannica.com fandom.com investopedia.com",
-    "video": "youtube.com youtu.be vimeo.com",
-    "social": "twitter.com x.com facebook.com instagram.com linkedin.com tiktok.com threads.net pinterest.com medium.com",
-    "ecommerce": "amazon.com ebay.com etsy.com aliexpress.com alibaba.com walmart.com bestbuy.com lazada.com shopee.com shopify.com",
-    "review": "yelp.com tripadvisor.com trustpilot.com g2.com capterra.com glassdoor.com",
-    "blog": "substack.com wordpress.com blogspot.com blogger.com tumblr.com dev.to ghost.io hashnode.dev",
-    "documentation": "readthedocs.io readthedocs.org developer.mozilla.org github.io",
-}
+    "news": ("nytimes.com", "bbc.com", "bbc.co.uk", "cnn.com", "reuters.com", "theguardian.com", "apnews.com", "bloomberg.com", "forbes.com",
+        "wsj.com", "washingtonpost.com", "aljazeera.com", "ft.com", "nbcnews.com", "cnbc.com", "businessinsider.com", "techcrunch.com",
+        "theverge.com", "wired.com", "bangkokpost.com", "nationthailand.com"),
+    "forum": ("reddit.com", "quora.com", "stackoverflow.com", "stackexchange.com", "ycombinator.com", "discourse.org"),
+    "reference": ("wikipedia.org", "wiktionary.org", "britannica.com", "fandom.com", "investopedia.com"),
+    "video": ("youtube.com", "youtu.be", "vimeo.com"),
+    "social": ("twitter.com", "x.com", "facebook.com", "instagram.com", "linkedin.com", "tiktok.com", "threads.net", "pinterest.com", "medium.com"),
+    "ecommerce": ("amazon.com", "ebay.com", "etsy.com", "aliexpress.com", "alibaba.com", "walmart.com", "bestbuy.com", "lazada.com", "shopee.com",
+        "shopify.com"),
+    "review": ("yelp.com", "tripadvisor.com", "trustpilot.com", "g2.com", "capterra.com", "glassdoor.com"),
+    "blog": ("substack.com", "wordpress.com", "blogspot.com", "blogger.com", "tumblr.com", "dev.to", "ghost.io", "hashnode.dev"),
+    "documentation": ("readthedocs.io", "readthedocs.org", "developer.mozilla.org", "github.io"),
+}
 # What hosts of a type start with or contain.
 HINTS = (
     ("documentation", ("docs.", "developer.", "dev."), ()), ("blog", ("blog.",), (".blog",)), ("forum", ("forum.", "community."), ("forum",)),
@@ -56,9 +59,9 @@ def source_type(url: Column) -> Column:
     for tld, label in OFFICIAL.items():
         rule = rule.when(host.endswith(tld) | host.contains(tld + "."), label)
     for label, names in KNOWN.items():
-        rule = rule.when(root.isin(names.split()), label)
+        rule = rule.when(root.isin(*names), label)
     for label, names in KNOWN.items():
-        for name in names.split():
+        for name in names:
             if name.count(".") > 1 or name in ("github.io", "readthedocs.io"):  # others are roots of all their hosts
                 rule = rule.when((host == name) | host.endswith("." + name), label)
     for label, starts, parts in HINTS:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from citeweave.functions.text import truthy
 from citeweave.functions.urls import domain, query_parameter, short_id, with_forms
+from citeweave.sources import jsonindex
 
 FIELDS = (
     "record_id id prompt url answer_text answer_text_markdown web_search_query web_search_triggered model timestamp prompt_hash country "
@@ -32,13 +33,25 @@ def _file_key(raw: DataFrame) -> Column:
     return short_id(F.col("_metadata.file_path")) if len(raw.inputFiles()) > 1 else F.lit(None).cast("string")
 
 
+def _json_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((f, ordinal, item) of arrays, (f, value) of files without one, (f, top, sound) of all)."""
+    items, files = jsonindex.read_arrays(spark, path)
+    alone = files.where("sound").join(items.select("f").distinct(), "f", "left_anti")
+    return items, jsonindex.whole_texts(spark, path, alone), files
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """(file, ordinal, fields..) of JSON files: an array of records, an envelope of one, or one record.
 
-    A file is one document, so it is parsed as a whole; text that is no JSON gives no row (see ``file_warnings``).
+    An array is read by many tasks (``jsonindex``); a file that is one record is read as a whole.  Text
+    that is no JSON gives no row (see ``file_warnings``).
     """
-    raw = spark.read.text(path, wholetext=True)
-    return parse_json(raw.select(_file_key(raw).alias("file"), "value"))
+    items, alone, files = _json_parts(spark, path)
+    several = files.limit(2).count() > 1
+    name = short_id(F.col("f")) if several else F.lit(None).cast("string")
+    fields = F.from_json("item", f"struct<{_FIELD_TYPE}>").alias("x")
+    rows = items.where("item LIKE '{%'").select(name.alias("file"), "ordinal", fields).select("file", "ordinal", "x.*")
+    return rows.unionByName(parse_json(alone.select(name.alias("file"), "value")))
 
 
 def parse_json(texts: DataFrame) -> DataFrame:
@@ -53,11 +66,12 @@ def parse_json(texts: DataFrame) -> DataFrame:
 
 def file_warnings(spark: SparkSession, path: str) -> DataFrame:
     """(file, warning) of JSON files that give no record, and of entries that are no objects."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("v"))
-    bad = raw.where("try_parse_json(v) IS NULL").select("file", F.lit("JSON parse failed").alias("warning"))
-    flat = raw.where("v NOT LIKE '[%' AND v NOT LIKE '{%' AND try_parse_json(v) IS NOT NULL").select("file", F.lit("top-level JSON is no array of records").alias("warning"))
-    items = raw.where("v LIKE '[%'").select("file", F.posexplode(F.from_json("v", "array<string>")).alias("i", "r")).where(~F.trim("r").startswith("{"))
-    return bad.unionByName(flat).unionByName(items.select("file", F.format_string("record %d is no object, skipped", F.col("i") + 1).alias("warning")))
+    items, alone, files = _json_parts(spark, path)
+    v = alone.select(F.col("f").alias("file"), F.trim("value").alias("v"))
+    bad = files.where("NOT sound").select(F.col("f").alias("file")).unionByName(v.where("try_parse_json(v) IS NULL").select("file")).select("file", F.lit("JSON parse failed").alias("warning"))
+    flat = v.where("v NOT LIKE '[%' AND v NOT LIKE '{%' AND try_parse_json(v) IS NOT NULL").select("file", F.lit("top-level JSON is no array of records").alias("warning"))
+    lists = items.join(files.where("top = '['").select("f"), "f", "left_semi").where("item NOT LIKE '{%'")
+    return bad.unionByName(flat).unionByName(lists.select(F.col("f").alias("file"), F.format_string("record %d is no object, skipped", F.col("ordinal") + 1).alias("warning")))
 
 
 def record_warnings(records: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeweave.sources import jsonindex
+
 
 def _get(c: str, *paths: str) -> Column:
     """The first non-empty value among JSON paths of a JSON string."""
@@ -14,17 +16,14 @@ def _get(c: str, *paths: str) -> Column:
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """(item_ord, item): one JSON string an item, from JSON lines or files with one array.
 
-    Lines are read as lines, so a large file of lines is split over tasks; of an array's file only the
-    lines that belong to it are put together again.  ``item_ord`` is unique over all files, and follows
+    A large file is split over tasks, whichever of the two it is.  ``item_ord`` is unique over all files, and follows
     a file's order.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("o")).alias("at"), "value")
-    first = raw.where("trim(value) <> ''").groupBy("f").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "at").alias("c"))
-    raw = raw.join(first.where("c = '['").select("f", F.lit(True).alias("whole")), "f", "left")
-    lines = raw.where("whole IS NULL AND ltrim(value) LIKE '{%'").select("f", "at.b", "at.o", F.lit(0).alias("pos"), F.col("value").alias("item"))
-    text = raw.where("whole").groupBy("f").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n").alias("v"))
-    arrays = text.select("f", F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("o"), F.posexplode(F.from_json("v", "array<string>")).alias("pos", "item")).where(F.trim("item").startswith("{"))
-    rows = lines.unionByName(arrays)
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("o"), "value")
+    arrays, files = jsonindex.read_arrays(spark, path, "[")
+    lines = raw.where("ltrim(value) LIKE '{%'").join(files.where("top = '['").select("f"), "f", "left_anti").select("f", "b", "o", F.lit(0).alias("pos"), F.col("value").alias("item"))
+    zero = F.lit(0).cast("long")
+    rows = lines.unionByName(arrays.where("item LIKE '{%'").select("f", zero.alias("b"), zero.alias("o"), F.col("ordinal").alias("pos"), "item"))
     return rows.select(F.struct("f", "b", "o", "pos").alias("item_ord"), "item")
 
 

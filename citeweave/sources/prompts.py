@@ -31,7 +31,7 @@ def prompt_block(texts: DataFrame, text_col: str = "text", topic: str = "Custom"
     long = F.col("named") & (F.col("n") >= 3)
     ident = F.when(F.col("named") & (F.col("n") >= 2), F.get("p", F.lit(0))).otherwise("")
     intent = F.when(long, F.get("p", F.lit(1))).when(two & ~F.col("named"), F.get("p", F.lit(0))).otherwise("Custom")
-    prompt = F.when(long, F.array_join(F.slice("p", 3, 1000), " ")).when(two, F.get("p", F.lit(1))).otherwise(whole)
+    prompt = F.when(long, F.array_join(F.slice("p", F.lit(3), F.greatest(F.col("n"), F.lit(1))), " ")).when(two, F.get("p", F.lit(1))).otherwise(whole)
     return rows.select("pos", ident.alias("id"), intent.alias("intent"), F.trim(prompt).alias("prompt"), F.lit(topic).alias("topic")).where("prompt <> ''")
 
 
