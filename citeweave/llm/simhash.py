@@ -92,15 +92,16 @@ def close_edges(prints: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """(fp, root, component_id) of fingerprints that stand on several rows or are linked; ``root`` is one
-    fingerprint of the component, ``component_id`` its least id."""
+    """(fp, component_id, first_fp) of fingerprints that stand on several rows or are linked: the least id of
+    the component, and the least of its fingerprints that has this id."""
     prints = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = materialise(components(close_edges(prints)).select(F.col("node").alias("fp"), "root"))
     linked = salted_join(roots, prints, ["fp"], F.col("root"), salts=1)
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = salted_join(linked.select("fp", "root"), least, ["root"], F.col("fp")).select("fp", "root", "component_id")
+    first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", "fp")))
+    least = linked.groupBy("root").agg(first.alias("first")).select("root", F.col("first.least").alias("component_id"), F.col("first.fp").alias("first_fp"))
+    linked = salted_join(linked.select("fp", "root"), least, ["root"], F.col("fp")).select("fp", "component_id", "first_fp")
     # Fingerprints of one document, linked to none, need no join: the document is its own class.
-    alone = prints.where("n > 1").join(roots, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    alone = prints.where("n > 1").join(roots, "fp", "left_anti").select("fp", F.col("least").alias("component_id"), F.col("fp").alias("first_fp"))
     return materialise(linked.unionByName(alone))
 
 
@@ -111,7 +112,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     each distinct fingerprint.
     """
     docs = materialise(fingerprints(documents, id_col, text_col))
-    out = salted_join(docs, _classes(docs).drop("root"), ["fp"], F.coalesce("doc_id", F.lit(0)), "left")
+    out = salted_join(docs, _classes(docs).drop("first_fp"), ["fp"], F.coalesce("doc_id", F.lit(0)), "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -140,13 +141,12 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``documents`` may have any names.
     """
     docs = materialise(fingerprints(documents, id_col, text_col))
-    classes = _classes(docs).drop("component_id")
+    classes = _classes(docs)
     docs = docs.where("doc_id IS NOT NULL")
-    rows = salted_join(docs, classes, ["fp"], F.col("doc_id"), "left")
-    first = rows.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("doc_id", "fp")).alias("first"))
-    first = materialise(first.select("first.*").withColumn("wins", F.lit(True)))  # each class has its own fingerprints, so pairs are distinct
-    of = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("fp").alias("fp"))
-    ids = materialise(of.join(first, ["doc_id", "fp"], "left").where("n > 1 OR wins IS NULL").select("doc_id", (F.col("n") > 1).alias("repeated")))
+    wins = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("first_fp"))
+    later = salted_join(docs, classes, ["fp"], F.col("doc_id")).where(~wins).select("doc_id", F.lit(False).alias("repeated"))
+    several = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("repeated"))
+    ids = materialise(later.unionByName(several).groupBy("doc_id").agg(F.max("repeated").alias("repeated")))
     at, mark = free_name(documents, "id"), free_name(documents, "print")
     named = lambda df, *more: small_side(materialise(df.select(F.col("doc_id").alias(at), *more)))
     key = F.col(f"`{id_col}`").cast("long") == F.col(at)
@@ -155,7 +155,8 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = ids.where("repeated")
     if again.isEmpty():
         return once
-    mine = named(first.join(again, "doc_id", "left_semi"), F.col("fp").alias(f"{mark}_kept"))
+    own = docs.join(again, "doc_id", "left_semi").distinct().join(classes, "fp", "left").where(F.col("first_fp").isNull() | wins)
+    mine = named(own, F.col("fp").alias(f"{mark}_kept"))
     seen = _printed(documents.join(named(again), key, "left_semi"), text_col, mark)
     kept = seen.join(mine, key & (F.col(mark) == F.col(f"{mark}_kept")), "left_semi")
     return once.unionByName(kept.dropDuplicates([id_col, mark]).drop(mark))
