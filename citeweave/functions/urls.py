@@ -1,7 +1,8 @@
 """URL forms as column expressions: every comparison in the library uses these.
 
 They stay inside whole-stage code generation; no Python runs on the executors.  A malformed port
-gives a null URL.  Registrable domains follow the suffix list below, not the full public list.
+gives a null URL.  Registrable domains follow the compact list below; ``suffixes`` has them by
+a full file of rules.
 """
 
 from __future__ import annotations

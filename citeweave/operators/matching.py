@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citeweave.functions.suffixes import with_registrable
 from citeweave.functions.urls import is_redirect_wrapper, normalize_url, short_id, with_forms
 
 # Tiers from strongest to weakest, those of each recall mode, the Ks.
@@ -24,16 +25,19 @@ def first_rows(df: DataFrame, key: str | list[str], *order: str) -> DataFrame:
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"m.r.{c}").alias(c) for c in rest])
 
 
-def unique_candidates(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+def unique_candidates(rows: DataFrame, by: list[str] | None = None, rules: DataFrame | None = None) -> DataFrame:
     """One row a normalised URL (``by``: and run) of (ord, query, rank, url, title, snippet, ...) search rows.
 
     First-seen identity, best rank, and title and snippet of the row that last improved the rank
     with a text of its own.  Only the first row of each rank can have improved it, so rows meet by URL
     and rank first: what a URL that stands in very many rows brings to one task is a row a rank, and the
-    list of queries that is its result.
+    list of queries that is its result.  ``rules``: public-suffix rules (``functions.suffixes``); without
+    them registrable domains follow a compact list.
     """
     by = by or []
     rows = with_forms(rows, "url", "normalized_url", "domain", "root_domain").where("normalized_url <> ''")
+    if rules is not None:
+        rows = with_registrable(rows.drop("root_domain"), "domain", "root_domain", rules)
     rows = rows.withColumn("rank", F.coalesce(F.nullif(F.col("rank"), F.lit(0)), F.lit(NO_RANK)))
     ranked = rows.groupBy(*by, "normalized_url", "rank").agg(
         F.min(F.struct("ord", "url", "domain", "root_domain", "title", "snippet")).alias("f"), F.collect_list(F.struct("ord", "query", "rank")).alias("q"))
@@ -59,10 +63,13 @@ def best_query(queries: Column, fallback: Column) -> Column:
     return F.coalesce(F.nullif(F.array_min(ranked)["q"], F.lit("")), fallback)
 
 
-def distinct_citations(citations: DataFrame, by: list[str] | None = None) -> DataFrame:
+def distinct_citations(citations: DataFrame, by: list[str] | None = None, rules: DataFrame | None = None) -> DataFrame:
     """First citation of every normalised effective URL (``by``: and run); ``citations``: idx, raw_uri, resolved_url, title."""
     effective = F.coalesce(F.nullif(F.col("resolved_url"), F.lit("")), F.col("raw_uri"))
-    rows = with_forms(citations.withColumn("citation_url", effective), "citation_url", "cnorm", root="croot", amp="camp").where("cnorm <> ''")
+    rows = with_forms(citations.withColumn("citation_url", effective), "citation_url", "cnorm", "chost", "croot", "camp").where("cnorm <> ''")
+    if rules is not None:
+        rows = with_registrable(rows.drop("croot"), "chost", "croot", rules)
+    rows = rows.drop("chost")
     return first_rows(rows, [*(by or []), "cnorm"], "idx")
 
 
@@ -88,11 +95,11 @@ def closest_path(citations: DataFrame, candidates: DataFrame, by: list[str] | No
     return met.select(*by, "cnorm", F.col("c.candidate_id").alias("weak_id"), F.col("c.url").alias("weak_url"), F.col("c.best_rank").alias("weak_rank"))
 
 
-def match_citations(citations: DataFrame, candidates: DataFrame, pages: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+def match_citations(citations: DataFrame, candidates: DataFrame, pages: DataFrame | None = None, by: list[str] | None = None, rules: DataFrame | None = None) -> DataFrame:
     """One row a distinct citation (``by``: of each run) with its tier.  Every tier is a keyed candidate row; one equi-join
     finds all tiers of a citation and the strongest one is kept."""
     by = by or []
-    cits = distinct_citations(citations, by)
+    cits = distinct_citations(citations, by, rules)
     target = F.struct(F.col("best_rank"), F.col("ord"), F.col("candidate_id"), F.col("url"))
     candidates = with_forms(candidates, "url", "__n", amp="camp").drop("__n")
     key = lambda df, tier, col: df.select(*by, F.lit(tier).alias("tier"), col.alias("key"), target.alias("c"))

@@ -72,15 +72,15 @@ def _embedder(fn: Callable | None) -> object:
     return fn and getattr(fn, "cache_key", uuid.uuid4().hex)
 
 
-def search_audit(run_id: str, search_rows: DataFrame, citations: DataFrame, pages: DataFrame, output_text: str, as_of: str, prompt: str = "", method: str = "lexical", embed_fn: Callable | None = None, base: str | None = None) -> Audit:
+def search_audit(run_id: str, search_rows: DataFrame, citations: DataFrame, pages: DataFrame, output_text: str, as_of: str, prompt: str = "", method: str = "lexical", embed_fn: Callable | None = None, base: str | None = None, suffix_rules: DataFrame | None = None) -> Audit:
     """Grounded answer against the search results: match, recall, features, analysis.  ``method`` and
-    ``embed_fn`` choose the similarity (``similarity.scorer``)."""
+    ``embed_fn`` choose the similarity (``similarity.scorer``), ``suffix_rules`` the registrable domains."""
     if not output_text and citations.isEmpty():
         raise AuditError("the landed answer has no text and no citation")
-    stages = Stages(search_rows.sparkSession, base, {"search": search_rows, "citations": citations, "pages": pages}, output_text=output_text, as_of=as_of, prompt=prompt, method=method, embed_fn=_embedder(embed_fn))
+    stages = Stages(search_rows.sparkSession, base, {"search": search_rows, "citations": citations, "pages": pages, "rules": suffix_rules}, output_text=output_text, as_of=as_of, prompt=prompt, method=method, embed_fn=_embedder(embed_fn))
     keep = stages.keep
-    candidates = keep("candidates", matching.unique_candidates(search_rows))
-    matches = keep("matches", matching.match_citations(citations, candidates, pages))
+    candidates = keep("candidates", matching.unique_candidates(search_rows, rules=suffix_rules))
+    matches = keep("matches", matching.match_citations(citations, candidates, pages, rules=suffix_rules))
     flagged = keep("flagged", matching.cited_flags(candidates, matches))
     rows, chunks = features.candidate_features(candidates, pages, flagged, output_text, as_of, prompt, scorer(method, embed_fn), keep)
     rows = keep("features", rows)
@@ -169,7 +169,7 @@ def pooled_audit(run_id: str, rows: DataFrame, recalls: DataFrame, base: str | N
     return Audit(run_id, tables, stages)
 
 
-def batch_search_audit(batch_id: str, runs: DataFrame, search_rows: DataFrame, citations: DataFrame, pages: DataFrame, as_of: str, method: str = "lexical", embed_fn: Callable | None = None, base: str | None = None) -> Audit:
+def batch_search_audit(batch_id: str, runs: DataFrame, search_rows: DataFrame, citations: DataFrame, pages: DataFrame, as_of: str, method: str = "lexical", embed_fn: Callable | None = None, base: str | None = None, suffix_rules: DataFrame | None = None) -> Audit:
     """Any number of search audits as one: ``run_id`` is a key of every operator, so stages and plans are as
     many for two runs as for many thousands.
 
@@ -177,7 +177,7 @@ def batch_search_audit(batch_id: str, runs: DataFrame, search_rows: DataFrame, c
     ``citations`` have a run_id; pages are shared.  A run that failed, or whose answer is empty, is a row
     of the table ``runs`` with its error, and the others go on.
     """
-    stages = Stages(runs.sparkSession, base, {"runs": runs, "search": search_rows, "citations": citations, "pages": pages}, as_of=as_of, method=method, embed_fn=_embedder(embed_fn))
+    stages = Stages(runs.sparkSession, base, {"runs": runs, "search": search_rows, "citations": citations, "pages": pages, "rules": suffix_rules}, as_of=as_of, method=method, embed_fn=_embedder(embed_fn))
     keep, by = stages.keep, ["run_id"]
     for c in ("topic", "intent"):
         filled = F.nullif(F.trim(F.col(c)), F.lit("")) if c in runs.columns else F.lit(None).cast("string")
@@ -187,8 +187,8 @@ def batch_search_audit(batch_id: str, runs: DataFrame, search_rows: DataFrame, c
     only = lambda df: df.join(good.select("run_id"), "run_id", "left_semi")
     # Candidates are told apart by run from here on: their ids name it.
     named = F.concat_ws("/", F.col("run_id").cast("string"), "candidate_id")
-    candidates = keep("candidates", matching.unique_candidates(only(search_rows), by).withColumn("candidate_id", named))
-    matches = keep("matches", matching.match_citations(only(citations), candidates, pages, by))
+    candidates = keep("candidates", matching.unique_candidates(only(search_rows), by, suffix_rules).withColumn("candidate_id", named))
+    matches = keep("matches", matching.match_citations(only(citations), candidates, pages, by, suffix_rules))
     flagged = keep("flagged", matching.cited_flags(candidates, matches, by))
     asked = candidates.join(good, "run_id")
     rows, chunks = features.candidate_features(asked, pages, flagged, F.coalesce("output_text", F.lit("")), as_of, F.col("prompt"), scorer(method, embed_fn), keep)

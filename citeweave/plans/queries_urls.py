@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citeweave.functions import classify, urls
+from citeweave.functions import classify, suffixes, urls
 from citeweave.operators import matching
 from citeweave.plans.bindings import CT, PG, ct, pg
 
@@ -81,6 +81,17 @@ def brand_candidate(spark, sf):
     return pg(spark, sf).select(F.col("ord").alias("page_id"), classify.brand_candidate(F.col("url"), F.concat(F.lit("The Example of "), "title"), F.col("query"), F.lit("")).alias("brand"))
 
 
+#: Rules of every kind, among hosts that the pages have.
+RULES = ("com", "net", "org", "*.example.net", "!blog.example.net", "example.org")
+
+
+def registrable_domains(spark, sf):
+    """By rules with a free label and an exception; half of the hosts with a label more."""
+    host = F.when(F.col("page_id") % 2 == 0, urls.domain(F.col("url"))).otherwise(F.concat(F.lit("sub."), urls.domain(F.col("url"))))
+    rows = _urls(spark, sf).select("page_id", host.alias("host"))
+    return suffixes.with_registrable(rows, "host", "root_domain", suffixes.suffix_rules(spark, list(RULES)))
+
+
 def _candidates(spark, sf):
     return matching.unique_candidates(pg(spark, sf))
 
@@ -144,7 +155,7 @@ def sankey_edges(spark, sf):
 
 
 _NAMES = (
-    "url_normalize url_domain url_root_domain url_strip_amp url_short_id url_pretty url_redirect_flag source_classify brand_candidate unique_candidates candidate_top_k "
+    "url_normalize url_domain url_root_domain registrable_domains url_strip_amp url_short_id url_pretty url_redirect_flag source_classify brand_candidate unique_candidates candidate_top_k "
     "citation_match_tiers citation_tier_counts citation_recall_at_k unmatched_citations closest_path_match serp_cited_flag scrape_cache_antijoin recall_avg sankey_edges"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -189,6 +200,9 @@ ORACLE = {
     "url_normalize": f"SELECT page_id, {sql_norm('url')} AS normalized_url FROM pages",
     "url_domain": f"SELECT page_id, {sql_host('url')} AS domain FROM pages",
     "url_root_domain": f"SELECT page_id, {sql_root('url')} AS root_domain FROM pages",
+    "registrable_domains": f"""WITH h AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'sub.' END || {sql_host('url')} AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS l FROM h),
+n AS (SELECT *, CASE WHEN host = 'blog.example.net' OR host LIKE '%.blog.example.net' THEN 2 WHEN host LIKE '%_.example.net' THEN 3 WHEN host = 'example.org' OR host LIKE '%.example.org' THEN 2 ELSE 1 END AS s FROM l)
+SELECT page_id, host, CASE WHEN len(l) > s THEN array_to_string(l[len(l) - s :], '.') ELSE host END AS root_domain FROM n""",
     "url_strip_amp": f"WITH {CT}, x AS (SELECT idx, {sql_norm('raw_uri')} AS n FROM ct) SELECT idx, {sql_amp('n')} AS canonical FROM x",
     "url_short_id": "SELECT page_id, substring(sha1(url), 1, 12) AS short_id FROM pages",
     "url_pretty": f"WITH x AS (SELECT page_id, {sql_host('url')} || {sql_path('url')} AS t FROM pages) SELECT page_id, CASE WHEN length(t) <= 24 THEN t ELSE substring(t, 1, 23) || '…' END AS pretty FROM x",

@@ -75,3 +75,40 @@ def test_sql_functions(spark):
     urls.register(spark)
     r = spark.sql("SELECT url_domain('http://www.A.com:80/x') AS d, short_id('a') AS s").first()
     assert (r["d"], len(r["s"])) == ("a.com", 12)
+
+
+# Hosts and registrable domains of the suffix list's own test cases, with the rules that they need.
+SUFFIX_LINES = "// a comment\ncom\nbiz\ncy\n*.mm\njp\nac.jp\nkyoto.jp\nide.kyoto.jp\n*.kobe.jp\n!city.kobe.jp\n*.ck\n!www.ck\nus\nak.us\nk12.ak.us\ncn\n公司.cn\n中国\nuk\nco.uk\n// ===BEGIN PRIVATE DOMAINS===\nuk.com\n".split("\n")
+SUFFIX_CASES = {
+    "example.com": "example.com", "www.example.com": "example.com", "com": "com", "example.biz": "example.biz", "b.example.biz": "example.biz", "a.b.example.biz": "example.biz", "example.uk.com": "uk.com",
+    "c.mm": "c.mm", "b.c.mm": "b.c.mm", "a.b.c.mm": "b.c.mm", "jp": "jp", "test.jp": "test.jp", "www.test.jp": "test.jp", "ac.jp": "ac.jp", "test.ac.jp": "test.ac.jp", "kyoto.jp": "kyoto.jp", "test.kyoto.jp": "test.kyoto.jp",
+    "ide.kyoto.jp": "ide.kyoto.jp", "b.ide.kyoto.jp": "b.ide.kyoto.jp", "a.b.ide.kyoto.jp": "b.ide.kyoto.jp", "c.kobe.jp": "c.kobe.jp", "b.c.kobe.jp": "b.c.kobe.jp", "a.b.c.kobe.jp": "b.c.kobe.jp", "city.kobe.jp": "city.kobe.jp", "www.city.kobe.jp": "city.kobe.jp",
+    "ck": "ck", "test.ck": "test.ck", "b.test.ck": "b.test.ck", "www.ck": "www.ck", "www.www.ck": "www.ck", "test.k12.ak.us": "test.k12.ak.us", "www.test.k12.ak.us": "test.k12.ak.us", "www.食狮.公司.cn": "食狮.公司.cn", "shishi.xn--55qx5d.cn": "shishi.xn--55qx5d.cn",
+    "xn--85x722f.xn--fiqs8s": "xn--85x722f.xn--fiqs8s", "a.unlisted": "a.unlisted", "b.a.unlisted": "a.unlisted", "1.2.3.4": "1.2.3.4", "": "", "sub.a.co.uk": "a.co.uk",
+}
+
+
+def test_registrable_domains_by_rules(spark):
+    from citeweave.functions import suffixes
+
+    rules = suffixes.suffix_rules(spark, SUFFIX_LINES)
+    hosts = spark.createDataFrame([(h,) for h in [*SUFFIX_CASES, "www.example.com", None]], "host string")
+    got = suffixes.with_registrable(hosts, "host", "root", rules).collect()
+    assert len(got) == len(SUFFIX_CASES) + 2
+    assert {r.host: r.root for r in got} == SUFFIX_CASES | {None: None}
+    private = suffixes.suffix_rules(spark, SUFFIX_LINES, private=True)
+    assert suffixes.with_registrable(hosts.where("host = 'example.uk.com'"), "host", "root", private).first().root == "example.uk.com"
+
+
+def test_matching_by_rules(spark, tmp_path):
+    """Under a rule with a free label two hosts are strangers that the compact list takes for one site."""
+    from citeweave.functions import suffixes
+    from citeweave.operators import matching
+
+    (tmp_path / "rules.dat").write_text("// rules\nck\n*.ck\n!www.ck\n")
+    rules = suffixes.read_suffix_rules(spark, str(tmp_path / "rules.dat"))
+    rows = spark.createDataFrame([(0, "q", 1, "https://a.test.ck/x", "t", "s"), (1, "q", 2, "https://a.www.ck/x", "t", "s")], "ord long, query string, rank int, url string, title string, snippet string")
+    cited = spark.createDataFrame([(0, "https://b.test.ck/y", None, ""), (1, "https://b.www.ck/y", None, "")], "idx int, raw_uri string, resolved_url string, title string")
+    kind = lambda rules: {r.citation_index: r.match_type for r in matching.match_citations(cited, matching.unique_candidates(rows, rules=rules), rules=rules).collect()}
+    assert kind(None) == {0: "domain_only", 1: "domain_only"}
+    assert kind(rules) == {0: "no_match", 1: "domain_only"}
