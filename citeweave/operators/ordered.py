@@ -1,7 +1,7 @@
 """Ranks and order statistics of grouped values; no task holds all values of a large group.
 
 Equal values are counted first, and the counts are a stage: written once, read by all that follows.
-A group of few distinct values (``FEW``) is one bin.  Where a group has more, bins are cut between
+A group of few distinct values (``FEW``; for quantiles ``HELD``) is one bin.  Where a group has more, bins are cut between
 splitters that follow from its values: steps of ln(1 + |value|), and within a step equal parts of the
 group's range, so values of one magnitude (times, ids) are told apart as well as values of many.  A bin
 that still holds too many distinct values is cut in equal parts of its own range, again and again,
@@ -21,8 +21,8 @@ from citeweave.stages import scratch_keep
 
 #: Steps to a factor of e, and parts of a range.
 STEPS, PARTS = 4096, 4096
-#: Distinct values that one task puts in order.
-FEW = 50_000
+#: Distinct values that one task puts in order, and those whose counts ``percentile`` holds in memory.
+FEW, HELD = 50_000, 500_000
 
 
 def _part(x: Column, low: Column, high: Column) -> Column:
@@ -63,13 +63,13 @@ def _in_bins(counts: DataFrame, keys: list[str], keep: Callable) -> DataFrame:
         levels += 1
 
 
-def counted(rows: DataFrame, keys: list[str], value: str = "value", *more: Column) -> tuple[DataFrame, bool]:
+def counted(rows: DataFrame, keys: list[str], value: str = "value", *more: Column, few: int | None = None) -> tuple[DataFrame, bool]:
     """((keys.., value, n, more.., bin), few): distinct values with their number, and whether every group
-    has few of them.  Null values have n = 0."""
+    has at most ``few`` of them (default FEW).  Null values have n = 0."""
     keep = scratch_keep(rows.sparkSession)
     counts = keep("counted", rows.groupBy(*keys, F.col(value).alias("value")).agg(F.count(value).alias("n"), *more))
-    few = counts.groupBy(*keys).count().where(F.col("count") > FEW).isEmpty()
-    return (counts.withColumn("bin", F.lit(0)) if few else _in_bins(counts, keys, keep)), few
+    small = counts.groupBy(*keys).count().where(F.col("count") > (FEW if few is None else few)).isEmpty()
+    return (counts.withColumn("bin", F.lit(0)) if small else _in_bins(counts, keys, keep)), small
 
 
 def at_positions(counts: DataFrame, keys: list[str], wanted: Callable[[Column, Column, Column], Column]) -> DataFrame:
@@ -103,12 +103,17 @@ def quantiles(rows: DataFrame, keys: list[str], at: dict[str, float], value: str
     Exact, by linear interpolation between neighbours, as ``percentile`` does; where groups have few
     distinct values it is ``percentile`` over the counts.
     """
-    counts, few = counted(rows, keys, value)
-    if few:
+    points = lambda *n: F.expr(f"percentile({value if not n else 'value'}, array({', '.join(f'{p}D' for p in at.values())}){''.join(', ' + c for c in n)})").alias("points")
+    named = lambda one: one.select(*keys, "n", F.try_divide("total", "n").alias("mean"), "low", "high", *[F.col("points")[i].alias(c) for i, c in enumerate(at)])
+    # Rows are counted without their values: where no group has many, nothing is written.
+    if rows.groupBy(*keys).count().where(F.col("count") > HELD).isEmpty():
+        x = F.col(value)
+        return named(rows.groupBy(*keys).agg(F.count(x).alias("n"), F.sum(x).alias("total"), F.min(x).alias("low"), F.max(x).alias("high"), points()))
+    counts, small = counted(rows, keys, value, few=HELD)
+    if small:
         x = F.col("value")
-        points = F.expr(f"percentile(value, array({', '.join(f'{p}D' for p in at.values())}), n)")
-        one = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(x * F.col("n")).alias("total"), F.min(x).alias("low"), F.max(x).alias("high"), points.alias("points"))
-        return one.select(*keys, "n", F.try_divide("total", "n").alias("mean"), "low", "high", *[F.col("points")[i].alias(c) for i, c in enumerate(at)])
+        one = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(x * F.col("n")).alias("total"), F.min(x).alias("low"), F.max(x).alias("high"), points("n"))
+        return named(one)
     pos = {name: (lambda of, p=p: (of - 1) * F.lit(p)) for name, p in at.items()}
 
     def wanted(of: Column, before: Column, upto: Column) -> Column:

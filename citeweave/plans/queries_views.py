@@ -113,6 +113,7 @@ def candidate_features(spark, sf):
     c = _candidates(spark, sf)
     flags = c.select("candidate_id", (F.col("ord") % 3 == 0).cast("int").alias("cited"), F.lit(False).alias("weak_domain_match"), F.lit("exact").alias("match_type"), F.lit(True).alias("strong_match"))
     keep = scratch_keep(spark)
+    c = c.repartition(spark.sparkContext.defaultParallelism)  # narrow rows, to which the pages' texts come
     rows = features.candidate_features(c, keep("pages", _pages(spark, sf)), flags, ANSWER, AS_OF, keep=keep)[0]
     return rows.select("candidate_id", "cited", "scrape_success", F.col("word_count").cast("long").alias("word_count"), F.col("char_count").cast("long").alias("char_count"), F.col("heading_count").cast("long").alias("heading_count"), "freshness_days", "truncated", "title_query_sim", "page_query_sim", "page_output_sim")
 
@@ -126,7 +127,7 @@ def _sources(spark, sf):
 
 def source_features(spark, sf):
     keep = scratch_keep(spark)
-    rows = features.source_features(_sources(spark, sf), keep("pages", _pages(spark, sf)), AS_OF, keep=keep)[0]
+    rows = features.source_features(_sources(spark, sf).repartition(spark.sparkContext.defaultParallelism), keep("pages", _pages(spark, sf)), AS_OF, keep=keep)[0]
     return rows.select("source_id", "cited", "scrape_success", F.col("word_count").cast("long").alias("word_count"), "freshness_days", "title_prompt_similarity", "page_prompt_similarity", "page_answer_similarity")
 
 
@@ -136,7 +137,7 @@ _PAGE_FLAGS = ["has_faq", "has_price_or_package", "has_contact_info", "has_many_
 def brand_pages(spark, sf):
     rows = _sources(spark, sf).withColumns({"intent": F.lit("general the"), "source_type": F.lit("unknown")})
     keep = scratch_keep(spark)
-    named = features.brand_pages(rows, keep("pages", _pages(spark, sf)), CLIENT, COMPETITOR, keep=keep)
+    named = features.brand_pages(rows.repartition(spark.sparkContext.defaultParallelism), keep("pages", _pages(spark, sf)), CLIENT, COMPETITOR, keep=keep)
     return named.select("source_id", "is_client_source", "is_competitor_source", *_PAGE_FLAGS, "page_type", "heading_prompt_match", "answer_like_text_in_first_500_chars")
 
 

@@ -27,6 +27,9 @@ FORMAT = "1"
 #: Used only in local mode (tests, a laptop) where the session names no shared folder.
 LOCAL_SCRATCH = "file:/tmp/checkpoints"
 
+#: Bytes of a stage from which it is worth dealing, and of one task's share that needs no dealing.
+SPREAD, SPLIT = 1 << 20, 4 << 20
+
 Keep = Callable[..., DataFrame]
 
 
@@ -86,7 +89,16 @@ class Stages:
             df.write.mode("overwrite").parquet(path)
             self.written.append(name)
         self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self._spread(self.spark.read.schema(df.schema).parquet(path), path)
+
+    def _spread(self, df: DataFrame, path: str) -> DataFrame:
+        """A stage in fewer files than there are cores, and small, is dealt over the cores as it is read: what
+        is done to its texts takes longer than to deal them.  A large one is split by Spark's reader."""
+        at, store = self._path(path)
+        summary, cores = store.getContentSummary(at), self.spark.sparkContext.defaultParallelism
+        if SPREAD <= summary.getLength() < cores * SPLIT and summary.getFileCount() <= cores:
+            return df.repartition(cores)
+        return df
 
     def remove(self) -> None:
         """Delete the stages of a call without a base; those of a base stay for later ones."""

@@ -159,6 +159,7 @@ def test_quantiles_and_medians_equal_numpy(spark, monkeypatch, few):
     from citeweave.operators import ordered, profile
 
     monkeypatch.setattr(ordered, "FEW", few)
+    monkeypatch.setattr(ordered, "HELD", few)
     rng = np.random.default_rng(3)
     groups = {"a": np.round(rng.lognormal(3, 2, 700), 2), "b": np.r_[-np.exp(rng.normal(0, 5, 300)), np.zeros(50)], None: np.full(40, 1e12) + rng.integers(-20, 20, 40), "one": np.array([4.5])}
     data = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("none", None), ("far", float("inf")), ("far", float("-inf")), ("far", 2.0)]
@@ -181,7 +182,7 @@ def test_groups_without_values_stay(spark):
     assert (r["feature"], r["n_cited"], r["n_non_cited"], r["cited_mean"], r["non_cited_median"]) == ("x", 0, 0, None, None)
 
 
-def test_values_of_one_magnitude_are_dealt_over_bins(spark):
+def test_values_of_one_magnitude_are_dealt_over_bins(spark, monkeypatch):
     """A million times within one day, beside a group with two clusters far apart."""
     from citeweave.operators import ordered
 
@@ -192,6 +193,7 @@ def test_values_of_one_magnitude_are_dealt_over_bins(spark):
     assert not few
     bins = {r["k"]: (r["bins"], r["most"]) for r in counts.groupBy("k", "bin").count().groupBy("k").agg(F.count("*").alias("bins"), F.max("count").alias("most")).collect()}
     assert bins["day"][0] >= 100 and bins["two"][0] >= 20 and max(m for _, m in bins.values()) <= ordered.FEW
+    monkeypatch.setattr(ordered, "HELD", ordered.FEW)
     got = {r["k"]: r for r in ordered.quantiles(df, ["k"], {"q": 0.3, "mid": 0.5}).collect()}
     pdf = df.toPandas()
     for k, r in got.items():
