@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citeweave.functions import classify, text, urls
-from citeweave.operators import batch, compare, features, matching, profile, questions
+from citeweave.functions import classify, similarity, text, urls
+from citeweave.operators import batch, chunking, compare, features, matching, profile, questions
 from citeweave.plans import audit, report
 from citeweave.plans.bindings import AS_OF, CLIENT, COMPETITOR, FR, FR_FEATURES, MD, QD, _found_sql, fr, md, pg, qd, read
 from citeweave.stages import scratch_keep
 from citeweave.plans.queries_stats import _compare
 from citeweave.plans.queries_text import _FLAG_SQL, _HEAD, _LINES, _TOKENS, _path
+from citeweave.plans.queries_text import ORACLE as TEXT_SQL
 from citeweave.plans.queries_urls import CANDS, MATCH, _candidates, _matches, sql_host, sql_norm
 
 ANSWER = "the answer names systems of data and time in every part of the page"
@@ -54,6 +55,14 @@ def best_chunk(spark, sf):
     return profile.best_chunk(rows, "record_id", "score")
 
 
+def best_page_chunk(spark, sf):
+    """Of each page the chunk that is most like the answer."""
+    chunks = scratch_keep(spark)("chunks", chunking.chunk_rows(md(spark, sf), "page_id", "md"))
+    scored = similarity.lexical(chunks, ["page_id", "idx"], F.col("text"), F.lit(ANSWER), "score")
+    best = profile.best_chunk(chunks.join(scored, ["page_id", "idx"]), "page_id", "score")
+    return best.select("page_id", "idx", "heading", "score", F.substring(F.sha1("text"), 1, 12).alias("digest"))
+
+
 def fetch_split(spark, sf):
     status = F.when(F.col("page_id") % 6 == 0, "failed").otherwise("success")
     return profile.fetch_split(read(spark, sf, "pages").withColumn("status", status))
@@ -142,7 +151,7 @@ def brand_pages(spark, sf):
 
 
 _NAMES = (
-    "phase_compare insights cite_patterns average_profile display_order best_chunk fetch_split long_form cluster_topics pooled_runs compact_rows display_numbers funnel flow_edges tier_table "
+    "phase_compare insights cite_patterns average_profile display_order best_chunk best_page_chunk fetch_split long_form cluster_topics pooled_runs compact_rows display_numbers funnel flow_edges tier_table "
     "candidate_features source_features brand_pages"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -172,6 +181,7 @@ _OFFICIAL = """off AS (SELECT 'institutional' AS grp, count_if(institutional_off
   UNION ALL SELECT 'other', count_if(NOT institutional_official AND NOT brand_official_candidate), coalesce(sum(cited) FILTER (WHERE NOT institutional_official AND NOT brand_official_candidate), 0) FROM fr), rate AS (SELECT *, coalesce(round(c / nullif(n, 0), 4), 0.0) AS r FROM off)"""
 _FLAG_ROWS = f"""{MATCH}, g AS (SELECT matched_candidate_id AS candidate_id, max(strong::INTEGER) AS cited, bool_or(weak_domain_match) AS w FROM m WHERE matched_candidate_id IS NOT NULL GROUP BY 1),
 fl AS (SELECT c.*, coalesce(g.cited, 0) AS cited, coalesce(w, false) AS w FROM c LEFT JOIN g ON c.candidate_id = g.candidate_id)"""
+_CHUNKS = TEXT_SQL["chunk_segments"].partition("SELECT page_id, idx, heading, n_words")[0].rstrip()
 _part = lambda n, t, rest: f"SELECT {n} AS part, {t} AS text FROM {rest}"
 ORACLE = {
     "phase_compare": f"WITH {_RUN} SELECT *, CASE WHEN feature = 'page_output_sim' THEN 'post_output' ELSE 'pre_answer' END AS phase FROM ({_compare('run', _RUN_FEATURES)})",
@@ -189,6 +199,8 @@ ORACLE = {
     "average_profile": f"WITH {FR} SELECT " + ", ".join(f"coalesce(round(avg({f}), 4), 0.0) AS {f}" for f in FR_FEATURES) + " FROM fr",
     "display_order": f"WITH {FR} SELECT ord, scrape_success, n_chars % 40 AS best_rank FROM fr ORDER BY scrape_success DESC, n_chars % 40, ord LIMIT 25",
     "best_chunk": f"WITH {FR} SELECT record_id, ord AS idx, intent AS heading, topic AS text, line_count::INTEGER AS score FROM fr QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY line_count DESC, ord) = 1",
+    "best_page_chunk": f"""{_CHUNKS}, {_lex("SELECT page_id || '#' || idx AS id, '' AS nm, t AS a, '" + ANSWER + "' AS b FROM z WHERE idx < 60")}
+SELECT page_id, idx, heading, sim AS score, substring(sha1(t), 1, 12) AS digest FROM z JOIN lex ON id = page_id || '#' || idx QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY sim DESC, idx) = 1""",
     "fetch_split": "SELECT count_if(page_id % 6 <> 0) AS n_ok, count_if(page_id % 6 = 0) AS n_failed FROM pages",
     "long_form": f"WITH {FR}, s AS (SELECT source_type, count(*) AS n, sum(cited) AS c FROM fr WHERE source_type IS NOT NULL GROUP BY 1) SELECT source_type, unnest(['n', 'n_cited', 'cite_rate']) AS series, unnest([n::DOUBLE, c::DOUBLE, round(c / n, 4)::DOUBLE]) AS value FROM s",
     "cluster_topics": f"WITH {QD}, x AS (SELECT DISTINCT qid % 3 AS cluster, 'T' || (qid % 5) AS topic FROM qd) SELECT cluster, string_agg(topic, ', ' ORDER BY topic) AS topics FROM x GROUP BY 1",

@@ -117,6 +117,22 @@ def test_clusters_equal_a_loop(spark, monkeypatch, local):
         assert got == linked_by_a_loop(sets, k)
 
 
+def test_cluster_query_equals_a_loop(spark):
+    """The registered clusters over their table, and the topics of each."""
+    from citeweave.plans import queries_stats
+    from citeweave.plans.bindings import qd
+
+    rows = qd(spark, "/root/testdata/sf0.001")
+    sets: dict = {}
+    for r in rows.where("cited = 1 AND domain <> ''").collect():
+        sets.setdefault(r["qid"], set()).add(r["domain"])
+    want: dict = {}
+    for q, c in linked_by_a_loop(sets, 4).items():
+        want.setdefault(c, set()).add(str(q))
+    got = {r["cluster"]: set(r["members"].split(", ")) for r in queries_stats.question_clusters(spark, "/root/testdata/sf0.001").collect()}
+    assert {c: m for c, m in got.items() if c >= 0} == want
+
+
 def test_intents(spark, rows):
     s = {r["intent"]: r for r in intent.intent_summary(rows).collect()}
     assert set(s) == {"buy", "Unspecified"} and s["buy"]["n_cited"] == 2 and s["buy"]["top_cited_type"] == "blog"
