@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions.text import split_expected
 from citeweave.operators import batch, compare, intent, questions, stats
-from citeweave.plans.bindings import EXPECTED, FR, FR_FEATURES, LI, LI_FEATURES, QD, fr, li, qd
+from citeweave.plans.bindings import EXPECTED, FR, FR_FEATURES, LI, LI_FEATURES, QD, fr, li, qd, read
 
 
 def _long(table: str, features: list[str], keep: str) -> str:
@@ -90,6 +90,13 @@ def question_clusters(spark, sf):
     return questions.cluster_summary(rows, questions.cluster_questions(rows, 4))
 
 
+def question_groups(spark, sf):
+    """Twenty pages make a question, so questions grow with the pages; each with its cluster."""
+    host = F.regexp_extract("url", "^[^:]+://([^/]+)", 1)
+    rows = read(spark, sf, "pages").select(F.floor(F.col("page_id") / 20).cast("long").alias("qid"), host.alias("domain"), (F.col("page_id") % 5 < 2).cast("int").alias("cited"))
+    return questions.cluster_questions(rows, 8)
+
+
 def question_matrix(spark, sf):
     wide = questions.question_matrix(qd(spark, sf), 20)
     names = [c for c in wide.columns if c != "qid"]
@@ -140,7 +147,7 @@ def box_statistics(spark, sf):
 
 _NAMES = (
     "group_compare group_compare_large top_deltas source_breakdown official_compare top_domains audit_summary correlation_with_cited length_sim_corr mann_whitney_u mann_whitney_p "
-    "average_ranks bootstrap_median_ci question_table question_top_domains jaccard_pairs question_clusters question_matrix intent_source_long intent_source_pivot intent_row_pct "
+    "average_ranks bootstrap_median_ci question_table question_top_domains jaccard_pairs question_clusters question_groups question_matrix intent_source_long intent_source_pivot intent_row_pct "
     "intent_summary expected_vs_actual batch_aggregate sample_sizes heatmap_minmax box_statistics"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}

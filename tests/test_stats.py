@@ -131,6 +131,12 @@ def test_cluster_query_equals_a_loop(spark):
         want.setdefault(c, set()).add(str(q))
     got = {r["cluster"]: set(r["members"].split(", ")) for r in queries_stats.question_clusters(spark, "/root/testdata/sf0.001").collect()}
     assert {c: m for c, m in got.items() if c >= 0} == want
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").selectExpr("page_id div 20 AS qid", "regexp_extract(url, '^[^:]+://([^/]+)', 1) AS domain", "page_id % 5 < 2 AS cited").where("cited AND domain <> ''")
+    sets = {}
+    for r in pages.collect():
+        sets.setdefault(r["qid"], set()).add(r["domain"])
+    got = {r["qid"]: r["cluster"] for r in queries_stats.question_groups(spark, "/root/testdata/sf0.001").collect()}
+    assert {q: c for q, c in got.items() if c >= 0} == linked_by_a_loop(sets, 8)
 
 
 def test_intents(spark, rows):
