@@ -19,13 +19,16 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def fr(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with labels, as audited sources."""
+    # What is counted on a text is counted before the join, so texts are never shuffled.
+    text = F.col("text")
+    counts = {"word_count": F.size(F.regexp_extract_all(text, F.lit("[^ \n]+"), F.lit(0))), "digit_count": F.length(F.regexp_replace(text, "[^0-9]", "")), "line_count": F.size(F.split(text, "\n"))}
+    d = read(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", *[c.alias(k) for k, c in counts.items()])
     # Both sides are filtered to non-null ids by the join; labels is the smaller one at every size.
-    d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id")
+    d = d.join(read(spark, sf, "labels"), "doc_id")
     return d.select(
         F.col("doc_id").alias("ord"), (F.col("doc_id") % 50).alias("record_id"), (F.col("doc_id") % 12).alias("run_id"), F.concat(F.lit("T"), F.col("doc_id") % 3).alias("topic"),
         F.col("lang").alias("intent"), F.col("source").alias("source_type"), F.col("quality").alias("cited"), F.col("n_chars"),
-        F.size(F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0))).alias("word_count"),
-        F.length(F.regexp_replace("text", "[^0-9]", "")).alias("digit_count"), F.size(F.split("text", "\n")).alias("line_count"),
+        "word_count", "digit_count", "line_count",
         (F.col("doc_id") % 15).alias("source_position"), F.lit(None).cast("long").alias("observed_rank"),
         (F.col("toxic") == 1).alias("is_client_source"), (F.col("doc_id") % 4 == 0).alias("is_competitor_source"), (F.col("doc_id") % 7 != 0).alias("scrape_success"),
         F.col("source").isin("src0", "src1").alias("institutional_official"), (F.col("doc_id") % 5 == 0).alias("brand_official_candidate"),
