@@ -92,14 +92,90 @@ def average_linkage(s: np.ndarray, size: np.ndarray) -> list[tuple[int, int, flo
     return out
 
 
-def _mutual(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, mean) of the pairs whose clusters are nearest to each other; the order of pairs is total (mean
-    similarity, then the labels), so there is one at least."""
-    of = lambda c: nodes.select(F.col("q").alias(c), F.col("n").alias(f"n{c}"))
-    mean = F.col("s").cast("double") / (F.col("na") * F.col("nb")).cast("double")
-    pairs = edges.join(of("a"), "a").join(of("b"), "b").select(F.struct((-mean).alias("d"), "a", "b").alias("p"))
-    best = pairs.select(F.explode(F.array("p.a", "p.b")).alias("q"), "p").groupBy("q").agg(F.min("p").alias("p"))
-    return best.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select("p.a", "p.b", (-F.col("p.d")).alias("mean"))
+#: Sets in a block of questions that meets others in one task, those of a tile that it compares at once, and the items it looks at together.
+BLOCK, TILE, ITEMS = 2048, 1024, 4096
+
+
+def _in_both(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each pair of sets shares."""
+    out, common = np.zeros((len(left), len(right))), np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for at in range(0, len(common), ITEMS):
+        some, has = common[at : at + ITEMS], []
+        for sets in (left, right):
+            items, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            place = np.minimum(np.searchsorted(some, items), len(some) - 1)
+            hit = some[place] == items
+            one = np.zeros((len(sets), len(some)), np.float32)
+            one[row[hit], place[hit]] = 1
+            has.append(one)
+        out += has[0] @ has[1].T
+    return out
+
+
+def similarity_sums(left: tuple, right: tuple) -> np.ndarray:
+    """Sums of Jaccard similarities, in parts of UNIT, over the pairs of a cluster of ``left`` and one of ``right``.
+    A side: its sets, the cluster of each (0, 1, .. in order), and how many questions have the set."""
+    (a, ca, na), (b, cb, nb) = left, right
+    size_a, size_b = (np.array([len(s) for s in x], float) for x in (a, b))
+    out = np.zeros((ca[-1] + 1, cb[-1] + 1), np.int64)
+    for i in range(0, len(a), TILE):
+        for j in range(0, len(b), TILE):
+            x, y = slice(i, i + TILE), slice(j, j + TILE)
+            shared = _in_both(a[x], b[y])
+            unit = np.floor(UNIT * shared / (size_a[x, None] + size_b[None, y] - shared) + 0.5).astype(np.int64) * (na[x, None] * nb[None, y])
+            rows, columns = (np.flatnonzero(np.diff(c, prepend=-1)) for c in (ca[x], cb[y]))
+            part = np.add.reduceat(np.add.reduceat(unit, rows, axis=0), columns, axis=1)
+            out[ca[i] : ca[i] + len(rows), cb[j] : cb[j] + len(columns)] += part
+    return out
+
+
+def _blocks_met(members: DataFrame, nearest: bool) -> DataFrame:
+    """What clusters have in common, by blocks of them of which any two meet in one task.  ``members``: the sets of
+    each cluster (q, n questions, set).  ``nearest``: (q, o, mean) of each cluster and the nearest one of a block,
+    of equal ones the first; else (a, b, s, na, nb), the sums over the pairs of any two."""
+    n = max(1, -(-members.count() // BLOCK))
+    mine, other = F.pmod(F.xxhash64("q"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = members.select("q", "n", "set", mine.alias("mine"), other.alias("other")).select("q", "n", "set", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    kind = dict(members.dtypes)["q"]
+
+    def side(pdf: pd.DataFrame) -> tuple:
+        codes, labels = pd.factorize(pdf["q"], sort=True)
+        order = np.argsort(codes, kind="stable")
+        count = pdf["n"].to_numpy(np.int64)[order]
+        sets = [np.asarray(s, np.int64) for s in pdf["set"].to_numpy()[order]]
+        return np.asarray(labels), np.add.reduceat(count, np.flatnonzero(np.diff(codes[order], prepend=-1))) if len(order) else count, (sets, codes[order], count)
+
+    def met(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        a, b = side(pdf[pdf["mine"] == i]), side(pdf[pdf["mine"] == j])
+        if not len(a[0]) or not len(b[0]):
+            s = np.zeros((len(a[0]), len(b[0])), np.int64)
+        else:
+            s = similarity_sums(a[2], b[2])
+        if i == j:
+            np.fill_diagonal(s, 0)
+        if not nearest:
+            x, y = np.nonzero(np.triu(s) if i == j else s)
+            one, two = a[0][x], b[0][y]
+            first = one < two
+            return pd.DataFrame({"a": np.where(first, one, two), "b": np.where(first, two, one), "s": s[x, y], "na": np.where(first, a[1][x], b[1][y]), "nb": np.where(first, b[1][y], a[1][x])})
+        out = []
+        for one, two, sums in ((a, b, s), (b, a, s.T))[: 1 if i == j else 2]:
+            if sums.size:
+                mean = sums.astype(float) / np.multiply.outer(one[1], two[1]).astype(float)
+                best = mean.argmax(1)
+                top = mean[np.arange(len(best)), best]
+                out.append(pd.DataFrame({"q": one[0], "o": two[0][best], "mean": top})[top > 0])
+        return pd.concat(out) if out else pd.DataFrame({"q": a[0][:0], "o": a[0][:0], "mean": np.zeros(0)})
+
+    return dealt.groupBy("i", "j").applyInPandas(met, f"q {kind}, o {kind}, mean double" if nearest else f"a {kind}, b {kind}, s long, na long, nb long")
+
+
+def _mutual(best: DataFrame) -> DataFrame:
+    """(a, b, mean) of the clusters that are nearest to each other.  The order of pairs is total (mean similarity,
+    then the labels), so there is one at least; of equal ones a cluster's first neighbour makes the first pair."""
+    back = best.select(F.col("q").alias("o"), F.col("o").alias("q"))
+    return best.where("q < o").join(back, ["q", "o"]).select(F.col("q").alias("a"), F.col("o").alias("b"), "mean")
 
 
 def _renamed(df: DataFrame, column: str, merges: DataFrame) -> DataFrame:
@@ -114,28 +190,29 @@ def linkage_merges(sets: DataFrame, keep: Callable) -> DataFrame:
 
     Two clusters that are nearest to each other stay so until they merge, whatever merges elsewhere (the
     mean similarity to a union is at most the greater one of its parts), so in every round all such pairs
-    merge at once, as joins of cluster pairs.  Questions with equal sets come first, as one cluster each.
-    The last LOCAL clusters are merged by one task.  Ties go by the labels, as in a loop over all pairs;
-    very many equal similarities between more than LOCAL clusters therefore make many rounds.
+    merge at once.  Questions with equal sets come first, as one set.  A round compares all sets, block by
+    block, and keeps of each cluster the nearest one: time grows with the square of the different sets, what
+    a task holds and what is written do not.  The last LOCAL clusters are merged by one task.  Ties go by the
+    labels, as in a loop over all pairs; very many equal similarities between more than LOCAL clusters
+    therefore make many rounds.
     """
-    # The set itself, not a digest, tells equal ones apart.
-    whole = sets.groupBy("qid").agg(F.sort_array(F.collect_list("domain")).alias("set"))
-    first = whole.groupBy("set").agg(F.min("qid").alias("q"), F.count("*").alias("n"))
-    equal = keep("equal", whole.join(first, "set").select(F.col("qid").alias("b"), F.col("q").alias("a"), "n"))
+    # The set itself, not a digest, tells equal ones apart; items have numbers from here on.
+    items = keep("items", sets.select("domain").distinct().withColumn("item", F.monotonically_increasing_id()))
+    whole = keep("whole", sets.join(items, "domain").groupBy("qid").agg(F.sort_array(F.collect_list("item")).alias("set")))
+    first = whole.groupBy("set").agg(F.min("qid").alias("a"), F.count("*").alias("n"))
+    equal = keep("equal", whole.join(first, "set").select(F.col("qid").alias("b"), "a", "n", "set"))
     done = [equal.where("a <> b").select("a", "b", F.lit(float(UNIT)).alias("mean"))]
-    nodes = keep("nodes", equal.where("a = b").select(F.col("a").alias("q"), "n"), 0)
-    pairs = shared_pairs(sets.join(nodes.select(F.col("q").alias("qid")), "qid", "left_semi"))
-    of = lambda c: nodes.select(F.col("q").alias(c), F.col("n").alias(f"n{c}"))
-    unit = F.round(F.lit(float(UNIT)) * F.col("shared") / F.col("either")).cast("long")
-    edges = keep("edges", pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", (unit * F.col("na") * F.col("nb")).alias("s")), 0)
+    members = keep("members", equal.where("a = b").select(F.col("a").alias("q"), "n", "set"), 0)
     turn = 0
-    while (edges.select(F.explode(F.array("a", "b"))).distinct().count()) > LOCAL:
+    while True:
+        near = _blocks_met(members, True).groupBy("q").agg(F.min(F.struct((-F.col("mean")).alias("d"), "o")).alias("p"))
+        best = keep("best", near.select("q", "p.o", (-F.col("p.d")).alias("mean")), turn)
+        if best.count() <= LOCAL:
+            break
         turn += 1
-        merges = keep("merges", _mutual(edges, nodes), turn)
+        merges = keep("merges", _mutual(best), turn)
         done.append(merges)
-        moved = _renamed(_renamed(edges, "a", merges), "b", merges).where("a <> b")
-        edges = keep("edges", moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")), turn)
-        nodes = keep("nodes", _renamed(nodes, "q", merges).groupBy("q").agg(F.sum("n").alias("n")), turn)
+        members = keep("members", _renamed(members, "q", merges), turn)
     kind = dict(sets.dtypes)["qid"]
 
     def rest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,8 +226,7 @@ def linkage_merges(sets: DataFrame, keep: Callable) -> DataFrame:
         merged = average_linkage(s, size)
         return pd.DataFrame({"a": [ids[i] for i, _, _ in merged], "b": [ids[j] for _, j, _ in merged], "mean": [m for _, _, m in merged]})
 
-    of = lambda c: nodes.select(F.col("q").alias(c), F.col("n").alias(f"n{c}"))
-    left = edges.join(of("a"), "a").join(of("b"), "b")
+    left = _blocks_met(members, False)
     done.append(left.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(rest, f"a {kind}, b {kind}, mean double"))  # LOCAL clusters at most
     return keep("all_merges", reduce(lambda x, y: x.unionByName(y), done))
 

@@ -117,6 +117,46 @@ def test_clusters_equal_a_loop(spark, monkeypatch, local):
         assert got == linked_by_a_loop(sets, k)
 
 
+def test_no_stage_holds_pairs_of_questions(spark, monkeypatch):
+    """Forty questions that all share a domain, in blocks of a few: stages of a row a question, the merges of a loop."""
+    import random
+
+    monkeypatch.setattr(questions, "LOCAL", 3)
+    monkeypatch.setattr(questions, "BLOCK", 15)
+    rng = random.Random(5)
+    sets = {q: ds | {"all"} for q, ds in random_sets(rng, 40, 14).items()}
+    df = spark.createDataFrame([(q, d, 1) for q, ds in sets.items() for d in ds], "qid string, domain string, cited int")
+    held = {}
+
+    def keep(name, table, *parameters):
+        table = table.localCheckpoint()
+        held[(name, *parameters)] = table.count()
+        return table
+
+    questions.linkage_merges(questions.domain_sets(df), keep)
+    assert max(held.values()) <= len(sets) and ("merges", 2) in held
+    got = {r["qid"]: r["cluster"] for r in questions.cluster_questions(df, 4).collect()}
+    assert got == linked_by_a_loop(sets, 4)
+
+
+def test_tiles_add_up(monkeypatch):
+    """Sums over clusters whose sets lie in several tiles, items in several parts; weights of equal sets."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(questions, "TILE", 4)
+    monkeypatch.setattr(questions, "ITEMS", 3)
+
+    def side(n):
+        codes = np.unique(rng.integers(0, 5, n), return_inverse=True)[1]
+        return [np.unique(rng.integers(0, 12, rng.integers(1, 6))) for _ in range(n)], np.sort(codes), rng.integers(1, 4, n)
+
+    (a, ca, na), (b, cb, nb) = left, right = side(13), side(10)
+    want = np.zeros((ca[-1] + 1, cb[-1] + 1), np.int64)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            want[ca[i], cb[j]] += na[i] * nb[j] * round(questions.UNIT * len({*x} & {*y}) / len({*x} | {*y}))
+    assert (questions.similarity_sums(left, right) == want).all()
+
+
 def test_cluster_query_equals_a_loop(spark):
     """The registered clusters over their table, and the topics of each."""
     from citeweave.plans import queries_stats
