@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeweave.functions import classify, similarity, text
-from citeweave.operators import chunking
+from citeweave.operators import chunking, features
 
 
 def one(spark, column, **values):
@@ -57,6 +57,20 @@ def test_lexical_similarity(spark):
     assert got == {0: plain(*pairs[0][1:]), 1: 0.0, 2: 0.0, 3: 0.0, 4: 1.0}
 
 
+def test_terms_of_a_text_are_not_shuffled(spark):
+    """Similarities of rows and of chunks come without an exchange; halves are rounded up, nulls stay null."""
+    df = spark.createDataFrame([(0, "a1 b1 c1 d1", "a1 e1 f1 g1"), (1, None, "x1"), (2, " ".join(f"w{i}" for i in range(32 * 32)), "w5")], "id int, a string, b string")
+    scored = similarity.lexical(df, ["id"], F.col("a"), F.col("b"))
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["sim"] for r in scored.collect()} == {0: 0.25, 1: 0.0, 2: 0.0313}
+    pairs = df.select("id", similarity.lexical_cosines([(F.col("a"), F.col("b")), (F.col("b"), F.col("b"))]).alias("s"))
+    assert {r["id"]: r["s"] for r in pairs.collect()} == {0: [0.25, 1.0], 1: [None, 1.0], 2: [0.0313, 1.0]}
+    rows = df.select("id", F.col("a").alias("p_md"), "b")
+    chunks, _ = features.chunk_scores(rows, "id", {"sim": F.col("b")})
+    assert "Exchange" not in chunks._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"] for r in chunks.collect()} == {2}
+
+
 def test_dense_and_top(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.9, 0.1, 0.5, 0.4])], "a array<double>, b array<double>, s array<double>")
     r = df.select(similarity.dense_cosine(F.col("a"), F.col("b")).alias("c"), similarity.top_mean(F.col("s")).alias("t")).first()
