@@ -71,6 +71,13 @@ def test_terms_of_a_text_are_not_shuffled(spark):
     assert {r["id"] for r in chunks.collect()} == {2}
 
 
+def test_only_texts_beyond_ascii_go_to_python(spark):
+    df = spark.createDataFrame([("Abc",), ("Straße Ａ",), (None,), ("",)], "t string")
+    out = df.select("t", text.fold(F.col("t")).alias("f"))
+    assert "CASE WHEN NOT" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["t"]: r["f"] for r in out.collect()} == {"Abc": "abc", "Straße Ａ": "strasse a", None: "", "": ""}
+
+
 def test_dense_and_top(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.9, 0.1, 0.5, 0.4])], "a array<double>, b array<double>, s array<double>")
     r = df.select(similarity.dense_cosine(F.col("a"), F.col("b")).alias("c"), similarity.top_mean(F.col("s")).alias("t")).first()
