@@ -79,7 +79,11 @@ def term_detection(spark, sf):
 def _flags(spark, sf):
     page = md(spark, sf).withColumn("intent", F.lit("general the"))
     page = page.withColumn("kind", F.when(F.col("page_id") % 9 == 0, "ecommerce").when(F.col("page_id") % 9 == 1, "forum").otherwise("unknown"))
-    return page, classify.content_flags(F.col("title"), F.col("md"), F.col("md"), F.col("html"), F.col("intent"), ascii_only=True)
+    # The markdown, and the words that all flags look at, are made once a page: what a generator gives is not
+    # put into the expressions that use it.
+    page = page.select("page_id", "url", "html", "intent", "kind", F.inline(F.array(F.struct("title", "md"))))
+    page = page.select("*", F.inline(F.array(F.struct(text.fold(classify.all_words(F.col("title"), F.col("md"), F.col("md")), ascii_only=True).alias("n_all")))))
+    return page, classify.content_flags(F.col("title"), F.col("md"), F.col("md"), F.col("html"), F.col("intent"), ascii_only=True, everything=F.col("n_all"))
 
 
 def content_flags(spark, sf):

@@ -78,6 +78,15 @@ def test_only_texts_beyond_ascii_go_to_python(spark):
     assert {r["t"]: r["f"] for r in out.collect()} == {"Abc": "abc", "Straße Ａ": "strasse a", None: "", "": ""}
 
 
+def test_markdown_is_made_once_for_all_flags(spark):
+    """The rules of flags and page types look at columns, not at the expressions that make them."""
+    from citeweave.plans import queries_text
+
+    for query in (queries_text.page_type, queries_text.content_flags):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("(?:script|style)[^>]*>.*") == 1
+
+
 def test_dense_and_top(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.9, 0.1, 0.5, 0.4])], "a array<double>, b array<double>, s array<double>")
     r = df.select(similarity.dense_cosine(F.col("a"), F.col("b")).alias("c"), similarity.top_mean(F.col("s")).alias("t")).first()
