@@ -47,11 +47,12 @@ def scratch_dir(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back: lineage ends here."""
+def materialise(df: DataFrame, **options) -> DataFrame:
+    """Write ``df`` once to the shared scratch folder and read it back: lineage ends here.  ``options``
+    are those of the Parquet writer."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if _scopes:
         _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -121,12 +122,12 @@ def release_memory() -> None:
         trim(0)
 
 
-#: Rows of one Arrow batch between Spark and Python: texts can be long, and a batch is held on both sides.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch between Spark and Python: texts can be long, and a batch is held on both sides.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def configure(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ARROW_ROWS, never raise it.
+    """Lower the session's Arrow batch size to ARROW_ROWS and about ARROW_BYTES, never raise it.
 
     Batches are sized by the session alone, so operators leave the setting to their caller: the
     registered queries and the pipeline call this, other users set it as they see fit.
@@ -134,6 +135,10 @@ def configure(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+) ?([kmg]?)b?", spark.conf.get(key).strip().lower())
+    if not now or not 0 < int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

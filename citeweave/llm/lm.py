@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import id_text, materialise, slices
+from citeweave.llm.common import id_text, materialise, release_memory, slices
 
 CONTEXT, STRIDE, WIDTH = 32, 16, 16
 #: Rows of the input table for the most frequent ids, then shared rows; classes likewise.
@@ -48,6 +48,8 @@ BATCH, ROUNDS, EPOCHS, RATE = 256, 2, 1, 0.02
 ROW_WINDOWS = 16_384
 #: Ids of a unit of training, and units of a group at most GROUPS groups (then more).
 UNIT, GROUP_UNITS, GROUPS = 1 << 20, 1, 4_096
+#: Units, of some 4 MB each, that are written and read back together.
+TOGETHER = {"parquet.block.row.count.limit": 4}
 #: Bytes of text that are read at one time.
 SLICE = 4 << 20  # a batch of ARROW_ROWS rows is about as large
 HEAD, CACHE_WORDS = 300_000, 400_000
@@ -201,16 +203,17 @@ def initial(layout: Layout, seed: int = 7) -> dict[str, np.ndarray]:
 #: Key j may be seen by target i (input position STRIDE + i) if j <= STRIDE + i.
 MASK = np.where(np.arange(CONTEXT)[None, :] <= STRIDE + np.arange(STRIDE)[:, None], 0.0, -1e9).astype(np.float32)
 SEE = np.exp(MASK)
-#: Rows of logits worked on at one time, so that they stay in the processor's cache.
-LOGIT_ROWS = 256
+#: Rows of logits, and windows, worked on at one time, so that they stay in the processor's cache.
+LOGIT_ROWS, GRADIENT_WINDOWS = 256, 32
 
 
-def _attend(p: dict, rows: np.ndarray, pad: int):
+def _attend(p: dict, rows: np.ndarray, pad: int, kv_weights: np.ndarray):
     x = np.take(p["E"], rows, axis=0)
     x += p["P"]
-    flat = lambda a, w: (a.reshape(-1, WIDTH) @ w).reshape(a.shape)
+    flat = lambda a, w: (a.reshape(-1, WIDTH) @ w).reshape(*a.shape[:2], -1)
     xt = np.ascontiguousarray(x[:, STRIDE:])
-    q, k, v = flat(xt, p["Q"] * np.float32(WIDTH**-0.5)), flat(x, p["K"]), flat(x, p["V"])
+    q, kv = flat(xt, p["Q"] * np.float32(WIDTH**-0.5)), flat(x, kv_weights)
+    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
     s = q @ k.transpose(0, 2, 1)
     seen = (rows != pad).astype(np.float32)[:, None, :] if (rows[:, 0] == pad).any() else None
     sums = lambda a: (a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, a.dtype)).reshape(a.shape[:2])
@@ -227,62 +230,72 @@ def _attend(p: dict, rows: np.ndarray, pad: int):
         a = np.exp(s - s.max(axis=2, keepdims=True))
         total = sums(a)
     a /= total[:, :, None]
-    return x, xt, q, k, v, a, xt + a @ v
+    h = a @ v
+    h += xt
+    return x, xt, q, k, v, a, h
 
 
 def gradients(p: dict, rows: np.ndarray, target: np.ndarray, pad: int) -> tuple[float, dict]:
-    """Mean cross-entropy over targets >= 0 and its gradients."""
-    x, xt, q, k, v, a, h = _attend(p, rows, pad)
-    x2, xt2 = x.reshape(-1, WIDTH), xt.reshape(-1, WIDTH)
-    live = target.ravel() >= 0
-    n = max(1, int(live.sum()))
-    t = np.maximum(target.ravel(), 0)
-    # The bias is a further row of the class weights, met by a column of ones.
-    weights = np.concatenate([p["C"], p["b"][None]]).astype(h.dtype)
-    h1 = np.ones((h.shape[0] * h.shape[1], WIDTH + 1), h.dtype)
-    h1[:, :WIDTH] = h.reshape(-1, WIDTH)
-    size, classes = len(h1), weights.shape[1]
-    dh, out_w, loss = np.empty((size, WIDTH), h.dtype), np.zeros((classes, WIDTH + 1), h.dtype), 0.0
-    room, ones, line = np.empty((LOGIT_ROWS, classes), h.dtype), np.ones(classes, h.dtype), np.arange(LOGIT_ROWS)
-    back = np.ascontiguousarray(p["C"].T)
-    for i in range(0, size, LOGIT_ROWS):
-        hb, tb, lb = h1[i : i + LOGIT_ROWS], t[i : i + LOGIT_ROWS], live[i : i + LOGIT_ROWS]
-        g, at = np.matmul(hb, weights, out=room[: len(hb)]), line[: len(hb)]
-        with np.errstate(over="ignore"):
-            np.exp(g, out=g)
-        total = g @ ones
-        if not (np.isfinite(total).all() and total.min() > 0):  # logits beyond the range of exp
-            np.matmul(hb, weights, out=g)
-            g -= g.max(axis=1, keepdims=True)
-            np.exp(g, out=g)
+    """Mean cross-entropy over targets >= 0 and its gradients.
+
+    A few windows at a time, so that what lies between stays in the processor's cache.
+    """
+    live = target >= 0
+    n, kind, classes = max(1, int(live.sum())), p["E"].dtype, p["C"].shape[1]
+    goal = np.maximum(target, 0)
+    # The bias is a further row of the class weights, met by a column of ones; K and V stand side by side.
+    weights, back = np.concatenate([p["C"], p["b"][None]]), np.ascontiguousarray(p["C"].T)
+    kv_weights = np.concatenate([p["K"], p["V"]], axis=1)
+    kv_back, q_back = np.ascontiguousarray(kv_weights.T), np.ascontiguousarray(p["Q"].T)
+    out_w, out_q, out_kv = np.zeros((WIDTH + 1, classes), kind), np.zeros((WIDTH, WIDTH), kind), np.zeros((WIDTH, 2 * WIDTH), kind)
+    room, ones, line = np.empty((LOGIT_ROWS, classes), kind), np.ones(classes, kind), np.arange(LOGIT_ROWS) * classes
+    dx, chance = np.empty((*rows.shape, WIDTH), kind), np.ones(target.size, kind)
+    for first in range(0, len(rows), GRADIENT_WINDOWS):
+        some = slice(first, first + GRADIENT_WINDOWS)
+        x, xt, q, k, v, a, h = _attend(p, rows[some], pad, kv_weights)
+        h1 = np.ones((h.shape[0] * STRIDE, WIDTH + 1), kind)
+        h1[:, :WIDTH] = h.reshape(-1, WIDTH)
+        t, on, prob = goal[some].ravel(), live[some].ravel(), chance[first * STRIDE :]
+        dh = np.empty((len(h1), WIDTH), kind)
+        for i in range(0, len(h1), LOGIT_ROWS):
+            hb, lb = h1[i : i + LOGIT_ROWS], on[i : i + LOGIT_ROWS]
+            g, at = np.matmul(hb, weights, out=room[: len(hb)]), line[: len(hb)] + t[i : i + LOGIT_ROWS]
+            with np.errstate(over="ignore"):
+                np.exp(g, out=g)
             total = g @ ones
-        loss -= float((np.log(np.maximum(g[at, tb] / total, 1e-12)) * lb).sum())
-        # The gradient of a row of logits is (probability - 1 at the target) / n, or 0 without a target:
-        # g is left unscaled, and the scale goes to the narrow side of each product.
-        g[at, tb] -= total
-        scale = (lb / (total * n)).astype(g.dtype)[:, None]
-        out_w += g.T @ (hb * scale)
-        np.multiply(g @ back, scale, out=dh[i : i + LOGIT_ROWS])
-    out = {"C": out_w[:, :WIDTH].T, "b": out_w[:, WIDTH]}
-    dh = dh.reshape(h.shape)
-    dv = a.transpose(0, 2, 1) @ dh
-    ds = dh @ v.transpose(0, 2, 1)
-    ds *= a
-    ds -= a * (ds.reshape(-1, CONTEXT) @ np.ones(CONTEXT, ds.dtype)).reshape(ds.shape[:2])[:, :, None]
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q  # q holds the scale already
-    dq *= np.float32(WIDTH**-0.5)
-    dq2, dk2, dv2 = dq.reshape(-1, WIDTH), dk.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)
-    out["Q"], out["K"], out["V"] = xt2.T @ dq2, x2.T @ dk2, x2.T @ dv2
-    dx = (dk2 @ p["K"].T + dv2 @ p["V"].T).reshape(x.shape)
-    dx[:, STRIDE:] += dh + (dq2 @ p["Q"].T).reshape(dh.shape)
-    out["P"] = dx.sum(axis=0)
-    out["E"] = np.zeros_like(p["E"])
+            if not (np.isfinite(total).all() and total.min() > 0):  # logits beyond the range of exp
+                np.matmul(hb, weights, out=g)
+                g -= g.max(axis=1, keepdims=True)
+                np.exp(g, out=g)
+                total = g @ ones
+            mine, every = np.take(g, at), g.reshape(-1)
+            prob[i : i + len(hb)] = mine / total
+            # The gradient of a row of logits is (probability - 1 at the target) / n, or 0 without a target:
+            # g is left unscaled, and the scale goes to the narrow side of each product.
+            every[at] = mine - total
+            scale = (lb / (total * n)).astype(kind)[:, None]
+            out_w += (hb * scale).T @ g
+            np.multiply(g @ back, scale, out=dh[i : i + LOGIT_ROWS])
+        dh = dh.reshape(h.shape)
+        ds = dh @ v.transpose(0, 2, 1)
+        ds *= a
+        ds -= a * (ds.reshape(-1, CONTEXT) @ np.ones(CONTEXT, kind)).reshape(ds.shape[:2])[:, :, None]
+        dq, dkv = ds @ k, np.empty((*x.shape[:2], 2 * WIDTH), kind)
+        dkv[:, :, :WIDTH], dkv[:, :, WIDTH:] = ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh  # q holds the scale already
+        dq *= np.float32(WIDTH**-0.5)
+        dq2, dkv2, xt2 = dq.reshape(-1, WIDTH), dkv.reshape(-1, 2 * WIDTH), xt.reshape(-1, WIDTH)
+        out_q += xt2.T @ dq2
+        out_kv += x.reshape(-1, WIDTH).T @ dkv2
+        np.matmul(dkv2, kv_back, out=dx[some].reshape(-1, WIDTH))
+        dh += (dq2 @ q_back).reshape(dh.shape)
+        dx[some, STRIDE:] += dh
+    out = {"C": out_w[:WIDTH], "b": out_w[WIDTH], "Q": out_q, "K": out_kv[:, :WIDTH], "V": out_kv[:, WIDTH:], "P": dx.sum(axis=0), "E": np.zeros_like(p["E"])}
     flat = rows.ravel().astype(np.uint16 if len(p["E"]) <= 1 << 16 else np.intp)
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
     starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
     out["E"][flat[starts]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], starts, axis=0)
-    return loss / n, out
+    return -float(np.log(np.maximum(chance, 1e-12)) @ live.ravel()) / n, out
 
 
 def fit(p: dict, windows: np.ndarray, layout: Layout, epochs: int, rate: float = RATE, seed: int = 0) -> dict:
@@ -503,13 +516,15 @@ def train(windows: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict[str,
     """
     import citeweave.llm.lm as own
 
-    p, units = initial(layout), materialise(training_units(windows, layout.n_ids))
+    p, units = initial(layout), materialise(training_units(windows, layout.n_ids), **TOGETHER)
     shapes = {k: v.shape for k, v in p.items()}
     pack = lambda x: np.concatenate([x[k].ravel() for k in NAMES])
     for r in range(rounds):
         now = p
 
         def local(batches: Iterator[pa.RecordBatch], now=now, r=r) -> Iterator[pa.RecordBatch]:
+            own.words_for.cache_clear()  # of an earlier stage; training looks up no words
+            release_memory()
             total, weight = 0.0, 0
             for batch in batches:
                 for lines in batch.column("lines"):

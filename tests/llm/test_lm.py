@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from citeweave.llm import lm
+from citeweave.llm import common, lm
 
 SF = "/root/testdata/sf0.01"
 
@@ -220,3 +220,50 @@ def test_every_target_sees_sixteen_earlier_ids(trained):
         other[i - 16] = (other[i - 16] + 450) % 900
         first = [scorer.score(x[: n + 1], np.array([n + 1]))[0] for x in (ids, other) for n in (i - 1, i)]
         assert abs((first[1] - first[0]) - (first[3] - first[2])) > 1e-9
+
+
+def test_gradients_do_not_depend_on_the_windows_worked_on_at_one_time(trained, monkeypatch):
+    layout, p, rng = trained
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    rows, target = rng.integers(0, layout.rows, (70, lm.CONTEXT)), rng.integers(-1, layout.classes, (70, lm.STRIDE))
+    rows[40:50, : lm.STRIDE] = layout.pad
+    got = []
+    for n in (32, 1000):
+        monkeypatch.setattr(lm, "GRADIENT_WINDOWS", n)
+        got.append(lm.gradients(p, rows, target, layout.pad))
+    assert np.isclose(got[0][0], got[1][0]) and all(np.allclose(got[0][1][k], got[1][1][k], rtol=1e-9, atol=1e-15) for k in lm.NAMES)
+
+
+def test_units_are_stored_in_row_groups_of_a_few(spark, docs, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lm, "UNIT", 500)
+    stored, keep = [], lm.materialise
+
+    def materialise(df, **options):
+        stored.append(keep(df, **options))
+        return stored[-1]
+
+    monkeypatch.setattr(lm, "materialise", materialise)
+    training = docs.where(~held()).coalesce(1)
+    lm.train(lm.training_windows(training, lm.default_ranks()), lm.Layout(np.ones(lm.subwords(lm.default_ranks())[1] + 1, np.int64)), rounds=1)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in stored[0].inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) > 4 and max(groups) <= 4
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    keys = [f"spark.sql.execution.arrow.{k}PerBatch" for k in ("maxRecords", "maxBytes")]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.unset(keys[1])
+        common.configure(spark)
+        rows = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("a"), 1 << 20).cast("binary").alias("w"))
+        sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+        assert max(r["n"] for r in sizes) < common.ARROW_BYTES + (2 << 20)
+        spark.conf.set(keys[1], "1m")
+        common.configure(spark)
+        assert spark.conf.get(keys[1]) == "1m"  # never raised
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
