@@ -2,11 +2,15 @@ import datetime as dt
 import math
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from citeweave.functions import classify, similarity, text
 from citeweave.operators import chunking, features
+from citeweave.plans import queries_views
+from citeweave.plans.bindings import md
+from citeweave.plans.queries_views import ANSWER
 
 
 def one(spark, column, **values):
@@ -118,6 +122,18 @@ def test_chunks(spark):
     assert chunks(spark, "  ") == [] and len(chunks(spark, " ".join(["w"] * 9000))) == 60
 
 
+def test_best_page_chunk_looks_at_all_chunks(spark, tmp_path):
+    """The best chunk is the 70th of its page; result and SQL agree on it."""
+    page = "<title>t</title>" + "".join(f"<h2>part {i}</h2><p>{(ANSWER if i == 70 else 'nothing that is like it stands in here at all')}</p>" for i in range(90))
+    spark.createDataFrame([(1, "https://a.com/x", page), (2, "https://a.com/y", "<p>a page of one chunk that has some words of an answer</p>")], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in queries_views.best_page_chunk(spark, tmp_path).collect())
+    assert [r[:4] for r in got] == [(1, 70, "part 70", 1.0), (2, 0, "", got[1][3])]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(con.execute(queries_views.ORACLE["best_page_chunk"]).fetchall())
+    assert [r["idx"] for r in chunking.chunk_rows(md(spark, tmp_path), "page_id", "md", most=None).where("page_id = 1").collect()] == list(range(90))
+
+
 def test_content_flags_and_page_type(spark):
     md = "# FAQ\n| a | b |\n|---|---|\n- item\nCall +66 2 123 4567 or a@b.com. ราคา 100"
     df = spark.createDataFrame([("Price list", md)], "title string, md string")
