@@ -134,6 +134,30 @@ def test_best_page_chunk_looks_at_all_chunks(spark, tmp_path):
     assert [r["idx"] for r in chunking.chunk_rows(md(spark, tmp_path), "page_id", "md", most=None).where("page_id = 1").collect()] == list(range(90))
 
 
+def test_brand_pages_look_at_whole_texts(spark, tmp_path):
+    """Terms stand behind 4,000 characters of a text, or behind 40 of a title whose page was not fetched."""
+    filler = "zebra " * 800
+    html = {1: f"<title>t</title><p>{filler} the</p>", 2: f"<title>t</title><p>{filler} See EXAMPLE.org</p>", 3: f"<title>t</title><p>{filler} thesis</p>", 4: f"<title>t</title><h1>and</h1><p>{filler}</p>", 6: f"<title>{'w' * 50} the</title><p>x</p>", 12: f"<title>t</title><p>{filler} the</p>"}
+    spark.createDataFrame([(k, f"https://a{k}.test/guide/x", h) for k, h in html.items()], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((tuple(r) for r in queries_views.brand_pages(spark, tmp_path).collect()), key=lambda r: r[0])
+    assert [r[:3] for r in got] == [(1, True, False), (2, False, True), (4, False, True), (6, True, False)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(con.execute(queries_views.ORACLE["brand_pages"]).fetchall())
+
+
+def test_brand_terms_of_source_and_page_are_united(spark):
+    """Found terms keep the order of the list, whichever of source and page shows them."""
+    sources = spark.createDataFrame([(i, f"https://b{i}.test", f"https://b{i}.test", f"b{i}.test", t, "") for i, t in enumerate(["Zeta", "none", "none", "Ｚｅｔａ"])], "source_id int, url string, normalized_url string, domain string, title string, description string")
+    sources = sources.withColumn("source_type", F.lit("unknown"))
+    page = lambda i, status, text_, md_: (f"https://b{i}.test", "page", status, text_, md_)
+    pages = spark.createDataFrame([page(0, "success", "x " * 3000 + "Alpha", "# Rival\nfaq"), page(1, "success", "", "é " * 3000 + "ＡＬＰＨＡ"), page(2, "failed", "alpha", "alpha"), page(3, "success", None, None)], "normalized_url string, title string, status string, text string, markdown string")
+    out = features.brand_pages(sources, pages, ["Alpha", "Zeta"], ["rival"])
+    got = {r["source_id"]: (r["client_terms_found"], r["competitor_terms_found"], r["has_faq"], r["page_type"]) for r in out.collect()}
+    assert got == {0: (["Alpha", "Zeta"], ["rival"], False, "unknown"), 1: (["Alpha"], [], False, "unknown"), 3: (["Zeta"], [], None, "unknown")}
+    assert not {"p_text", "p_heads", "p_begin", "has_text", "n_text"} & set(out.columns)
+
+
 def test_content_flags_and_page_type(spark):
     md = "# FAQ\n| a | b |\n|---|---|\n- item\nCall +66 2 123 4567 or a@b.com. ราคา 100"
     df = spark.createDataFrame([("Price list", md)], "title string, md string")
