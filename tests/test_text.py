@@ -158,6 +158,14 @@ def test_brand_terms_of_source_and_page_are_united(spark):
     assert not {"p_text", "p_heads", "p_begin", "has_text", "n_text"} & set(out.columns)
 
 
+def test_email_and_table_flags(spark):
+    rows = [("mail x@b.co", "a|b"), (" @b.co", "a | b\n|c|"), ("a@b", "||\n||"), ("é@b.co", "| --"), ("A.B-@c.dE", "none")]
+    df = spark.createDataFrame([(i, t, m) for i, (t, m) in enumerate(rows)], "id int, t string, m string")
+    flags = classify.content_flags(F.lit(""), F.col("t"), F.col("m"), F.lit(""), F.lit(""))
+    got = df.select("id", flags["has_email"].alias("e"), flags["has_table"].alias("t")).orderBy("id").collect()
+    assert [r["e"] for r in got] == [True, False, False, False, True] and [r["t"] for r in got] == [False, False, True, True, False]
+
+
 def test_content_flags_and_page_type(spark):
     md = "# FAQ\n| a | b |\n|---|---|\n- item\nCall +66 2 123 4567 or a@b.com. ราคา 100"
     df = spark.createDataFrame([("Price list", md)], "title string, md string")
